@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chalkline.llm import fingerprints, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
-from chalkline.llm.common import documents, table
+from chalkline.llm import fingerprints, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from chalkline.llm.common import documents, materialize, table, word_count
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_successors(documents(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return mixing.mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -35,17 +42,23 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("n_factors")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
