@@ -50,6 +50,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder written to shared storage."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def id_key(column: str = "doc_id") -> Column:
     """doc_id for ordering and joins; null counts as the last document."""
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import fingerprints, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from chalkline.llm import fingerprints, lattice, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 from chalkline.llm.common import documents, materialize, table, word_count
 
 
@@ -15,6 +15,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_successors(documents(spark, sf_dir))
 
 
+def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
@@ -52,6 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_lattice_score": op2_lattice_score,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
