@@ -1 +1,111 @@
-"""Queries."""
+"""Queries over sources and sinks."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from chalkline.plans.bridges import LINES, lines, read
+from chalkline.plans.registry import query
+from chalkline.sources import pages as P
+from chalkline.sources import sinks as K
+from chalkline.sources import tables as T
+
+
+def scratch(spark, name):
+    """A new folder in the shared folder of the session, or a temporary one where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src.lines", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines")
+def src_lines(spark, d):
+    return lines(read(spark, d, "documents"))
+
+
+@query("src.chunks_json")
+def chunks_json(spark, d):
+    path = scratch(spark, "chunks")
+    docs = read(spark, d, "documents")
+    K.write_json(docs.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), F.lit("x").alias("text"))).alias("chunks")), path)
+    return T.read_chunks(spark, path).select("chunk_id", "text")
+
+
+@query("src.chunk_discovery")
+def chunk_discovery(spark, d):
+    path = scratch(spark, "found")
+    docs = read(spark, d, "documents")
+    K.write_json(docs.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("text"))).alias("chunks")), path + "/a")
+    K.write_json(docs.select("lang").distinct(), path + "/b")
+    return T.discover_chunk_files(spark, path).select("n_chunks").groupBy().agg(F.sum("n_chunks").alias("n_chunks"))
+
+
+@query("src.registered_pairs", """WITH p AS (SELECT source || '/' || lang || '/' || (doc_id % 50) AS pair_key, CASE WHEN doc_id % 2 = 0 THEN 'question_paper' ELSE 'mark_scheme' END AS kind, doc_id FROM documents),
+f AS (SELECT pair_key, min(doc_id) FILTER (kind = 'question_paper') AS question_paper, min(doc_id) FILTER (kind = 'mark_scheme') AS mark_scheme, count(*) FILTER (kind = 'question_paper') AS nq, count(*) FILTER (kind = 'mark_scheme') AS nm FROM p GROUP BY 1)
+SELECT pair_key, question_paper, mark_scheme, CASE WHEN nq > 1 OR nm > 1 THEN 'duplicate' WHEN nq = 0 OR nm = 0 THEN 'incomplete' ELSE 'complete' END AS status FROM f""")
+def registered_pairs(spark, d):
+    docs = read(spark, d, "documents").select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % 50).cast("string")).alias("pair_key"), F.when(F.col("doc_id") % 2 == 0, "question_paper").otherwise("mark_scheme").alias("document_type"), "doc_id")
+    return T.registered_pairs(docs)
+
+
+@query("src.eligible", """SELECT d.doc_id, d.source, l.quality, c.turns FROM documents d JOIN labels l USING (doc_id) JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) c ON c.conv_id = d.doc_id
+WHERE d.text IS NOT NULL AND trim(d.text) <> '' AND d.lang IN ('en', 'fr', 'de') AND l.quality = 1 AND l.toxic = 0 AND d.n_chars >= 200 AND c.turns >= 2""")
+def eligible(spark, d):
+    turns = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("turns"))
+    return T.eligible(read(spark, d, "documents"), read(spark, d, "labels"), turns).select("doc_id", "source", "quality", "turns")
+
+
+_LINKS = """links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS title FROM pages)"""
+
+
+@query("src.link_filter", f"WITH {_LINKS} SELECT page_id, href, title FROM links WHERE regexp_matches(lower(title || ' ' || href), 'the|and|sch')")
+def link_filter(spark, d):
+    return P.with_hint(P.links(read(spark, d, "pages")), ("the", "and", "sch"))
+
+
+@query("src.url_features", """WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, nullif(regexp_extract(path, '^/(en|fr|de|es)(?:/|$)', 1), '') AS language, regexp_extract(rtrim(path, '/'), '([^/]*)$', 1) AS slug, trim(regexp_replace(regexp_extract(rtrim(path, '/'), '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS file_name FROM u""")
+def url_features(spark, d):
+    return P.url_features(read(spark, d, "pages")).select("page_id", "host", "language", "slug", "file_name")
+
+
+@query("src.page_extract", f"WITH {_LINKS} SELECT href, min(page_id) AS page_id, count(*) AS n FROM links WHERE href <> '' GROUP BY 1")
+def page_extract(spark, d):
+    return P.unique_links(read(spark, d, "pages"))
+
+
+@query("src.header_fields", """WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, url FROM pages)
+SELECT page_id, coalesce(nullif(trim(h1), ''), nullif(trim(title), ''), 'untitled') AS topic, nullif(regexp_extract(url, '/([0-9]+)(?:[/?#]|$)', 1), '') AS number, coalesce(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), '1') AS page FROM t""")
+def header_fields(spark, d):
+    return P.header_fields(read(spark, d, "pages"))
+
+
+@query("sink.json")
+def sink_json(spark, d):
+    path = scratch(spark, "json")
+    docs = read(spark, d, "documents").select("source", "doc_id", "lang", "n_chars")
+    K.write_json(K.nested(docs, ["source"], "documents"), path)
+    return spark.read.schema("source string, documents array<struct<doc_id:bigint,lang:string,n_chars:bigint>>").json(path).select("source", F.size("documents").alias("n"))
+
+
+@query("sink.csv")
+def sink_csv(spark, d):
+    path = scratch(spark, "csv")
+    K.write_csv(read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.col("doc_id") % 3)).alias("rest")), path)
+    return spark.read.schema("source string, lang string, n bigint, rest string").option("header", True).csv(path)
+
+
+@query("sink.audit")
+def sink_audit(spark, d):
+    path = scratch(spark, "audit")
+    orders = read(spark, d, "orders")
+    for year in (1997, 1998):
+        K.append_audit(orders.where(F.year("o_orderdate") == year).groupBy("o_orderstatus").agg(F.count("*").alias("n")), path, f"{year}-01-01")
+    return spark.read.schema("o_orderstatus string, n bigint, run_date date").parquet(path)
+
+
+@query("sink.run_manifest")
+def run_manifest(spark, d):
+    return K.run_manifest({"documents": read(spark, d, "documents"), "labels": read(spark, d, "labels")})
