@@ -17,6 +17,8 @@ repeated rows are documents of their own; empty tables give no rows; other colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,14 @@ def hypergeometric(everything: Column, good: Column, drawn: Column, unit: Column
     return F.aggregate(F.sequence(low, high), F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), low.alias("at")), lambda a, x: find(a, x, unit * total))["at"]
 
 
+def _draw_next(seed: int, depth: int) -> Callable[[Column, Column], Column]:
+    def step(a: Column, s: Column) -> Column:
+        got = hypergeometric(a["left"], s["quota"], a["room"], _unit(seed, depth, F.col("shard"), s["skey"]))
+        return F.struct((a["left"] - s["quota"]).alias("left"), (a["room"] - got).alias("room"), F.concat(a["got"], F.array(got)).alias("got"))
+
+    return step
+
+
 def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """quotas: one row with ``sources`` array<struct<skey, quota>> -> skey, shard, quota; shards is a power of two."""
     nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "sources")
@@ -88,11 +98,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
         total = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["quota"])
         start = F.struct(total.alias("left"), F.floor((total + F.xxhash64(F.lit(seed), F.lit(depth), F.col("shard")).bitwiseAND(1)) / 2).cast("long").alias("room"), F.array().cast("array<bigint>").alias("got"))
 
-        def step(a: Column, s: Column, depth: int = depth) -> Column:
-            got = hypergeometric(a["left"], s["quota"], a["room"], _unit(seed, depth, F.col("shard"), s["skey"]))
-            return F.struct((a["left"] - s["quota"]).alias("left"), (a["room"] - got).alias("room"), F.concat(a["got"], F.array(got)).alias("got"))
-
-        halves = nodes.withColumn("got", F.aggregate("sources", start, step)["got"])
+        halves = nodes.withColumn("got", F.aggregate("sources", start, _draw_next(seed, depth))["got"])
         kept = F.zip_with("sources", "got", lambda s, g: F.struct(s["skey"].alias("skey"), g.alias("quota")))
         rest = F.zip_with("sources", "got", lambda s, g: F.struct(s["skey"].alias("skey"), (s["quota"] - g).alias("quota")))
         nodes = halves.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), kept.alias("sources")), F.struct((F.col("shard") * 2 + 1).alias("shard"), rest.alias("sources")))).alias("n")).select("n.*")
@@ -103,7 +109,7 @@ def _block(seed: int, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), blocks)
 
 
-def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, seed: int = SEED) -> DataFrame:
+def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """From (doc_id, source, size): skey, block, source_size, target, n_blocks and ``copies``, an array of
     (epoch, take, whole, shard) for the times the block is in the mix."""
     targets = source_targets(sizes).withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("source_size") / block_words))).cast("long"))
@@ -116,7 +122,7 @@ def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int
     taken = twice.withColumn("take", F.greatest(F.lit(0), F.least("words", wanted)).cast("long"))
     permuted = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), "skey", "epoch", "block"), "block", "epoch")
     used = materialize(taken.where("take > 0").withColumn("rank", F.row_number().over(permuted).cast("long")), "blocks")
-    shards = 1 << max(0, (used.count() // SHARD_BLOCKS).bit_length() - 1)
+    shards = 1 << max(0, (used.count() // shard_blocks).bit_length() - 1)
     quotas = used.groupBy("skey").agg(F.count("*").alias("quota")).agg(F.array_sort(F.collect_list(F.struct("skey", "quota"))).alias("sources"))
     drawn = splitting_tree(quotas, shards, seed)
     last = F.sum("quota").over(Window.partitionBy("skey").orderBy("shard"))
