@@ -42,11 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+ROWS_PER_FILE = 100_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: how many narrow rows it has at most; small tables then get few files, each of about ROWS_PER_FILE rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,7 +84,7 @@ def links(nodes: DataFrame) -> DataFrame:
     cell = lambda k, s, t: F.struct(F.lit(k).alias("kind"), F.xxhash64(F.lit(k), F.col(f"seg{s}"), F.col(f"seg{t}")).alias("key"))
     cells = pivot_tables(nodes.select("fp")).select("fp", "table", F.explode(F.array(*[cell(k, s, t) for k, (s, t) in enumerate(pairs)])).alias("c")).select("c.kind", "c.key", "fp", "table")
     cells = materialize(cells, "cells")
-    sizes = materialize(cells.groupBy("kind", "key").count().where("count > 1"), "sizes")
+    sizes = materialize(cells.groupBy("kind", "key").count().where("count > 1"), "sizes", cells.count())
     small = cells.join(sizes.where(F.col("count") <= MAX_CELL), ["kind", "key"], "left_semi")
     a, b = small.alias("a"), small.alias("b")
     far = F.array_max(F.zip_with("a.table", "b.table", lambda x, y: F.abs(x - y)))
@@ -101,8 +101,9 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
     found = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(found.groupBy("fp").agg(F.min(id_key()).alias("rep")), "nodes")
-    labels = components(links(nodes)).withColumnRenamed("node", "fp")
+    nodes = materialize(found.groupBy("fp").agg(F.min(id_key()).alias("rep")), "nodes", found.count())
+    joined = materialize(links(nodes), "links")
+    labels = components(joined, 2 * joined.count()).withColumnRenamed("node", "fp")
     labelled = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
     of = labelled.join(least, "label").select("fp", F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"))
