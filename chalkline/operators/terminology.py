@@ -53,11 +53,16 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
 
 
+def _without_one(word: Column) -> Column:
+    """All forms of a word with one letter missing."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
 def _deletions(word: Column, times: int) -> Column:
     """The word and all its forms with up to ``times`` letters missing; words within that many edits share one."""
     forms = F.array(word)
     for _ in range(times):
-        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i, w=w: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))))
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, _without_one))))
     return forms
 
 

@@ -33,11 +33,12 @@ def encode(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]],
 
 def hash_encode(tokens: Column, width: int = 384, longest: int = 2) -> Column:
     """A model-free vector: counts of hashed 1..n-grams, unit length; native."""
-    grams = tokens
-    for n in range(2, longest + 1):
+    def runs(n: int) -> Column:
         last = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-        more = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        grams = F.concat(grams, more)
+        made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(last > 0, made).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(tokens, *map(runs, range(2, longest + 1)))
     slots = F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % width).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
@@ -135,10 +136,11 @@ def best_unit(scores: DataFrame) -> DataFrame:
 
 def cells(vectors: DataFrame, planes: int = 6, width: int = 64, seed: int = 5) -> DataFrame:
     """vectors with ``cell``: signs against hashed hyperplanes, a coarse partition for approximate search."""
-    bits = []
-    for p in range(planes):
-        plane = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i, p=p: F.when(F.xxhash64(F.lit(seed), F.lit(p), i) >= 0, 1.0).otherwise(-1.0))
-        bits.append(F.when(dot(F.col("embedding"), plane) >= 0, 1 << p).otherwise(0))
+    def bit(p: int) -> Column:
+        plane = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.xxhash64(F.lit(seed), F.lit(p), i) >= 0, 1.0).otherwise(-1.0))
+        return F.when(dot(F.col("embedding"), plane) >= 0, 1 << p).otherwise(0)
+
+    bits = list(map(bit, range(planes)))
     total = bits[0]
     for b in bits[1:]:
         total = total + b

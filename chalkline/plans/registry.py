@@ -31,7 +31,7 @@ def load() -> None:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     load()
-    return QUERIES["cln_whitespace"](spark, sf_dir)
+    return QUERIES["agg_roles"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

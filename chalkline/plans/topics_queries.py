@@ -1 +1,267 @@
-"""Queries."""
+"""Queries over topic mapping: documents in fixed chunks against the catalogue made of benchmark."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chalkline.operators import topics as T
+from chalkline.operators.chunking import dot
+from chalkline.plans.bridges import ALIASES, CHUNKS, aliases, chunks, concepts, read
+from chalkline.plans.registry import query
+
+TOK = f"""{CHUNKS}, tok AS (SELECT doc_id, chunk_id, pos, sentence, list_filter(string_split(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM chunked),
+p1 AS (SELECT doc_id, chunk_id, pos, t, unnest(range(len(t)))::INTEGER AS start FROM tok),
+grams AS (SELECT doc_id, chunk_id, pos, start, 1 AS n, t[start + 1] AS gram FROM p1 UNION ALL SELECT doc_id, chunk_id, pos, start, 2, t[start + 1] || ' ' || t[start + 2] FROM p1 WHERE start + 2 <= len(t))"""
+HITS = f"{TOK}, {ALIASES}, hits AS (SELECT g.doc_id, g.chunk_id, g.pos, g.start, g.n, a.alias, a.concept_id, a.ambiguous FROM grams g JOIN aliases a ON a.alias = g.gram AND a.n_words = g.n)"
+KW = f"""{HITS}, kw AS (SELECT doc_id, chunk_id, concept_id, count(DISTINCT alias) AS n_aliases, count(DISTINCT pos) AS n_sentences, count(*) AS n_hits, bool_and(n = 1) AS single_only, bool_and(ambiguous) AS ambiguous_only,
+ round(least(1.0::DOUBLE, max(CASE n WHEN 1 THEN 0.50::DOUBLE WHEN 2 THEN 0.72 ELSE 0.82 END) + 0.08::DOUBLE * (count(DISTINCT alias) - 1) + 0.05::DOUBLE * least(3, count(DISTINCT pos) - 1) + 0.02::DOUBLE * least(4, count(*) - 1)), 6) AS keyword_score FROM hits GROUP BY 1, 2, 3)"""
+SEM = f"""{KW}, sem AS (SELECT k.doc_id, k.chunk_id, k.concept_id, round(greatest(0.0, 3 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))), 6) AS semantic_score
+ FROM kw k JOIN embeddings a ON a.vec_id = k.concept_id[2:]::BIGINT JOIN embeddings b ON b.vec_id = (k.doc_id * 7 + k.chunk_id) % 500),
+terms AS (SELECT 'c' || item_id AS concept_id, unnest([w[3], w[4]]) AS term, unnest(['supporting', 'conflicting']) AS kind FROM bw WHERE len(w) >= 4),
+ctx AS (SELECT g.doc_id, g.chunk_id, t.concept_id, coalesce(list_sort(list(DISTINCT gram) FILTER (kind = 'supporting')), []) AS supporting, coalesce(list_sort(list(DISTINCT gram) FILTER (kind = 'conflicting')), []) AS conflicting FROM grams g JOIN terms t ON t.term = g.gram AND g.n = 1 GROUP BY 1, 2, 3)"""
+CAND = f"""{SEM}, c1 AS (SELECT kw.*, coalesce(semantic_score, 0.0) AS semantic_score, len(coalesce(supporting, []))::INTEGER AS n_context, len(coalesce(conflicting, []))::INTEGER AS n_conflicting FROM kw LEFT JOIN sem USING (doc_id, chunk_id, concept_id) LEFT JOIN ctx USING (doc_id, chunk_id, concept_id)),
+c2 AS (SELECT *, CASE WHEN ambiguous_only THEN semantic_score >= 0.50 AND n_context >= 1 WHEN single_only THEN semantic_score >= 0.45 OR n_sentences >= 2 OR n_aliases >= 2 ELSE true END AS gate,
+ round(0.55 * greatest(0.0, least(1.0, semantic_score)) + 0.25 * least(1.0, n_sentences / 3.0::DOUBLE) + 0.20 * least(1.0, n_aliases / 2.0::DOUBLE), 9) AS salience FROM c1),
+c3 AS (SELECT *, round(greatest(0.58 * semantic_score + 0.42 * keyword_score, CASE WHEN single_only THEN 0.72 ELSE 0.88 END * keyword_score, 0.82 * semantic_score) * (0.85 + 0.15 * salience), 6) AS confidence FROM c2),
+cand AS (SELECT *, CASE WHEN semantic_score >= 0.50 THEN 'hybrid' ELSE 'keyword' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY confidence DESC, salience DESC, semantic_score DESC, keyword_score DESC, concept_id)::INTEGER AS rank FROM c3 WHERE gate AND confidence >= 0.30) WHERE rank <= 12)"""
+EVID = f"""{CAND}, ev AS (SELECT doc_id, chunk_id, concept_id, list_sort(list(DISTINCT pos)) AS evidence FROM hits GROUP BY 1, 2, 3),
+dep AS (SELECT doc_id, chunk_id, pos, CASE WHEN regexp_matches(lower(sentence), '^on ') THEN 0 WHEN regexp_matches(lower(sentence), 'tion ') THEN 4 WHEN regexp_matches(lower(sentence), 'ing ') THEN 3 WHEN regexp_matches(lower(sentence), 'the ') THEN 2 WHEN regexp_matches(lower(sentence), 'and') THEN 1 ELSE 0 END AS depth FROM tok),
+md AS (SELECT h.doc_id, h.chunk_id, h.concept_id, max(depth) AS max_depth FROM hits h JOIN dep USING (doc_id, chunk_id, pos) GROUP BY 1, 2, 3),
+q1 AS (SELECT c.*, evidence, max_depth, n_sentences = 1 AND chunk_id % 5 = 0 AS recap_only, n_hits <= 2 AND chunk_id % 7 = 3 AS comparison_only FROM cand c JOIN ev USING (doc_id, chunk_id, concept_id) JOIN md USING (doc_id, chunk_id, concept_id)),
+q2 AS (SELECT *, greatest(0.0, least(1.0, 0.45 * ([0.34::DOUBLE, 0.50, 0.68, 0.84, 0.95])[max_depth + 1] + 0.25 * salience + 0.20 * semantic_score + 0.10 * least(1.0, n_context / 2.0::DOUBLE) - (CASE WHEN recap_only THEN 0.18 ELSE 0.0 END + CASE WHEN comparison_only THEN 0.16 ELSE 0.0 END))) AS q FROM q1),
+qual AS (SELECT *, round(q, 6) AS quality, round(0.72 * confidence + 0.28 * q, 6) AS adjusted FROM q2)"""
+DEPTH_WORDS = ((0, "^on "), (4, "tion "), (3, "ing "), (2, "the "), (1, "and"))
+
+
+def tokenised(spark, d):
+    return T.tokens(chunks(read(spark, d, "documents")))
+
+
+def runs(spark, d):
+    return T.grams(tokenised(spark, d))
+
+
+def hits(spark, d):
+    return T.phrase_hits(runs(spark, d), aliases(concepts(spark, d)))
+
+
+def bench_words(spark, d):
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
+    return read(spark, d, "benchmark").select(F.concat(F.lit("c"), "item_id").alias("concept_id"), words.alias("w"))
+
+
+def contexts(spark, d, of):
+    w = bench_words(spark, d).where(F.size("w") >= 4)
+    term = lambda k, kind: F.struct(F.element_at("w", k).alias("term"), F.lit(kind).alias("kind"))
+    return T.context_terms(of, w.select("concept_id", F.explode(F.array(term(3, "supporting"), term(4, "conflicting"))).alias("x")).select("concept_id", "x.*"))
+
+
+def semantic(spark, d, keys):
+    e = read(spark, d, "embeddings")
+    a = e.select(F.concat(F.lit("c"), "vec_id").alias("concept_id"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("b"))
+    joined = keys.select(*T.CANDIDATE).join(a, "concept_id").withColumn("_v", (F.col("doc_id") * 7 + F.col("chunk_id")) % 500).join(b, "_v")
+    return joined.select(*T.CANDIDATE, F.round(F.greatest(F.lit(0.0), 3 * dot(F.col("a"), F.col("b"))), 6).alias("semantic_score"))
+
+
+def candidates(spark, d):
+    found = runs(spark, d)
+    lexical = T.keyword_scores(T.phrase_hits(found, aliases(concepts(spark, d))))
+    return T.extract(lexical, semantic(spark, d, lexical), contexts(spark, d, found))
+
+
+def judged(spark, d):
+    tok = tokenised(spark, d)
+    own = hits(spark, d)
+    ev = own.groupBy(*T.CANDIDATE).agg(F.array_sort(F.collect_set("pos")).alias("evidence"))
+    deep = own.join(tok.select(*T.CHUNK, "pos", T.depth(F.col("sentence"), DEPTH_WORDS).alias("depth")), [*T.CHUNK, "pos"]).groupBy(*T.CANDIDATE).agg(F.max("depth").alias("max_depth"))
+    c = candidates(spark, d).withColumn("n_conflicting", F.size(F.coalesce("conflicting", F.array()))).join(ev, T.CANDIDATE).join(deep, T.CANDIDATE)
+    c = c.withColumn("recap_only", (F.col("n_sentences") == 1) & (F.col("chunk_id") % 5 == 0)).withColumn("comparison_only", (F.col("n_hits") <= 2) & (F.col("chunk_id") % 7 == 3))
+    return T.quality(c)
+
+
+query("map.phrase", f"WITH {HITS} SELECT * FROM hits")(hits)
+
+
+@query("map.exclude", f"WITH {HITS}, x AS (SELECT 'c' || item_id AS concept_id, w[2] || ' ' || w[3] AS phrase FROM bw WHERE len(w) >= 3), bad AS (SELECT g.doc_id, g.chunk_id, g.pos, g.start, g.n, x.concept_id FROM grams g JOIN x ON x.phrase = g.gram AND g.n = 2) SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.doc_id = h.doc_id AND b.chunk_id = h.chunk_id AND b.pos = h.pos AND b.concept_id = h.concept_id AND h.start < b.start + b.n AND h.start + h.n > b.start)")
+def exclude(spark, d):
+    found = runs(spark, d)
+    excluded = bench_words(spark, d).where(F.size("w") >= 3).select("concept_id", F.array_join(F.slice("w", 2, 2), " ").alias("phrase"))
+    return T.without_excluded(T.phrase_hits(found, aliases(concepts(spark, d))), found, excluded)
+
+
+PATTERNS = (("c1", "double", "the [a-z]+ing", 0.6), ("c2", "end", "tion[.]$", 0.4))
+
+
+@query("map.pattern", f"WITH {CHUNKS}, p AS (SELECT * FROM (VALUES ('c1', 'double', 'the [a-z]+ing', 0.6::DOUBLE), ('c2', 'end', 'tion[.]$', 0.4::DOUBLE)) t(concept_id, label, regex, weight)) SELECT doc_id, chunk_id, pos, concept_id, label, weight, len(CASE concept_id WHEN 'c1' THEN regexp_extract_all(sentence, 'the [a-z]+ing') ELSE regexp_extract_all(sentence, 'tion[.]$') END)::INTEGER AS hits FROM chunked JOIN p ON CASE concept_id WHEN 'c1' THEN regexp_matches(sentence, 'the [a-z]+ing') ELSE regexp_matches(sentence, 'tion[.]$') END")
+def pattern(spark, d):
+    table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {w}D)" for a, b, c, w in PATTERNS) + " t(concept_id, label, regex, weight)")
+    return T.pattern_hits(chunks(read(spark, d, "documents")), table)
+
+
+@query("map.context", f"WITH {SEM} SELECT * FROM ctx")
+def context(spark, d):
+    return contexts(spark, d, runs(spark, d))
+
+
+@query("map.keyword_score", f"WITH {KW} SELECT * FROM kw")
+def keyword_score(spark, d):
+    return T.keyword_scores(hits(spark, d))
+
+
+_SCORED = ["doc_id", "chunk_id", "concept_id"]
+
+
+@query("map.salience_gate", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, gate FROM c2")
+def gate(spark, d):
+    return _c1(spark, d).select(*_SCORED, T.salience_gate(F.col("n_context")).alias("gate"))
+
+
+def _c1(spark, d):
+    found = runs(spark, d)
+    lexical = T.keyword_scores(T.phrase_hits(found, aliases(concepts(spark, d))))
+    joined = lexical.join(semantic(spark, d, lexical), _SCORED, "left").join(contexts(spark, d, found), _SCORED, "left").fillna({"semantic_score": 0.0})
+    return joined.withColumn("n_context", F.size(F.coalesce("supporting", F.array())))
+
+
+@query("map.salience", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, salience FROM c2")
+def map_salience(spark, d):
+    return _c1(spark, d).select(*_SCORED, T.salience().alias("salience"))
+
+
+@query("map.confidence", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, confidence FROM c3")
+def map_confidence(spark, d):
+    return _c1(spark, d).withColumn("salience", T.salience()).select(*_SCORED, T.confidence().alias("confidence"))
+
+
+@query("map.extract", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, keyword_score, semantic_score, salience, confidence, method, rank FROM cand")
+def extract(spark, d):
+    return candidates(spark, d).select(*_SCORED, "keyword_score", "semantic_score", "salience", "confidence", "method", "rank")
+
+
+@query("map.redundancy")
+def redundancy(spark, d):
+    c = judged(spark, d).join(concepts(spark, d).select("concept_id", "section"), "concept_id")
+    return T.drop_redundant(c.select(*_SCORED, "rank", "section", "evidence"))
+
+
+@query("map.relevance", f"WITH {CAND}, nw AS (SELECT doc_id, chunk_id, sum(len(words)) AS n_words FROM chunked GROUP BY 1, 2), a AS (SELECT doc_id, chunk_id, count(*) FILTER (confidence >= 0.46) AS n_kept, least(3, count(*) FILTER (confidence < 0.46)) AS n_rejected, max(confidence) AS best, max(n_words)::BIGINT AS n_words FROM cand JOIN nw USING (doc_id, chunk_id) GROUP BY 1, 2) SELECT *, round(CASE WHEN n_kept > 0 THEN least(0.95, best + least(0.06, 0.02 * (n_kept - 1))) ELSE 0.0 END, 6) AS score, n_kept = 0 AND n_words >= 80 AND best >= 0.34 AS fallback FROM a")
+def relevance(spark, d):
+    words = chunks(read(spark, d, "documents")).groupBy("doc_id", "chunk_id").agg(F.sum("n_words").alias("n_words"))
+    return T.relevance(candidates(spark, d).join(words, ["doc_id", "chunk_id"]))
+
+
+@query("map.depth", f"WITH {EVID} SELECT * FROM dep")
+def map_depth(spark, d):
+    return tokenised(spark, d).select("doc_id", "chunk_id", "pos", T.depth(F.col("sentence"), DEPTH_WORDS).alias("depth"))
+
+
+@query("map.recap", f"WITH {HITS}, m AS (SELECT doc_id, chunk_id, pos, count(DISTINCT concept_id) AS n_concepts FROM hits GROUP BY 1, 2, 3) SELECT m.* FROM m JOIN tok USING (doc_id, chunk_id, pos) WHERE n_concepts >= 3 AND regexp_matches(lower(sentence), 'and|tion')")
+def recap(spark, d):
+    return T.recaps(hits(spark, d), tokenised(spark, d), "and|tion")
+
+
+@query("map.comparison", f"WITH {HITS}, s AS (SELECT h.*, regexp_matches(array_to_string(t[greatest(1, start + 1 - 16):greatest(1, start + 1 - 16) + n + 32 - 1], ' '), 'and the') AS c FROM hits h JOIN tok USING (doc_id, chunk_id, pos) WHERE n > 1), a AS (SELECT doc_id, chunk_id, concept_id, count(*) AS n_long_hits, count(*) FILTER (c) AS n_compared FROM s GROUP BY 1, 2, 3) SELECT *, n_compared = n_long_hits AND n_long_hits <= 2 AS comparison_only FROM a")
+def comparison(spark, d):
+    return T.comparisons(hits(spark, d), tokenised(spark, d), "and the")
+
+
+@query("map.quality", f"WITH {EVID} SELECT doc_id, chunk_id, concept_id, max_depth, quality, adjusted FROM qual")
+def map_quality(spark, d):
+    return judged(spark, d).select(*_SCORED, "max_depth", "quality", "adjusted")
+
+
+_REASON = "CASE WHEN n_conflicting > 0 AND n_context = 0 THEN 'context_collision' WHEN ambiguous_only AND n_context = 0 THEN 'ambiguous_without_context' WHEN recap_only THEN 'recap_only' WHEN comparison_only THEN 'comparison_only' WHEN max_depth = 0 AND n_sentences = 1 AND n_hits = 1 THEN 'mention_only' WHEN adjusted < 0.46 THEN 'low_score' END"
+
+
+@query("map.reject_reason", f"WITH {EVID} SELECT doc_id, chunk_id, concept_id, {_REASON} AS reason FROM qual")
+def map_reason(spark, d):
+    return judged(spark, d).select(*_SCORED, T.reject_reason().alias("reason"))
+
+
+@query("map.competition")
+def competition(spark, d):
+    return T.compete(judged(spark, d).select(*_SCORED, "adjusted", "evidence"))
+
+
+_FAM = f"{HITS}, fam AS (SELECT 'f' || item_id % 6 AS rough_topic, w[5] AS alias FROM bw WHERE len(w) >= 5 UNION SELECT 'f' || item_id % 6, w[6] FROM bw WHERE len(w) >= 6), seen AS (SELECT g.doc_id, g.chunk_id, g.pos, g.gram, f.rough_topic FROM grams g JOIN fam f ON f.alias = g.gram WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = g.doc_id AND h.chunk_id = g.chunk_id AND h.pos = g.pos AND h.alias = g.gram)), lex AS (SELECT doc_id, chunk_id, rough_topic, count(DISTINCT gram) AS n_aliases, count(*) AS n_hits, min(pos) AS pos, round(least(0.95::DOUBLE, 0.40::DOUBLE + 0.12::DOUBLE * count(DISTINCT gram) + 0.04::DOUBLE * count(*)), 6) AS score FROM seen GROUP BY 1, 2, 3 HAVING count(DISTINCT gram) >= 2 AND count(*) >= 3)"
+_SIG = f"""{_FAM}, sc AS (SELECT t.doc_id, t.chunk_id, t.pos, e.label AS domain, round(3 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)), 6) AS score FROM (SELECT doc_id, chunk_id, pos FROM tok WHERE pos < 6) t JOIN embeddings a ON a.vec_id = (t.doc_id * 31 + t.pos) % 500 JOIN embeddings e ON e.vec_id BETWEEN 20 AND 25),
+bs AS (SELECT doc_id, chunk_id, pos, arg_max(domain, score * 1000 + domain * 1e-7) AS domain, max(score) AS score FROM sc GROUP BY 1, 2, 3 HAVING max(score) >= 0.48),
+sg AS (SELECT doc_id, chunk_id, domain, count(*) AS n_sentences, max(score) AS score, min(pos) AS pos FROM bs GROUP BY 1, 2, 3 HAVING count(*) >= 2 OR max(score) >= 0.60),
+bo AS (SELECT doc_id, chunk_id, rough_topic AS topic, score, 'lexical' AS method FROM lex UNION ALL SELECT doc_id, chunk_id, domain::VARCHAR, score, 'semantic' FROM sg WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.doc_id = sg.doc_id AND l.chunk_id = sg.chunk_id AND l.pos = sg.pos)),
+sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, method, topic)::INTEGER AS rank FROM bo) WHERE rank <= 4)"""
+
+
+def _lex(spark, d):
+    found = runs(spark, d)
+    w = bench_words(spark, d).withColumn("rough_topic", F.concat(F.lit("f"), F.substring("concept_id", 2, 9).cast("int") % 6))
+    fam = w.where(F.size("w") >= 5).select("rough_topic", F.element_at("w", 5).alias("alias")).union(w.where(F.size("w") >= 6).select("rough_topic", F.element_at("w", 6).alias("alias"))).distinct()
+    return T.unmapped_lexical(found, fam, T.phrase_hits(found, aliases(concepts(spark, d))))
+
+
+def _sem(spark, d):
+    e = read(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("a"))
+    domains = e.where("vec_id between 20 and 25").select(F.col("label").alias("domain"), F.col("embedding").alias("b"))
+    base = tokenised(spark, d).where("pos < 6").select("doc_id", "chunk_id", "pos", ((F.col("doc_id") * 31 + F.col("pos")) % 500).alias("_v")).join(a, "_v")
+    return T.unmapped_semantic(base.join(F.broadcast(domains)).select("doc_id", "chunk_id", "pos", "domain", F.round(3 * dot(F.col("a"), F.col("b")), 6).alias("score")))
+
+
+@query("map.unmapped_lexical", f"WITH {_FAM} SELECT * FROM lex")
+def unmapped_lexical(spark, d):
+    return _lex(spark, d)
+
+
+@query("map.unmapped_semantic", f"WITH {_SIG} SELECT * FROM sg")
+def unmapped_semantic(spark, d):
+    return _sem(spark, d)
+
+
+@query("map.unmapped_merge", f"WITH {_SIG} SELECT * FROM sig")
+def unmapped_merge(spark, d):
+    return T.merge_signals(_lex(spark, d), _sem(spark, d))
+
+
+_CLASSES = f"""{EVID}, ch AS (SELECT DISTINCT doc_id, chunk_id FROM chunked), k AS (SELECT doc_id, chunk_id, coalesce(list_sort(list(concept_id) FILTER ({_REASON} IS NULL)), []) AS concepts, count(*) FILTER ({_REASON} IS NOT NULL) AS n_rejected FROM qual GROUP BY 1, 2),
+cl AS (SELECT ch.*, coalesce(concepts, []) AS concepts, coalesce(n_rejected, 0) AS n_rejected, CASE WHEN chunk_id % 4 = 2 THEN 1 ELSE 0 END AS n_signals, CASE WHEN chunk_id % 3 = 1 THEN 9 ELSE 0 END AS overlap_words FROM ch LEFT JOIN k USING (doc_id, chunk_id)),
+lg AS (SELECT *, coalesce(lag(concepts) OVER (PARTITION BY doc_id ORDER BY chunk_id), []) AS b FROM cl),
+cls AS (SELECT *, CASE WHEN overlap_words > 0 AND len(b) > 0 AND len(list_filter(concepts, lambda x: NOT list_contains(b, x))) = 0 THEN 'continuation' WHEN len(concepts) > 0 THEN 'mapped' WHEN n_signals > 0 THEN 'unmapped' WHEN n_rejected > 0 THEN 'weak' ELSE 'off_topic' END AS class FROM lg)"""
+
+
+def _classes(spark, d):
+    base = chunks(read(spark, d, "documents")).select("doc_id", "chunk_id").distinct()
+    j = judged(spark, d).withColumn("reason", T.reject_reason())
+    k = j.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), F.col("concept_id")))).alias("concepts"), F.count_if(F.col("reason").isNotNull()).alias("n_rejected"))
+    full = base.join(k, ["doc_id", "chunk_id"], "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>"))).fillna({"n_rejected": 0})
+    full = full.withColumn("n_signals", F.when(F.col("chunk_id") % 4 == 2, 1).otherwise(0)).withColumn("overlap_words", F.when(F.col("chunk_id") % 3 == 1, 9).otherwise(0))
+    return T.classify(full)
+
+
+@query("map.classify", f"WITH {_CLASSES} SELECT doc_id, chunk_id, concepts, class FROM cls")
+def classify(spark, d):
+    return _classes(spark, d).select("doc_id", "chunk_id", "concepts", "class")
+
+
+@query("map.chain_topics", f"WITH {_CLASSES}, r AS (SELECT *, coalesce(max(CASE WHEN class <> 'continuation' THEN chunk_id END) OVER (PARTITION BY doc_id ORDER BY chunk_id), chunk_id) AS root FROM cls) SELECT r.doc_id, r.chunk_id, r.root, CASE WHEN len(r.concepts) = 0 THEN coalesce(s.concepts, r.concepts) ELSE r.concepts END AS effective FROM r LEFT JOIN r s ON s.doc_id = r.doc_id AND s.chunk_id = r.root AND s.chunk_id = s.root")
+def chain_topics(spark, d):
+    return T.chain_topics(_classes(spark, d)).select("doc_id", "chunk_id", "root", "effective")
+
+
+@query("map.fallback", f"WITH {_SIG}, g AS (SELECT *, score - lead(score) OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, topic) AS gap FROM sig) SELECT doc_id, chunk_id, bool_or((method = 'semantic' AND score < 0.82) OR (method = 'lexical' AND score < 0.70)) OR coalesce(min(gap) < 0.04, false) AS fallback FROM g GROUP BY 1, 2")
+def fallback(spark, d):
+    return T.needs_fallback(T.merge_signals(_lex(spark, d), _sem(spark, d)))
+
+
+@query("map.lesson_counts", f"WITH {_CLASSES} SELECT doc_id, count(*) FILTER (class = 'mapped') AS n_mapped, count(*) FILTER (class = 'continuation') AS n_continuation, count(*) FILTER (class = 'unmapped') AS n_unmapped, count(*) FILTER (class = 'weak') AS n_weak, count(*) FILTER (class = 'off_topic') AS n_off_topic, count(*) FILTER (class IN ('mapped', 'continuation')) AS n_relevant, coalesce(list_sort(list(chunk_id) FILTER (class = 'weak')), []) AS fallback_ids FROM cls GROUP BY doc_id")
+def lesson_counts(spark, d):
+    return T.lesson_counts(_classes(spark, d))
+
+
+@query("cat.validate", f"WITH {ALIASES}, u AS (SELECT DISTINCT concept_id, label FROM concepts) SELECT concept_id, 'duplicate_id' AS rule FROM concepts GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT concept_id, 'shared_alias' FROM u WHERE label IN (SELECT label FROM u GROUP BY 1 HAVING count(*) > 1)")
+def cat_validate(spark, d):
+    return T.catalogue_errors(concepts(spark, d))
+
+
+@query("cat.index", f"WITH {ALIASES} SELECT section, list_sort(list(concept_id)) AS concept_ids, array_to_string(list_sort(list(label)), '; ') AS text FROM concepts GROUP BY 1")
+def cat_index(spark, d):
+    return T.catalogue_index(concepts(spark, d))
