@@ -12,7 +12,7 @@ All randomness is a hash of ids and ``seed``: reruns agree.
 
 Defined results: null text has size 0; a null source is a source of its own, last; sources of size 0 have target 0;
 repeated rows are documents of their own; empty tables give no rows; other columns are kept by ``mix`` and
-``mixed_documents``.
+``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,21 +132,23 @@ def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int
 
 
 def mix(docs: DataFrame, size: Column | None = None, seed: int = SEED, **options: int) -> DataFrame:
-    """docs with mix_size, source_size, target, taken and copies (array of (epoch, words, shard)), one row a document."""
+    """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_copies (array of (epoch, words, shard)), one
+    row a document; all of its own columns begin with mix_."""
     sized = docs.withColumn("mix_size", word_count(F.col("text")) if size is None else size)
     plan = materialize(block_plan(sized.select("doc_id", "source", F.col("mix_size").alias("size")), seed=seed, **options), "plan")
     small = plan.count() <= BROADCAST_ROWS
-    blocks = plan.select("skey", F.col("n_blocks").alias("mix_blocks")).distinct()
-    own = sized.withColumn("skey", _key()).join(F.broadcast(blocks) if small else blocks, "skey").withColumn("mix_block", _block(seed, F.col("mix_blocks"))).drop("mix_blocks")
-    of = plan.select(F.col("skey"), F.col("block").alias("mix_block"), "source_size", "target", "copies")
-    placed = own.join(F.broadcast(of) if small else of, ["skey", "mix_block"])
-    cut = F.exists(F.coalesce("copies", F.array()), lambda c: ~c["whole"])
-    inside = Window.partitionBy("skey", "mix_block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = plan.select(F.col("skey").alias("mix_key"), F.col("n_blocks").alias("mix_blocks")).distinct()
+    own = sized.withColumn("mix_key", _key()).join(F.broadcast(blocks) if small else blocks, "mix_key").withColumn("mix_block", _block(seed, F.col("mix_blocks"))).drop("mix_blocks")
+    of = plan.select(*[F.col(c).alias(f"mix_{n}") for c, n in (("skey", "key"), ("block", "block"), ("source_size", "source_size"), ("target", "target"), ("copies", "copies"))])
+    placed = own.join(F.broadcast(of) if small else of, ["mix_key", "mix_block"])
+    cut = F.exists(F.coalesce("mix_copies", F.array()), lambda c: ~c["whole"])
+    inside = Window.partitionBy("mix_key", "mix_block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.where(cut).withColumn("mix_before", F.coalesce(F.sum("mix_size").over(inside), F.lit(0).cast("long")))
-    rows = placed.where(~cut | F.isnull("copies")).withColumn("mix_before", F.lit(0).cast("long")).unionByName(before)
+    rows = placed.where(~cut | F.isnull("mix_copies")).withColumn("mix_before", F.lit(0).cast("long")).unionByName(before)
     words = lambda c: F.when(c["whole"], F.col("mix_size")).otherwise(F.greatest(F.lit(0), F.least("mix_size", c["take"] - F.col("mix_before"))))
-    copies = F.filter(F.transform(F.coalesce("copies", F.array()), lambda c: F.struct(c["epoch"].alias("epoch"), words(c).cast("long").alias("words"), c["shard"].alias("shard"))), lambda c: c["words"] > 0)
-    return rows.withColumn("copies", copies).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).drop("skey", "mix_block", "mix_before")
+    made = F.transform(F.coalesce("mix_copies", F.array()), lambda c: F.struct(c["epoch"].alias("epoch"), words(c).cast("long").alias("words"), c["shard"].alias("shard")))
+    mixed = rows.withColumn("mix_copies", F.filter(made, lambda c: c["words"] > 0))
+    return mixed.withColumn("mix_taken", F.aggregate("mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).drop("mix_key", "mix_block", "mix_before")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **options: int) -> DataFrame:
@@ -154,7 +156,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options: int) -> DataFr
 
     The one document a source's target cuts keeps its first words, joined by single spaces.
     """
-    copies = mix(docs, seed=seed, **options).withColumn("copy", F.explode("copies"))
-    text = F.when(F.col("copy.words") < F.col("mix_size"), F.array_join(F.slice(word_array(F.col("text")), 1, F.col("copy.words").cast("int")), " ")).otherwise(F.col("text"))
-    order = F.xxhash64(F.lit(seed + 4), "doc_id", "copy.epoch")
-    return copies.withColumn("text", text).repartition("copy.shard").sortWithinPartitions("copy.shard", order).select(*docs.columns)
+    copies = mix(docs, seed=seed, **options).withColumn("mix_copy", F.explode("mix_copies"))
+    text = F.when(F.col("mix_copy.words") < F.col("mix_size"), F.array_join(F.slice(word_array(F.col("text")), 1, F.col("mix_copy.words").cast("int")), " ")).otherwise(F.col("text"))
+    order = F.xxhash64(F.lit(seed + 4), "doc_id", "mix_copy.epoch")
+    return copies.withColumn("text", text).repartition("mix_copy.shard").sortWithinPartitions("mix_copy.shard", order).select(*docs.columns)

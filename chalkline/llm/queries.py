@@ -22,7 +22,7 @@ def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return mixing.mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(sized, F.col("size")).select("doc_id", "size", *[F.col(f"mix_{c}").alias(c) for c in ("source_size", "target", "taken")])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

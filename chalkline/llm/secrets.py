@@ -33,6 +33,7 @@ CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OPERATOR = re.compile(r":=|=>|(?<![=!<>+*/-])=(?!=)|:(?![:/])")
 NAME_BEFORE = re.compile(r"(?:^|[^\w.-])[\"']?([A-Za-z_][\w.-]{0,63})[\"']?[ \t]*$", re.ASCII)
 VALUE = re.compile(r"[ \t]*(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([^\s\"'`,;(){}\[\]<>+]+))")
+REFERENCE = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:\(.*)?")
 PLUS = re.compile(r"[ \t]*\+(?!\+|=)")
 PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|%\(|example|changeme|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|^(?:none|null|true|false|undefined)$")
 # Name parts and how far a name holding them asks for secrecy.
@@ -64,8 +65,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, tuple[tuple[int, int], ...]]]:
         parts, spans, at = [], [], op.end()
         while value := VALUE.match(text, at):
             k = value.lastindex
-            if k is None:
-                break
+            if k is None or k == 4 and value[4] not in known and REFERENCE.fullmatch(value[4]):
+                break  # nothing, or something computed elsewhere
             if k == 4 and value[4] in known:
                 parts.append(known[value[4]][0])
                 spans += known[value[4]][1]
