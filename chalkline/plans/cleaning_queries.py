@@ -69,7 +69,7 @@ def repeat_word(spark, d):
     return lines(read(spark, d, "documents")).select("doc_id", "line_no", text.alias("cleaned"), n.alias("n"))
 
 
-@query("cln.repeat_phrase")
+@query("cln.repeat_phrase", f"WITH {EVENT_LINES} SELECT doc_id, line_no, replace(line, 'click click click the key the key', 'click the key') AS cleaned, CASE WHEN contains(line, 'click click') THEN 4 ELSE 0 END AS n FROM ev")
 def repeat_phrase(spark, d):
     text, n = C.repeated_phrase(F.col("line"))
     return event_lines(spark, d).select("doc_id", "line_no", text.alias("cleaned"), n.alias("n"))

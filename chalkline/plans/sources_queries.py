@@ -25,7 +25,7 @@ def src_lines(spark, d):
     return lines(read(spark, d, "documents"))
 
 
-@query("src.chunks_json")
+@query("src.chunks_json", "SELECT doc_id AS chunk_id, 'x' AS text FROM documents")
 def chunks_json(spark, d):
     path = scratch(spark, "chunks")
     docs = read(spark, d, "documents")
@@ -33,7 +33,7 @@ def chunks_json(spark, d):
     return T.read_chunks(spark, path).select("chunk_id", "text")
 
 
-@query("src.chunk_discovery")
+@query("src.chunk_discovery", "SELECT count(*)::BIGINT AS n_chunks FROM documents")
 def chunk_discovery(spark, d):
     path = scratch(spark, "found")
     docs = read(spark, d, "documents")
@@ -82,7 +82,7 @@ def header_fields(spark, d):
     return P.header_fields(read(spark, d, "pages"))
 
 
-@query("sink.json")
+@query("sink.json", "SELECT source, count(*)::INTEGER AS n FROM documents GROUP BY 1")
 def sink_json(spark, d):
     path = scratch(spark, "json")
     docs = read(spark, d, "documents").select("source", "doc_id", "lang", "n_chars")
@@ -90,22 +90,22 @@ def sink_json(spark, d):
     return spark.read.schema("source string, documents array<struct<doc_id:bigint,lang:string,n_chars:bigint>>").json(path).select("source", F.size("documents").alias("n"))
 
 
-@query("sink.csv")
+@query("sink.csv", "SELECT source, lang, count(*) AS n, '[' || array_to_string(list_sort(list(DISTINCT doc_id % 3)), ',') || ']' AS rest FROM documents GROUP BY 1, 2")
 def sink_csv(spark, d):
     path = scratch(spark, "csv")
     K.write_csv(read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.col("doc_id") % 3)).alias("rest")), path)
     return spark.read.schema("source string, lang string, n bigint, rest string").option("header", True).csv(path)
 
 
-@query("sink.audit")
+@query("sink.audit", "SELECT o_orderstatus, count(*) AS n, year(o_orderdate) || '-01-01' AS run_date FROM orders WHERE year(o_orderdate) IN (1997, 1998) GROUP BY 1, 3")
 def sink_audit(spark, d):
     path = scratch(spark, "audit")
     orders = read(spark, d, "orders")
     for year in (1997, 1998):
         K.append_audit(orders.where(F.year("o_orderdate") == year).groupBy("o_orderstatus").agg(F.count("*").alias("n")), path, f"{year}-01-01")
-    return spark.read.schema("o_orderstatus string, n bigint, run_date date").parquet(path)
+    return spark.read.schema("o_orderstatus string, n bigint, run_date date").parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
 
 
-@query("sink.run_manifest")
+@query("sink.run_manifest", "SELECT 'documents' AS stage, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS n_rows FROM documents UNION ALL SELECT 'labels', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END, count(*) FROM labels")
 def run_manifest(spark, d):
     return K.run_manifest({"documents": read(spark, d, "documents"), "labels": read(spark, d, "labels")})

@@ -21,7 +21,7 @@ def hashed_words(rows):
     return [[float(len(r) % 7), 1.0] for r in rows]
 
 
-@query("emb.encode")
+@query("emb.encode", "SELECT doc_id, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN 2 END AS width FROM documents")
 def encode(spark, d):
     return V.encode(read(spark, d, "documents").select("doc_id", "text"), hashed_words).select("doc_id", F.size("embedding").alias("width"))
 

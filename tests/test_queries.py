@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,12 +22,12 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or v != v:
-        return "~"
     if isinstance(v, dict):
         return str({k: plain(x) for k, x in v.items()})
     if isinstance(v, (list, tuple)) or getattr(v, "ndim", 0):
         return str([plain(x) for x in v])
+    if pd.isna(v):
+        return "~"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
     return f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "item") else str(v)
