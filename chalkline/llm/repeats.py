@@ -205,8 +205,7 @@ def _emit_contexts(symbols: str, width: int, gram: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            repeated = [np.array(x, np.int64) for x in batch.column(3).to_pylist()]
-            hot = [np.array(x or [], np.int64) for x in batch.column(4).to_pylist()]
+            repeated, hot = ([x.values.to_numpy().astype(np.int64) for x in batch.column(i)] for i in (3, 4))
             done = 0
             for keys, part in chunks(batch.column(0).to_pylist(), _texts(batch.column(2))):
                 chunk = SYMBOLS[symbols](part)
@@ -217,16 +216,18 @@ def _emit_contexts(symbols: str, width: int, gram: int) -> Callable:
                 done += len(part)
                 use = np.flatnonzero(np.isin(a.at, wanted) & ~is_hot)
                 blob = b"".join(part) if symbols == "bytes" else b""
+                own = a.doc[use]
+                if symbols == "bytes":
+                    context = [blob[s:e] for s, e in zip(a.first[use].tolist(), (a.last[use] + width).tolist())]
+                else:
+                    count = a.last[use] - a.first[use] + 1
+                    s = np.repeat(a.first[use] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                    hashes, stops = run_hash(a.sums, s, s + width).tobytes(), (8 * np.cumsum(count)).tolist()
+                    context = [hashes[x:y] for x, y in zip([0, *stops], stops)]
+                if len(use):
+                    plain = np.full(len(use), PLAIN, np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.hash[use].view(np.int64)), pa.array(keys[own]), pa.array((a.first[use] - begin[own]).astype(np.int32)), pa.array(plain), pa.array(context, pa.binary())], schema=CONTEXT)
                 out: list[list] = [[], [], [], [], []]
-                for k in use:
-                    first, last, doc = int(a.first[k]), int(a.last[k]), int(a.doc[k])
-                    if symbols == "bytes":
-                        context = blob[first : last + width]
-                    else:
-                        s = np.arange(first, last + 1)
-                        context = run_hash(a.sums, s, s + width).tobytes()
-                    for col, value in zip(out, (a.hash[k], keys[doc], first - int(begin[doc]), PLAIN, context)):
-                        col.append(value)
                 picked = np.flatnonzero(np.isin(a.at, wanted) & is_hot)
                 if len(picked):
                     count = a.last[picked] - a.first[picked] + 1

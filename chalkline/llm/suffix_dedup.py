@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from chalkline.llm.repeats import BASE, BYTE_VALUE, HOT, KNOWN, U, covered, mix, prefix, repeated_contexts, run_hash, with_runs
 
 WIDTH, GRAM = 100, 20
+BATCH = 16_384  # contexts (some 40 suffixes each) in a suffix array's batch
 RUN = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
@@ -49,12 +50,23 @@ class LevelFamily:
             self.levels[-1] = np.sort(np.concatenate([self.levels[-1], last]), kind="stable")
 
 
+def _batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _runs(width: int) -> Callable:
     """Contexts of a shard in document order -> runs of positions covered by windows that start earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, before = LevelFamily(), None
-        for batch in batches:
+        for batch in _batched(batches, BATCH):
             key, doc, start, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             context = batch.column(4).to_pylist()
             known = np.flatnonzero(kind == KNOWN)
@@ -62,15 +74,18 @@ def _runs(width: int) -> Callable:
                 refs = np.frombuffer(b"".join(context[k] for k in known), np.int64).reshape(-1, 2)
                 known = known[(refs[:, 0] != doc[known]) | (refs[:, 1] != start[known])]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(start[known]), pa.array(start[known] + np.int32(width))], schema=RUN)
-            use = []
-            for k in np.flatnonzero(kind != KNOWN):
-                this = (doc[k], start[k], context[k])
-                if this != before:
-                    use.append(k)
-                before = this
-            if not use:
+            use = np.flatnonzero(kind != KNOWN)
+            if not len(use):
+                continue
+            # rows that repeat a document give the same context twice, one after the other
+            same = (np.diff(doc[use]) == 0) & (np.diff(start[use]) == 0)
+            same = np.concatenate([[before is not None and before == (doc[use[0]], start[use[0]], context[use[0]])], same])
+            for k in np.flatnonzero(same[1:]) + 1:
+                same[k] = context[use[k]] == context[use[k - 1]]
+            before = (doc[use[-1]], start[use[-1]], context[use[-1]])
+            use = use[~same]
+            if not len(use):
                 continue
-            use = np.array(use)
             sizes = np.array([len(context[k]) for k in use])
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             sums = prefix(BYTE_VALUE[np.frombuffer(b"".join(context[k] for k in use), np.uint8)])
