@@ -219,8 +219,8 @@ def test_toxicity_without_labels_and_odd_texts(spark):
     clean = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 60)).encode() for _ in range(60)]
     toxic = [c + b" idiots stupidity scum" for c in clean[:30]]
     model = toxicity.train([*clean, *toxic], np.array([0] * 60 + [1] * 30), epochs=60)
-    s = model.score([clean[0], clean[1] + b" stupidly idiotic", b"", b" "])
-    assert s[1] > 0.5 > s[0] and s[2] < 0.7 and s[3] < 0.7
+    s = model.score([clean[1] + b" gardens flowery", clean[1] + b" stupidly idiotic", b"", b" ", toxic[3]])
+    assert s[4] > 0.7 and s[1] > 2 * s[0] and s[2] < 0.7 and s[3] < 0.7
 
 
 # 7 and 10
@@ -286,7 +286,7 @@ def test_quality_rules():
     good = "\n".join(" ".join(f"word{i * 9 + k}" for k in range(9)) + "." for i in range(12))
     assert quality.judge(good.encode())[5:7] == (False, True)
     assert [quality.line_fails(x) for x in (line, "home | about |", "Home | Menu.", "All rights reserved.")] == [None, "punctuation", "navigation", "boilerplate"]
-    bad = "\n".join(f"item {i} without any end and with more words to count" for i in range(12))
+    bad = good.replace(".", "")
     assert quality.judge(bad.encode())[5:7] == (False, False)
     assert quality.judge(b"")[:7] == (0, 0, 0, 0, 0, True, False)
     w = b"a b c a b c d".split()
