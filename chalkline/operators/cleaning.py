@@ -60,13 +60,18 @@ def repeated_word(text: Column) -> tuple[Column, Column]:
 
 
 def repeated_phrase(text: Column, longest: int = 5, passes: int = 5) -> tuple[Column, Column]:
-    """A phrase of up to ``longest`` words said again at once becomes one, longest phrases first."""
+    """A phrase of up to ``longest`` words said again at once becomes one, longest phrases first.
+
+    Most lines repeat nothing, so one search decides whether the passes run at all.
+    """
+    any_phrase = r"[\w']+(?:\s+[\w']+){0,%d}" % (longest - 1)
+    repeats = text.rlike(rf"(?i)(?<![\w'])({any_phrase})\s+\1(?![\w'])")
     out = text
     for _ in range(passes):
         for n in range(longest, 0, -1):
             phrase = r"[\w']+" + r"\s+[\w']+" * (n - 1)
             out = F.regexp_replace(out, rf"(?i)(?<![\w'])({phrase})(?:\s+\1(?![\w']))+", "$1")
-    return out, words(text) - words(out)
+    return F.when(repeats, out).otherwise(text), F.when(repeats, words(text) - words(out)).otherwise(F.when(text.isNotNull(), 0))
 
 
 def whitespace(text: Column) -> Column:
