@@ -7,7 +7,7 @@ scores.  A text's score adds the log10 probabilities of its words and of one end
 
 Scale: training counts are one aggregation by token (pre-aggregated in batches); expectation adds one vector over the
 vocabulary per batch.  Scoring computes lattices per distinct word of a batch.  For the base score the counts of the
-``FREQUENT`` commonest tokens travel to the tasks (a bounded table that covers most tokens); all others are joined on
+commonest tokens (at most ``FREQUENT``) travel to the tasks, a bounded table that covers most tokens; all others are joined on
 the token, in rows that carry a document's id and a count, never text.
 
 Defined results: null text counts as empty (only the end symbol); a null doc_id is in fold 0; rows repeating a doc_id are
@@ -22,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.common import LAST_ID, fold, id_key, materialize, texts
@@ -224,6 +224,22 @@ def learn(counts: DataFrame, smooth: float = 0.1) -> np.ndarray:
     return np.log(values / values.sum())
 
 
+def _band() -> Column:
+    """Counts in bands of a sixteenth of a doubling; at most about a thousand bands at any size."""
+    return F.floor(F.log2("c") * 16)
+
+
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The lowest band from which on at most ``most`` tokens are that frequent; only band sizes reach the driver."""
+    total, bound = 0, None
+    for row in sorted(counts.groupBy(_band().alias("band")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        bound = row.band
+    return 1 << 20 if bound is None else bound
+
+
 SCORED = pa.schema([("key", pa.int64()), ("token", pa.binary()), ("tf", pa.int64()), ("docs", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 SCORED_DDL = "key long, token binary, tf long, docs long, n_tokens long, n_known long, base double, score double"
 
@@ -235,9 +251,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     logs = learn(counts)
     floor = total + 0.5 * (distinct + 1)
-    often = counts.orderBy(F.desc("c"), "token").limit(FREQUENT)
-    known = {bytes(r.token): r.c for r in often.collect()}
-    least = min(known.values()) if len(known) == FREQUENT else 0
+    bound = frequent_from(counts, FREQUENT)
+    known = {bytes(r.token): r.c for r in counts.where(_band() >= bound).collect()}
     sent = spark.sparkContext.broadcast((known, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +291,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*main), SCORED)], schema=SCORED)
 
     rows = docs.select(id_key().alias("key"), "text").mapInArrow(run, SCORED_DDL)
-    rare = counts.where(F.col("c") <= least) if least else counts
+    rare = counts.where(_band() < bound)
     none = float(np.log10(0.5 / floor))
     extra = F.when(F.col("c").isNotNull() & (F.col("tf") > 0), F.col("tf") * (F.log10((F.col("c") + 0.5) / F.lit(floor)) - F.lit(none))).otherwise(0.0)
     joined = rows.join(rare, "token", "left").select("key", "docs", "n_tokens", (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"), (F.col("base") + extra).alias("base"), "score")
