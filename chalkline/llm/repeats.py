@@ -258,14 +258,23 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(id_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def _with_hot(rows: DataFrame, many: DataFrame, limit: int = 100_000, salts: int = 64) -> DataFrame:
+    """rows with ``hot`` set for the listed hashes, without gathering a hash's rows in one task: a short list is sent to
+    all tasks, a longer one is copied to every salt."""
+    if many.count() <= limit:
+        return rows.join(F.broadcast(many), "hash", "left")
+    salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(salts)).cast("int")).join(salted, ["hash", "salt"], "left").drop("salt")
+
+
 def repeated_contexts(docs: DataFrame, symbols: str, width: int, gram: int, hot: int = HOT) -> DataFrame:
     """Rows of CONTEXT for all anchors that occur more than once; steps 1 and 2."""
     rows = keyed_texts(docs)
     found = rows.select("key", "text").mapInArrow(_emit_anchors(symbols, width, gram), ANCHOR_DDL)
     by_key = found.repartition("key").sortWithinPartitions("key", F.col("kind").desc())
     twice = materialize(by_key.mapInArrow(_repeated, "hash long, doc long, at int"), "anchors")
-    many = twice.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("hot"))
-    per_doc = twice.join(many, "hash", "left").groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hot"))
+    many = materialize(twice.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("hot")), "hot", twice.count() // max(1, hot))
+    per_doc = _with_hot(twice, many).groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hot"))
     held = rows.join(per_doc, rows.key == per_doc.doc).select("key", "doc_id", "text", "at", "hot")
     return held.mapInArrow(_emit_contexts(symbols, width, gram), CONTEXT_DDL)
 

@@ -322,3 +322,11 @@ def test_sum_of_squares_choice():
 
 def test_schema_is_free(spark):
     assert "token" in SCHEMA and documents(spark).columns[-1] == "token"
+
+
+def test_hot_keys_are_found_by_broadcast_and_by_salt(spark):
+    rows = spark.createDataFrame([(h, d, d % 5) for d in range(30) for h in (1, 2, d + 10)], "hash long, doc long, at int")
+    many = spark.createDataFrame([(1, True)], "hash long, hot boolean")
+    for limit in (10, 0):
+        got = repeats._with_hot(rows, many, limit=limit, salts=4).collect()
+        assert len(got) == 90 and {r.hash for r in got if r.hot} == {1} and sum(bool(r.hot) for r in got) == 30
