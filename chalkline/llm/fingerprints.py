@@ -22,10 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import id_key
+from chalkline.llm.common import LAST_ID, id_key
 
 DENSE, SIGN = 64, 128
 CLAUSE = re.compile(r"[^.,;:!?]+")
@@ -118,26 +118,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), RESULT)], schema=RESULT)
 
 
+def _longs(cuts: list[int]) -> Column:
+    return F.lit(cuts or [LAST_ID]).cast("array<long>")
+
+
+def _range(cuts: list[int], step: int = 64) -> Column:
+    """How many of the sorted cuts are at or below key."""
+    if not cuts:
+        return F.lit(0)
+    block = F.size(F.filter(_longs(cuts[::step]), lambda c: c <= F.col("key")))
+    within = F.size(F.filter(F.slice(_longs(cuts), (block - 1) * step + 1, step), lambda c: c <= F.col("key")))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + within)
+
+
 def fingerprint_successors(docs: DataFrame, docs_per_bucket: int = 2000, max_buckets: int = 4096) -> DataFrame:
     """Fingerprint each text and its edited text, and compare it with the next document's.
 
-    Documents are dealt into id ranges cut at quantiles of doc_id (one shuffle of the texts).  The first document of a
-    range is also sent, as a closing row, to the range before, and the very first to the last range, so no range
-    needs to look into another.  Ranges hold about ``docs_per_bucket`` documents (more beyond ``max_buckets`` ranges;
-    they are sorted by Spark and streamed).
+    Documents are dealt into id ranges cut near quantiles of doc_id (one shuffle of the texts).  Quantiles are doubles, so
+    each cut is then moved to the smallest id of its range: cuts are ids that exist, and no range is empty.  The first
+    document of a range is also sent, as a closing row, to the range before, and the very first to the last range, so no
+    range needs to look into another.  Ranges hold about ``docs_per_bucket`` documents (more beyond ``max_buckets``
+    ranges; they are sorted by Spark and streamed).
     """
     rows = docs.select(id_key().alias("key"), "doc_id", "text")
     n, first = rows.agg(F.count("*"), F.min("key")).first()
     parts = min(max_buckets, max(1, -(-n // docs_per_bucket)))
-    cuts = sorted({int(c) for c in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)} - {first}) if parts > 1 else []
-    step = 64
-    coarse, fine = F.lit(cuts[::step] or [2**63 - 1]).cast("array<long>"), F.lit(cuts or [2**63 - 1]).cast("array<long>")
-    block = F.size(F.filter(coarse, lambda c: c <= F.col("key")))
-    within = F.size(F.filter(F.slice(fine, (block - 1) * step + 1, step), lambda c: c <= F.col("key")))
-    bucket = F.when(block == 0, 0).otherwise((block - 1) * step + within) if cuts else F.lit(0)
+    near = rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    near = sorted({min(int(c), LAST_ID) for c in near})
+    least = rows.groupBy(_range(near)).agg(F.min("key").alias("key")).collect() if near else []
+    cuts = sorted({r.key for r in least} - {first})
     at = lambda b, role: F.struct(b.cast("int").alias("bucket"), F.lit(role).alias("role"))
-    starts = F.array_contains(F.slice(fine, F.greatest(F.col("b"), F.lit(1)), 1), F.col("key")) & (F.col("b") > 0)
+    starts = F.array_contains(F.slice(_longs(cuts), F.greatest(F.col("b"), F.lit(1)), 1), F.col("key")) & (F.col("b") > 0)
     places = F.array_compact(F.array(at(F.col("b"), 0), F.when(starts, at(F.col("b") - 1, 1)), F.when(F.col("key") == F.lit(first), at(F.lit(len(cuts)), 2))))
-    dealt = rows.withColumn("b", bucket).select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.bucket", "p.role", "key", "doc_id", "text")
+    dealt = rows.withColumn("b", _range(cuts)).select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.bucket", "p.role", "key", "doc_id", "text")
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "role", "key", "text")
     return ordered.select("bucket", "role", "doc_id", "text").mapInArrow(_compare, DDL)

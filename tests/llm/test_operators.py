@@ -53,6 +53,18 @@ def test_fingerprints_against_brute_force(spark):
         assert 0 <= r.near_next <= 1 and r.near_edited == fingerprints.Fingerprint(t).likeness(fingerprints.Fingerprint(changed))
 
 
+def test_fingerprints_keep_every_row_of_large_and_null_ids(spark):
+    large = [(2**62 + 3 * i, f"text {i}.") for i in range(60)]
+    got = fingerprints.fingerprint_successors(spark.createDataFrame(large, "doc_id long, text string"), docs_per_bucket=4).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in large]
+    own = [t for _, t in large]
+    changed = {i: fingerprints.edited(t, own[(k + 1) % len(own)])[0] for k, (i, t) in enumerate(large)}
+    assert {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in changed.items()}
+    nulls = [(None, f"null {i}") for i in range(30)]
+    got = fingerprints.fingerprint_successors(spark.createDataFrame(large[:10] + nulls, "doc_id long, text string"), docs_per_bucket=4)
+    assert got.count() == 40 and got.where("doc_id is null").count() == 30
+
+
 def test_fingerprint_is_a_homomorphic_multiset():
     a, b = "one line.\ntwo lines, here\n\none line.", "three"
     assert fingerprints.Fingerprint(a + "\n" + b).hex() == fingerprints.Fingerprint(a).insert(b).hex() == fingerprints.Fingerprint(b + "\n" + a).hex()
