@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.llm import fingerprints, lattice, mixing, packing, quality, repeats, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from chalkline.llm.components import components
 from tests.llm.fixture import SCHEMA, documents, plain, texts
 
 
@@ -185,6 +186,15 @@ def test_simhash_keeps_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({v for v in labels.values() if v is not None}) and kept.columns == docs.columns
 
 
+def test_components_of_long_random_chains(spark):
+    rng = np.random.default_rng(7)
+    ids = np.unique(rng.integers(-(2**63), 2**63 - 1, 2100))
+    rng.shuffle(ids)
+    chains = [ids[:2000].tolist(), ids[2000:2003].tolist()]
+    edges = spark.createDataFrame([(a, b) for c in chains for a, b in zip(c, c[1:])], "a long, b long")
+    assert {r.node: r.label for r in components(edges).collect()} == {n: min(c) for c in chains for n in c}
+
+
 # 5
 def brute_spans(text):
     found = []
