@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from chalkline.operators import bank, chunking, cleaning, lessons, resolver, retrieval, snapshots, terminology, topics, vectors
 from chalkline.sources import sinks, tables
 
@@ -91,6 +92,15 @@ def test_approximate_search_finds_most(spark, sf_dir):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_registered_approximate_search_finds_most(spark):
+    d = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = {(r.query_id, r.vec_id) for r in vectors.top_k(q, e, 8).collect()}
+    near = {(r.query_id, r.vec_id) for r in entry.queries()["vec_ann"](spark, d).collect()}
+    assert len(exact) == 8 * q.count() and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_exclusion_and_depth(spark):
     s = topics.tokens(spark.createDataFrame([(1, 0, 0, "A linked list is a list."), (1, 0, 1, "For example, take a list.")], "doc_id long, chunk_id int, pos int, sentence string"))
     runs = topics.grams(s)
