@@ -31,7 +31,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 OPERATOR = re.compile(r":=|=>|(?<![=!<>+*/-])=(?!=)|:(?![:/])")
-NAME_BEFORE = re.compile(r"(?:^|[^\w.-])[\"']?([A-Za-z_][\w.-]{0,63})[\"']?[ \t]*$", re.ASCII)
+NAME_START = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+NAME = NAME_START | frozenset("0123456789.-")
 VALUE = re.compile(r"[ \t]*(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([^\s\"'`,;(){}\[\]<>+]+))")
 REFERENCE = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:\(.*)?")
 PLUS = re.compile(r"[ \t]*\+(?!\+|=)")
@@ -55,11 +56,25 @@ def literal_score(literal: str) -> float:
     return min(1.0, n / 16) * 0.3 + min(1.0, entropy / 3.5) * 0.4 + (classes - 1) / 2 * 0.3 if classes > 1 else 0.0
 
 
+def name_before(text: str, at: int) -> str:
+    """The name that ends before ``at``, blanks and a quote aside, or nothing.  Names and blanks hold no operator, so all walks
+    together are linear in the text."""
+    at -= text.endswith("\n", 0, at)
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    start = at
+    while start and text[start - 1] in NAME:
+        start -= 1
+    return text[start:at] if start < at and text[start] in NAME_START else ""
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, tuple[tuple[int, int], ...]]]:
     """(target name, literal, spans of the literal's parts), with constants carried through names."""
     known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     for op in OPERATOR.finditer(text):
-        name = NAME_BEFORE.search(text, max(0, op.start() - 70), op.start())
+        name = name_before(text, op.start())
         if not name:
             continue
         parts, spans, at = [], [], op.end()
@@ -78,8 +93,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, tuple[tuple[int, int], ...]]]:
                 break
             at = plus.end()
         if parts:
-            known[name[1]] = literal = "".join(parts), tuple(spans)
-            yield name[1], *literal
+            known[name] = literal = "".join(parts), tuple(spans)
+            yield name, *literal
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

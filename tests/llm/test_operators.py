@@ -186,6 +186,19 @@ def test_simhash_keeps_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({v for v in labels.values() if v is not None}) and kept.columns == docs.columns
 
 
+def test_secrets_of_long_and_padded_names():
+    value = "Zx9!kQ72pLm4Vt#8"
+    key = ".".join(["configuration"] * 7) + ".passphrase"
+    assert len(key) > 100
+    for text in (f"{key}: '{value}'", f"passphrase{' ' * 90}= '{value}'", f'"{key}"\t= "{value}"\n', f"base{' ' * 90}= '{value}'\n{key} = base"):
+        assert value not in secrets.redact(text), text
+    old = re.compile(r"(?:^|[^\w.-])[\"']?([A-Za-z_][\w.-]*)[\"']?[ \t]*$", re.ASCII)
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab_1.-\"' \t\né"), 9))
+        assert secrets.name_before(text, 9) == (m[1] if (m := old.search(text)) else ""), repr(text)
+
+
 def test_components_of_long_random_chains(spark):
     rng = np.random.default_rng(7)
     ids = np.unique(rng.integers(-(2**63), 2**63 - 1, 2100))
