@@ -59,7 +59,7 @@ def fingerprint(raw: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = pa.array([fingerprint(raw) for raw in texts(batch)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,24 +98,36 @@ def links(nodes: DataFrame) -> DataFrame:
     return verified.union(chained).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
-    found = materialize(fingerprints(docs), "fingerprints")
+def _labels(found: DataFrame) -> DataFrame:
+    """fp, label of its component and component_id (smallest doc_id reachable) of every fingerprint in found (doc_id, fp)."""
     nodes = materialize(found.groupBy("fp").agg(F.min(id_key()).alias("rep")), "nodes", found.count())
     joined = materialize(links(nodes), "links")
     labels = components(joined, 2 * joined.count()).withColumnRenamed("node", "fp")
     labelled = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
-    of = labelled.join(least, "label").select("fp", F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"))
-    return found.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return labelled.join(least, "label").select("fp", "label", F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
+    found = materialize(fingerprints(docs), "fingerprints")
+    return found.join(_labels(found), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _row_hash() -> Column:
+    """Tells rows apart whose doc_id is null or repeated."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "text")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every component (the smallest doc_id; among rows repeating it, one), all columns kept.
+    """One row of every component (the smallest doc_id, null last, then the smallest hash of the text), all columns kept.
 
-    A component's keeper is found on (doc_id, component) rows alone; texts are touched only by the last join and only
-    where an id repeats are they compared.
+    A row is known by doc_id and a hash of its text, so every component keeps a row, also one in which all ids are null
+    or belong to other components as well; among rows equal in both, one stays.  A component's keeper is found on
+    (doc_id, hash, component) rows alone; texts are touched only by the last join.
     """
-    groups = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("_key"))
-    return docs.withColumn("_key", id_key()).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("hash"), "text")
+    found = materialize(rows.mapInArrow(_fingerprints, "doc_id long, hash long, fp long"), "fingerprints")
+    least = found.join(_labels(found).select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("row"))
+    keepers = least.select(F.coalesce("row.doc_id", F.lit(LAST_ID)).alias("_key"), F.col("row.hash").alias("_hash"))
+    return docs.withColumns({"_key": id_key(), "_hash": _row_hash()}).join(keepers, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")

@@ -186,6 +186,15 @@ def test_simhash_keeps_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({v for v in labels.values() if v is not None}) and kept.columns == docs.columns
 
 
+def test_keep_one_keeps_rows_with_null_and_repeated_ids(spark):
+    own = [f"{w} {w}ing {i} of its own {w}ed text" for i, w in enumerate("alpha beta gamma delta epsilon zeta".split())]
+    assert min((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() for a, b in itertools.combinations(own, 2)) > 8
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (7, own[2]), (7, own[3]), (7, own[3]), (2**63 - 1, own[4]), (None, own[4]), (None, own[2]), (1, own[5]), (None, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((str(r.doc_id), r.text or "") for r in got)
+    assert kept == sorted([("None", own[0]), ("None", own[1]), ("7", own[2]), ("7", own[3]), (str(2**63 - 1), own[4]), ("1", own[5]), ("None", "")])
+
+
 def test_secrets_of_long_and_padded_names():
     value = "Zx9!kQ72pLm4Vt#8"
     key = ".".join(["configuration"] * 7) + ".passphrase"
