@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -243,6 +244,61 @@ def test_secret_lexer_carries_constants():
     assert secrets.redact(text).count("[SECRET]") == 3 and secrets.redact("no secrets: here") == "no secrets: here"
 
 
+def plain_lexer(text):
+    """The lexer's rules on spelled-out strings: spans of literals that reach a sensitive name and look secret."""
+    known, found = {}, set()
+    value = re.compile(r"[ \t]*(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([^\s\"'`,;(){}\[\]<>+]+))")
+    operators = [m.span() for m in secrets.OPERATOR.finditer(text)]
+    for start, at in operators:
+        if not (name := secrets.name_before(text, start)):
+            continue
+        literal, spans = "", []
+        while m := value.match(text, at):
+            bare, (s, e) = m[4], m.span(m.lastindex)
+            holds = bare is not None and any(s <= o < e for o, _ in operators)
+            if holds and spans or bare is not None and bare not in known and secrets.REFERENCE.fullmatch(bare):
+                break
+            more = known[bare] if bare in known else (m[m.lastindex], [(s, e)])
+            literal, spans, at = literal + more[0], spans + more[1], m.end()
+            plus = secrets.PLUS.match(text, at)
+            if holds or not plus:
+                break
+            at = plus.end()
+        if spans:
+            known[name] = literal, spans
+            n, low = len(literal), literal.lower()
+            classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+            if n >= 8 and classes > 1 and low not in secrets.VOID and not secrets.PLACEHOLDER.search(literal) and not re.search(r"\s", literal):
+                entropy = -sum(c / n * math.log2(c / n) for c in Counter(ord(c) % 256 for c in literal).values())
+                score = min(1.0, n / 16) * 0.3 + min(1.0, entropy / 3.5) * 0.4 + (classes - 1) / 2 * 0.3
+                if secrets.name_score(name) * score >= secrets.MIN_SCORE - 1e-9:
+                    found |= {(s, e) for s, e in spans if e > s}
+    return found
+
+
+def test_secret_lexer_against_strings():
+    rng = np.random.default_rng(5)
+    bits = ["a", "b.c", "token", "password", " ", " ", "=", " = ", ": ", "+", " + ", "=>", "\"", "'", "`", "\n", "Zx9!kQ72pLm", "q8$Lw2!z", "xx", "your", "_", "é1", "\\", ",", "(", "Aa1."]
+    weights = np.array([3, 1, 3, 1, 1, 1, 2, 4, 1, 2, 2, 1, 2, 2, 1, 3, 4, 3, 1, 1, 1, 1, 1, 1, 1, 2], float)
+    hits = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(bits, rng.integers(4, 40), p=weights / weights.sum()))
+        found = set(secrets.Constants(text).secret_spans())
+        assert found == plain_lexer(text), repr(text)
+        hits += len(found)
+    assert hits > 500
+
+
+def test_secret_lexer_is_linear():
+    doubled = 'token = "Zx9!kQ72pLm4Vt"\n' + "token = token + token\n" * 1000
+    grown = 'a = "Zx9!"\n' + 'a = a + "c2"\n' * 3000 + "secret = a"
+    begin = time.perf_counter()
+    assert secrets.redact(doubled).count("[SECRET]") == 1 and secrets.redact(grown).count("[SECRET]") == 3001
+    for text in ("token=" * 20000, "token=a1+" * 20000, 'token="a1="+' * 10000, "x='\"+\"='" * 10000):
+        secrets.all_spans(text)
+    assert time.perf_counter() - begin < 10
+
+
 # 6
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
