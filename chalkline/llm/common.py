@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,20 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; batches to Python stay small because single texts may be very long."""
-    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, because kernels hold working arrays for a whole batch of texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else the session's checkpoint folder.
+
+    Where neither is set, a local master gets a temporary one (driver and tasks are one process there); a cluster raises.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,18 +55,67 @@ ROWS_PER_FILE = 100_000
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    rows: how many narrow rows it has at most; small tables then get few files, each of about ROWS_PER_FILE rows.
+    The table goes with the application, or earlier with ``scratch``.  rows: how many narrow rows it has at most; small tables then get few files, each of about ROWS_PER_FILE rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)).write.parquet(path)
+    where, files = _storage(spark, path)
+    files.deleteOnExit(where)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def _storage(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder written to shared storage."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _storage(spark, path)
+    files.delete(where, True)
+
+
+def written() -> int:
+    """How many materialized tables there are; marks a place for ``drop_written``."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables materialized since the mark, but for the ``keep`` newest."""
+    end = len(_written) - keep
+    for path in _written[since:end]:
+        discard(spark, path)
+    del _written[since:end]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end; what was computed from them must be written by then."""
+    before = written()
+    try:
+        yield
+    finally:
+        drop_written(spark, before)
+
+
+def row_hash() -> Column:
+    """With doc_id, tells rows apart whose doc_id is null or repeated; rows equal in doc_id and text are one document."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, also where it holds dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, name: str = "doc") -> DataFrame:
+    """All columns of docs as one struct, so that columns put beside it clash with none of them; undo with select("doc.*")."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(name))
 
 
 def id_key(column: str = "doc_id") -> Column:

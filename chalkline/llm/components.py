@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import materialize
+from chalkline.llm.common import drop_written, materialize, written
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     rows = both.count()
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", rows)
     while True:
+        before = written() - 1  # where the labels are; the round's other tables go with them
         parent = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         jumped = materialize(labels.join(parent, labels.label == parent.via).select("node", "label", "far"), "jumped", rows)
         near = both.join(jumped.select("node", "far"), both.b == jumped.node).groupBy("a").agg(F.min("far").alias("near"))
@@ -29,5 +30,6 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         after = materialize(grown.join(hooks, grown.node == hooks.root, "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("label"), F.col("label").alias("old")), "labels", rows)
         changed = after.where("label <> old").count()
         labels = after.select("node", "label")
+        drop_written(both.sparkSession, before, keep=1)
         if not changed:
             return labels

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LAST_ID, id_key
+from chalkline.llm.common import LAST_ID, id_key, small
 
 DENSE, SIGN = 64, 128
 CLAUSE = re.compile(r"[^.,;:!?]+")
@@ -105,7 +105,7 @@ DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs() -> Iterator[tuple]:
-        for batch in batches:
+        for batch in small(batches):
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     out: list[tuple] = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LAST_ID, fold, id_key, materialize, texts
+from chalkline.llm.common import LAST_ID, fold, id_key, materialize, small, texts
 from chalkline.llm.repeats import BASE, BYTE_VALUE, U, mix, prefix, run_hash
 
 FREQUENT, HELD_OUT, END = 65_536, 1, b""
@@ -188,7 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return out
 
-    for batch in batches:
+    for batch in small(batches):
         for raw in texts(batch):
             counts.update(raw.lower().split())
             counts[END] += 1
@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         gain = {t: float(np.log10((c + 0.5) / floor)) for t, c in known.items()}
         none, ten = float(np.log10(0.5 / floor)), float(np.log(10))
         memo: dict[bytes, float] = {END: lattice.end / ten}
-        for batch in batches:
+        for batch in small(batches):
             bags = [Counter(raw.lower().split()) for raw in texts(batch)]
             if len(memo) > MEMO:
                 memo = {END: lattice.end / ten}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import materialize, texts
+from chalkline.llm.common import materialize, small, texts
 
 CAPACITY, CLOSING_ID, GROUP = 2048, 0, 40_000
 SPECIAL = "<|endoftext|>"
@@ -61,7 +61,7 @@ PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for doc_id, raw in zip(batch.column(0).to_pylist(), texts(batch)):
             ids = np.array([*token_ids(raw.decode()), CLOSING_ID], "<u4")

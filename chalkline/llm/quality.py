@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chalkline.llm.common import texts
+from chalkline.llm.common import small, texts
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST = 50, 50, 0.5
 CLOSING = tuple(".!?:;\"')]»”…")
@@ -81,7 +81,7 @@ DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = list(zip(*map(judge, texts(batch)), strict=True)) or [[]] * (len(RESULT) - 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(found, list(RESULT)[1:]))], schema=RESULT)
 

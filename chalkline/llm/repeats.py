@@ -4,12 +4,17 @@ A document is a sequence of symbols (bytes, or hashed words).  Every window of `
 leftmost ``gram``-symbol run of smallest hash.  Equal windows have equal anchors, so only a sample of positions (about
 2 in ``width - gram + 2``) is indexed, and still every pair of equal windows meets:
 
-1. ``anchors``: one scan emits (anchor hash, doc, position); sorting by hash finds the hashes that occur twice.
+1. ``anchors``: one scan emits (anchor hash, row, position); sorting by hash finds the hashes that occur twice.
 2. ``contexts``: documents that hold such anchors emit the windows around them, keyed by the anchor.
-3. a resolver (one per operator) sees windows of an anchor in document order and reports those seen before.
+3. a resolver (one per operator) sees windows of an anchor in document order and reports those seen before.  Anchors are
+   dealt to so many shards that each takes about ``SHARD`` contexts, whatever the corpus's size.
 
-Hot anchors: anchors repeated within a chunk are known to repeat and travel under a spread key; an anchor with more
-than ``HOT`` occurrences has its windows keyed one by one and pre-aggregated per chunk, so no task gathers a group.
+A document is known by doc_id (null last) and a hash of id and text (``row_hash``), which also orders documents that share
+an id; rows equal in both are one document.
+
+Hot anchors: a task that meets an anchor again says so once and then sends its rows under a spread key; an anchor with
+more than ``HOT`` occurrences has its windows keyed one by one, of which a task sends only the earliest so far.  So the
+rows of one key grow with the number of tasks, not with the number of occurrences.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import id_key, materialize
+from chalkline.llm.common import id_key, materialize, row_hash
 
-CHUNK, HOT = 1 << 20, 50_000
+CHUNK, HOT, SHARD = 1 << 20, 50_000, 150_000
+MOST_SEEN, MOST_LEADS = 4_000_000, 100_000  # what a task remembers; beyond it starts anew and only sends more rows
 U = np.uint64
 BASE, SPREAD = U(0x9E3779B97F4A7C15 | 5), U(0xD6E8FEB86659FD93)
 _BREAK = np.zeros(256, bool)
@@ -130,47 +136,82 @@ def anchors_of(chunk: Chunk, width: int, gram: int) -> Anchors:
     return Anchors(doc_of[at], at, starts[new], last, mix(grams[at]), sums)
 
 
-def chunks(keys: list[int], raw: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def chunks(raw: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``CHUNK`` bytes, each with the number of its first text."""
     at = 0
     while at < len(raw):
         end, size = at + 1, len(raw[at])
         while end < len(raw) and size + len(raw[end]) <= CHUNK:
             size += len(raw[end])
             end += 1
-        yield np.array(keys[at:end], np.int64), raw[at:end]
+        yield at, raw[at:end]
         at = end
 
 
+class Seen:
+    """A set of hashes as sorted arrays whose sizes grow geometrically."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(values), bool)
+        for part in self.parts:
+            found |= part[np.minimum(np.searchsorted(part, values), len(part) - 1)] == values
+        return found
+
+    def add(self, values: np.ndarray) -> None:
+        """Sorted values that are not in the set."""
+        if len(values):
+            self.parts.append(values)
+        while len(self.parts) > 1 and len(self.parts[-2]) <= 2 * len(self.parts[-1]):
+            last = self.parts.pop()
+            self.parts[-1] = np.sort(np.concatenate([self.parts[-1], last]), kind="stable")
+        if sum(map(len, self.parts)) > MOST_SEEN:
+            self.parts = []
+
+
 PLAIN, TELLS, KNOWN = 0, 1, 2
-ANCHOR = pa.schema([("key", pa.int64()), ("spread", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("kind", pa.int8())])
-ANCHOR_DDL = "key long, spread long, doc long, at int, kind byte"
+ANCHOR = pa.schema([("key", pa.int64()), ("spread", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("kind", pa.int8())])
+ANCHOR_DDL = "key long, spread long, row long, at int, kind byte"
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _emit_anchors(symbols: str, width: int, gram: int) -> Callable:
     """key: the anchor's hash, for KNOWN rows another one that spreads them; hash = key ^ spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, told = Seen(), Seen()
         for batch in batches:
-            for keys, part in chunks(batch.column(0).to_pylist(), _texts(batch.column(1))):
+            rows = _longs(batch.column(0))
+            for first_text, part in chunks(_texts(batch.column(1))):
                 chunk = SYMBOLS[symbols](part)
                 a = anchors_of(chunk, width, gram)
                 if not len(a.at):
                     continue
-                _, first, inverse, count = np.unique(a.hash, return_index=True, return_inverse=True, return_counts=True)
-                kind = np.where(count[inverse] == 1, PLAIN, KNOWN).astype(np.int8)
-                kind[first[count > 1]] = TELLS
-                key = np.where(kind == KNOWN, mix(a.hash + keys[a.doc].astype(np.uint64) * BASE + a.at.astype(np.uint64)), a.hash)
+                row = rows[first_text + a.doc]
+                distinct, first, inverse, count = np.unique(a.hash, return_index=True, return_inverse=True, return_counts=True)
+                old, said = seen.has(distinct), told.has(distinct)
+                again = old | (count > 1)
+                kind = np.where(again[inverse], KNOWN, PLAIN).astype(np.int8)
+                kind[first[again & ~said]] = TELLS
+                seen.add(distinct[~old])
+                told.add(distinct[again & ~said])
+                key = np.where(kind == KNOWN, mix(a.hash + row.astype(np.uint64) * BASE + a.at.astype(np.uint64)), a.hash)
                 at = (a.at - chunk.bounds[a.doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((key ^ a.hash).view(np.int64)), pa.array(keys[a.doc]), pa.array(at), pa.array(kind)], schema=ANCHOR)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((key ^ a.hash).view(np.int64)), pa.array(row), pa.array(at), pa.array(kind)], schema=ANCHOR)
 
     return run
 
 
-REPEATED = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+REPEATED = pa.schema([("hash", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +221,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def marked(rows: pa.RecordBatch, n: int) -> pa.RecordBatch:
         nonlocal told
-        key, spread, kind = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
+        key, spread, kind = (_longs(rows.column(i)) for i in (0, 1, 4))
         same = (key[1:] == key[:-1]) & (kind[1:] != KNOWN) & (kind[:-1] != KNOWN)
         before, after = np.concatenate([[told], same]), np.concatenate([same, [False]])
         told = bool(before[-1])
@@ -196,66 +237,80 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marked(held, 1)
 
 
-CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("kind", pa.int8()), ("context", pa.binary())])
-CONTEXT_DDL = "key long, doc long, start int, kind byte, context binary"
+CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("kind", pa.int8()), ("lead", pa.int32()), ("context", pa.binary())])
+CONTEXT_DDL = "key long, doc long, row long, start int, kind byte, lead int, context binary"
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] numbers), then the same from first[1], and so on."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
+
+
+def _contexts(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CONTEXT)], schema=CONTEXT)
 
 
 def _emit_contexts(symbols: str, width: int, gram: int) -> Callable:
-    """Windows around repeated anchors; context is the raw bytes (byte symbols) or the window hashes (words)."""
+    """Windows around repeated anchors; context is the raw bytes (byte symbols) or the window hashes (words), lead the
+    number of symbols from the first window's start to the anchor.
+
+    Windows of hot anchors come one by one.  The first of a window in this task, and each that is earlier in document
+    order than all before, is PLAIN under the window's own key; the others are KNOWN, with the place of an earlier one as
+    context, under keys of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
+            rows, docs = _longs(batch.column(0)), _longs(batch.column(1))
             repeated, hot = ([x.values.to_numpy().astype(np.int64) for x in batch.column(i)] for i in (3, 4))
-            done = 0
-            for keys, part in chunks(batch.column(0).to_pylist(), _texts(batch.column(2))):
+            for first_text, part in chunks(_texts(batch.column(2))):
                 chunk = SYMBOLS[symbols](part)
                 a = anchors_of(chunk, width, gram)
                 begin = chunk.bounds[:-1]
-                wanted = np.concatenate([begin[k] + repeated[done + k] for k in range(len(part))])
-                is_hot = np.isin(a.at, np.concatenate([begin[k] + hot[done + k] for k in range(len(part))]))
-                done += len(part)
+                wanted = np.concatenate([begin[k] + repeated[first_text + k] for k in range(len(part))])
+                is_hot = np.isin(a.at, np.concatenate([begin[k] + hot[first_text + k] for k in range(len(part))]))
                 use = np.flatnonzero(np.isin(a.at, wanted) & ~is_hot)
                 blob = b"".join(part) if symbols == "bytes" else b""
-                own = a.doc[use]
-                if symbols == "bytes":
-                    context = [blob[s:e] for s, e in zip(a.first[use].tolist(), (a.last[use] + width).tolist())]
-                else:
-                    count = a.last[use] - a.first[use] + 1
-                    s = np.repeat(a.first[use] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    hashes, stops = run_hash(a.sums, s, s + width).tobytes(), (8 * np.cumsum(count)).tolist()
-                    context = [hashes[x:y] for x, y in zip([0, *stops], stops)]
                 if len(use):
-                    plain = np.full(len(use), PLAIN, np.int8)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.hash[use].view(np.int64)), pa.array(keys[own]), pa.array((a.first[use] - begin[own]).astype(np.int32)), pa.array(plain), pa.array(context, pa.binary())], schema=CONTEXT)
-                out: list[list] = [[], [], [], [], []]
+                    own, count = a.doc[use], a.last[use] - a.first[use] + 1
+                    if symbols == "bytes":
+                        context = [blob[s:e] for s, e in zip(a.first[use].tolist(), (a.last[use] + width).tolist())]
+                    else:
+                        s = _spread(a.first[use], count)
+                        hashes, stops = run_hash(a.sums, s, s + width).tobytes(), (8 * np.cumsum(count)).tolist()
+                        context = [hashes[x:y] for x, y in zip([0, *stops], stops)]
+                    yield _contexts([a.hash[use].view(np.int64), docs[first_text + own], rows[first_text + own], a.first[use] - begin[own], np.full(len(use), PLAIN), a.at[use] - a.first[use], context])
                 picked = np.flatnonzero(np.isin(a.at, wanted) & is_hot)
-                if len(picked):
-                    count = a.last[picked] - a.first[picked] + 1
-                    s = np.repeat(a.first[picked] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                    doc = np.repeat(a.doc[picked], count)
-                    h = run_hash(a.sums, s, s + width)
-                    order = np.lexsort((s, keys[doc], h))
-                    s, doc, h = s[order], doc[order], h[order]
-                    new = np.concatenate([[True], h[1:] != h[:-1]])
-                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                    for i in range(len(s)):
-                        f = int(lead[i])
-                        if f == i:
-                            key, kind, context = mix(h[i : i + 1] + U(1))[0], PLAIN, h[i].tobytes() if symbols == "words" else blob[s[i] : s[i] + width]
-                        else:
-                            key, kind = mix(h[i : i + 1] + keys[doc[i]].astype(np.uint64) + U(int(s[i])))[0], KNOWN
-                            context = np.array([keys[doc[f]], s[f] - begin[doc[f]]], np.int64).tobytes()
-                        for col, value in zip(out, (key, keys[doc[i]], int(s[i] - begin[doc[i]]), kind, context)):
-                            col.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(np.array(out[1], np.int64)), *(pa.array(c, f.type) for c, f in zip(out[2:], list(CONTEXT)[2:]))], schema=CONTEXT)
+                if not len(picked):
+                    continue
+                count = a.last[picked] - a.first[picked] + 1
+                s, own = _spread(a.first[picked], count), np.repeat(a.doc[picked], count)
+                doc, row, h = docs[first_text + own], rows[first_text + own], run_hash(a.sums, s, s + width)
+                order = np.lexsort((s, row, doc))
+                own_key, spread_key = mix(h + U(1)), mix(h + row.astype(np.uint64) * BASE + s.astype(np.uint64))
+                out: list[list] = [[] for _ in CONTEXT]
+                for i in order.tolist():
+                    token = blob[s[i] : s[i] + width] if symbols == "bytes" else h[i].tobytes()
+                    place = (int(doc[i]), int(row[i]), int(s[i] - begin[own[i]]))
+                    lead = leads.get(token)
+                    if known := lead is not None and lead <= place:
+                        key, context = spread_key[i], np.array(lead, np.int64).tobytes()
+                    else:
+                        key, context = own_key[i], token
+                        leads[token] = place
+                    for col, value in zip(out, (key.view(np.int64), *place, KNOWN if known else PLAIN, 0, context)):
+                        col.append(value)
+                if len(leads) > MOST_LEADS:
+                    leads.clear()
+                yield _contexts(out)
 
     return run
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """key (doc_id, null last), doc_id, text; the exchange of this frame by key is shared by both text passes."""
-    return docs.select(id_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """row, key (doc_id, null last), doc_id, text; the exchange of this frame by row is shared by both text passes."""
+    return docs.select(row_hash().alias("row"), id_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _with_hot(rows: DataFrame, many: DataFrame, limit: int = 100_000, salts: int = 64) -> DataFrame:
@@ -264,27 +319,30 @@ def _with_hot(rows: DataFrame, many: DataFrame, limit: int = 100_000, salts: int
     if many.count() <= limit:
         return rows.join(F.broadcast(many), "hash", "left")
     salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(salts)).cast("int")).join(salted, ["hash", "salt"], "left").drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(salts)).cast("int")).join(salted, ["hash", "salt"], "left").drop("salt")
 
 
 def repeated_contexts(docs: DataFrame, symbols: str, width: int, gram: int, hot: int = HOT) -> DataFrame:
-    """Rows of CONTEXT for all anchors that occur more than once; steps 1 and 2."""
+    """Rows of CONTEXT for all anchors that occur more than once, dealt by key to shards (steps 1 and 2)."""
     rows = keyed_texts(docs)
-    found = rows.select("key", "text").mapInArrow(_emit_anchors(symbols, width, gram), ANCHOR_DDL)
+    found = rows.select("row", "text").mapInArrow(_emit_anchors(symbols, width, gram), ANCHOR_DDL)
     by_key = found.repartition("key").sortWithinPartitions("key", F.col("kind").desc())
-    twice = materialize(by_key.mapInArrow(_repeated, "hash long, doc long, at int"), "anchors")
-    many = materialize(twice.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("hot")), "hot", twice.count() // max(1, hot))
-    per_doc = _with_hot(twice, many).groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hot"))
-    held = rows.join(per_doc, rows.key == per_doc.doc).select("key", "doc_id", "text", "at", "hot")
-    return held.mapInArrow(_emit_contexts(symbols, width, gram), CONTEXT_DDL)
+    twice = materialize(by_key.mapInArrow(_repeated, "hash long, row long, at int"), "anchors")
+    n = twice.count()
+    many = materialize(twice.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("hot")), "hot", n // max(1, hot))
+    per_row = _with_hot(twice, many).groupBy("row").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hot"))
+    held = rows.join(per_row, "row").select("row", "key", "text", "at", "hot")
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n // SHARD)
+    return held.mapInArrow(_emit_contexts(symbols, width, gram), CONTEXT_DDL).repartition(shards, "key")
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, text and the array of its runs (null without any) for every document."""
+    """key, doc_id, text and the array of its runs (null without any) for every document; a run also says its ``doc``, for
+    documents whose row hashes are equal by chance."""
     rows = keyed_texts(docs)
-    fields = [c for c in runs.columns if c != "doc"]
-    gathered = runs.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("runs"))
-    return rows.join(gathered, rows.key == gathered.doc, "left").select("key", "doc_id", "text", "runs")
+    fields = [c for c in runs.columns if c != "row"]
+    gathered = runs.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+    return rows.join(gathered, "row", "left").select("key", "doc_id", "text", "runs")
 
 
 def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

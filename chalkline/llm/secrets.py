@@ -31,7 +31,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chalkline.llm.common import texts
+from chalkline.llm.common import small, texts
 
 MIN_SCORE = 0.6
 KINDS = ("assign", "access", "hex", "literal")
@@ -238,7 +238,7 @@ DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         cols: list[list] = [[] for _ in range(6)]
         for raw in texts(batch):
             base, every = all_spans(raw.decode())
@@ -254,7 +254,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         at = batch.schema.get_field_index("text")
         new = pa.array([None if t is None else redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
         yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LAST_ID, id_key, materialize, texts
+from chalkline.llm.common import LAST_ID, id_key, materialize, small, texts
 from chalkline.llm.components import components
 
 SHINGLE, MAX_BITS, PIVOTS, SEGMENTS, MAX_CELL = 3, 2, 24, 4, 24
@@ -57,7 +57,7 @@ def fingerprint(raw: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = pa.array([fingerprint(raw) for raw in texts(batch)], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "fp"])
 

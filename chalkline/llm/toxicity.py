@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import fold
+from chalkline.llm.common import fold, small
 
 BUCKET_BITS, DIM, SEGMENT, SIZES = 18, 8, 24, (3, 4, 5)
 MIN_GRAMS = 150
@@ -182,7 +182,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= THRESHOLD) for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             score = model.score([t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], schema=RESULT)
 
@@ -193,7 +193,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose text scores below the threshold, all columns kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             score = model.score([t or b"" for t in batch.column(at).cast(pa.large_binary()).to_pylist()])
             yield batch.filter(pa.array(score < THRESHOLD))

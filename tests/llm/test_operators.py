@@ -364,20 +364,91 @@ def test_repeated_rows_do_not_remove_each_other(spark):
             assert r.doc_id is None or tuple(r) == once[r.doc_id]
 
 
-def test_level_family_grows_geometrically():
-    family, seen = suffix_dedup.LevelFamily(), set()
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        batch = np.unique(rng.integers(0, 5000, 100).astype(np.uint64))
-        found = family.scan(batch)
-        assert [int(x) in seen for x in batch] == found.tolist()
-        family.add(batch[~found])
-        seen |= set(batch.tolist())
-    assert sum(map(len, family.levels)) == len(seen) and len(family.levels) <= 12
+def identity_rows():
+    """Null ids, repeated ids with different texts, and ids at the ends of the range."""
+    base = texts()
+    own = [f"{w} " * 3 + base[15 + k] for k, w in enumerate("alpha beta gamma delta epsilon zeta eta theta".split())]
+    ids = [1, 5, 5, None, None, None, 2**60, -(2**60), 2**63 - 1, 5]
+    return list(zip(ids, [base[0], base[0], own[0], own[1], own[2], base[0], own[3], base[12], base[12], base[3]]))
 
 
-def test_factors_follow_one_reference():
-    assert substring_dedup.parse([(0, 20, 5, 7), (1, 21, 5, 8), (2, 22, 9, 0)]) == [(0, 21, 5, 7), (2, 22, 9, 0)]
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+@pytest.mark.parametrize("name", ["substring", "suffix"])
+def test_rows_that_share_an_id_keep_their_own_texts(spark, name, hot):
+    width, op, cut = (20, substring_dedup.remove_repeats, lambda t: t.encode().split()) if name == "substring" else (100, suffix_dedup.remove_repeats, lambda t: t.encode())
+    rows = identity_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", repeats.row_hash().alias("h"))
+    ordered = sorted((r.doc_id if r.doc_id is not None else 2**63 - 1, r.h, r.text, r.doc_id) for r in docs.collect())
+    want = []
+    for (_, _, text, doc_id), gone in zip(ordered, brute_covered([cut(t) for _, _, t, _ in ordered], width)):
+        kept = [x for x, g in zip(cut(text), gone) if not g]
+        want.append((doc_id, len(gone), sum(gone), hashlib.sha256(b" ".join(kept) if name == "substring" else bytes(kept)).hexdigest()))
+    got = [(r.doc_id, r[1], r.n_removed, r.kept_sha256) for r in op(docs, hot=hot).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(r[2] for r in want) > 100
+
+
+def test_suffix_arrays_are_in_byte_order_with_ties_marked():
+    rng = np.random.default_rng(4)
+    blob = np.concatenate([rng.integers(97, 99, 3000).astype(np.uint8), np.zeros(8, np.uint8)])
+    at, bucket = rng.integers(0, 2900, 700), rng.integers(0, 3, 700).astype(np.uint64)
+    order, same = suffix_dedup.arrange(blob, bucket, at, 12)
+    made = [(int(bucket[i]), blob[at[i] : at[i] + 12].tobytes()) for i in order]
+    assert made == sorted(made) and same.tolist() == [k > 0 and made[k] == made[k - 1] for k in range(len(made))]
+    array = suffix_dedup.SuffixArray(blob, np.array([3000]), bucket[order[~same]], at[order[~same]])
+    more, other = rng.integers(0, 2900, 300), np.sort(rng.integers(0, 4, 300).astype(np.uint64))
+    found = array.matches(suffix_dedup.SuffixArray(blob, np.array([3000]), other, more), 12)
+    assert [f >= 0 for f in found] == [(int(b), blob[a : a + 12].tobytes()) in set(made) for b, a in zip(other, more)]
+    assert all(f < 0 or blob[f : f + 12].tobytes() == blob[a : a + 12].tobytes() for f, a in zip(found, more))
+
+
+@pytest.mark.parametrize("letters", [2, 20])
+def test_level_family_finds_windows_of_earlier_contexts(letters):
+    """Batches of contexts with common stretches, whole and partial copies against a plain set of windows."""
+    rng = np.random.default_rng(letters)
+    stock = [bytes(rng.integers(97, 97 + letters, 60).astype(np.uint8)) for _ in range(12)]
+    family, seen, sizes = suffix_dedup.LevelFamily(16), set(), []
+    for _ in range(25):
+        contexts = []
+        for _ in range(40):
+            text, lead = stock[rng.integers(12)], 30
+            if rng.random() < 0.3:
+                text = bytes(rng.integers(97, 97 + letters, 25).astype(np.uint8)) + text[25:]
+            a, b = rng.integers(0, 20), rng.integers(45, 61)
+            contexts.append((text[a:b], lead - a, text[30:40]))
+        size = np.array([len(c) for c, _, _ in contexts])
+        blob = np.concatenate([np.frombuffer(b"".join(c for c, _, _ in contexts), np.uint8), np.zeros(8, np.uint8)])
+        key = np.array([zlib.crc32(k) * 2**20 for _, _, k in contexts], np.uint64)
+        lead = np.array([x for _, x, _ in contexts])
+        got = [set() for _ in contexts]
+        for c, first, last in zip(*suffix_dedup.repeated_windows(family, blob, np.cumsum(size) - size, size, key, lead)):
+            got[c] |= set(range(first, last + 1))
+        for (text, lead, k), mine in zip(contexts, got):
+            windows = [(k, lead - i, text[i : i + 16]) for i in range(len(text) - 15)]
+            assert mine == {i for i, w in enumerate(windows) if w in seen}
+            seen |= set(windows)
+        sizes.append(len(family.levels))
+        for big, little in zip(family.levels, family.levels[1:]):
+            assert len(big.at) > 2 * len(little.at)
+    assert sum(len(x.at) for x in family.levels) == len(seen) and max(sizes) <= 10
+
+
+def test_reference_blocks_give_the_longest_factors():
+    block = lambda *windows: np.array(windows, np.uint64).tobytes()
+    reference = substring_dedup.Reference()
+    for k, b in enumerate([block(1, 2, 3), block(2, 3, 4, 5), block(3, 4)]):
+        reference.index(b, (k, 0, 10))
+    assert list(reference.factors(block(1, 2, 3))) == [(0, 3, (0, 0, 10))]
+    assert list(reference.factors(block(9, 2, 3, 4, 7, 5))) == [(1, 3, (1, 0, 10)), (5, 1, (1, 0, 13))]
+    assert list(reference.factors(block(1, 2, 3, 4))) == [(0, 3, (0, 0, 10)), (3, 1, (1, 0, 12))]
+    assert list(reference.factors(block(8, 9))) == []
+
+
+def test_parse_joins_diagonals_and_takes_what_reaches_farthest():
+    parse = substring_dedup.parse
+    assert parse([(0, 20, 5, 0, 7), (1, 21, 5, 0, 8), (2, 22, 9, 0, 0)]) == [(0, 21), (21, 22)]
+    assert parse([(0, 30, 1, 0, 0), (5, 25, 2, 0, 0), (20, 40, 3, 0, 0), (25, 60, 4, 0, 9), (80, 100, 1, 0, 0)]) == [(0, 30), (30, 60), (80, 100)]
+    assert parse([]) == []
 
 
 # 8
@@ -425,7 +496,7 @@ def test_schema_is_free(spark):
 
 
 def test_hot_keys_are_found_by_broadcast_and_by_salt(spark):
-    rows = spark.createDataFrame([(h, d, d % 5) for d in range(30) for h in (1, 2, d + 10)], "hash long, doc long, at int")
+    rows = spark.createDataFrame([(h, d, d % 5) for d in range(30) for h in (1, 2, d + 10)], "hash long, row long, at int")
     many = spark.createDataFrame([(1, True)], "hash long, hot boolean")
     for limit in (10, 0):
         got = repeats._with_hot(rows, many, limit=limit, salts=4).collect()
