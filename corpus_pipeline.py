@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import mixing, packing, secrets, simhash, toxicity
-from chalkline.llm.common import discard, documents, shared_dir, small_batches, table
+from chalkline.llm.common import discard, documents, scratch, shared_dir, table
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -22,19 +22,16 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst segment the classifier calls toxic go."""
-    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    small_batches(spark)
     return _sized(secrets.redact_secrets(docs))
 
 
@@ -45,7 +42,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048."""
-    small_batches(spark)
     return packing.packed_sequences(docs)
 
 
@@ -56,11 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; a stage's table goes once the next one is written."""
+    """All stages over the documents table; a stage's tables go once the next one is written."""
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             discard(spark, before)
