@@ -7,12 +7,17 @@ gets its share of the node's blocks by a multivariate hypergeometric draw (sourc
 given what is left), the right half the rest, so shards have equal numbers of blocks and quotas are met exactly.  Each
 shard then takes the next blocks of each source's permutation - disjoint sets - and orders its documents by hash.
 
-Only source and block rows are gathered (at most ``max_blocks`` blocks a source); documents are joined to their block.
-All randomness is a hash of ids and ``seed``: reruns agree.
+The one block that a source's target cuts is taken in hash order of its documents: the order's first 12 bits make 4,096
+parts whose sizes are summed, so only the documents of the one part that is cut are ever sorted, by id and size alone.
 
-Defined results: null text has size 0; a null source is a source of its own, last; sources of size 0 have target 0;
-repeated rows are documents of their own; empty tables give no rows; other columns are kept by ``mix`` and
-``mixed_documents``, whatever their names.
+All sources are one row of the tree, and windows over sources run in one task: their number must fit there (100,000 do).
+A source has at most ``max_blocks`` blocks, one row each, which then grow instead.  Documents are joined to their block.
+All randomness is a hash of ids, texts and ``seed``: reruns agree.
+
+Defined results: null text has size 0; a null source is a source of its own, last; sources of size 0 have target 0; rows
+that share a doc_id (or have none) are documents of their own, told apart by their text; rows equal in both take equally
+many words; empty tables give no rows; ``mixed_documents`` keeps all columns whatever their names, ``mix`` puts its own,
+which begin with mix_, in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import materialize, word_array, word_count
+from chalkline.llm.common import materialize, quoted, row_hash, word_array, word_count
 
 WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
-BLOCK_WORDS, MAX_BLOCKS, SHARD_BLOCKS, SEED = 20_000, 1024, 64, 11
+BLOCK_WORDS, MAX_BLOCKS, SHARD_BLOCKS, SHARD_WORDS, SEED = 200_000, 65_536, 64, 50_000_000, 11
 BROADCAST_ROWS = 100_000
 
 
@@ -106,11 +111,20 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
 
 
 def _block(seed: int, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), blocks)
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("id")), blocks)
+
+
+def _order(seed: int) -> Column:
+    """A document's place in its block, as an unsigned number; its first 12 bits name the part of the block."""
+    return F.xxhash64(F.lit(seed + 3), F.col("id"))
+
+
+def _part(seed: int) -> Column:
+    return F.shiftrightunsigned(_order(seed), 52).cast("int")
 
 
 def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """From (doc_id, source, size): skey, block, source_size, target, n_blocks and ``copies``, an array of
+    """From (id, source, size): skey, block, source_size, target, n_blocks and ``copies``, an array of
     (epoch, take, whole, shard) for the times the block is in the mix."""
     targets = source_targets(sizes).withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("source_size") / block_words))).cast("long"))
     targets = materialize(targets, "targets")
@@ -122,7 +136,8 @@ def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int
     taken = twice.withColumn("take", F.greatest(F.lit(0), F.least("words", wanted)).cast("long"))
     permuted = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), "skey", "epoch", "block"), "block", "epoch")
     used = materialize(taken.where("take > 0").withColumn("rank", F.row_number().over(permuted).cast("long")), "blocks")
-    shards = 1 << max(0, (used.count() // shard_blocks).bit_length() - 1)
+    n, words = used.agg(F.count("*"), F.coalesce(F.sum("take"), F.lit(0))).first()
+    shards = 1 << max(0, max(n // shard_blocks, min(n, words // SHARD_WORDS)).bit_length() - 1)
     quotas = used.groupBy("skey").agg(F.count("*").alias("quota")).agg(F.array_sort(F.collect_list(F.struct("skey", "quota"))).alias("sources"))
     drawn = splitting_tree(quotas, shards, seed)
     last = F.sum("quota").over(Window.partitionBy("skey").orderBy("shard"))
@@ -131,24 +146,51 @@ def block_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, max_blocks: int
     return blocks.select("skey", "block", "source_size", "target", "n_blocks").join(placed, ["skey", "block"], "left")
 
 
-def mix(docs: DataFrame, size: Column | None = None, seed: int = SEED, **options: int) -> DataFrame:
+def _few(table: DataFrame) -> DataFrame:
+    """Sent to all tasks where its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _cut_parts(sizes: DataFrame, plan: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Parts of cut blocks (skey, block, part, start, words), and of the parts that a cut goes through the documents
+    (skey, id, inside, twins): words before, and how many equal rows share them."""
+    cut = plan.where(F.exists(F.coalesce("copies", F.array()), lambda c: ~c["whole"])).select("skey", "block", "n_blocks", F.transform("copies", lambda c: c["take"]).alias("takes"))
+    within = sizes.withColumn("skey", _key()).join(F.broadcast(cut.select("skey", "n_blocks").distinct()), "skey").withColumn("block", _block(seed, F.col("n_blocks"))).drop("n_blocks")
+    within = within.join(F.broadcast(cut.drop("n_blocks")), ["skey", "block"]).withColumn("part", _part(seed))
+    before = F.sum("words").over(Window.partitionBy("skey", "block").orderBy("part")) - F.col("words")
+    parts = materialize(within.groupBy("skey", "block", "part").agg(F.sum("size").alias("words")).withColumn("start", before), "parts")
+    open_ = within.join(parts, ["skey", "block", "part"]).where(F.exists("takes", lambda t: (t > F.col("start")) & (t < F.col("start") + F.col("words"))))
+    rows = open_.groupBy("skey", "block", "part", "id").agg(F.sum("size").alias("all"), F.count("*").alias("twins"))
+    inside = F.sum("all").over(Window.partitionBy("skey", "block", "part").orderBy(_order(seed), "id")) - F.col("all")
+    return parts, materialize(rows.select("skey", "id", inside.alias("inside"), "twins"), "inside")
+
+
+def _placed(docs: DataFrame, size: Column | None, identity: Column | None, seed: int, **options: int) -> DataFrame:
+    """doc (all columns of docs as one struct), id, size, source_size, target and copies (array of (epoch, words, shard))."""
+    size = word_count(F.col("text")) if size is None else size
+    identity = row_hash() if identity is None else identity
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), identity.alias("id"), "source", size.alias("size"))
+    sizes = materialize(rows.select("id", "source", "size"), "sizes")
+    plan = materialize(block_plan(sizes, seed=seed, **options), "plan")
+    parts, open_rows = _cut_parts(sizes, plan, seed)
+    own = rows.withColumn("skey", _key()).join(_few(plan.select("skey", "n_blocks").distinct()), "skey").withColumn("block", _block(seed, F.col("n_blocks"))).drop("source", "n_blocks")
+    placed = own.join(_few(plan.drop("n_blocks")), ["skey", "block"]).withColumn("part", _part(seed))
+    placed = placed.join(_few(parts), ["skey", "block", "part"], "left").join(_few(open_rows), ["skey", "id"], "left")
+    def words(c: Column) -> Column:
+        left = F.floor(F.greatest(F.lit(0), F.least(F.col("size") * F.col("twins"), c["take"] - F.col("start") - F.col("inside"))) / F.col("twins"))
+        return F.when(c["whole"] | (F.col("start") + F.col("words") <= c["take"]), F.col("size")).when(F.col("start") >= c["take"], 0).otherwise(left).cast("long")
+
+    made = F.transform(F.coalesce("copies", F.array()), lambda c: F.struct(c["epoch"].alias("epoch"), words(c).alias("words"), c["shard"].alias("shard")))
+    return placed.select("doc", "id", "size", "source_size", "target", F.filter(made, lambda c: c["words"] > 0).alias("copies"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, identity: Column | None = None, seed: int = SEED, **options: int) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_copies (array of (epoch, words, shard)), one
-    row a document; all of its own columns begin with mix_."""
-    sized = docs.withColumn("mix_size", word_count(F.col("text")) if size is None else size)
-    plan = materialize(block_plan(sized.select("doc_id", "source", F.col("mix_size").alias("size")), seed=seed, **options), "plan")
-    small = plan.count() <= BROADCAST_ROWS
-    blocks = plan.select(F.col("skey").alias("mix_key"), F.col("n_blocks").alias("mix_blocks")).distinct()
-    own = sized.withColumn("mix_key", _key()).join(F.broadcast(blocks) if small else blocks, "mix_key").withColumn("mix_block", _block(seed, F.col("mix_blocks"))).drop("mix_blocks")
-    of = plan.select(*[F.col(c).alias(f"mix_{n}") for c, n in (("skey", "key"), ("block", "block"), ("source_size", "source_size"), ("target", "target"), ("copies", "copies"))])
-    placed = own.join(F.broadcast(of) if small else of, ["mix_key", "mix_block"])
-    cut = F.exists(F.coalesce("mix_copies", F.array()), lambda c: ~c["whole"])
-    inside = Window.partitionBy("mix_key", "mix_block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.where(cut).withColumn("mix_before", F.coalesce(F.sum("mix_size").over(inside), F.lit(0).cast("long")))
-    rows = placed.where(~cut | F.isnull("mix_copies")).withColumn("mix_before", F.lit(0).cast("long")).unionByName(before)
-    words = lambda c: F.when(c["whole"], F.col("mix_size")).otherwise(F.greatest(F.lit(0), F.least("mix_size", c["take"] - F.col("mix_before"))))
-    made = F.transform(F.coalesce("mix_copies", F.array()), lambda c: F.struct(c["epoch"].alias("epoch"), words(c).cast("long").alias("words"), c["shard"].alias("shard")))
-    mixed = rows.withColumn("mix_copies", F.filter(made, lambda c: c["words"] > 0))
-    return mixed.withColumn("mix_taken", F.aggregate("mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).drop("mix_key", "mix_block", "mix_before")
+    row a document.  size and identity may say where its words and its hash stand already."""
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    own = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_taken": taken, "mix_copies": F.col("copies")}
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in own]
+    return _placed(docs, size, identity, seed, **options).select(*kept, *[v.alias(k) for k, v in own.items()])
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **options: int) -> DataFrame:
@@ -156,7 +198,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options: int) -> DataFr
 
     The one document a source's target cuts keeps its first words, joined by single spaces.
     """
-    copies = mix(docs, seed=seed, **options).withColumn("mix_copy", F.explode("mix_copies"))
-    text = F.when(F.col("mix_copy.words") < F.col("mix_size"), F.array_join(F.slice(word_array(F.col("text")), 1, F.col("mix_copy.words").cast("int")), " ")).otherwise(F.col("text"))
-    order = F.xxhash64(F.lit(seed + 4), "doc_id", "mix_copy.epoch")
-    return copies.withColumn("text", text).repartition("mix_copy.shard").sortWithinPartitions("mix_copy.shard", order).select(*docs.columns)
+    copies = _placed(docs, None, None, seed, **options).withColumn("copy", F.explode("copies"))
+    text = F.when(F.col("copy.words") < F.col("size"), F.array_join(F.slice(word_array(F.col("doc.text")), 1, F.col("copy.words").cast("int")), " ")).otherwise(F.col("doc.text"))
+    order = F.xxhash64(F.lit(seed + 4), "id", "copy.epoch")
+    ready = copies.select("doc", text.alias("text"), F.col("copy.shard").alias("shard"), order.alias("place")).repartition("shard").sortWithinPartitions("shard", "place")
+    return ready.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -3,8 +3,9 @@
 Documents become token pieces of at most ``CAPACITY`` (only longer ones are cut; the first piece takes the remainder).
 A piece goes to the open bin that makes the sum of squared counts of open bins per residual gap smallest; a bin opens
 only where no open one fits, and pieces come longest first, which leaves fewer bins than arrival order.  Full pieces are
-sequences by themselves.  The rest is packed in hashed groups of about ``GROUP`` pieces: only ids, lengths and checksums
-are shuffled, and each group ends with a handful of open bins whatever the corpus's size.
+sequences by themselves.  The rest is packed in groups of about ``GROUP`` pieces, dealt by content and by the row of the
+written table of pieces, so that pieces with equal ids, or none, spread as well: only ids, lengths and checksums are
+shuffled, and each group ends with a handful of open bins whatever the corpus's size.
 
 Defined results: null text counts as empty and still has the closing id; repeated rows are pieces of their own; empty
 tables give no rows; other columns are ignored.
@@ -110,5 +111,5 @@ def packed_sequences(docs: DataFrame, group: int = GROUP) -> DataFrame:
     full = cut.where(F.col("length") == CAPACITY).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < CAPACITY)
     parts = max(1, -(-rest.count() // group))
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
     return full.union(dealt.groupBy("part").applyInPandas(_pack_group, PIECE_DDL + ", sequence_id long, offset long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import fingerprints, lattice, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
-from chalkline.llm.common import documents, materialize, table, word_count
+from chalkline.llm.common import documents, materialize, row_hash, table, word_count
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,10 @@ def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return mixing.mix(sized, F.col("size")).select("doc_id", "size", *[F.col(f"mix_{c}").alias(c) for c in ("source_size", "target", "taken")])
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash().alias("identity")), "sized")
+    mixed = mixing.mix(sized, F.col("size"), F.col("identity"))
+    shards = F.array_join(F.transform("mix_copies", lambda c: c["shard"].cast("string")), ",").alias("shards")
+    return mixed.select("doc_id", "size", *[F.col(f"mix_{c}").alias(c) for c in ("source_size", "target", "taken")], shards)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
