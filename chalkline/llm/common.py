@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -113,9 +113,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def packed(docs: DataFrame, name: str = "doc") -> DataFrame:
-    """All columns of docs as one struct, so that columns put beside it clash with none of them; undo with select("doc.*")."""
-    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(name))
+def map_rows(docs: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of docs through a kernel over Arrow batches, which gets the place of ``text``; columns may have any names."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(lambda batches: kernel(batches, at), plain.schema).toDF(*docs.columns)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that columns put beside it clash with none of them."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def id_key(column: str = "doc_id") -> Column:
@@ -140,7 +147,8 @@ def fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
+def texts(batch: pa.RecordBatch, column: int | str = "text") -> Iterator[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
-    for value in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()):
+    at = column if isinstance(column, int) else batch.schema.get_field_index(column)
+    for value in batch.column(at).cast(pa.large_binary()):
         yield value.as_py() or b""

@@ -9,14 +9,15 @@ its vector.  A vector has two parts:
   two such sums estimates how many clauses two texts share, so the cosine is a likeness that survives edits.
 
 Defined results: null text counts as empty; the empty text has the all-zero fingerprint; equal fingerprints have
-likeness 1; texts whose paragraphs are a permutation of each other are equal by design; rows repeating a doc_id
-follow each other in text order; a null doc_id comes last; other columns are ignored.
+likeness 1; texts whose paragraphs are a permutation of each other are equal by design; rows that share a doc_id follow each
+other in order of a hash of their text; a null doc_id comes last; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LAST_ID, id_key, small
+from chalkline.llm.common import id_key, row_hash, small
 
 DENSE, SIGN = 64, 128
 CLAUSE = re.compile(r"[^.,;:!?]+")
@@ -118,38 +119,57 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), RESULT)], schema=RESULT)
 
 
-def _longs(cuts: list[int]) -> Column:
-    return F.lit(cuts or [LAST_ID]).cast("array<long>")
+LEAST = -(2**63)
+Place = tuple[int, int]
 
 
-def _range(cuts: list[int], step: int = 64) -> Column:
-    """How many of the sorted cuts are at or below key."""
+def _places(cuts: list[Place]) -> Column:
+    return F.arrays_zip(F.lit([k for k, _ in cuts]).cast("array<long>").alias("key"), F.lit([h for _, h in cuts]).cast("array<long>").alias("hash"))
+
+
+def _range(cuts: list[Place], step: int = 256) -> Column:
+    """How many of the sorted cuts are at or before (key, hash)."""
     if not cuts:
         return F.lit(0)
-    block = F.size(F.filter(_longs(cuts[::step]), lambda c: c <= F.col("key")))
-    within = F.size(F.filter(F.slice(_longs(cuts), (block - 1) * step + 1, step), lambda c: c <= F.col("key")))
+    passed = lambda some: F.size(F.filter(some, lambda c: (c["key"] < F.col("key")) | (c["key"] == F.col("key")) & (c["hash"] <= F.col("hash"))))
+    block = passed(_places(cuts[::step]))
+    within = passed(F.slice(_places(cuts), (block - 1) * step + 1, step))
     return F.when(block == 0, 0).otherwise((block - 1) * step + within)
 
 
-def fingerprint_successors(docs: DataFrame, docs_per_bucket: int = 2000, max_buckets: int = 4096) -> DataFrame:
+def range_cuts(rows: DataFrame, parts: int, n: int, per_part: int = 32) -> list[Place]:
+    """Sorted starts (key, hash) of up to ``parts`` ranges of about equally many rows, the first one left out.
+
+    A sample of keys by hash only places the cuts.  A key that would be cut more than once (many rows share an id, or have
+    none) is cut into equal shares of the hashes, and one more pass finds the first row of each range.
+    """
+    seen = rows.select("key").where(F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(max(1, n // (parts * per_part)))) == 0)
+    keys = sorted(r.key for r in seen.collect())
+    wanted = Counter(keys[len(keys) * i // parts] for i in range(1, parts)) if keys else Counter()
+    cuts = sorted((key, LEAST + (j << 64) // times) for key, times in wanted.items() for j in range(times))
+    if len(wanted) == len(cuts):
+        return cuts
+    starts = rows.groupBy(_range(cuts)).agg(F.min(F.struct("key", "hash")).alias("least")).collect()
+    return sorted((r.least.key, r.least.hash) for r in starts)[1:]
+
+
+def fingerprint_successors(docs: DataFrame, docs_per_bucket: int = 2000, max_buckets: int = 65_536) -> DataFrame:
     """Fingerprint each text and its edited text, and compare it with the next document's.
 
-    Documents are dealt into id ranges cut near quantiles of doc_id (one shuffle of the texts).  Quantiles are doubles, so
-    each cut is then moved to the smallest id of its range: cuts are ids that exist, and no range is empty.  The first
-    document of a range is also sent, as a closing row, to the range before, and the very first to the last range, so no
-    range needs to look into another.  Ranges hold about ``docs_per_bucket`` documents (more beyond ``max_buckets``
-    ranges; they are sorted by Spark and streamed).
+    Documents are dealt into ranges of (doc_id, hash of the text), one shuffle of the texts.  The first document of a range
+    is also sent, as a closing row, to the range before, and the very first to the last range, so no range needs to look into
+    another.  Ranges hold about ``docs_per_bucket`` documents, more beyond ``max_buckets`` ranges (at 100 TB some 1.5 GB);
+    they are sorted by Spark and streamed.
     """
-    rows = docs.select(id_key().alias("key"), "doc_id", "text")
+    rows = docs.select(id_key().alias("key"), row_hash().alias("hash"), "doc_id", "text")
     n, first = rows.agg(F.count("*"), F.min("key")).first()
     parts = min(max_buckets, max(1, -(-n // docs_per_bucket)))
-    near = rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    near = sorted({min(int(c), LAST_ID) for c in near})
-    least = rows.groupBy(_range(near)).agg(F.min("key").alias("key")).collect() if near else []
-    cuts = sorted({r.key for r in least} - {first})
+    cuts = [c for c in range_cuts(rows, parts, n) if c > (first, LEAST)] if parts > 1 else []
     at = lambda b, role: F.struct(b.cast("int").alias("bucket"), F.lit(role).alias("role"))
-    starts = F.array_contains(F.slice(_longs(cuts), F.greatest(F.col("b"), F.lit(1)), 1), F.col("key")) & (F.col("b") > 0)
-    places = F.array_compact(F.array(at(F.col("b"), 0), F.when(starts, at(F.col("b") - 1, 1)), F.when(F.col("key") == F.lit(first), at(F.lit(len(cuts)), 2))))
-    dealt = rows.withColumn("b", _range(cuts)).select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.bucket", "p.role", "key", "doc_id", "text")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "role", "key", "text")
+    start = F.element_at(_places(cuts), F.greatest(F.col("b"), F.lit(1))) if cuts else None
+    # a cut from the sample stands before all rows of its id; one of them is enough to close a range
+    starts = (F.col("b") > 0) & (F.col("key") == start["key"]) & ((start["hash"] == LEAST) | (start["hash"] == F.col("hash"))) if cuts else F.lit(False)
+    places = F.array_compact(F.array(at(F.col("b"), 0), F.when(starts, at(F.col("b") - 1, 1)), F.when((F.col("key") == F.lit(first)) & (F.col("b") == 0), at(F.lit(len(cuts)), 2))))
+    dealt = rows.withColumn("b", _range(cuts)).select(F.explode(places).alias("p"), "key", "hash", "doc_id", "text").select("p.bucket", "p.role", "key", "hash", "doc_id", "text")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "role", "key", "hash")
     return ordered.select("bucket", "role", "doc_id", "text").mapInArrow(_compare, DDL)

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import materialize, quoted, row_hash, word_array, word_count
+from chalkline.llm.common import materialize, row_hash, whole_row, word_array, word_count
 
 WEIGHTS, SHARE, MAX_REPEAT = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, MAX_BLOCKS, SHARD_BLOCKS, SHARD_WORDS, SEED = 200_000, 65_536, 64, 50_000_000, 11
@@ -169,7 +169,7 @@ def _placed(docs: DataFrame, size: Column | None, identity: Column | None, seed:
     """doc (all columns of docs as one struct), id, size, source_size, target and copies (array of (epoch, words, shard))."""
     size = word_count(F.col("text")) if size is None else size
     identity = row_hash() if identity is None else identity
-    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), identity.alias("id"), "source", size.alias("size"))
+    rows = docs.select(whole_row(docs).alias("doc"), identity.alias("id"), "source", size.alias("size"))
     sizes = materialize(rows.select("id", "source", "size"), "sizes")
     plan = materialize(block_plan(sizes, seed=seed, **options), "plan")
     parts, open_rows = _cut_parts(sizes, plan, seed)

@@ -31,7 +31,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chalkline.llm.common import small, texts
+from chalkline.llm.common import map_rows, small, texts
 
 MIN_SCORE = 0.6
 KINDS = ("assign", "access", "hex", "literal")
@@ -253,13 +253,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan, DDL)
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _redact(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        at = batch.schema.get_field_index("text")
         new = pa.array([None if t is None else redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
         yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns with secrets in ``text`` replaced by a mark; null texts stay null."""
-    return docs.mapInArrow(_redact, docs.schema)
+    return map_rows(docs, _redact)

@@ -10,6 +10,9 @@ A cell of more than ``MAX_CELL`` distinct fingerprints forms no pairs.  Its memb
 segments, and two of them are within 2 bits exactly when they share a fingerprint within 1 bit of both.  Each member
 visits its 33 candidates for such a middle; at most 33 members meet in one middle and are chained to the smallest.
 
+The distances to whole pivots (``table``) only sift the pairs of small cells; the cells themselves, and the middles of
+large ones, rest on the distances inside segments.
+
 Defined results: null text counts as empty; fewer than 3 words make one shingle, none makes fingerprint zero, linked
 like any other; repeated rows share fingerprint and component; a null doc_id counts as largest; other columns are
 ignored.
@@ -27,10 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LAST_ID, id_key, materialize, small, texts
+from chalkline.llm.common import LAST_ID, id_key, materialize, row_hash, small, texts, whole_row
 from chalkline.llm.components import components
 
 SHINGLE, MAX_BITS, PIVOTS, SEGMENTS, MAX_CELL = 3, 2, 24, 4, 24
+HOT_ROWS = 1_000_000  # fingerprints of more rows are sent to all tasks: at most one for each million rows
 WIDTH = 64 // SEGMENTS
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -99,35 +103,40 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def _labels(found: DataFrame) -> DataFrame:
-    """fp, label of its component and component_id (smallest doc_id reachable) of every fingerprint in found (doc_id, fp)."""
-    nodes = materialize(found.groupBy("fp").agg(F.min(id_key()).alias("rep")), "nodes", found.count())
+    """fp, number of rows, label of its component and component_id (smallest doc_id reachable) of every fingerprint in found
+    (doc_id, fp)."""
+    nodes = materialize(found.groupBy("fp").agg(F.min(id_key()).alias("rep"), F.count("*").alias("n")), "nodes", found.count())
     joined = materialize(links(nodes), "links")
     labels = components(joined, 2 * joined.count()).withColumnRenamed("node", "fp")
-    labelled = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    labelled = nodes.join(labels, "fp", "left").select("fp", "n", "rep", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
-    return labelled.join(least, "label").select("fp", "label", F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"))
+    return labelled.join(least, "label").select("fp", "n", "label", F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
-    found = materialize(fingerprints(docs), "fingerprints")
-    return found.join(_labels(found), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def _with_labels(found: DataFrame, hot_rows: int) -> DataFrame:
+    """found with label and component_id of each row's fingerprint; no task gathers the rows of a frequent one."""
+    of = materialize(_labels(found), "components")
+    hot, rest = F.broadcast(of.where(F.col("n") > hot_rows)), of.where(F.col("n") <= hot_rows)
+    return found.join(hot, "fp").union(found.join(hot, "fp", "left_anti").join(rest, "fp")).drop("n")
 
 
-def _row_hash() -> Column:
-    """Tells rows apart whose doc_id is null or repeated."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "text")
+def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
+    found = materialize(fingerprints(docs), "fingerprints")
+    return _with_labels(found, hot_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row of every component (the smallest doc_id, null last, then the smallest hash of the text), all columns kept.
 
     A row is known by doc_id and a hash of its text, so every component keeps a row, also one in which all ids are null
     or belong to other components as well; among rows equal in both, one stays.  A component's keeper is found on
     (doc_id, hash, component) rows alone; texts are touched only by the last join.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("hash"), "text")
     found = materialize(rows.mapInArrow(_fingerprints, "doc_id long, hash long, fp long"), "fingerprints")
-    least = found.join(_labels(found).select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("row"))
-    keepers = least.select(F.coalesce("row.doc_id", F.lit(LAST_ID)).alias("_key"), F.col("row.hash").alias("_hash"))
-    return docs.withColumns({"_key": id_key(), "_hash": _row_hash()}).join(keepers, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    labelled = _with_labels(found, hot_rows)
+    least = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("row"))
+    keepers = least.select(F.coalesce("row.doc_id", F.lit(LAST_ID)).alias("key"), F.col("row.hash").alias("hash"))
+    whole = docs.select(whole_row(docs).alias("doc"), id_key().alias("key"), row_hash().alias("hash"))
+    return whole.join(keepers, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"]).select("doc.*")

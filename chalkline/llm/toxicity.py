@@ -5,8 +5,8 @@ A word is the bag of its hashed byte n-grams (3 to 5 bytes, with word edges).  B
 words are few in a text, so a text counts as its worst segment: in training, a toxic text learns from the segments
 that score highest, a clean text from all of its segments.  Unseen misspellings share most n-grams with known words.
 
-Training uses a bounded sample (``max_toxic`` and ``max_clean`` texts, first by hash) of labelled rows outside the
-held-out fold; scoring covers every document, in one scan without shuffle.  As softmax over an average is linear in
+Training uses a bounded sample (``max_toxic`` and ``max_clean`` texts of at most ``max_chars`` characters, first by hash) of
+labelled rows outside the held-out fold; scoring covers every document, in one scan without shuffle.  As softmax over an average is linear in
 each n-gram, the model is sent to tasks as one logit per n-gram bucket (1 MB).
 
 Defined results: null and blank texts score the model's prior for an empty bag, below the threshold; without labelled rows of both kinds every
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import fold, small
+from chalkline.llm.common import fold, map_rows, row_hash, small
 
 BUCKET_BITS, DIM, SEGMENT, SIZES = 18, 8, 24, (3, 4, 5)
 MIN_GRAMS = 150
@@ -61,8 +61,9 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place = np.arange(starts[0], len(data) - 1, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(data) - 1)))
         sums = np.add.reduceat(np.where(space[starts[0] : -1], 0, (data[starts[0] : -1].astype(np.int64) + 7) * (place * place + 31)), starts - starts[0])
         again = np.flatnonzero((sums[1:] == sums[:-1]) & (np.diff(starts) > 0) & ((ends - starts)[1:] == (ends - starts)[:-1]) & (owner[1:] == owner[:-1])) + 1
-        for s, e in zip(starts[again], ends[again]):
-            fresh[s - 1 : e] = False
+        for k in again.tolist():
+            if np.array_equal(data[starts[k] : ends[k]], data[starts[k - 1] : ends[k - 1]]):
+                fresh[starts[k] - 1 : ends[k]] = False
     grams, owners = [], []
     mixed = data.astype(np.uint32) + 1
     rolling = np.zeros(len(data), np.uint32)
@@ -162,11 +163,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 7, rate: float =
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[list[bytes], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> tuple[list[bytes], np.ndarray]:
     """A bounded, deterministic sample of labelled rows outside the held-out fold: the first by hash of each kind."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(fold(3) != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
     picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "h").limit(2 * (max_toxic + max_clean)).collect()
+    short = docs.where(F.length("text") <= max_chars).select("doc_id", "text", row_hash().alias("row"))
+    rows = short.join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "row").limit(2 * (max_toxic + max_clean)).select("text", "toxic", "h").collect()
     rows.sort(key=lambda r: (r.h, r.text or ""))
     return [(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64)
 
@@ -174,8 +176,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, max_toxic: int = 500, max_clean: int = 700) -> Model:
-    return train(*labelled_sample(docs, labels, max_toxic, max_clean))
+def toxicity_model(docs: DataFrame, labels: DataFrame, max_toxic: int = 500, max_clean: int = 700, max_chars: int = 200_000) -> Model:
+    return train(*labelled_sample(docs, labels, max_toxic, max_clean, max_chars))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -192,10 +194,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose text scores below the threshold, all columns kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            at = batch.schema.get_field_index("text")
             score = model.score([t or b"" for t in batch.column(at).cast(pa.large_binary()).to_pylist()])
             yield batch.filter(pa.array(score < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
