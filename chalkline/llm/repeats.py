@@ -331,7 +331,7 @@ def repeated_contexts(docs: DataFrame, symbols: str, width: int, gram: int, hot:
     n = twice.count()
     many = materialize(twice.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("hot")), "hot", n // max(1, hot))
     per_row = _with_hot(twice, many).groupBy("row").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hot"))
-    held = rows.join(per_row, "row").select("row", "key", "text", "at", "hot")
+    held = rows.join(per_row, "row").select("row", "key", "text", "at", "hot", "doc_id")  # doc_id: for the shared exchange
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n // SHARD)
     return held.mapInArrow(_emit_contexts(symbols, width, gram), CONTEXT_DDL).repartition(shards, "key")
 
