@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,57 +67,114 @@ def _deletions(word: Column, times: int) -> Column:
     return forms
 
 
-def close_words(left: DataFrame, right: DataFrame, long_word: int = 8) -> DataFrame:
-    """(word) x (term) within 1 edit, or 2 for words of ``long_word`` letters and more: joined on deletion forms."""
-    a = left.select("word", F.explode(F.when(F.length("word") >= long_word, _deletions(F.col("word"), 2)).otherwise(_deletions(F.col("word"), 1))).alias("form"))
-    b = right.select("term", F.explode(F.when(F.length("term") >= long_word - 2, _deletions(F.col("term"), 2)).otherwise(_deletions(F.col("term"), 1))).alias("form"))
-    pairs = a.join(b, "form").select("word", "term").distinct()
-    most = F.when(F.length("word") >= long_word, 2).otherwise(1)
+def close_words(left: DataFrame, right: DataFrame, long_word: int = 8, short_edits: int = 1) -> DataFrame:
+    """(word) x (term) within 2 edits, or ``short_edits`` for words of under ``long_word`` letters: joined on deletion forms.
+
+    left is distinct words of a corpus, right a vocabulary: its forms are sent to all tasks, so no form is shuffled.
+    """
+    long_ = (F.length("word") >= long_word) | F.lit(short_edits > 1)
+    a = left.select("word", F.explode(F.when(long_, _deletions(F.col("word"), 2)).otherwise(_deletions(F.col("word"), 1))).alias("form"))
+    b = right.select("term", F.explode(F.when((F.length("term") >= long_word - 2) | F.lit(short_edits > 1), _deletions(F.col("term"), 2)).otherwise(_deletions(F.col("term"), 1))).alias("form"))
+    forms = F.broadcast(b) if right.count() <= MOST_TERMS else b
+    pairs = a.join(forms, "form").select("word", "term").distinct()
+    most = F.when(long_, 2).otherwise(1)
     return pairs.withColumn("edits", F.levenshtein("word", "term", 2)).where((F.col("edits") >= 1) & (F.col("edits") <= most))
 
 
-def ngrams(sentences: DataFrame, longest: int) -> DataFrame:
-    """doc_id, pos, start, n, tokens of every run of 1..longest words (lower-cased ``tokens`` of a sentence)."""
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: i + n <= F.size("tokens")), lambda i: F.struct(i.alias("start"), n.alias("n"), F.slice("tokens", i + 1, n).alias("gram")))))
-    return sentences.where(F.size("tokens") > 0).select("doc_id", "pos", F.explode(runs).alias("g")).select("doc_id", "pos", "g.start", "g.n", "g.gram")
+MOST_TERMS = 50_000  # vocabularies of at most so many words are sent to all tasks
+TOKEN = "[A-Za-z][A-Za-z0-9_'’-]*"
+STRETCH = rf"({TOKEN}(?:[ \t]+{TOKEN})*)([^A-Za-z]*)"
+COMPARED = r"^(?:less than|greater than|equals?\b|is (?:less|greater|equal))"
+CONTROL, CONTROLLED = ("while", "if"), ("loop", "statement", "condition")
+# Words of grammar and control flow that are never read as a misspelt term.
+PROTECTED = (
+    "a", "an", "and", "another", "any", "as", "at", "both", "by", "do", "each", "else", "every", "false", "for", "from", "if", "in", "is", "no",
+    "not", "of", "on", "one", "or", "same", "so", "than", "then", "to", "true", "until", "when", "where", "while", "with", "yes",
+)
 
 
-def detect(sentences: DataFrame, terms: DataFrame, longest: int = 4, word_floor: float = 0.86, phrase_floor: float = 0.78, margin: float = 0.04, protected: Sequence[str] = ()) -> DataFrame:
-    """Suspicious spans: n-grams that differ from one vocabulary term of as many words in exactly one token.
+def stretches(sentences: DataFrame) -> DataFrame:
+    """sentences (doc_id, pos, sentence) -> doc_id, pos, stretch, tokens, after: maximal runs of words with only blanks
+    between, so that nothing made of them crosses punctuation, and the signs that follow."""
+    found = F.arrays_zip(F.regexp_extract_all("sentence", F.lit(STRETCH), F.lit(1)).alias("run"), F.regexp_extract_all("sentence", F.lit(STRETCH), F.lit(2)).alias("after"))
+    rows = sentences.select("doc_id", "pos", F.posexplode(found).alias("stretch", "x"))
+    return rows.select("doc_id", "pos", "stretch", F.filter(F.split(term_key(F.col("x.run")), " "), lambda w: w != "").alias("tokens"), F.col("x.after").alias("after"))
 
-    Multi-word terms are blocked on the other tokens (the gram with one place blanked); single words on deletion forms.
-    Distinct grams are compared once.  doc_id, pos, start, n, original, term, score.
-    """
-    grams = ngrams(sentences, longest).withColumn("original", F.array_join("gram", " ")).where(F.size(F.filter("gram", lambda w: F.length(w) < 3)) == 0)
-    known = terms.select(F.col("key").alias("term"), F.split("key", " ").alias("t"), "n_words")
-    unknown = grams.select("original", "n", "gram").distinct().join(known.select(F.col("term").alias("original")), "original", "left_anti")
-    if protected:
-        unknown = unknown.where(~F.arrays_overlap("gram", F.array(*map(F.lit, protected))))
-    blank = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.transform(c, lambda w, i: F.when(i == k, F.lit("*")).otherwise(w)), " ").alias("block"), F.element_at(c, k + 1).alias("token")))
-    a = unknown.where("n > 1").select("original", F.explode(blank(F.col("gram"))).alias("b")).select("original", "b.block", "b.token")
-    b = known.where("n_words > 1").select("term", F.explode(blank(F.col("t"))).alias("b")).select("term", "b.block", F.col("b.token").alias("t"))
-    phrases = a.join(b, "block").where((F.levenshtein("token", "t", 2) >= 1) & (F.length("t") >= 3)).where(ratio(F.col("token"), F.col("t")) >= 0.62).select("original", "term")
-    words = close_words(unknown.where("n = 1").select(F.col("original").alias("word")), known.where("n_words = 1").select("term")).select(F.col("word").alias("original"), "term")
-    scored = phrases.union(words).distinct().withColumn("score", ratio(F.col("original"), F.col("term")))
-    scored = scored.where(F.col("score") >= F.when(F.col("original").contains(" "), phrase_floor).otherwise(word_floor))
-    order = Window.partitionBy("original").orderBy(F.desc("score"), "term")
-    best = scored.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).where("_r = 1").where(F.col("score") - F.coalesce("_next", F.lit(0.0)) >= margin)
-    return grams.join(best.select("original", "term", "score"), "original").select("doc_id", "pos", "start", "n", "original", "term", "score")
 
+def _same(a: Column, b: Column) -> Column:
+    return (a == b) | inflected(a, b)
+
+
+def _likeness(a: Column, b: Column) -> Column:
+    """Matching-blocks similarity of equal words or simple inflections of each other, which share all but an ending."""
+    shared = F.least(F.length(a), F.length(b)) - F.when(a.endswith("ies") != b.endswith("ies"), 1).otherwise(0)
+    return F.when(a == b, 1.0).otherwise(2.0 * shared / (F.length(a) + F.length(b)))
+
+
+def _inflections(word: Column) -> Column:
+    """Forms of which two words share one if they are equal or simple inflections of each other."""
+    stem = lambda n, end: F.concat(F.substring(word, F.lit(1), F.length(word) - n), F.lit(end))
+    made = F.array(word, F.when(word.endswith("s"), stem(1, "")), F.when(word.endswith("es"), stem(2, "")), F.when(word.endswith("ies"), stem(3, "y")))
+    return F.array_distinct(F.array_compact(made))
 
-def pick_spans(spans: DataFrame) -> DataFrame:
-    """Longest, then best-scoring spans of a sentence that do not overlap (greedy, one sentence a group)."""
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, keep = [], []
-        for i, r in rows.sort_values(["n", "score", "start"], ascending=[False, False, True]).iterrows():
-            if all(r.start + r.n <= s or r.start >= e for s, e in taken):
-                taken.append((r.start, r.start + r.n))
-                keep.append(i)
-        return rows.loc[keep]
+def detect(sentences: DataFrame, terms: DataFrame, longest: int = 4, word_floor: float = 0.86, phrase_floor: float = 0.78, token_floor: float = 0.62, margin: float = 0.04, protected: Sequence[str] = PROTECTED) -> DataFrame:
+    """Suspicious spans: runs of 1..``longest`` words that differ from one vocabulary term of as many words in one token.
 
-    return spans.groupBy("doc_id", "pos").applyInPandas(pick, spans.schema)
+    sentences (doc_id, pos, sentence), terms (key, n_words).  The corpus' distinct words meet the vocabulary's words on
+    deletion forms first; only occurrences of the few that are close to one go on, and each looks at the terms with that
+    word in place.  Other tokens must be equal or simple inflections; valid wording and conditions of control flow ("while low
+    less than ...") are left out.  Returns doc_id, pos, stretch, start, n, original, term, score.
+    """
+    known = terms.where(F.col("n_words") <= longest).select(F.col("key").alias("term"), F.split("key", " ").alias("t"), F.col("n_words").alias("n")).distinct()
+    few = F.broadcast if known.count() <= MOST_TERMS else (lambda t: t)
+    runs = stretches(sentences)
+    words = runs.select(F.explode("tokens").alias("word")).where(F.length("word") >= 3).distinct()
+    words = words.where(~F.col("word").isin(*protected)) if protected else words
+    parts = known.select(F.explode("t").alias("term")).where(F.length("term") >= 3).distinct()
+    close = close_words(words, parts, short_edits=2).where(~inflected(F.col("word"), F.col("term")))
+    close = close.withColumn("likeness", ratio(F.col("word"), F.col("term"))).where(F.col("likeness") >= token_floor).withColumnRenamed("term", "token").persist()  # counted, then joined
+    placed = known.select("term", "t", "n", F.posexplode("t").alias("k", "token"))
+    hits = runs.select("doc_id", "pos", "stretch", "tokens", "after", F.posexplode("tokens").alias("i", "word")).join(F.broadcast(close) if close.count() <= MOST_TERMS else close, "word").join(few(placed), "token")
+    start, n = F.col("i") - F.col("k"), F.col("n")
+    others = F.zip_with(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, n), "t", lambda w, t: F.when(_same(w, t), _likeness(w, t)))
+    fit = hits.where((start >= 0) & (start + n <= F.size("tokens"))).withColumn("others", others)
+    fit = fit.where(F.size(F.filter("others", lambda x: x.isNull())) == 1)  # the suspicious token itself
+    total = F.aggregate("others", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    edits = F.when((n == 1) & (F.greatest(F.length("word"), F.length("token")) <= 7), 1).otherwise(2)
+    floor = F.when(n == 1, word_floor).otherwise(phrase_floor)
+    original = F.array_join(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, n), " ")
+    scored = fit.withColumn("score", (total + F.col("likeness")) / n).where((F.col("edits") <= edits) & ((n > 1) | (F.col("likeness") >= word_floor)))
+    scored = scored.select("doc_id", "pos", "stretch", start.alias("start"), "n", original.alias("original"), "term", "t", "score", floor.alias("floor"), F.slice("tokens", F.greatest(start + n, F.lit(0)) + 1, F.lit(4)).alias("next"), "after", F.get("tokens", start).alias("first"))
+    first_forms = known.select(F.col("t").alias("_t"), "n", F.explode(_inflections(F.col("t")[0])).alias("form"))
+    wording = scored.withColumn("form", F.explode(_inflections(F.col("first")))).join(few(first_forms), ["form", "n"], "left")
+    valid = F.coalesce(F.forall(F.zip_with(F.split("original", " "), "_t", _same), lambda x: x), F.lit(False))
+    scored = wording.groupBy(*scored.columns).agg(F.bool_or(valid).alias("valid")).where("not valid")
+    span = Window.partitionBy("doc_id", "pos", "stretch", "start", "n").orderBy(F.desc("score"), "term")
+    best = scored.withColumn("_r", F.row_number().over(span)).withColumn("_next", F.lead("score").over(span))
+    follows = F.array_join("next", " ").rlike(COMPARED) | ((F.size("next") == 0) & F.col("after").rlike(r"^\s*(?:<=|>=|==|!=|<|>)"))
+    control = (n == 2) & F.col("first").isin(*CONTROL) & (F.col("t")[0] == F.col("first")) & F.get("t", F.lit(1)).isin(*CONTROLLED) & follows
+    kept = best.where((F.col("_r") == 1) & (F.col("score") >= F.col("floor")) & (F.col("score") - F.coalesce("_next", F.lit(0.0)) >= margin) & ~control)
+    return kept.select("doc_id", "pos", "stretch", "start", "n", "original", "term", F.round("score", 4).alias("score"))
+
+
+def _valid_wording(originals: DataFrame, known: DataFrame) -> DataFrame:
+    """Those originals whose tokens all equal or inflect the tokens of some term."""
+    ours = originals.withColumn("w", F.split("original", " ")).withColumn("form", F.explode(_inflections(F.col("w")[0])))
+    theirs = known.withColumn("form", F.explode(_inflections(F.col("t")[0])))
+    same = F.forall(F.zip_with("w", "t", _same), lambda x: x)
+    return ours.join(theirs, ["form", "n"]).where(same).select("original").distinct()
+
+
+def pick_spans(spans: DataFrame) -> DataFrame:
+    """Longest, then best-scoring spans of a stretch that do not overlap (a fold over its few spans in that order)."""
+    key = [c for c in ("doc_id", "pos", "stretch") if c in spans.columns]
+    rest = [c for c in spans.columns if c not in key]
+    order = F.struct((-F.col("n")).alias("a"), (-F.col("score")).alias("b"), F.col("start").alias("c"), F.struct(*rest).alias("x"))
+    listed = spans.groupBy(*key).agg(F.sort_array(F.collect_list(order)).alias("s")).withColumn("s", F.transform("s", lambda o: o["x"]))
+    free = lambda a, x: ~F.exists(a, lambda k: (x["start"] < k["start"] + k["n"]) & (x["start"] + x["n"] > k["start"]))
+    kept = F.aggregate("s", F.filter("s", lambda x: F.lit(False)), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
+    return listed.select(*key, F.explode(kept).alias("k")).select(*key, "k.*").select(*spans.columns)
 
 
 def memory_lookup(phrases: DataFrame, memory: DataFrame, floor: float = 0.20) -> DataFrame:
@@ -130,25 +188,41 @@ def memory_lookup(phrases: DataFrame, memory: DataFrame, floor: float = 0.20) ->
     return fit.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("id", "key", "memory_id", "correction", "likeness")
 
 
-def validate(proposals: DataFrame, minimum: float = 0.70, longest: int = 80) -> DataFrame:
-    """proposals (original, replacement, confidence, text, start, allowed) with the first failing check, or null."""
-    original, new = F.col("original"), F.col("replacement")
-    count = lambda c: F.size(F.split(F.trim(c), r"\s+"))
-    digits = lambda c: F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
-    there = F.substring(F.col("text"), F.col("start") + 1, F.length(original))
+SAFE = r"^[A-Za-z0-9_+\-./<>=\[\]() ]+$"
+CODE_PATH = r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$"
+
+
+def validate(proposals: DataFrame, terms: DataFrame, minimum: float = 0.82, token_floor: float = 0.62, most_words: int = 6, protected: Sequence[str] = PROTECTED) -> DataFrame:
+    """proposals with the first failing check of 21 as ``reason``, or null, and ``ok``.
+
+    Columns: id and answered_id (issue asked and answered), detected (its span), original, replacement, confidence, text and
+    start (where the span stood), after (the rest of its sentence) and candidates (terms of the detector).  terms: key.
+    """
+    known = terms.select("key").distinct()
+    trimmed = proposals.withColumn("replacement", F.trim(F.coalesce("replacement", F.lit("")))).withColumn("_ok", term_key(F.col("original"))).withColumn("_rk", term_key(F.col("replacement")))
+    forms = known.select(F.col("key").alias("term"), F.split("key", " ").alias("t"), F.size(F.split("key", " ")).alias("n"))
+    wording = _valid_wording(trimmed.select(F.col("_ok").alias("original"), F.size(F.split("_ok", " ")).alias("n")).distinct(), forms)
+    few = lambda t: F.broadcast(t) if t.count() <= MOST_TERMS else t
+    joined = trimmed.join(few(wording.select(F.col("original").alias("_ok"), F.lit(True).alias("_valid"))), "_ok", "left").join(few(known.select(F.col("key").alias("_rk"), F.lit(True).alias("_term"))), "_rk", "left")
+    pairs = F.filter(F.zip_with(F.split("_ok", " "), F.split("_rk", " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: ~F.coalesce(p["a"] == p["b"], F.lit(False)))
+    joined = joined.withColumn("_o", F.split("_ok", " ")).withColumn("_n", F.split("_rk", " ")).withColumn("_p", pairs)
+    first = F.get("_p", F.lit(0))
+    near = joined.withColumn("_like", ratio(F.coalesce(first["a"], F.lit("")), F.coalesce(first["b"], F.lit(""))))
+    original, new, a, b = F.col("original"), F.col("replacement"), first["a"], first["b"]
+    edits = F.when((F.greatest(F.length(a), F.length(b)) <= 7) & (F.size("_o") == 1), 1).otherwise(2)
+    control = (F.size("_o") == 2) & F.col("_o")[0].isin(*CONTROL) & (F.col("_n")[0] == F.col("_o")[0]) & F.get("_n", F.lit(1)).isin(*CONTROLLED)
+    compared = F.lower("after").rlike(r"^\s*(?:less\s+than|greater\s+than|equal(?:s|\s+to)?|is\s+(?:less|greater|equal)|<=|>=|==|!=|<|>)")
     checks = [
-        ("empty_original", F.trim(F.coalesce(original, F.lit(""))) == ""), ("empty_replacement", F.trim(F.coalesce(new, F.lit(""))) == ""), ("no_change", original == new),
-        ("case_only", F.lower(original) == F.lower(new)), ("low_confidence", F.col("confidence") < minimum), ("confidence_range", (F.col("confidence") < 0) | (F.col("confidence") > 1)),
-        ("negative_start", F.col("start") < 0), ("not_in_text", there != original), ("too_long", F.length(new) > longest), ("line_break", new.contains("\n")),
-        ("word_count", F.abs(count(original) - count(new)) > 1), ("length_ratio", (F.length(new) > 2 * F.length(original) + 3) | (2 * F.length(new) + 3 < F.length(original))),
-        ("digits_changed", digits(original) != digits(new)), ("control_characters", new.rlike(r"[\x00-\x08]")), ("markup", new.rlike(r"[<>{}]")), ("url", new.rlike(r"https?:")),
-        ("quotes", new.rlike("[\"`]")), ("not_allowed", ~F.array_contains("allowed", new)), ("inflection_only", inflected(F.lower(original), F.lower(new))),
-        ("first_letter", F.lower(F.substring(original, 1, 1)) != F.lower(F.substring(new, 1, 1))), ("too_far", F.levenshtein(F.lower(original), F.lower(new)) > 4),
+        ("other_issue", F.col("answered_id") != F.col("id")), ("not_the_span", original != F.col("detected")),
+        ("source_changed", F.substring(F.col("text"), F.col("start") + 1, F.length("detected")) != F.col("detected")), ("empty_replacement", new == ""), ("low_confidence", F.col("confidence") < minimum),
+        ("line_break", new.rlike(r"[\r\n]")), ("too_long", F.size(F.split(new, r"\s+")) > most_words), ("unsupported_characters", ~new.rlike(SAFE)), ("no_content", (F.col("_ok") == "") | (F.col("_rk") == "")),
+        ("format_only", F.col("_ok") == F.col("_rk")), ("already_valid", F.col("_valid")), ("crosses_punctuation", ~original.rlike(rf"^[^A-Za-z]*{TOKEN}(?:[ \t]+{TOKEN})*[^A-Za-z]*$")),
+        ("token_count", F.size("_o") != F.size("_n")), ("no_token_changed", F.size("_p") == 0), ("inflection_only", F.forall("_p", lambda p: inflected(p["a"], p["b"]))), ("several_tokens", F.size("_p") != 1),
+        ("control_word", a.isin(*protected)), ("not_close", F.col("_like") < token_floor), ("too_many_edits", F.levenshtein(a, b) > edits), ("control_flow", control & compared),
+        ("not_supported", ~(F.coalesce("_term", F.lit(False)) | F.exists(F.coalesce("candidates", F.array()), lambda c: term_key(c) == F.col("_rk")) | new.rlike(CODE_PATH))),
     ]
-    reason = F.lit(None).cast("string")
-    for name, fails in reversed(checks):
-        reason = F.when(F.coalesce(fails, F.lit(False)), F.lit(name)).otherwise(reason)
-    return proposals.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
+    reason = reduce(lambda rest, check: F.when(F.coalesce(check[1], F.lit(False)), F.lit(check[0])).otherwise(rest), reversed(checks), F.lit(None).cast("string"))
+    return near.select(*proposals.columns, reason.alias("reason")).withColumn("ok", F.col("reason").isNull())
 
 
 def resolve(issues: DataFrame, remembered: DataFrame, proposals: DataFrame, sentences: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,6 +61,27 @@ def hashed_features(words: DataFrame, key: str, width: int = 384, longest: int =
     return counts.select(key, "slot", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))).alias("value"))
 
 
+def _slot(word: Column, width: int) -> Column:
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % width).cast("int")
+
+
+def hashed_scores(words: DataFrame, references: DataFrame, keys: Sequence[str], of: str, wanted: DataFrame | None = None, width: int = 384) -> DataFrame:
+    """keys, ``of``, semantic_score: cosine of the hashed word counts of texts (keys, word) and references (of, word).
+
+    Sparse: texts are counted by slot in one shuffle, and meet the references, a catalogue, slot by slot.  ``wanted`` (keys,
+    of) restricts the pairs.
+    """
+    def features(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+        counted = rows.groupBy(*by, _slot(F.col("word"), width).alias("slot")).agg(F.count("*").alias("n"))
+        return counted.select(*by, "slot", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*by)))).alias(value))
+
+    theirs = features(references, [of], "theirs")
+    ours = features(words.repartition(*keys), keys, "ours")
+    joined = ours.join(F.broadcast(theirs) if theirs.count() <= 1_000_000 else theirs, "slot")
+    summed = joined.groupBy(*keys, of).agg(F.round(F.sum(F.col("ours") * F.col("theirs")), DIGITS).alias("semantic_score"))
+    return summed if wanted is None else summed.join(wanted, [*keys, of], "left_semi")
+
+
 def norm_violations(vectors: DataFrame, width: int, tolerance: float = 1e-4) -> DataFrame:
     """vec_id and rule of vectors that are not unit length or not of the expected width."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

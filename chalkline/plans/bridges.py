@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,13 +53,17 @@ sentences AS (SELECT * FROM each WHERE sentence <> '')"""
 )
 
 
-def numbered_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (0-based within the document), sentence, words (array), n_words."""
-    from pyspark.sql import Window
+def sentence_array(text: Column) -> Column:
+    """All sentences of a text in order: lines cut after closing punctuation, blank ones dropped."""
+    cut = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, r"(?<=[.!?])\s+")))
+    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+
 
-    order = Window.partitionBy("doc_id").orderBy("line_no", "sent_no")
-    out = sentences(lines(docs)).withColumn("pos", F.row_number().over(order) - 1).withColumn("words", F.split(F.trim(F.regexp_replace("sentence", r"[ \t]+", " ")), " "))
-    return out.select("doc_id", "pos", "sentence", "words", F.size("words").alias("n_words"))
+def numbered_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (0-based within the document), sentence, words (array), n_words; numbered in the row, without a shuffle."""
+    out = docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
+    words = out.withColumn("words", F.split(F.trim(F.regexp_replace("sentence", r"[ \t]+", " ")), " "))
+    return words.select("doc_id", "pos", "sentence", "words", F.size("words").alias("n_words"))
 
 
 NUMBERED = (
@@ -79,6 +83,33 @@ def chunks(docs: DataFrame) -> DataFrame:
 CHUNKS = NUMBERED + f", chunked AS (SELECT *, (pos // {CHUNK_SENTENCES})::INTEGER AS chunk_id FROM numbered)"
 
 
+#: the tables hold invented words, so sentences of a lesson begin with one of these, by position
+OPENINGS = (
+    "", "For example, ", "", "To recap, we covered ", "Because of this, ", "", "It is a ", "By the way, ", "Unlike ", "", "What happens if we say ", "Suppose that ",
+    "", "In summary, today we studied ", "This means that ", "", "How many are in ", "We will cover ", "Compared with ", "", "Try this question, since it allows ", "", "Remember we did ", "Let's move on to the next topic: ",
+)
+
+
+def opening(pos: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, OPENINGS)), F.pmod(F.col("doc_id") * 7 + pos, F.lit(len(OPENINGS))).cast("int") + 1)
+
+
+def lesson_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, chunk_id and sentences (array of (pos, sentence)), sentences with their openings; no shuffle."""
+    told = F.transform(sentence_array(F.col("text")), lambda s, i: F.struct(i.alias("pos"), F.concat(opening(i), s).alias("sentence")))
+    rows = docs.select("doc_id", told.alias("s")).where(F.size("s") > 0)
+    at = F.sequence(F.lit(0), F.expr(f"(size(s) - 1) div {CHUNK_SENTENCES}").cast("int"))
+    return rows.select("doc_id", "s", F.explode(at).alias("chunk_id")).select("doc_id", "chunk_id", F.slice("s", F.col("chunk_id") * CHUNK_SENTENCES + 1, CHUNK_SENTENCES).alias("sentences"))
+
+
+def lesson_sentences(docs: DataFrame) -> DataFrame:
+    return lesson_chunks(docs).select("doc_id", "chunk_id", F.explode("sentences").alias("x")).select("doc_id", "chunk_id", "x.*")
+
+
+_LIST = "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in OPENINGS) + "]"
+LESSON = CHUNKS + f", lesson AS (SELECT doc_id, chunk_id, pos, ({_LIST})[(doc_id * 7 + pos) % {len(OPENINGS)} + 1] || sentence AS sentence FROM chunked)"
+
+
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue from benchmark: concept_id, label, section, aliases (array<struct<alias, n_words, ambiguous>>)."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda w: w != "")

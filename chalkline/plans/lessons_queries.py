@@ -18,14 +18,13 @@ rl AS (SELECT *, CASE WHEN p OR (NOT bool_or(p) OVER (PARTITION BY doc_id) AND b
 
 
 def scored(spark, d):
-    j = judged(spark, d)
-    return L.rank_scores(L.merge_topics(j).join(L.coverage(j), ["doc_id", "concept_id"]))
+    return L.rank_scores(L.merge_topics(judged(spark, d)))
 
 
-@query("agg.merge", f"WITH {MERGED} SELECT doc_id, concept_id, confidence, round(semantic, 9) AS semantic, round(keyword, 9) AS keyword, round(salience, 9) AS salience, chunk_ids, evidence FROM merged")
+@query("agg.merge", f"WITH {MERGED} SELECT doc_id, concept_id, confidence, round(semantic, 9) AS semantic, round(keyword, 9) AS keyword, round(salience, 4) AS salience, chunk_ids, evidence FROM merged")
 def merge(spark, d):
     m = L.merge_topics(judged(spark, d))
-    return m.withColumns({c: F.round(c, 9) for c in ("semantic", "keyword", "salience")})
+    return m.withColumns({c: F.round(c, k) for c, k in (("semantic", 9), ("keyword", 9), ("salience", 4))}).drop("n_chunks", "coverage")
 
 
 @query("agg.spans", f"WITH {EVID}, g AS (SELECT doc_id, concept_id, confidence, chunk_id - lag(chunk_id) OVER (PARTITION BY doc_id, concept_id ORDER BY chunk_id) AS gap FROM qual), s AS (SELECT doc_id, concept_id, count(*) FILTER (gap > 1) + 1 AS n_spans, max(confidence) AS c FROM g GROUP BY 1, 2) SELECT doc_id, concept_id, n_spans, round(least(0.95, c + least(0.06, 0.02 * (n_spans - 1))), 6) AS confidence FROM s")

@@ -57,9 +57,15 @@ def _tokens(spark, d):
     return numbered_sentences(read(spark, d, "documents")).select("doc_id", "pos", F.filter(F.split(T.term_key(F.col("sentence")), " "), lambda w: w != "").alias("tokens"))
 
 
+def _terms(spark, d):
+    """The first one to four words of every benchmark item."""
+    words = F.filter(F.split(T.term_key(F.col("text")), " "), lambda w: w != "")
+    starts = read(spark, d, "benchmark").select(words.alias("w")).select(F.explode(F.transform(F.array(*map(F.lit, range(1, 5))), lambda n: F.slice("w", 1, n))).alias("t"))
+    return starts.select(F.array_join("t", " ").alias("key"), F.size("t").alias("n_words")).where("key <> ''").distinct()
+
+
 def _spans(spark, d):
-    terms = aliases(concepts(spark, d)).select(F.col("alias").alias("key"), "n_words").distinct()
-    return T.detect(_tokens(spark, d), terms, longest=2)
+    return T.detect(numbered_sentences(read(spark, d, "documents")), _terms(spark, d))
 
 
 @query("trm.detect")
@@ -80,14 +86,14 @@ def _memory(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderpriority").alias("key"), F.concat(F.lit("fix "), F.col("o_orderkey") % 97).alias("correction"), F.array_distinct(F.array(of(3), of(5))).alias("context"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("candidate").alias("status"), ((F.col("o_orderkey") % 10) / 10.0).alias("confidence"), (F.col("o_orderkey") % 4).alias("times_applied"))
 
 
-_ASKED = "asked AS (SELECT c_custkey AS id, (['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'])[c_custkey % 4 + 1] AS key, ['c' || c_custkey % 5, 'c' || (c_custkey % 2 + 6)] AS context FROM customer WHERE c_custkey < 60)"
+_ASKED = "asked AS (SELECT c_custkey AS id, (['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'])[c_custkey % 4 + 1] AS key, ['c' || c_custkey % 5, 'c' || (c_custkey % 2 + 6)] AS context FROM customer)"
 _LOOKED = f"""{_MEMORY}, {_ASKED}, f AS (SELECT a.id, a.key, m.memory_id, m.correction, m.confidence, m.times_applied, round(len(list_intersect(a.context, m.context)) / len(list_distinct(a.context || m.context))::DOUBLE, 6) AS likeness FROM asked a JOIN memory m USING (key) WHERE m.status = 'approved'),
 looked AS (SELECT id, key, memory_id, correction, likeness FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY likeness DESC, confidence DESC, times_applied DESC, memory_id) AS r FROM f WHERE likeness >= 0.20) WHERE r = 1)"""
 
 
 def _looked(spark, d):
     keys = F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    asked = read(spark, d, "customer").where("c_custkey < 60").select(F.col("c_custkey").alias("id"), keys.alias("key"), F.array(F.concat(F.lit("c"), F.col("c_custkey") % 5), F.concat(F.lit("c"), F.col("c_custkey") % 2 + 6)).alias("context"))
+    asked = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), keys.alias("key"), F.array(F.concat(F.lit("c"), F.col("c_custkey") % 5), F.concat(F.lit("c"), F.col("c_custkey") % 2 + 6)).alias("context"))
     return T.memory_lookup(asked, _memory(spark, d))
 
 
@@ -96,20 +102,60 @@ def memory_lookup(spark, d):
     return _looked(spark, d)
 
 
+#: what is proposed for "wild loop", one case for each check of the validator in its order, then three good ones
+CASES = (
+    # original, replacement, confidence, answered, detected, shift, after, reason
+    ("wild loop", "while loop", 0.9, 1, "wild loop", 0, "", "other_issue"),
+    ("wild loop", "while loop", 0.9, 0, "wild loops", 0, "", "not_the_span"),
+    ("wild loop", "while loop", 0.9, 0, "wild loop", 1, "", "source_changed"),
+    ("wild loop", " ", 0.9, 0, "wild loop", 0, "", "empty_replacement"),
+    ("wild loop", "while loop", 0.8, 0, "wild loop", 0, "", "low_confidence"),
+    ("wild loop", "while\nloop", 0.9, 0, "wild loop", 0, "", "line_break"),
+    ("wild loop", "a b c d e f g", 0.9, 0, "wild loop", 0, "", "too_long"),
+    ("wild loop", "while loop!", 0.9, 0, "wild loop", 0, "", "unsupported_characters"),
+    ("?!", "while loop", 0.9, 0, "?!", 0, "", "no_content"),
+    ("wild loop", "Wild-Loop", 0.9, 0, "wild loop", 0, "", "format_only"),
+    ("while loops", "wild loops", 0.9, 0, "while loops", 0, "", "already_valid"),
+    ("wild, loop", "while loop", 0.9, 0, "wild, loop", 0, "", "crosses_punctuation"),
+    ("wild loop", "while", 0.9, 0, "wild loop", 0, "", "token_count"),
+    ("big trees", "big tree", 0.9, 0, "big trees", 0, "", "inflection_only"),
+    ("wild lop", "while loop", 0.9, 0, "wild lop", 0, "", "several_tokens"),
+    ("for loop", "four loop", 0.9, 0, "for loop", 0, "", "control_word"),
+    ("zebra loop", "while loop", 0.9, 0, "zebra loop", 0, "", "not_close"),
+    ("lenghht", "length", 0.9, 0, "lenghht", 0, "", "too_many_edits"),
+    ("while lop", "while loop", 0.9, 0, "while lop", 0, " less than high", "control_flow"),
+    ("wild leap", "wild leaps now", 0.9, 0, "wild leap", 0, "", "token_count"),
+    ("wild leap", "wild heap", 0.9, 0, "wild leap", 0, "", "not_supported"),
+    ("wild loop", "while loop", 0.9, 0, "wild loop", 0, " checks", None),
+    ("algoritm", "algorithm", 0.9, 0, "algoritm", 0, "", None),
+    ("arr lem", "arr.len", 0.9, 0, "arr lem", 0, "", None),
+)
+_TERM_KEYS = ("while loop", "algorithm", "length", "array length")
+
+
 def _proposals(spark, d):
-    k, name = F.col("p_partkey") % 7, F.col("p_name")
-    new = F.when(k == 0, "").when(k == 1, name).when(k == 2, F.upper(name)).when(k == 3, F.concat(name, F.lit("s"))).when(k == 4, F.concat(name, F.lit(" 42"))).when(k == 5, F.concat(F.lit("z"), name)).otherwise(F.regexp_replace(name, "e", "a"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("original"), new.alias("replacement"), (F.lit(0.5) + F.col("p_size") / 100.0).alias("confidence"), F.concat(F.lit("a "), name).alias("text"), F.when(F.col("p_size") % 9 == 0, 0).otherwise(2).alias("start"), F.array(F.regexp_replace(name, "e", "a"), F.concat(name, F.lit("s"))).alias("allowed"))
+    """Every part proposes one of the cases."""
+    fields = ("original", "replacement", "confidence", "answered", "detected", "shift", "after")
+    value = lambda v: F.lit(float(v)) if isinstance(v, float) else F.lit(v)
+    case = F.element_at(F.array(*[F.struct(*[value(v).alias(k) for k, v in zip(fields, c)]) for c in CASES]), (F.col("p_partkey") % len(CASES) + 1).cast("int"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", case.alias("c")).select("id", "p_name", "c.*")
+    text = F.concat("p_name", F.lit(" "), "detected", "after")
+    return rows.select("id", (F.col("id") + F.col("answered")).alias("answered_id"), "original", "replacement", "confidence", "detected", text.alias("text"), (F.length("p_name") + 1 + F.col("shift")).alias("start"), "after", F.array(F.lit("binary search")).alias("candidates"))
+
+
+def _judged(spark, d):
+    terms = spark.range(1).select(F.explode(F.array(*map(F.lit, _TERM_KEYS))).alias("key"))
+    return T.validate(_proposals(spark, d), terms)
 
 
-_PROPOSED = """prop AS (SELECT p_partkey AS id, p_name AS original, CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN p_name WHEN 2 THEN upper(p_name) WHEN 3 THEN p_name || 's' WHEN 4 THEN p_name || ' 42' WHEN 5 THEN 'z' || p_name ELSE replace(p_name, 'e', 'a') END AS replacement, 0.5 + p_size / 100.0 AS confidence, p_size FROM part),
-judged AS (SELECT id, replacement, CASE WHEN replacement = '' THEN 'empty_replacement' WHEN replacement = original THEN 'no_change' WHEN lower(replacement) = lower(original) THEN 'case_only' WHEN confidence < 0.7 THEN 'low_confidence' WHEN p_size % 9 = 0 THEN 'not_in_text'
- WHEN id % 7 = 4 THEN 'digits_changed' WHEN id % 7 = 5 THEN 'not_allowed' WHEN id % 7 = 3 THEN 'inflection_only' WHEN levenshtein(original, replacement) > 4 THEN 'too_far' END AS reason FROM prop)"""
+_REASONS = "[" + ", ".join("NULL" if c[-1] is None else f"'{c[-1]}'" for c in CASES) + "]"
+_NEW = "[" + ", ".join("'" + c[1].replace("\n", "' || chr(10) || '") + "'" for c in CASES) + "]"
+_PROPOSED = f"judged AS (SELECT p_partkey AS id, ({_NEW})[p_partkey % {len(CASES)} + 1] AS replacement, ({_REASONS})[p_partkey % {len(CASES)} + 1] AS reason FROM part)"
 
 
 @query("trm.validate", f"WITH {_PROPOSED} SELECT id, reason, reason IS NULL AS ok FROM judged")
 def validate(spark, d):
-    return T.validate(_proposals(spark, d)).select("id", "reason", "ok")
+    return _judged(spark, d).select("id", "reason", "ok")
 
 
 @query("trm.resolve", f"""WITH {_LOOKED}, {_PROPOSED}, i AS (SELECT c_custkey % 10 AS doc_id, c_custkey // 10 AS pos, c_custkey AS id FROM customer),
@@ -118,7 +164,7 @@ a AS (SELECT r.doc_id, r.id, CASE WHEN s > 20 THEN 'unrequested' WHEN j.id IS NU
 SELECT doc_id, id, 'memory' AS route, m AS correction FROM m WHERE m IS NOT NULL UNION ALL SELECT doc_id, id, route, CASE WHEN route = 'proposed' THEN replacement END FROM a""")
 def resolve(spark, d):
     issues = read(spark, d, "customer").select((F.col("c_custkey") % 10).alias("doc_id"), F.expr("c_custkey div 10").alias("pos"), F.col("c_custkey").alias("id"))
-    return T.resolve(issues, _looked(spark, d), T.validate(_proposals(spark, d)))
+    return T.resolve(issues, _looked(spark, d), _judged(spark, d))
 
 
 @query("trm.request_batch", """WITH a AS (SELECT p_partkey // 4 AS answer_id, p_partkey % 4 AS place, p_partkey % 500 AS id, p_name AS replacement, p_retailprice AS confidence FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY answer_id, place) AS r FROM a WHERE id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)) SELECT id, replacement, confidence FROM k WHERE r = 1""")

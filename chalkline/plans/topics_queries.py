@@ -1,22 +1,31 @@
-"""Queries over topic mapping: documents in fixed chunks against the catalogue made of benchmark."""
+"""Queries over topic mapping: lessons made of documents, in fixed chunks, against the catalogue made of benchmark."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from chalkline.operators import topics as T
-from chalkline.operators.chunking import dot
-from chalkline.plans.bridges import ALIASES, CHUNKS, aliases, chunks, concepts, read
+from chalkline.operators.vectors import hashed_scores
+from chalkline.plans.bridges import ALIASES, LESSON, aliases, chunks, concepts, lesson_chunks, lesson_sentences, read
 from chalkline.plans.registry import query
 
-TOK = f"""{CHUNKS}, tok AS (SELECT doc_id, chunk_id, pos, sentence, list_filter(string_split(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM chunked),
+
+def _sql(family):
+    return "'" + "|".join(family).replace("'", "''") + "'"
+
+
+TOK = f"""{LESSON}, tok AS (SELECT *, list_filter(string_split(low, ' '), lambda x: x <> '') AS t FROM (SELECT *, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS low FROM lesson)),
 p1 AS (SELECT doc_id, chunk_id, pos, t, unnest(range(len(t)))::INTEGER AS start FROM tok),
 grams AS (SELECT doc_id, chunk_id, pos, start, 1 AS n, t[start + 1] AS gram FROM p1 UNION ALL SELECT doc_id, chunk_id, pos, start, 2, t[start + 1] || ' ' || t[start + 2] FROM p1 WHERE start + 2 <= len(t))"""
 HITS = f"{TOK}, {ALIASES}, hits AS (SELECT g.doc_id, g.chunk_id, g.pos, g.start, g.n, a.alias, a.concept_id, a.ambiguous FROM grams g JOIN aliases a ON a.alias = g.gram AND a.n_words = g.n)"
-KW = f"""{HITS}, kw AS (SELECT doc_id, chunk_id, concept_id, count(DISTINCT alias) AS n_aliases, count(DISTINCT pos) AS n_sentences, count(*) AS n_hits, bool_and(n = 1) AS single_only, bool_and(ambiguous) AS ambiguous_only,
- round(least(1.0::DOUBLE, max(CASE n WHEN 1 THEN 0.50::DOUBLE WHEN 2 THEN 0.72 ELSE 0.82 END) + 0.08::DOUBLE * (count(DISTINCT alias) - 1) + 0.05::DOUBLE * least(3, count(DISTINCT pos) - 1) + 0.02::DOUBLE * least(4, count(*) - 1)), 6) AS keyword_score FROM hits GROUP BY 1, 2, 3)"""
-SEM = f"""{KW}, sem AS (SELECT k.doc_id, k.chunk_id, k.concept_id, round(greatest(0.0, 3 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))), 6) AS semantic_score
- FROM kw k JOIN embeddings a ON a.vec_id = k.concept_id[2:]::BIGINT JOIN embeddings b ON b.vec_id = (k.doc_id * 7 + k.chunk_id) % 500),
+VALID = f"""{HITS}, x AS (SELECT 'c' || item_id AS concept_id, w[2] || ' ' || w[3] AS phrase FROM bw WHERE len(w) >= 3), bad AS (SELECT g.doc_id, g.chunk_id, g.pos, g.start, g.n, x.concept_id FROM grams g JOIN x ON x.phrase = g.gram AND g.n = 2),
+valid AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.doc_id = h.doc_id AND b.chunk_id = h.chunk_id AND b.pos = h.pos AND b.concept_id = h.concept_id AND h.start < b.start + b.n AND h.start + h.n > b.start))"""
+KW = f"""{VALID}, kw AS (SELECT doc_id, chunk_id, concept_id, count(DISTINCT alias) AS n_aliases, count(DISTINCT pos) AS n_sentences, count(*) AS n_hits, bool_and(n = 1) AS single_only, bool_and(ambiguous) AS ambiguous_only,
+ round(least(1.0::DOUBLE, max(CASE n WHEN 1 THEN 0.50::DOUBLE WHEN 2 THEN 0.72 ELSE 0.82 END) + 0.08::DOUBLE * (count(DISTINCT alias) - 1) + 0.05::DOUBLE * least(3, count(DISTINCT pos) - 1) + 0.02::DOUBLE * least(4, count(*) - 1)), 6) AS keyword_score FROM valid GROUP BY 1, 2, 3)"""
+_SLOT = "(('0x' || md5({0})[1:8])::BIGINT % 384)::INTEGER"
+SEM = f"""{KW}, cf AS (SELECT doc_id, chunk_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id)) AS v FROM (SELECT doc_id, chunk_id, {_SLOT.format("gram")} AS slot, count(*) AS n FROM grams WHERE n = 1 GROUP BY 1, 2, 3)),
+ff AS (SELECT concept_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY concept_id)) AS v FROM (SELECT concept_id, {_SLOT.format("word")} AS slot, count(*) AS n FROM (SELECT 'c' || item_id AS concept_id, unnest(w) AS word FROM bw) GROUP BY 1, 2)),
+sem AS (SELECT doc_id, chunk_id, concept_id, round(sum(cf.v * ff.v), 6) AS semantic_score FROM cf JOIN ff USING (slot) JOIN kw USING (doc_id, chunk_id, concept_id) GROUP BY 1, 2, 3),
 terms AS (SELECT 'c' || item_id AS concept_id, unnest([w[3], w[4]]) AS term, unnest(['supporting', 'conflicting']) AS kind FROM bw WHERE len(w) >= 4),
 ctx AS (SELECT g.doc_id, g.chunk_id, t.concept_id, coalesce(list_sort(list(DISTINCT gram) FILTER (kind = 'supporting')), []) AS supporting, coalesce(list_sort(list(DISTINCT gram) FILTER (kind = 'conflicting')), []) AS conflicting FROM grams g JOIN terms t ON t.term = g.gram AND g.n = 1 GROUP BY 1, 2, 3)"""
 CAND = f"""{SEM}, c1 AS (SELECT kw.*, coalesce(semantic_score, 0.0) AS semantic_score, len(coalesce(supporting, []))::INTEGER AS n_context, len(coalesce(conflicting, []))::INTEGER AS n_conflicting FROM kw LEFT JOIN sem USING (doc_id, chunk_id, concept_id) LEFT JOIN ctx USING (doc_id, chunk_id, concept_id)),
@@ -24,17 +33,25 @@ c2 AS (SELECT *, CASE WHEN ambiguous_only THEN semantic_score >= 0.50 AND n_cont
  round(0.55 * greatest(0.0, least(1.0, semantic_score)) + 0.25 * least(1.0, n_sentences / 3.0::DOUBLE) + 0.20 * least(1.0, n_aliases / 2.0::DOUBLE), 9) AS salience FROM c1),
 c3 AS (SELECT *, round(greatest(0.58 * semantic_score + 0.42 * keyword_score, CASE WHEN single_only THEN 0.72 ELSE 0.88 END * keyword_score, 0.82 * semantic_score) * (0.85 + 0.15 * salience), 6) AS confidence FROM c2),
 cand AS (SELECT *, CASE WHEN semantic_score >= 0.50 THEN 'hybrid' ELSE 'keyword' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY confidence DESC, salience DESC, semantic_score DESC, keyword_score DESC, concept_id)::INTEGER AS rank FROM c3 WHERE gate AND confidence >= 0.30) WHERE rank <= 12)"""
-EVID = f"""{CAND}, ev AS (SELECT doc_id, chunk_id, concept_id, list_sort(list(DISTINCT pos)) AS evidence FROM hits GROUP BY 1, 2, 3),
-dep AS (SELECT doc_id, chunk_id, pos, CASE WHEN regexp_matches(lower(sentence), '^on ') THEN 0 WHEN regexp_matches(lower(sentence), 'tion ') THEN 4 WHEN regexp_matches(lower(sentence), 'ing ') THEN 3 WHEN regexp_matches(lower(sentence), 'the ') THEN 2 WHEN regexp_matches(lower(sentence), 'and') THEN 1 ELSE 0 END AS depth FROM tok),
-md AS (SELECT h.doc_id, h.chunk_id, h.concept_id, max(depth) AS max_depth FROM hits h JOIN dep USING (doc_id, chunk_id, pos) GROUP BY 1, 2, 3),
-q1 AS (SELECT c.*, evidence, max_depth, n_sentences = 1 AND chunk_id % 5 = 0 AS recap_only, n_hits <= 2 AND chunk_id % 7 = 3 AS comparison_only FROM cand c JOIN ev USING (doc_id, chunk_id, concept_id) JOIN md USING (doc_id, chunk_id, concept_id)),
-q2 AS (SELECT *, greatest(0.0, least(1.0, 0.45 * ([0.34::DOUBLE, 0.50, 0.68, 0.84, 0.95])[max_depth + 1] + 0.25 * salience + 0.20 * semantic_score + 0.10 * least(1.0, n_context / 2.0::DOUBLE) - (CASE WHEN recap_only THEN 0.18 ELSE 0.0 END + CASE WHEN comparison_only THEN 0.16 ELSE 0.0 END))) AS q FROM q1),
-qual AS (SELECT *, round(q, 6) AS quality, round(0.72 * confidence + 0.28 * q, 6) AS adjusted FROM q2)"""
-DEPTH_WORDS = ((0, "^on "), (4, "tion "), (3, "ing "), (2, "the "), (1, "and"))
+_HAS = lambda f: f"regexp_matches(low, {_sql(f)})"
+DEP = f"dep AS (SELECT doc_id, chunk_id, pos, CASE WHEN low = '' THEN 0 WHEN {_HAS(T.PRACTICE)} AND ({_HAS(T.WORKED_EXAMPLE)} OR {_HAS(T.EXPLANATION)}) THEN 4 WHEN {_HAS(T.WORKED_EXAMPLE)} THEN 3 WHEN {_HAS(T.EXPLANATION)} THEN 2 WHEN {_HAS(T.DEFINITION)} THEN 1 WHEN {_HAS(T.MENTION)} THEN 0 ELSE 1 END AS depth, {_HAS(T.RECAP)} AS recap_like FROM tok)"
+_CMP = f"""fl AS (SELECT doc_id, chunk_id, flatten(list(t ORDER BY pos)) AS flat FROM tok GROUP BY 1, 2), off AS (SELECT doc_id, chunk_id, pos, coalesce(sum(len(t)) OVER (PARTITION BY doc_id, chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM tok),
+near AS (SELECT h.*, regexp_matches(array_to_string(flat[greatest(0, o + start - 16) + 1:o + start + n + 16], ' '), {_sql(T.COMPARISON)}) AS c FROM {{0}} h JOIN fl USING (doc_id, chunk_id) JOIN off USING (doc_id, chunk_id, pos) WHERE n > 1),
+cmp AS (SELECT doc_id, chunk_id, concept_id, count(*) AS n_long_hits, count(*) FILTER (c) AS n_compared FROM near GROUP BY 1, 2, 3)"""
+EVID = f"""{CAND}, {DEP}, {_CMP.format("valid")}, es AS (SELECT DISTINCT v.doc_id, v.chunk_id, v.concept_id, v.pos, depth, recap_like FROM valid v JOIN cand USING (doc_id, chunk_id, concept_id) JOIN dep ON dep.doc_id = v.doc_id AND dep.chunk_id = v.chunk_id AND dep.pos = v.pos),
+sh AS (SELECT *, recap_like AND count(*) OVER (PARTITION BY doc_id, chunk_id, pos) >= 3 AS shared FROM es),
+ev AS (SELECT doc_id, chunk_id, concept_id, list_sort(list(pos)) AS evidence, count(*) FILTER (shared) AS n_recap, count(*) FILTER (NOT shared) AS n_substantive, coalesce(max(depth) FILTER (NOT shared), 0) AS deepest, count(*) FILTER (NOT shared AND depth >= 1) AS om, count(*) FILTER (NOT shared AND depth >= 2) AS ex FROM sh GROUP BY 1, 2, 3),
+q1 AS (SELECT c.*, evidence, n_recap, n_substantive, CASE WHEN n_substantive >= 3 AND ex >= 2 OR n_substantive >= 2 AND om >= 2 AND deepest >= 2 THEN 4 ELSE deepest END AS max_depth, n_recap > 0 AND n_substantive = 0 AS recap_only, coalesce(n_long_hits > 0 AND n_compared = n_long_hits AND n_long_hits <= 2, false) AS comparison_only,
+ n_conflicting > 0 AND ambiguous_only AND n_context < 1 AS collision FROM cand c JOIN ev USING (doc_id, chunk_id, concept_id) LEFT JOIN cmp USING (doc_id, chunk_id, concept_id)),
+q2 AS (SELECT *, 0.45::DOUBLE * ([0.34::DOUBLE, 0.50, 0.68, 0.84, 0.95])[max_depth + 1] + 0.25::DOUBLE * salience + 0.20::DOUBLE * greatest(0.0, least(1.0, semantic_score)) + 0.10::DOUBLE * CASE WHEN n_context >= 1 THEN 1.0::DOUBLE WHEN collision THEN 0.20 WHEN ambiguous_only THEN 0.35 ELSE 0.70 END AS raw FROM q1),
+q3 AS (SELECT *, CASE WHEN max_depth = 0 THEN least(raw, 0.34::DOUBLE) ELSE raw END AS capped FROM q2),
+q4 AS (SELECT *, CASE WHEN n_recap > 0 THEN greatest(0.0, capped - 0.18::DOUBLE * n_recap / greatest(1, n_recap + n_substantive)) ELSE capped END AS less FROM q3),
+q5 AS (SELECT *, CASE WHEN comparison_only THEN greatest(0.0, less - 0.16::DOUBLE) ELSE less END AS q FROM q4),
+qual AS (SELECT *, round(q, 4) AS quality, round(0.72::DOUBLE * confidence + 0.28::DOUBLE * q, 4) AS adjusted FROM q5)"""
 
 
 def tokenised(spark, d):
-    return T.tokens(chunks(read(spark, d, "documents")))
+    return T.tokens(lesson_sentences(read(spark, d, "documents")))
 
 
 def runs(spark, d):
@@ -46,57 +63,60 @@ def hits(spark, d):
 
 
 def bench_words(spark, d):
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
-    return read(spark, d, "benchmark").select(F.concat(F.lit("c"), "item_id").alias("concept_id"), words.alias("w"))
+    return read(spark, d, "benchmark").select(F.concat(F.lit("c"), "item_id").alias("concept_id"), T.words_of(F.col("text")).alias("w"))
+
+
+def catalogue_terms(spark, d):
+    """gram, kind, concept_id, ambiguous: aliases, excluded phrases, supporting and conflicting words of the catalogue."""
+    term = lambda gram, kind: F.struct(gram.alias("gram"), F.lit(kind).alias("kind"))
+    w = bench_words(spark, d)
+    at = lambda k: F.get("w", F.lit(k - 1))
+    more = w.where(F.size("w") >= 3).select("concept_id", F.explode(F.array(
+        term(F.array_join(F.slice("w", 2, 2), " "), "excluded"), term(at(3), "supporting"), term(at(4), "conflicting"))).alias("x"), F.size("w").alias("size"))
+    rest = more.where("x.kind = 'excluded' or size >= 4").select("x.gram", "x.kind", "concept_id", F.lit(False).alias("ambiguous"))
+    return aliases(concepts(spark, d)).select(F.col("alias").alias("gram"), F.lit("alias").alias("kind"), "concept_id", "ambiguous").unionByName(rest.distinct())
 
 
 def contexts(spark, d, of):
-    w = bench_words(spark, d).where(F.size("w") >= 4)
-    term = lambda k, kind: F.struct(F.element_at("w", k).alias("term"), F.lit(kind).alias("kind"))
-    return T.context_terms(of, w.select("concept_id", F.explode(F.array(term(3, "supporting"), term(4, "conflicting"))).alias("x")).select("concept_id", "x.*"))
+    return T.context_terms(of, catalogue_terms(spark, d).where("kind in ('supporting', 'conflicting')").select("concept_id", F.col("gram").alias("term"), "kind"))
+
+
+def lexical(spark, d):
+    return T.lexical_evidence(lesson_chunks(read(spark, d, "documents")), catalogue_terms(spark, d))
 
 
 def semantic(spark, d, keys):
-    e = read(spark, d, "embeddings")
-    a = e.select(F.concat(F.lit("c"), "vec_id").alias("concept_id"), F.col("embedding").alias("a"))
-    b = e.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("b"))
-    joined = keys.select(*T.CANDIDATE).join(a, "concept_id").withColumn("_v", (F.col("doc_id") * 7 + F.col("chunk_id")) % 500).join(b, "_v")
-    return joined.select(*T.CANDIDATE, F.round(F.greatest(F.lit(0.0), 3 * dot(F.col("a"), F.col("b"))), 6).alias("semantic_score"))
+    """Cosine of the hashed words of a candidate's chunk and of its concept's text."""
+    words = tokenised(spark, d).select(*T.CHUNK, F.explode("t").alias("word"))
+    of = bench_words(spark, d).select("concept_id", F.explode("w").alias("word"))
+    return hashed_scores(words, of, T.CHUNK, "concept_id", keys.select(*T.CANDIDATE))
 
 
 def candidates(spark, d):
-    found = runs(spark, d)
-    lexical = T.keyword_scores(T.phrase_hits(found, aliases(concepts(spark, d))))
-    return T.extract(lexical, semantic(spark, d, lexical), contexts(spark, d, found))
+    found = lexical(spark, d)
+    return T.extract(found, semantic(spark, d, found))
 
 
 def judged(spark, d):
-    tok = tokenised(spark, d)
-    own = hits(spark, d)
-    ev = own.groupBy(*T.CANDIDATE).agg(F.array_sort(F.collect_set("pos")).alias("evidence"))
-    deep = own.join(tok.select(*T.CHUNK, "pos", T.depth(F.col("sentence"), DEPTH_WORDS).alias("depth")), [*T.CHUNK, "pos"]).groupBy(*T.CANDIDATE).agg(F.max("depth").alias("max_depth"))
-    c = candidates(spark, d).withColumn("n_conflicting", F.size(F.coalesce("conflicting", F.array()))).join(ev, T.CANDIDATE).join(deep, T.CANDIDATE)
-    c = c.withColumn("recap_only", (F.col("n_sentences") == 1) & (F.col("chunk_id") % 5 == 0)).withColumn("comparison_only", (F.col("n_hits") <= 2) & (F.col("chunk_id") % 7 == 3))
-    return T.quality(c)
+    found = lexical(spark, d)
+    return T.judge(found, semantic(spark, d, found)).withColumn("evidence", F.transform("evidence", lambda e: e["pos"]))
 
 
 query("map.phrase", f"WITH {HITS} SELECT * FROM hits")(hits)
 
 
-@query("map.exclude", f"WITH {HITS}, x AS (SELECT 'c' || item_id AS concept_id, w[2] || ' ' || w[3] AS phrase FROM bw WHERE len(w) >= 3), bad AS (SELECT g.doc_id, g.chunk_id, g.pos, g.start, g.n, x.concept_id FROM grams g JOIN x ON x.phrase = g.gram AND g.n = 2) SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.doc_id = h.doc_id AND b.chunk_id = h.chunk_id AND b.pos = h.pos AND b.concept_id = h.concept_id AND h.start < b.start + b.n AND h.start + h.n > b.start)")
+@query("map.exclude", f"WITH {VALID} SELECT * FROM valid")
 def exclude(spark, d):
-    found = runs(spark, d)
-    excluded = bench_words(spark, d).where(F.size("w") >= 3).select("concept_id", F.array_join(F.slice("w", 2, 2), " ").alias("phrase"))
-    return T.without_excluded(T.phrase_hits(found, aliases(concepts(spark, d))), found, excluded)
+    valid = T.valid_aliases(T.term_hits(runs(spark, d), catalogue_terms(spark, d).where("kind in ('alias', 'excluded')")))
+    return valid.select(*T.CHUNK, "pos", "start", "n", F.col("gram").alias("alias"), "concept_id", "ambiguous")
 
 
 PATTERNS = (("c1", "double", "the [a-z]+ing", 0.6), ("c2", "end", "tion[.]$", 0.4))
 
 
-@query("map.pattern", f"WITH {CHUNKS}, p AS (SELECT * FROM (VALUES ('c1', 'double', 'the [a-z]+ing', 0.6::DOUBLE), ('c2', 'end', 'tion[.]$', 0.4::DOUBLE)) t(concept_id, label, regex, weight)) SELECT doc_id, chunk_id, pos, concept_id, label, weight, len(CASE concept_id WHEN 'c1' THEN regexp_extract_all(sentence, 'the [a-z]+ing') ELSE regexp_extract_all(sentence, 'tion[.]$') END)::INTEGER AS hits FROM chunked JOIN p ON CASE concept_id WHEN 'c1' THEN regexp_matches(sentence, 'the [a-z]+ing') ELSE regexp_matches(sentence, 'tion[.]$') END")
+@query("map.pattern", f"WITH {LESSON}, p AS (SELECT * FROM (VALUES ('c1', 'double', 'the [a-z]+ing', 0.6::DOUBLE), ('c2', 'end', 'tion[.]$', 0.4::DOUBLE)) t(concept_id, label, regex, weight)) SELECT doc_id, chunk_id, pos, concept_id, label, weight, len(CASE concept_id WHEN 'c1' THEN regexp_extract_all(sentence, 'the [a-z]+ing') ELSE regexp_extract_all(sentence, 'tion[.]$') END)::INTEGER AS hits FROM lesson JOIN p ON CASE concept_id WHEN 'c1' THEN regexp_matches(sentence, 'the [a-z]+ing') ELSE regexp_matches(sentence, 'tion[.]$') END")
 def pattern(spark, d):
-    table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {w}D)" for a, b, c, w in PATTERNS) + " t(concept_id, label, regex, weight)")
-    return T.pattern_hits(chunks(read(spark, d, "documents")), table)
+    return T.pattern_hits(lesson_sentences(read(spark, d, "documents")), PATTERNS)
 
 
 @query("map.context", f"WITH {SEM} SELECT * FROM ctx")
@@ -106,7 +126,7 @@ def context(spark, d):
 
 @query("map.keyword_score", f"WITH {KW} SELECT * FROM kw")
 def keyword_score(spark, d):
-    return T.keyword_scores(hits(spark, d))
+    return T.keyword_scores(exclude(spark, d))
 
 
 _SCORED = ["doc_id", "chunk_id", "concept_id"]
@@ -118,10 +138,9 @@ def gate(spark, d):
 
 
 def _c1(spark, d):
-    found = runs(spark, d)
-    lexical = T.keyword_scores(T.phrase_hits(found, aliases(concepts(spark, d))))
-    joined = lexical.join(semantic(spark, d, lexical), _SCORED, "left").join(contexts(spark, d, found), _SCORED, "left").fillna({"semantic_score": 0.0})
-    return joined.withColumn("n_context", F.size(F.coalesce("supporting", F.array())))
+    found = lexical(spark, d)
+    joined = found.join(semantic(spark, d, found), _SCORED, "left").fillna({"semantic_score": 0.0})
+    return joined.withColumn("n_context", F.size("supporting"))
 
 
 @query("map.salience", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, salience FROM c2")
@@ -141,8 +160,11 @@ def extract(spark, d):
 
 @query("map.redundancy")
 def redundancy(spark, d):
-    c = judged(spark, d).join(concepts(spark, d).select("concept_id", "section"), "concept_id")
-    return T.drop_redundant(c.select(*_SCORED, "rank", "section", "evidence"))
+    """The catalogue's first concept of a section is the parent of the others."""
+    of = concepts(spark, d).select("concept_id", "section")
+    parents = of.groupBy("section").agg(F.min("concept_id").alias("parent"))
+    family = of.join(parents, "section").withColumn("parent", F.when(F.col("parent") != F.col("concept_id"), F.col("parent")))
+    return T.drop_redundant(judged(spark, d).join(T.small(family), "concept_id"))
 
 
 @query("map.relevance", f"WITH {CAND}, nw AS (SELECT doc_id, chunk_id, sum(len(words)) AS n_words FROM chunked GROUP BY 1, 2), a AS (SELECT doc_id, chunk_id, count(*) FILTER (confidence >= 0.46) AS n_kept, least(3, count(*) FILTER (confidence < 0.46)) AS n_rejected, max(confidence) AS best, max(n_words)::BIGINT AS n_words FROM cand JOIN nw USING (doc_id, chunk_id) GROUP BY 1, 2) SELECT *, round(CASE WHEN n_kept > 0 THEN least(0.95, best + least(0.06, 0.02 * (n_kept - 1))) ELSE 0.0 END, 6) AS score, n_kept = 0 AND n_words >= 80 AND best >= 0.34 AS fallback FROM a")
@@ -151,42 +173,48 @@ def relevance(spark, d):
     return T.relevance(candidates(spark, d).join(words, ["doc_id", "chunk_id"]))
 
 
-@query("map.depth", f"WITH {EVID} SELECT * FROM dep")
+@query("map.depth", f"WITH {TOK}, {DEP} SELECT doc_id, chunk_id, pos, depth FROM dep")
 def map_depth(spark, d):
-    return tokenised(spark, d).select("doc_id", "chunk_id", "pos", T.depth(F.col("sentence"), DEPTH_WORDS).alias("depth"))
+    return lesson_sentences(read(spark, d, "documents")).select("doc_id", "chunk_id", "pos", T.depth(F.col("sentence")).alias("depth"))
 
 
-@query("map.recap", f"WITH {HITS}, m AS (SELECT doc_id, chunk_id, pos, count(DISTINCT concept_id) AS n_concepts FROM hits GROUP BY 1, 2, 3) SELECT m.* FROM m JOIN tok USING (doc_id, chunk_id, pos) WHERE n_concepts >= 3 AND regexp_matches(lower(sentence), 'and|tion')")
+@query("map.recap", f"WITH {HITS}, {DEP}, m AS (SELECT doc_id, chunk_id, pos, count(DISTINCT concept_id) AS n_concepts FROM hits GROUP BY 1, 2, 3) SELECT m.* FROM m JOIN dep USING (doc_id, chunk_id, pos) WHERE n_concepts >= 3 AND recap_like")
 def recap(spark, d):
-    return T.recaps(hits(spark, d), tokenised(spark, d), "and|tion")
+    return T.recaps(hits(spark, d), lesson_sentences(read(spark, d, "documents")))
 
 
-@query("map.comparison", f"WITH {HITS}, s AS (SELECT h.*, regexp_matches(array_to_string(t[greatest(1, start + 1 - 16):greatest(1, start + 1 - 16) + n + 32 - 1], ' '), 'and the') AS c FROM hits h JOIN tok USING (doc_id, chunk_id, pos) WHERE n > 1), a AS (SELECT doc_id, chunk_id, concept_id, count(*) AS n_long_hits, count(*) FILTER (c) AS n_compared FROM s GROUP BY 1, 2, 3) SELECT *, n_compared = n_long_hits AND n_long_hits <= 2 AS comparison_only FROM a")
+@query("map.comparison", f"WITH {HITS}, {_CMP.format('hits')} SELECT *, n_compared = n_long_hits AND n_long_hits <= 2 AS comparison_only FROM cmp")
 def comparison(spark, d):
-    return T.comparisons(hits(spark, d), tokenised(spark, d), "and the")
+    told = T.grams(T.with_neighbours(lesson_chunks(read(spark, d, "documents"))), (2,), carry=("near", "before"))
+    long = told.join(T.small(catalogue_terms(spark, d).where("kind = 'alias'")), "gram")
+    return T.comparisons(long.withColumn("compares", T.compares()).drop("near", "before"))
 
 
-@query("map.quality", f"WITH {EVID} SELECT doc_id, chunk_id, concept_id, max_depth, quality, adjusted FROM qual")
+@query("map.quality", f"WITH {EVID} SELECT doc_id, chunk_id, concept_id, max_depth, recap_only, comparison_only, collision, quality, adjusted FROM qual")
 def map_quality(spark, d):
-    return judged(spark, d).select(*_SCORED, "max_depth", "quality", "adjusted")
+    return judged(spark, d).select(*_SCORED, "max_depth", "recap_only", "comparison_only", "collision", "quality", "adjusted")
 
 
-_REASON = "CASE WHEN n_conflicting > 0 AND n_context = 0 THEN 'context_collision' WHEN ambiguous_only AND n_context = 0 THEN 'ambiguous_without_context' WHEN recap_only THEN 'recap_only' WHEN comparison_only THEN 'comparison_only' WHEN max_depth = 0 AND n_sentences = 1 AND n_hits = 1 THEN 'mention_only' WHEN adjusted < 0.46 THEN 'low_score' END"
+_REASON = "CASE WHEN collision THEN 'context_collision' WHEN ambiguous_only AND n_context = 0 THEN 'ambiguous_without_context' WHEN recap_only THEN 'recap_only' WHEN comparison_only THEN 'comparison_only' WHEN max_depth = 0 THEN 'mention_only' WHEN adjusted < 0.46 THEN 'low_score' END"
 
 
 @query("map.reject_reason", f"WITH {EVID} SELECT doc_id, chunk_id, concept_id, {_REASON} AS reason FROM qual")
 def map_reason(spark, d):
-    return judged(spark, d).select(*_SCORED, T.reject_reason().alias("reason"))
+    return judged(spark, d).select(*_SCORED, "reason")
 
 
 @query("map.competition")
 def competition(spark, d):
-    return T.compete(judged(spark, d).select(*_SCORED, "adjusted", "evidence"))
+    kept = judged(spark, d).where("reason is null")
+    return T.compete(kept.withColumn("evidence", F.transform("evidence", lambda p: F.struct(p.alias("pos")))))
 
 
+#: families of topics outside the catalogue, and domains: the rest of benchmark's words and the texts of its last items
 _FAM = f"{HITS}, fam AS (SELECT 'f' || item_id % 6 AS rough_topic, w[5] AS alias FROM bw WHERE len(w) >= 5 UNION SELECT 'f' || item_id % 6, w[6] FROM bw WHERE len(w) >= 6), seen AS (SELECT g.doc_id, g.chunk_id, g.pos, g.gram, f.rough_topic FROM grams g JOIN fam f ON f.alias = g.gram WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = g.doc_id AND h.chunk_id = g.chunk_id AND h.pos = g.pos AND h.alias = g.gram)), lex AS (SELECT doc_id, chunk_id, rough_topic, count(DISTINCT gram) AS n_aliases, count(*) AS n_hits, min(pos) AS pos, round(least(0.95::DOUBLE, 0.40::DOUBLE + 0.12::DOUBLE * count(DISTINCT gram) + 0.04::DOUBLE * count(*)), 6) AS score FROM seen GROUP BY 1, 2, 3 HAVING count(DISTINCT gram) >= 2 AND count(*) >= 3)"
-_SIG = f"""{_FAM}, sc AS (SELECT t.doc_id, t.chunk_id, t.pos, e.label AS domain, round(3 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)), 6) AS score FROM (SELECT doc_id, chunk_id, pos FROM tok WHERE pos < 6) t JOIN embeddings a ON a.vec_id = (t.doc_id * 31 + t.pos) % 500 JOIN embeddings e ON e.vec_id BETWEEN 20 AND 25),
-bs AS (SELECT doc_id, chunk_id, pos, arg_max(domain, score * 1000 + domain * 1e-7) AS domain, max(score) AS score FROM sc GROUP BY 1, 2, 3 HAVING max(score) >= 0.48),
+_SIG = f"""{_FAM}, sf AS (SELECT doc_id, chunk_id, pos, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id, pos)) AS v FROM (SELECT doc_id, chunk_id, pos, {_SLOT.format("gram")} AS slot, count(*) AS n FROM grams WHERE n = 1 GROUP BY 1, 2, 3, 4)),
+df AS (SELECT domain, slot, n / sqrt(sum(n * n) OVER (PARTITION BY domain)) AS v FROM (SELECT domain, {_SLOT.format("word")} AS slot, count(*) AS n FROM (SELECT 'd' || item_id % 9 AS domain, unnest(w) AS word FROM bw) GROUP BY 1, 2)),
+sc AS (SELECT doc_id, chunk_id, pos, domain, round(sum(sf.v * df.v), 6) AS score FROM sf JOIN df USING (slot) GROUP BY 1, 2, 3, 4),
+bs AS (SELECT doc_id, chunk_id, pos, max(domain) FILTER (score = top) AS domain, max(score) AS score FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, chunk_id, pos) AS top FROM sc) GROUP BY 1, 2, 3 HAVING max(score) >= 0.48),
 sg AS (SELECT doc_id, chunk_id, domain, count(*) AS n_sentences, max(score) AS score, min(pos) AS pos FROM bs GROUP BY 1, 2, 3 HAVING count(*) >= 2 OR max(score) >= 0.60),
 bo AS (SELECT doc_id, chunk_id, rough_topic AS topic, score, 'lexical' AS method FROM lex UNION ALL SELECT doc_id, chunk_id, domain::VARCHAR, score, 'semantic' FROM sg WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.doc_id = sg.doc_id AND l.chunk_id = sg.chunk_id AND l.pos = sg.pos)),
 sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, method, topic)::INTEGER AS rank FROM bo) WHERE rank <= 4)"""
@@ -200,11 +228,10 @@ def _lex(spark, d):
 
 
 def _sem(spark, d):
-    e = read(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("a"))
-    domains = e.where("vec_id between 20 and 25").select(F.col("label").alias("domain"), F.col("embedding").alias("b"))
-    base = tokenised(spark, d).where("pos < 6").select("doc_id", "chunk_id", "pos", ((F.col("doc_id") * 31 + F.col("pos")) % 500).alias("_v")).join(a, "_v")
-    return T.unmapped_semantic(base.join(F.broadcast(domains)).select("doc_id", "chunk_id", "pos", "domain", F.round(3 * dot(F.col("a"), F.col("b")), 6).alias("score")))
+    """Every sentence against every domain, by hashed words."""
+    words = tokenised(spark, d).select(*T.CHUNK, "pos", F.explode("t").alias("word"))
+    domains = bench_words(spark, d).select(F.concat(F.lit("d"), F.substring("concept_id", 2, 9).cast("int") % 9).alias("domain"), F.explode("w").alias("word"))
+    return T.unmapped_semantic(hashed_scores(words, domains, [*T.CHUNK, "pos"], "domain").withColumnRenamed("semantic_score", "score"))
 
 
 @query("map.unmapped_lexical", f"WITH {_FAM} SELECT * FROM lex")
@@ -230,7 +257,7 @@ cls AS (SELECT *, CASE WHEN overlap_words > 0 AND len(b) > 0 AND len(list_filter
 
 def _classes(spark, d):
     base = chunks(read(spark, d, "documents")).select("doc_id", "chunk_id").distinct()
-    j = judged(spark, d).withColumn("reason", T.reject_reason())
+    j = judged(spark, d)
     k = j.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), F.col("concept_id")))).alias("concepts"), F.count_if(F.col("reason").isNotNull()).alias("n_rejected"))
     full = base.join(k, ["doc_id", "chunk_id"], "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>"))).fillna({"n_rejected": 0})
     full = full.withColumn("n_signals", F.when(F.col("chunk_id") % 4 == 2, 1).otherwise(0)).withColumn("overlap_words", F.when(F.col("chunk_id") % 3 == 1, 9).otherwise(0))

@@ -58,11 +58,32 @@ def test_long_sentences(spark):
     assert [len(r.piece.split()) for r in chunking.split_long(s).orderBy("piece_no").collect()] == [38, 21]
 
 
-def test_detection_and_spans(spark):
-    terms = terminology.vocabulary(spark.createDataFrame([("binary search", 1), ("algorithm", 1), ("linked list", 1)], "term string, priority int"))
-    s = spark.createDataFrame([(1, 0, "we use binery search and an algoritm here".split()), (1, 1, "a linked list".split())], "doc_id long, pos int, tokens array<string>")
-    found = terminology.detect(s, terms).collect()
-    assert {(r.original, r.term) for r in found} == {("binery search", "binary search"), ("algoritm", "algorithm")}
+TERMS = ("while loop", "array index", "algorithm", "array length", "sorting algorithm", "return value", "syntax error", "for loop", "subroutine", "if statement", "binary search")
+
+
+def sentences(spark, *texts):
+    return spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, sentence string")
+
+
+def vocabulary(spark, *terms):
+    return terminology.vocabulary(spark.createDataFrame([(t, 1) for t in terms], "term string, priority int"))
+
+
+def test_detection_finds_misspelt_terms_only(spark):
+    found = terminology.detect(sentences(spark, "The wild loop checks the array index.", "The algoritm uses the array lenght."), vocabulary(spark, *TERMS)).collect()
+    assert {(r.original, r.term) for r in found} >= {("wild loop", "while loop"), ("algoritm", "algorithm"), ("array lenght", "array length")}
+    clean = (
+        "for i from one while i less than array length.", "let's do another array same algorithm.", "when tracing while loops watch initialization.", "function returns value and procedure performs task.",
+        "why use subroutines for decomposition and reuse.", "while low less than or equal high compare target.", "if condition used OR, loop might continue.", "syntax or name error depending language.",
+    )
+    assert terminology.detect(sentences(spark, *clean), vocabulary(spark, *TERMS)).collect() == []
+    control = terminology.detect(sentences(spark, "while lop less than high", "while lop <= high", "the while lop starts"), vocabulary(spark, "while loop")).collect()
+    assert [(r.pos, r.original) for r in control] == [(2, "while lop")]
+    phrase = terminology.detect(sentences(spark, "we use binery searches here"), vocabulary(spark, "binary search")).collect()
+    assert [(r.start, r.n, r.original) for r in phrase] == [(2, 2, "binery searches")]
+
+
+def test_spans(spark):
     spans = spark.createDataFrame([(1, 0, 0, 1, 0.9), (1, 0, 0, 2, 0.8), (1, 0, 2, 1, 0.9)], "doc_id long, pos int, start int, n int, score double")
     assert sorted((r.start, r.n) for r in terminology.pick_spans(spans).collect()) == [(0, 2), (2, 1)]
     c = spark.createDataFrame([(1, 0, 4, "a"), (1, 2, 6, "b"), (1, 5, 8, "c")], "id long, start int, stop int, replacement string")
@@ -71,6 +92,19 @@ def test_detection_and_spans(spark):
     assert terminology.apply_spans(spark.createDataFrame([(1, "0123456789"), (2, "same")], "id long, text string"), kept).orderBy("id").collect()[0].text == "a4c89"
 
 
+def test_unsafe_proposals_are_rejected(spark):
+    cases = [
+        ("when tracing while loops watch initialization", "while loops", "while loop"), ("function returns value and procedure performs task", "returns value", "return value"),
+        ("let's do another array same algorithm", "same algorithm", "sorting algorithm"), ("while low less than or equal high", "while low", "while loop"),
+        ("syntax or name error depending language", "syntax or", "syntax error"), ("if condition used OR, loop might continue", "OR, loop", "for loop"),
+        ("The wild loop checks the array index.", "wild loop", "while loop"), ("The algoritm uses", "algoritm", "algorithm"),
+    ]
+    rows = [(i, i, o, o, n, 0.99, t, t.index(o), t[t.index(o) + len(o) :], [n]) for i, (t, o, n) in enumerate(cases)]
+    p = spark.createDataFrame(rows, "id long, answered_id long, detected string, original string, replacement string, confidence double, text string, start int, after string, candidates array<string>")
+    out = {r.id: r.reason for r in terminology.validate(p, vocabulary(spark, *TERMS)).collect()}
+    assert out[6] is None and out[7] is None and all(out[i] for i in range(6)), out
+
+
 def test_inflection(spark):
     same = lambda a, b: one(spark, terminology.inflected(F.col("a"), F.col("b")), a=a, b=b)
     assert same("query", "queries") and same("boxes", "box") and same("node", "nodes") and not same("node", "noded")
@@ -101,20 +135,103 @@ def test_registered_approximate_search_finds_most(spark):
     assert len(exact) == 8 * q.count() and len(exact & near) >= 0.9 * len(exact)
 
 
-def test_exclusion_and_depth(spark):
+DEPTHS = {
+    "": 0, "A linked list stores nodes": 1, "A stack is a list": 1, "By the way, trees exist": 0, "We will cover trees": 0, "It works because of order": 2, "If it is empty then stop": 2,
+    "For example, take a list": 3, "Suppose the list is full": 3, "Lets say it is sorted": 3, "What is your answer": 1, "This exam question asks why": 4, "Try this worked example": 4, "By the way, a queue is a list": 1,
+}
+
+
+def test_depth_of_sentences(spark):
+    got = {t: one(spark, topics.depth(F.col("s")), s=t) for t in DEPTHS}
+    assert got == DEPTHS
+
+
+def lesson(spark, *chunks):
+    rows = [(1, k, [{"pos": i, "sentence": s.strip() + "."} for i, s in enumerate(t.split(".")) if s.strip()]) for k, t in enumerate(chunks)]
+    return spark.createDataFrame(rows, "doc_id long, chunk_id int, sentences array<struct<pos:int,sentence:string>>")
+
+
+def mapped(spark, terms, *chunks, semantic=0.5):
+    """concept_id -> row of the judged candidates of small lessons; terms: (gram, kind, concept, ambiguous)."""
+    of = spark.createDataFrame(list(terms), "gram string, kind string, concept_id string, ambiguous boolean")
+    found = topics.lexical_evidence(lesson(spark, *chunks), of)
+    return topics.judge(found, found.select(*topics.CANDIDATE, F.lit(semantic).alias("semantic_score")))
+
+
+SORTS = [(f"{x} search", "alias", x, False) for x in ("linear", "binary")] + [(f"{x} sort", "alias", x, False) for x in ("bubble", "merge")] + [("arrays", "alias", "arrays", False)]
+
+
+def test_exclusion(spark):
+    terms = spark.createDataFrame([("list", "alias", "c1", True), ("linked list", "excluded", "c1", False)], "gram string, kind string, concept_id string, ambiguous boolean")
     s = topics.tokens(spark.createDataFrame([(1, 0, 0, "A linked list is a list."), (1, 0, 1, "For example, take a list.")], "doc_id long, chunk_id int, pos int, sentence string"))
-    runs = topics.grams(s)
-    hits = topics.phrase_hits(runs, spark.createDataFrame([("c1", "list", 1, True)], "concept_id string, alias string, n_words int, ambiguous boolean"))
-    assert hits.count() == 3
-    kept = topics.without_excluded(hits, runs, spark.createDataFrame([("c1", "linked list")], "concept_id string, phrase string"))
-    assert sorted((r.pos, r.start) for r in kept.collect()) == [(0, 5), (1, 4)]
-    assert [one(spark, topics.depth(F.col("s")), s=x) for x in ("Trees mean this", "for example x", "quick recap for example")] == [0, 3, 0]
-
-
-def test_redundancy_and_competition(spark):
-    c = spark.createDataFrame([(1, 0, "a", 1, 3, [1, 2], 0.9), (1, 0, "b", 2, 3, [1, 2], 0.75), (1, 0, "c", 3, 4, [1, 2], 0.55)], "doc_id long, chunk_id int, concept_id string, rank int, section int, evidence array<int>, adjusted double")
-    assert sorted(r.concept_id for r in topics.drop_redundant(c).collect()) == ["a", "c"]
-    assert {r.concept_id: r.won for r in topics.compete(c).collect()} == {"a": True, "b": True, "c": False}
+    hits = topics.term_hits(topics.grams(s), terms)
+    assert hits.where("kind = 'alias'").count() == 3
+    assert sorted((r.pos, r.start) for r in topics.valid_aliases(hits).collect()) == [(0, 5), (1, 4)]
+
+
+def test_recap_of_many_topics_teaches_none(spark):
+    chunk = "Today we covered linear search, binary search, bubble sort and arrays. Those were the topics in this lesson."
+    rows = mapped(spark, SORTS, chunk).collect()
+    assert len(rows) >= 3 and all(r.recap_only and r.reason == "recap_only" and r.max_depth == 0 for r in rows)
+
+
+def test_substantive_topic_survives_a_separate_recap(spark):
+    teach = "Linear search checks each value in order until the target is found. For example, we trace linear search step by step and count. Linear search works because every item is seen."
+    recap = "To recap, we covered linear search, binary search, bubble sort and arrays."
+    rows = {(r.chunk_id, r.concept_id): r for r in mapped(spark, SORTS, teach, recap).collect()}
+    assert rows[0, "linear"].reason is None and rows[0, "linear"].max_depth == 4
+    assert all(r.reason == "recap_only" for (k, _), r in rows.items() if k == 1)
+    both = {r.concept_id: r for r in mapped(spark, SORTS, teach + " " + recap).collect()}
+    assert both["linear"].reason is None and (both["linear"].n_recap, both["linear"].n_substantive) == (1, 3) and both["binary"].reason == "recap_only"
+    assert both["linear"].quality < rows[0, "linear"].quality
+
+
+def test_brief_comparison_is_rejected_and_a_detailed_one_kept(spark):
+    brief = "Linear search starts at the beginning and checks each item in turn until the target is found. It does not require order, unlike another type of search, binary search. For example, we trace a list step by step, compare each value with the target, update the index and stop when found is true or the end is reached."
+    rows = {r.concept_id: r for r in mapped(spark, SORTS, brief).collect()}
+    assert rows["binary"].comparison_only and rows["binary"].reason == "comparison_only" and rows["linear"].reason is None
+    detailed = (
+        "Bubble sort compares adjacent items and swaps them when they are out of order. We trace several passes until no more swaps are needed because the list is sorted. Now compare merge sort and bubble sort. "
+        "Merge sort compares items from separate lists to create new sorted lists. Merge sort is usually quicker because it halves the list. Merge sort is more difficult to program and its memory footprint can grow. "
+        "Bubble sort is slower but easier to implement and has a known memory footprint."
+    )
+    rows = {r.concept_id: r for r in mapped(spark, SORTS, detailed).collect()}
+    assert rows["bubble"].reason is None and rows["merge"].reason is None and not rows["merge"].comparison_only
+
+
+def test_mentions_and_ambiguous_aliases_need_more(spark):
+    terms = [("binary search", "alias", "binary", False), ("record", "alias", "records", True), ("field", "supporting", "records", False), ("music", "conflicting", "records", False)]
+    rows = {r.concept_id: r for r in mapped(spark, terms, "By the way, binary search is in the syllabus.").collect()}
+    assert rows["binary"].max_depth == 0
+    rows = {r.concept_id: r for r in mapped(spark, terms, "By the way, we will cover binary search.").collect()}
+    assert rows["binary"].reason == "mention_only" and rows["binary"].quality <= 0.34
+    kept = {r.concept_id: r for r in mapped(spark, terms, "A record is a group because each field has a name.").collect()}
+    assert kept["records"].reason is None and kept["records"].supporting == ["field"]
+    assert mapped(spark, terms, "This music record is loud.").count() == 0
+
+
+def judged_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, chunk_id int, concept_id string, adjusted double, quality double, salience double, semantic_score double, n_context int, n_recap int, ambiguous_only boolean, comparison_only boolean, collision boolean, max_depth int, evidence array<struct<pos:int>>")
+
+
+def test_competition_by_ownership(spark):
+    ev = lambda *p: [(x,) for x in p]
+    strong = (1, 0, "a", 0.9, 0.9, 0.9, 0.9, 2, 0, False, False, False, 4, ev(1, 2))
+    shallow = (1, 0, "b", 0.6, 0.5, 0.4, 0.3, 0, 0, False, False, False, 2, ev(1, 2))
+    weak = (1, 0, "c", 0.5, 0.5, 0.4, 0.3, 0, 0, False, False, False, 2, ev(1, 2))
+    apart = (1, 0, "d", 0.5, 0.5, 0.4, 0.3, 0, 0, False, False, False, 2, ev(7))
+    equal = (1, 0, "e", 0.8, 0.5, 0.4, 0.3, 2, 0, False, False, False, 4, ev(1, 2))
+    half = (1, 0, "f", 0.7, 0.5, 0.4, 0.3, 0, 0, False, False, False, 2, ev(1, 2, 3, 4))
+    out = {r.concept_id: (r.won, r.penalty, r.adjusted) for r in topics.compete(judged_rows(spark, [strong, shallow, weak, apart, equal, half])).collect()}
+    assert out["a"] == (True, 0.0, 0.9) and out["d"] == (True, 0.0, 0.5) and out["e"] == (True, 0.0, 0.8)
+    assert out["b"] == (False, 0.24, 0.36) and out["c"] == (False, 0.24, 0.26) and out["f"] == (True, 0.12, 0.58)
+
+
+def test_redundancy_with_parents(spark):
+    rows = [(1, 0, "a", 1, None, 3, 0.9, [1, 2]), (1, 0, "b", 2, None, 3, 0.8, [1, 2]), (1, 0, "c", 3, None, 4, 0.7, [1, 2]), (1, 0, "child", 4, "a", 5, 0.6, [9]), (1, 0, "d", 5, None, 6, 0.5, [3])]
+    c = spark.createDataFrame(rows, "doc_id long, chunk_id int, concept_id string, rank int, parent string, section int, confidence double, evidence array<int>")
+    assert sorted(r.concept_id for r in topics.drop_redundant(c).collect()) == ["a", "c", "d"]
+    assert sorted(r.concept_id for r in topics.drop_redundant(c, top=2).collect()) == ["a", "c"]
 
 
 def test_continuation_chain_inherits_from_its_root(spark):
