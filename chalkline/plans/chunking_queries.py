@@ -6,12 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.operators import chunking as C
-from chalkline.plans.bridges import CHUNKS, NUMBERED, SENTENCES, chunks, lines, numbered_sentences, read, sentences
+from chalkline.plans.bridges import CHUNKS, LESSON, LINES, NUMBERED, SENTENCES, chunks, lesson_sentences, lines, numbered_sentences, read, sentences
 from chalkline.plans.registry import query
 
-#: the tables hold invented words, so frequent ones stand in for the announcing phrases
-STRONG_WORDS, SOFT_WORDS = ("^re[a-z]* ", "^on [a-z]*"), ("^th[a-z]* ",)
-
 
 def _sent(spark, d):
     return numbered_sentences(read(spark, d, "documents"))
@@ -27,22 +24,41 @@ def split_hard(spark, d):
     return C.split_hard(_sent(spark, d)).select("doc_id", "pos", F.col("piece_no").cast("int").alias("piece_no"), "piece")
 
 
-@query("chk.split_long")
+_MARKED = "(" + ", ".join(f"'{m}'" for m in C.MARKERS) + ")"
+_PAIRED = "(" + ", ".join(f"'{m}'" for m in C.PAIRS) + ")"
+
+
+def _long(spark, d):
+    """Whole lines as sentences, as captions without punctuation come, with a marker in place of some words."""
+    words = F.split(F.trim(F.regexp_replace("line", r"[ \t]+", " ")), " ")
+    marked = F.transform(words, lambda w, i: F.when((i + F.col("pos")) % 29 == 7, "because,").when((i + F.col("pos")) % 31 == 3, "For").when((i + F.col("pos")) % 31 == 4, "example").otherwise(w))
+    rows = lines(read(spark, d, "documents")).where("trim(line) <> ''").select("doc_id", F.col("line_no").alias("pos"), "line")
+    return rows.select("doc_id", "pos", marked.alias("words"))
+
+
+@query("chk.split_long", f"""WITH RECURSIVE {LINES}, l0 AS (SELECT doc_id, line_no AS pos, string_split(trim(regexp_replace(line, '[ \t]+', ' ', 'g')), ' ') AS w0 FROM lines WHERE trim(line) <> ''),
+l1 AS (SELECT doc_id, pos, list_transform(w0, lambda w, i: CASE WHEN (i - 1 + pos) % 29 = 7 THEN 'because,' WHEN (i - 1 + pos) % 31 = 3 THEN 'For' WHEN (i - 1 + pos) % 31 = 4 THEN 'example' ELSE w END) AS w FROM l0),
+l2 AS (SELECT doc_id, pos, w, len(w) AS n, list_transform(w, lambda x: regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS b FROM l1),
+l3 AS (SELECT doc_id, pos, w, n, list_transform(b, lambda x, i: x IN {_MARKED} OR (i > 1 AND b[i - 1] || ' ' || x IN {_PAIRED})) AS m FROM l2),
+cut AS (SELECT doc_id, pos, w, n, m, 0 AS k, 0::BIGINT AS s, CASE WHEN n <= 42 THEN n ELSE coalesce(list_max(list_filter(range(30, least(n - 1, 42) + 1), lambda i: m[i + 1])), 42) END AS e FROM l3
+ UNION ALL SELECT doc_id, pos, w, n, m, k + 1, e, CASE WHEN n - e <= 42 THEN n ELSE coalesce(list_max(list_filter(range(e + 30, least(n - 1, e + 42) + 1), lambda i: m[i + 1])), e + 42) END FROM cut WHERE e < n)
+SELECT doc_id, pos, k::INTEGER AS piece_no, array_to_string(w[s + 1:e], ' ') AS piece FROM cut""")
 def split_long(spark, d):
-    return C.split_long(_sent(spark, d))
+    return C.split_long(_long(spark, d))
 
 
-_T = f"CASE WHEN regexp_matches(lower(sentence[1:220]), '{'|'.join(STRONG_WORDS)}') THEN 'strong' WHEN regexp_matches(lower(sentence[1:220]), '{'|'.join(SOFT_WORDS)}') THEN 'soft' END"
+_PATTERNS = lambda family: "'" + "|".join(family).replace("'", "''") + "'"
 
 
-@query("chk.transition", f"WITH {NUMBERED} SELECT doc_id, pos, {_T} AS transition FROM numbered")
+@query("chk.transition", f"WITH {LESSON} SELECT doc_id, pos, CASE WHEN regexp_matches(lower(sentence[1:220]), {_PATTERNS(C.STRONG)}) THEN 'strong' WHEN regexp_matches(lower(sentence[1:220]), {_PATTERNS(C.SOFT)}) THEN 'soft' END AS transition FROM lesson")
 def transition(spark, d):
-    return _sent(spark, d).select("doc_id", "pos", C.transition(F.col("sentence"), STRONG_WORDS, SOFT_WORDS).alias("transition"))
+    return lesson_sentences(read(spark, d, "documents")).select("doc_id", "pos", C.transition(F.col("sentence")).alias("transition"))
 
 
 @query("chk.units")
 def units(spark, d):
-    return C.units(_sent(spark, d))
+    told = lesson_sentences(read(spark, d, "documents"))
+    return C.units(told.withColumn("n_words", F.size(F.split("sentence", r"\s+"))))
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: p[i]::DOUBLE * embedding[i]::DOUBLE))"
@@ -67,9 +83,10 @@ _B = f"""{_SIM}, th AS (SELECT label, round(coalesce(greatest(-0.2, least(0.45,
 u AS (SELECT s.*, threshold, CASE WHEN vec_id % 11 = 0 THEN 'strong' WHEN vec_id % 5 = 0 THEN 'soft' END AS transition FROM sims s JOIN th USING (label))"""
 
 
-@query("chk.boundary", f"""WITH {_B} SELECT label, vec_id, CASE WHEN similarity IS NULL THEN NULL WHEN transition = 'strong' THEN 'strong_transition' WHEN transition = 'soft' AND similarity <= least(0.35, threshold + 0.10) THEN 'soft_transition' WHEN similarity <= threshold THEN 'semantic' END AS reason FROM u""")
+@query("chk.boundary", f"""WITH {_B}, v AS (SELECT *, similarity IS NOT NULL AND (coalesce(transition = 'strong', false) OR coalesce(transition = 'soft' AND similarity <= least(0.35, threshold + 0.10), false)) AS announced, coalesce(similarity <= threshold, false) AS shift FROM u)
+SELECT label, vec_id, CASE WHEN shift AND announced THEN 'semantic_shift+transition_phrase' WHEN announced THEN 'transition_phrase' WHEN shift THEN 'semantic_shift' END AS reason, CASE WHEN announced THEN transition END AS strength FROM v""")
 def boundary(spark, d):
-    return _bounded(spark, d).select("label", "vec_id", "reason")
+    return _bounded(spark, d).select("label", "vec_id", "reason", "strength")
 
 
 def _bounded(spark, d):
@@ -80,7 +97,7 @@ def _bounded(spark, d):
 
 @query("chk.plan")
 def plan(spark, d):
-    u = _bounded(spark, d).select(F.col("label").cast("long").alias("doc_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("unit_no"), (F.col("vec_id") % 60 + 30).cast("int").alias("n_words"), "similarity", "reason")
+    u = _bounded(spark, d).select(F.col("label").cast("long").alias("doc_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("unit_no"), (F.col("vec_id") % 60 + 30).cast("int").alias("n_words"), "similarity", "reason", "strength")
     return C.plan(u)
 
 

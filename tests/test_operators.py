@@ -47,15 +47,45 @@ def test_units_and_plan(spark):
     s = spark.createDataFrame([(d, p, ("next topic " if p == 3 else "") + t, n) for d, p, t, n in rows], "doc_id long, pos int, sentence string, n_words int")
     u = chunking.units(s).orderBy("unit_no").collect()
     assert [(r.first_pos, r.last_pos, r.n_words, r.transition) for r in u] == [(0, 1, 70, None), (2, 2, 50, None), (3, 5, 75, "strong")]
-    units = spark.createDataFrame([(1, i, 100, 0.5 if i else None, "semantic" if i in (2, 5) else None) for i in range(8)], "doc_id long, unit_no int, n_words int, similarity double, reason string")
-    plan = chunking.plan(units).orderBy("plan_no").collect()
-    assert [(r.first_unit, r.last_unit, r.reason) for r in plan] == [(0, 1, "semantic"), (2, 4, "semantic"), (5, 7, "end_of_transcript")]
+
+
+def planned(spark, units):
+    rows = spark.createDataFrame([(1, i, *u) for i, u in enumerate(units)], "doc_id long, unit_no int, n_words int, similarity double, reason string, strength string")
+    return [(r.first_unit, r.last_unit, r.reason) for r in chunking.plan(rows).orderBy("plan_no").collect()]
+
+
+def test_plan_takes_the_cheapest_boundary(spark):
+    unit = lambda sim=None, reason=None, strength=None: (100, sim, reason, strength)
+    shift = "semantic_shift"
+    assert planned(spark, [unit(), unit(0.5), unit(0.5, shift), unit(0.5), unit(0.5), unit(0.5, shift), unit(0.5), unit(0.5)]) == [(0, 1, shift), (2, 4, shift), (5, 7, "end_of_transcript")]
+    # a boundary with as much similarity is nearer to the target size, but the announced one gets a bonus
+    assert planned(spark, [unit(), unit(0.3, "transition_phrase", "strong"), unit(0.5), unit(0.3, shift), *[unit(0.9)] * 3])[0] == (0, 0, "transition_phrase")
+    assert planned(spark, [unit(), unit(0.5), unit(0.32, "transition_phrase", "soft"), unit(0.3, shift), *[unit(0.9)] * 3])[0] == (0, 2, shift)
+    assert planned(spark, [unit(), unit(0.5), unit(0.26, "transition_phrase", "soft"), unit(0.3, shift), *[unit(0.9)] * 3])[0] == (0, 1, "transition_phrase")
+    # no boundary: the largest chunk that leaves a whole one behind; a boundary that would leave too little is passed over
+    assert planned(spark, [unit()] + [unit(0.9)] * 6) == [(0, 4, "max_size"), (5, 6, "end_of_transcript")]
+    assert planned(spark, [unit(), unit(0.5), unit(0.5), unit(0.1, shift)]) == [(0, 3, "end_of_transcript")]
+
+
+def test_boundaries_name_their_reasons(spark):
+    rows = [(None, "strong"), (0.9, "strong"), (0.1, "strong"), (0.3, "soft"), (0.5, "soft"), (0.2, None), (0.6, None)]
+    u = spark.createDataFrame([(i, s, 0.25, t) for i, (s, t) in enumerate(rows)], "i int, similarity double, threshold double, transition string")
+    got = [(r.reason, r.strength) for r in chunking.boundaries(u).orderBy("i").collect()]
+    assert got == [(None, None), ("transition_phrase", "strong"), ("semantic_shift+transition_phrase", "strong"), ("transition_phrase", "soft"), (None, None), ("semantic_shift", None), (None, None)]
+
+
+def test_transitions(spark):
+    kind = lambda t: one(spark, chunking.transition(F.col("s")), s=t)
+    assert [kind(t) for t in ("Before we move on, one last question about it.", "Let's move on to the next question.", "Now let's talk about trees", "Plain words")] == [None, "strong", "soft", None]
 
 
 def test_long_sentences(spark):
-    words = [f"w{i}" for i in range(38)] + ["because"] + [f"v{i}" for i in range(20)]
-    s = spark.createDataFrame([(1, 0, words)], "doc_id long, pos int, words array<string>")
-    assert [len(r.piece.split()) for r in chunking.split_long(s).orderBy("piece_no").collect()] == [38, 21]
+    split = lambda words: [len(r.piece.split()) for r in chunking.split_long(spark.createDataFrame([(1, 0, words)], "doc_id long, pos int, words array<string>")).orderBy("piece_no").collect()]
+    plain = [f"w{i}" for i in range(200)]
+    assert split(plain[:38] + ["Because,"] + plain[:20]) == [38, 21] and split(plain[:100]) == [42, 42, 16] and split(plain[:42]) == [42]
+    assert split(plain[:34] + ["for", "example"] + plain[:20]) == [35, 21] and split(plain[:10] + ["because"] + plain[:50]) == [42, 19]
+    clauses = ("and " + "word " * 6 + "so ") * 6
+    assert max(split(clauses.split())) <= 42 and len(split(clauses.split())) > 1
 
 
 TERMS = ("while loop", "array index", "algorithm", "array length", "sorting algorithm", "return value", "syntax error", "for loop", "subroutine", "if statement", "binary search")
