@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.operators.chunking import named
+
 # Role labels, noise markers and metadata lines that the cleaning rules name.
 ROLES = ("teacher", "instructor", "lecturer", "tutor", "student", "learner", "pupil", "interviewer", "interviewee", "facilitator", "presenter", "moderator", "host", "guest", "participant", "person", "speaker", r"unknown\s+speaker", r"male\s+speaker", r"female\s+speaker")
 NOISES = ("inaudible", "unintelligible", "noise", r"background\s+noise", r"keyboard\s+noise", "typing", r"chair\s+noise", r"notification\s+(?:sound|noise)", "notification", r"audio\s+glitch", r"microphone\s+noise", r"mic\s+noise", "music", "silence", "laughter", "laughing", "crosstalk", "cough", "coughing", r"screen\s+sharing\s+(?:started|stopped)", r"connection\s+(?:lost|restored)", r"internet\s+(?:lost|disconnected|reconnected)")
@@ -117,14 +119,17 @@ def mark_metadata(lines: DataFrame, source: Column | None = None, leading: int =
     return marked.withColumn("is_metadata", gone).drop("_strong", "_sure", "_key")
 
 
+def normal_sentence(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(sentence), r"\s+", " "))
+
+
 def drop_repeated_sentences(sentences: DataFrame) -> DataFrame:
     """Without sentences equal (case and blanks aside) to the one before in the document; blank lines do not matter.
 
     A dropped sentence equals the kept one before it, so the previous row decides.
     """
-    norm = F.trim(F.regexp_replace(F.lower("sentence"), r"\s+", " "))
     order = Window.partitionBy("doc_id").orderBy("line_no", "sent_no")
-    return sentences.withColumn("_n", norm).withColumn("_p", F.lag("_n").over(order)).where("_p is null or _p <> _n").drop("_n", "_p")
+    return sentences.withColumn("_n", normal_sentence(F.col("sentence"))).withColumn("_p", F.lag("_n").over(order)).where("_p is null or _p <> _n").drop("_n", "_p")
 
 
 def clean_lines(lines: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
@@ -139,9 +144,10 @@ def clean_lines(lines: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
         text = F.col("text_" + name)
     once, n = repeated_word(text)
     step = step.withColumn("n_repeated_words", n).withColumn("once", once)
-    phrase, n = repeated_phrase(F.col("once"))
-    step = step.withColumn("n_repeated_phrases", n).withColumn("cleaned", whitespace(phrase))
-    return step.drop("c0", "c1", "c2", "both", "text_n_artefacts", "text_n_uncertain", "text_n_fillers", "once")
+    step = step.withColumn("phrase", repeated_phrase(F.col("once"))[0])  # the passes run once, for text and count
+    fewer = F.when(F.col("phrase") == F.col("once"), 0).otherwise(words(F.col("once")) - words(F.col("phrase")))
+    step = step.withColumn("n_repeated_phrases", fewer).withColumn("cleaned", whitespace(F.col("phrase")))
+    return step.drop("c0", "c1", "c2", "both", "text_n_artefacts", "text_n_uncertain", "text_n_fillers", "once", "phrase")
 
 
 COUNTERS = ("n_timestamps", "n_speakers", "n_artefacts", "n_uncertain", "n_fillers", "n_repeated_words", "n_repeated_phrases")
@@ -150,25 +156,25 @@ COUNTERS = ("n_timestamps", "n_speakers", "n_artefacts", "n_uncertain", "n_fille
 def clean_transcripts(docs: DataFrame, source: str | None = None, roles: Sequence[str] = ROLES) -> DataFrame:
     """The whole pipeline over (doc_id, text): one row per document with text, removed lines, counters and warnings.
 
+    One scan and one shuffle of the lines by document; a document's lines are then gathered and its sentences compared.
     Documents without any text are reported with ``rejected``; sentence repeats are dropped across lines.
     """
     lines = docs.select("doc_id", *([source] if source else []), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    marked = mark_metadata(lines, F.col(source) if source else None)
-    cleaned = clean_lines(marked, roles)
-    sentences = cleaned.where(~F.col("is_metadata")).select("doc_id", "line_no", F.posexplode(F.split("cleaned", r"(?<=[.!?])\s+")).alias("sent_no", "sentence"))
-    kept = drop_repeated_sentences(sentences.where("sentence <> ''"))
-    by_line = kept.groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("sent_no", "sentence"))).alias("s"), F.count("*").alias("n_kept"))
-    joined = by_line.select("doc_id", "line_no", "n_kept", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("line_text"))
-    text = joined.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line_text"))), lambda x: x["line_text"]), "\n").alias("text"), F.sum("n_kept").alias("n_kept"))
-    counts = cleaned.groupBy("doc_id").agg(
-        *[F.sum(F.when(~F.col("is_metadata"), F.col(c)).otherwise(0)).alias(c) for c in COUNTERS],
-        F.count_if("is_metadata").alias("n_metadata"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("is_metadata") & (F.trim("line") != ""), F.struct("line_no", F.trim("line").alias("l"))))), lambda x: x["l"]).alias("removed_lines"),
-    )
-    total = sentences.where("sentence <> ''").groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
-    out = counts.join(total, "doc_id", "left").join(text, "doc_id", "left")
-    dropped = (F.coalesce("n_sentences", F.lit(0)) - F.coalesce("n_kept", F.lit(0))).alias("n_repeated_sentences")
-    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *COUNTERS, "n_metadata", "removed_lines", dropped, warnings(F.coalesce("text", F.lit(""))).alias("warnings"), F.col("text").isNull().alias("rejected"))
+    cleaned = clean_lines(mark_metadata(lines.repartition("doc_id"), F.col(source) if source else None), roles)
+    gone = F.col("is_metadata")
+    by_doc = cleaned.groupBy("doc_id").agg(
+        *[F.sum(F.when(~gone, F.col(c)).otherwise(0)).alias(c) for c in COUNTERS], F.count_if(gone).alias("n_metadata"),
+        F.sort_array(F.collect_list(F.when(gone & (F.trim("line") != ""), F.struct("line_no", F.trim("line").alias("l"))))).alias("removed"),
+        F.sort_array(F.collect_list(F.when(~gone, F.struct("line_no", "cleaned")))).alias("lines"),
+    )
+    sentence = lambda line: F.transform(F.split(line["cleaned"], r"(?<=[.!?])\s+"), lambda s: F.struct(line["line_no"].alias("line_no"), s.alias("s"), normal_sentence(s).alias("norm")))
+    every = F.filter(F.flatten(F.transform("lines", sentence)), lambda x: x["s"] != "")
+    fresh = lambda a: F.struct(F.size(a).alias("n"), F.filter(a, lambda x, i: (i == 0) | (x["norm"] != F.get(a, i - 1)["norm"])).alias("kept"))
+    told = by_doc.withColumn("sentences", named(every, fresh))
+    joined = F.aggregate("sentences.kept", F.struct(F.lit("").alias("text"), F.lit(-1).alias("line_no")), lambda a, x: F.struct(F.concat(a["text"], F.when(a["line_no"] == -1, "").when(a["line_no"] == x["line_no"], " ").otherwise("\n"), x["s"]).alias("text"), x["line_no"].alias("line_no")))["text"]
+    out = told.withColumn("text", joined)
+    dropped = (F.col("sentences.n") - F.size("sentences.kept")).alias("n_repeated_sentences")
+    return out.select("doc_id", "text", *COUNTERS, "n_metadata", F.transform("removed", lambda x: x["l"]).alias("removed_lines"), dropped, warnings(F.col("text")).alias("warnings"), (F.size("sentences.kept") == 0).alias("rejected"))
 
 
 def guard_rewrites(rewrites: DataFrame, low: float = 0.5, high: float = 1.5) -> DataFrame:

@@ -115,8 +115,11 @@ def near_pairs(rows: DataFrame, lexical: float = 0.92, lexical_jaccard: float =
     met = rare.alias("x").join(rare.alias("y"), ["request_id", "marks", "w"]).where("x.question_id < y.question_id").select("request_id", F.col("x.question_id").alias("i"), F.col("y.question_id").alias("j")).distinct()
     side = lambda p, q: rows.select(F.col("request_id"), F.col("question_id").alias(q), *[F.col(c).alias(f"{p}_{c}") for c in ("text", "words", "embedding", "place")])
     full = met.join(side("x", "i"), ["request_id", "i"]).join(side("y", "j"), ["request_id", "j"])
-    likeness = full.withColumn("jaccard", jaccard(F.col("x_words"), F.col("y_words"))).where(F.col("jaccard") >= min(lexical_jaccard, cosine_jaccard)).withColumn("cosine", F.round(dot(F.col("x_embedding"), F.col("y_embedding")), 6)).withColumn("lexical", ratio(F.col("x_text"), F.col("y_text")))
-    near = (F.col("x_text") == F.col("y_text")) | ((F.col("lexical") >= lexical) & (F.col("jaccard") >= lexical_jaccard)) | ((F.col("cosine") >= cosine) & (F.col("jaccard") >= cosine_jaccard))
+    likeness = full.withColumn("jaccard", jaccard(F.col("x_words"), F.col("y_words"))).where(F.col("jaccard") >= min(lexical_jaccard, cosine_jaccard)).withColumn("cosine", F.round(dot(F.col("x_embedding"), F.col("y_embedding")), 6))
+    sure = (F.col("x_text") == F.col("y_text")) | ((F.col("cosine") >= cosine) & (F.col("jaccard") >= cosine_jaccard))
+    asked = lambda c: F.when(~sure & (F.col("jaccard") >= lexical_jaccard), F.col(c)).otherwise("")
+    likeness = likeness.withColumn("lexical", ratio(asked("x_text"), asked("y_text")))  # matching blocks only where nothing else decides
+    near = sure | ((F.col("lexical") >= lexical) & (F.col("jaccard") >= lexical_jaccard))
     first = F.col("x_place") < F.col("y_place")
     return likeness.where(near).select("request_id", F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"), F.least("x_place", "y_place").alias("a_place"), F.greatest("x_place", "y_place").alias("b_place"))
 

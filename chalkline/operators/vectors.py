@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.operators.chunking import dot
+from chalkline.operators.chunking import dot, named
 
 DIGITS = 6
 PROBES = 4  # of 6 planes: 57 of 64 cells, since near vectors are seldom alike in more signs
@@ -41,9 +44,9 @@ def hash_encode(tokens: Column, width: int = 384, longest: int = 2) -> Column:
 
     grams = F.concat(tokens, *map(runs, range(2, longest + 1)))
     slots = F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % width).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counts = named(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    return named(counts, lambda c: named(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def hashed_features(words: DataFrame, key: str, width: int = 384, longest: int = 2) -> DataFrame:
@@ -130,22 +133,54 @@ def patch_payload(vectors: DataFrame, patch: DataFrame, key: str, columns: list[
     return merged.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, query_rows: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest vectors of every query.
+QUERY_ROWS = 5000  # queries sent to all tasks at once, as one matrix
 
-    queries (query_id, query) is a stated set; it is checked to hold at most ``query_rows`` rows and sent to all tasks,
-    which score their vectors and keep k per query (a partial top-k), so only queries x tasks x k rows are shuffled.
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, vec_id, score, rank: the k nearest vectors of every query (query_id, query), exactly.
+
+    Queries go to the tasks as a matrix of at most ``query_rows`` rows; more are asked in blocks.  A task multiplies each batch
+    of its vectors by the matrix and keeps the k best of a batch for each query (and those as good as the last), so only
+    queries x batches x k rows are shuffled.
     """
-    n = queries.count()
-    if n > query_rows:
-        raise ValueError(f"{n} queries; at most {query_rows} are sent to all tasks: split them in blocks")
-    scored = vectors.select("vec_id", "embedding").join(F.broadcast(queries.select("query_id", "query"))).select("query_id", "vec_id", similarity(F.col("query"), F.col("embedding")).alias("score"))
+    blocks = max(1, -(-queries.count() // query_rows))
+    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    scored = reduce(DataFrame.unionAll, (_block_scores(part, vectors, k) for part in parts))
     if floor is not None:
         scored = scored.where(F.col("score") >= floor)
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", ranked).where(F.col("rank") <= k)
 
 
+def _block_scores(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
+    """query_id, vec_id, score of a block of queries: all pairs, or per batch of vectors the k best of each query."""
+    rows = queries.select(F.col("query_id").cast("long"), F.transform("query", lambda x: x.cast("double"))).collect()
+    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            if not batch.num_rows or not len(ids):
+                continue
+            width = len(lists.flatten()) // batch.num_rows
+            scores = np.round(matrix @ lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width).T, DIGITS)
+            if k is None or k >= batch.num_rows:
+                q, v = (x.ravel() for x in np.indices(scores.shape))
+            else:
+                q, v = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "vec_id", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def pair_scores(queries: DataFrame, vectors: DataFrame, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, vec_id, score of every vector against a short list of queries, whose number is checked."""
+    n = queries.count()
+    if n > query_rows:
+        raise ValueError(f"{n} queries; at most {query_rows} are scored against every vector")
+    return _block_scores(queries, vectors, None)
+
+
 def lookup(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     """Stored vectors of (query_id, query, vec_id) scored against their query."""
     return ids.join(vectors.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", similarity(F.col("query"), F.col("embedding")).alias("score"))

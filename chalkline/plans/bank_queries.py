@@ -298,11 +298,12 @@ def pair_coverage(spark, d):
     return B.pair_coverage(read(spark, d, "documents").select(F.concat("source", k % 9).alias("topic"), F.when(k % 4 != 0, F.col("lang")).alias("language"), F.when(k % 2 == 0, "qp").otherwise("ms").alias("kind"), "doc_id"))
 
 
-@query("bank.coverage_matrix", "WITH h AS (SELECT n_regionkey AS region, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 GROUP BY 1, 2), r AS (SELECT r_regionkey AS region, segment FROM region, (SELECT DISTINCT c_mktsegment AS segment FROM customer)) SELECT r.region, r.segment, coalesce(n, 0) AS n, n IS NULL AS missing FROM r LEFT JOIN h ON h.region = r.region AND h.segment = r.segment")
+@query("bank.coverage_matrix", "WITH h AS (SELECT n_regionkey AS region, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), r AS (SELECT r_regionkey AS region, unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'SPACECRAFT']) AS segment FROM region) SELECT r.region, r.segment, coalesce(n, 0) AS n, n IS NULL AS missing FROM r LEFT JOIN h ON h.region = r.region AND h.segment = r.segment")
 def coverage_matrix(spark, d):
     c = read(spark, d, "customer")
-    present = c.where("c_acctbal > 9000").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment"))
-    required = read(spark, d, "region").select(F.col("r_regionkey").alias("region")).crossJoin(c.select(F.col("c_mktsegment").alias("segment")).distinct())
+    present = c.join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment"))
+    segments = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "SPACECRAFT")))  # what every region must have
+    required = read(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.explode(segments).alias("segment"))
     return B.coverage(required, present, ["region", "segment"])
 
 
@@ -311,14 +312,14 @@ def repair(spark, d):
     return B.repair(read(spark, d, "documents"), {"one": F.col("source") == "src1", "tiny": F.col("n_chars") < 300}, "lang").select("doc_id", "lang", "repaired")
 
 
-_AL = "s AS (SELECT lower(p_name) AS key, min(p_partkey) AS source_id, count(*) AS s FROM part WHERE p_partkey < 30 GROUP BY 1), c AS (SELECT lower(p_name) AS key, min(p_partkey)::VARCHAR AS code, count(*) AS c FROM part WHERE p_partkey BETWEEN 20 AND 50 GROUP BY 1), al AS (SELECT coalesce(s.key, c.key) AS key, source_id, code, CASE WHEN s IS NULL THEN 'canonical_only' WHEN c IS NULL THEN 'source_only' WHEN s > 1 OR c > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM s FULL JOIN c ON s.key = c.key)"
+_AL = "s AS (SELECT lower(p_name) AS key, min(p_partkey) AS source_id, count(*) AS s FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1), c AS (SELECT lower(p_name) AS key, min(p_partkey)::VARCHAR AS code, count(*) AS c FROM part WHERE p_partkey % 3 <> 2 GROUP BY 1), al AS (SELECT coalesce(s.key, c.key) AS key, source_id, code, CASE WHEN s IS NULL THEN 'canonical_only' WHEN c IS NULL THEN 'source_only' WHEN s > 1 OR c > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM s FULL JOIN c ON s.key = c.key)"
 
 
 def aligned(spark, d):
     p = read(spark, d, "part")
-    code = p.where("p_partkey between 20 and 50").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k")).withColumn("key", F.lower("name"))
+    code = p.where("p_partkey % 3 <> 2").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k")).withColumn("key", F.lower("name"))
     canonical = code.select("name", F.min("k").over(Window.partitionBy("key")).cast("string").alias("code"))
-    return B.align_topics(p.where("p_partkey < 30").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("source_id")), canonical)
+    return B.align_topics(p.where("p_partkey % 3 <> 1").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("source_id")), canonical)
 
 
 query("bank.topic_align", f"WITH {_AL} SELECT * FROM al")(aligned)

@@ -84,9 +84,9 @@ def family(spark, d):
     return R.family_labels(items, hits)
 
 
-@query("res.key", "SELECT doc_id, sha256(concat_ws('|', trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')), sha256(trim(lower(text))), array_to_string(list_sort(['c' || doc_id % 7, 'c' || doc_id % 5]), ','), 'm1')) AS key FROM documents WHERE regexp_full_match(text, '[ -~\\s]*')")
+@query("res.key", "SELECT doc_id, sha256(concat_ws('|', trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')), sha256(trim(lower(text))), array_to_string(list_sort(['c' || doc_id % 7, 'c' || doc_id % 5]), ','), 'm1')) AS key FROM documents")
 def res_key(spark, d):
-    docs = read(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\s]*$")).withColumn("short", F.array(F.concat(F.lit("c"), F.col("doc_id") % 7), F.concat(F.lit("c"), F.col("doc_id") % 5)))
+    docs = read(spark, d, "documents").withColumn("short", F.array(F.concat(F.lit("c"), F.col("doc_id") % 7), F.concat(F.lit("c"), F.col("doc_id") % 5)))
     return docs.select("doc_id", R.cache_key(topic="source", evidence="text", shortlist="short", model="m1").alias("key"))
 
 

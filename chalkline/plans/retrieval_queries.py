@@ -1,4 +1,4 @@
-"""Queries over retrieval: embeddings are questions, 24 requests of five topics each ask for the first vectors.
+"""Queries over retrieval: embeddings are questions; every 50 vectors make a request of five topics, those of its first five.
 
 Thresholds are scaled to these vectors (their cosines are near zero), as configuration allows.
 """
@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chalkline.operators import retrieval as R
+from chalkline.operators.vectors import hash_encode
 from chalkline.plans.bridges import VECTORS, read, vectors
 from chalkline.plans.registry import query
 
-N_REQUESTS = 24
-BASE = f"""{VECTORS}, tp AS (SELECT vec_id // 5 AS request_id, (vec_id % 5)::INTEGER AS topic_index, reference, section, CASE WHEN vec_id % 5 < 2 THEN 'primary' ELSE 'supporting' END AS role, CASE WHEN vec_id % 5 < 2 THEN 1.0 ELSE 0.65 END::DOUBLE AS role_weight, ((vec_id * 7) % 10 / 10.0)::DOUBLE AS confidence, ((vec_id * 3) % 10 / 10.0)::DOUBLE AS rank_score, embedding AS query, vec_id % 5 = 0 AS required FROM vectors WHERE vec_id < {5 * N_REQUESTS}),
+BASE = f"""{VECTORS}, tp AS (SELECT vec_id // 50 AS request_id, (vec_id % 50)::INTEGER AS topic_index, reference, section, CASE WHEN vec_id % 50 < 2 THEN 'primary' ELSE 'supporting' END AS role, CASE WHEN vec_id % 50 < 2 THEN 1.0 ELSE 0.65 END::DOUBLE AS role_weight, ((vec_id * 7) % 10 / 10.0)::DOUBLE AS confidence, ((vec_id * 3) % 10 / 10.0)::DOUBLE AS rank_score, embedding AS query, vec_id % 50 = 0 AS required FROM vectors WHERE vec_id % 50 < 5),
 rq AS (SELECT DISTINCT request_id, 5 AS n_questions, 20 AS target_marks, 3 AS min_primary, 1 AS min_supporting, 2 AS min_references, [min(reference) FILTER (required) OVER (PARTITION BY request_id)] AS required_refs FROM tp),
 ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, topic_index ORDER BY score DESC, question_id)::INTEGER AS rank FROM (SELECT t.request_id, t.topic_index, v.vec_id AS question_id, v.reference, v.marks, round(list_sum(list_transform(range(1, 65), lambda i: t.query[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score FROM tp t JOIN vectors v USING (reference))) WHERE rank <= 20),
 sh AS (SELECT t.* FROM tp t LEFT JOIN (SELECT request_id, topic_index, count(*) AS n FROM ex GROUP BY 1, 2) c USING (request_id, topic_index) WHERE coalesce(n, 0) < 17),
@@ -32,9 +32,9 @@ ga AS (SELECT *, list_sort(list_distinct(issues || CASE WHEN final_score + 1e-9
 
 
 def topics(spark, d):
-    v = vectors(spark, d).where(f"vec_id < {5 * N_REQUESTS}")
-    k = F.col("vec_id") % 5
-    return v.select(F.expr("vec_id div 5").alias("request_id"), k.cast("int").alias("topic_index"), "reference", "section", F.when(k < 2, "primary").otherwise("supporting").alias("role"), F.when(k < 2, 1.0).otherwise(0.65).alias("role_weight"), ((F.col("vec_id") * 7) % 10 / 10.0).alias("confidence"), ((F.col("vec_id") * 3) % 10 / 10.0).alias("rank_score"), F.col("embedding").alias("query"), (k == 0).alias("required"))
+    v = vectors(spark, d).where("vec_id % 50 < 5")
+    k = F.col("vec_id") % 50
+    return v.select(F.expr("vec_id div 50").alias("request_id"), k.cast("int").alias("topic_index"), "reference", "section", F.when(k < 2, "primary").otherwise("supporting").alias("role"), F.when(k < 2, 1.0).otherwise(0.65).alias("role_weight"), ((F.col("vec_id") * 7) % 10 / 10.0).alias("confidence"), ((F.col("vec_id") * 3) % 10 / 10.0).alias("rank_score"), F.col("embedding").alias("query"), (k == 0).alias("required"))
 
 
 def requests(spark, d):
@@ -135,11 +135,11 @@ def ret_jaccard(spark, d):
 
 
 def near_rows(spark, d):
-    docs = read(spark, d, "documents").where("n_chars < 1500")
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    """All documents are the candidates of one request each forty ids long; a text's hashed words are its vector."""
+    docs = read(spark, d, "documents")
     text = R.canonical_text(F.col("text"))
-    rows = docs.select((F.col("doc_id") % 2).alias("request_id"), F.col("doc_id").alias("question_id"), F.lit(1).alias("marks"), text.alias("text"), F.array_distinct(F.split(text, " ")).alias("words"), F.col("doc_id").alias("place"), (F.col("doc_id") % 500).alias("_v"))
-    return rows.join(e, "_v").drop("_v")
+    rows = docs.select(F.expr("doc_id div 40").alias("request_id"), F.col("doc_id").alias("question_id"), F.lit(1).alias("marks"), text.alias("text"), F.array_distinct(F.split(text, " ")).alias("words"), F.col("doc_id").alias("place"))
+    return rows.withColumn("embedding", hash_encode(F.col("words"), 64, 1))
 
 
 @query("ret.neardup")

@@ -284,9 +284,16 @@ def lesson_counts(spark, d):
     return T.lesson_counts(_classes(spark, d))
 
 
-@query("cat.validate", f"WITH {ALIASES}, u AS (SELECT DISTINCT concept_id, label FROM concepts) SELECT concept_id, 'duplicate_id' AS rule FROM concepts GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT concept_id, 'shared_alias' FROM u WHERE label IN (SELECT label FROM u GROUP BY 1 HAVING count(*) > 1)")
+@query("cat.validate", f"""WITH {ALIASES}, c AS (SELECT concept_id, [{{'alias': label, 'ambiguous': false}}, {{'alias': w[2], 'ambiguous': true}}] AS al FROM concepts), n AS (SELECT *, concept_id[2:]::BIGINT AS k FROM c),
+all_c AS (SELECT concept_id, al FROM n UNION ALL SELECT concept_id, al FROM n WHERE k % 5 = 0 UNION ALL SELECT 'x' || k, al FROM n WHERE k % 7 = 0 UNION ALL SELECT 'e' || k, [] FROM n WHERE k % 9 = 0),
+f AS (SELECT DISTINCT concept_id, a.alias AS alias FROM (SELECT concept_id, unnest(al) AS a FROM all_c) WHERE NOT a.ambiguous)
+SELECT concept_id, 'duplicate_id' AS rule FROM all_c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT concept_id, 'no_alias' FROM all_c WHERE len(al) = 0 UNION ALL SELECT DISTINCT concept_id, 'shared_alias' FROM f WHERE alias IN (SELECT alias FROM f GROUP BY 1 HAVING count(*) > 1)""")
 def cat_validate(spark, d):
-    return T.catalogue_errors(concepts(spark, d))
+    """The catalogue with some entries twice, some aliases in two entries and some entries without any."""
+    c = concepts(spark, d).select("concept_id", "aliases").withColumn("k", F.substring("concept_id", 2, 9).cast("long"))
+    again, renamed = c.where("k % 5 = 0"), c.where("k % 7 = 0").withColumn("concept_id", F.concat(F.lit("x"), "k"))
+    bare = c.where("k % 9 = 0").withColumn("concept_id", F.concat(F.lit("e"), "k")).withColumn("aliases", F.slice("aliases", 1, 0))
+    return T.catalogue_errors(c.unionByName(again).unionByName(renamed).unionByName(bare))
 
 
 @query("cat.index", f"WITH {ALIASES} SELECT section, list_sort(list(concept_id)) AS concept_ids, array_to_string(list_sort(list(label)), '; ') AS text FROM concepts GROUP BY 1")

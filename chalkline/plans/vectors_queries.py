@@ -1,4 +1,4 @@
-"""Queries over embeddings: queries are the first ten vectors, as the bridges state; approximate search asks every 50th."""
+"""Queries over embeddings: every 50th vector is asked against all."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from chalkline.plans.bridges import VECTORS, read, vectors
 from chalkline.plans.registry import query
 
 DOT = "round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6)"
-SCORED = f"scored AS (SELECT q.vec_id AS query_id, v.vec_id, v.section, v.reference, v.marks, q.section AS q_section, q.reference AS q_reference, {DOT} AS score FROM vectors q, vectors v WHERE q.vec_id < 10)"
+SCORED = f"scored AS (SELECT q.vec_id AS query_id, v.vec_id, v.section, v.reference, v.marks, q.section AS q_section, q.reference AS q_reference, {DOT} AS score FROM vectors q, vectors v WHERE q.vec_id % 50 = 0)"
 
 
 def asked(spark, d):
-    return vectors(spark, d).where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("section").alias("q_section"), F.col("reference").alias("q_reference"))
+    return vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("section").alias("q_section"), F.col("reference").alias("q_reference"))
 
 
 def hashed_words(rows):
@@ -38,9 +38,11 @@ def hash_encode(spark, d):
     return V.hashed_features(rows, "item_id").withColumn("value", F.round("value", 9))
 
 
-@query("emb.norm_check", "SELECT vec_id, 'norm' AS rule FROM embeddings WHERE abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 1e-4 UNION ALL SELECT vec_id, 'width' FROM embeddings WHERE len(embedding) <> 64")
+@query("emb.norm_check", "WITH e AS (SELECT vec_id, CASE WHEN vec_id % 9 = 4 THEN list_transform(embedding, lambda x: x * 2) WHEN vec_id % 11 = 3 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings) SELECT vec_id, 'norm' AS rule FROM e WHERE abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 1e-4 UNION ALL SELECT vec_id, 'width' FROM e WHERE len(embedding) <> 64")
 def norm_check(spark, d):
-    return V.norm_violations(read(spark, d, "embeddings"), 64)
+    """Every ninth vector is doubled, every eleventh cut in half."""
+    broken = F.when(F.col("vec_id") % 9 == 4, F.transform("embedding", lambda x: x * F.lit(2).cast("float"))).when(F.col("vec_id") % 11 == 3, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    return V.norm_violations(read(spark, d, "embeddings").withColumn("embedding", broken), 64)
 
 
 _CW = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')"
@@ -103,18 +105,17 @@ def filtered(spark, d):
     return V.top_k(asked(spark, d), vectors(spark, d).where("section in (1, 2, 3) and marks between 2 and 9"), 5)
 
 
-@query("vec.lookup", f"WITH {VECTORS}, {SCORED} SELECT query_id, vec_id, score FROM scored WHERE vec_id % 10 = query_id")
+@query("vec.lookup", f"WITH {VECTORS}, {SCORED} SELECT query_id, vec_id, score FROM scored WHERE vec_id // 50 * 50 = query_id")
 def lookup(spark, d):
     q = asked(spark, d)
-    ids = vectors(spark, d).select("vec_id", (F.col("vec_id") % 10).alias("query_id")).join(q, "query_id")
+    ids = vectors(spark, d).select("vec_id", F.expr("vec_id div 50 * 50").alias("query_id")).join(q, "query_id")
     return V.lookup(ids, vectors(spark, d))
 
 
 @query("vec.best_unit", f"WITH {VECTORS}, {SCORED}, u AS (SELECT vec_id // 7 AS chunk_id, query_id AS concept_id, vec_id % 7 AS unit_no, score FROM scored) SELECT chunk_id, concept_id, max(score) AS score, arg_max(unit_no, score - unit_no * 1e-9) AS unit_no FROM u GROUP BY 1, 2")
 def best_unit(spark, d):
-    q, v = asked(spark, d), vectors(spark, d)
-    pairs = v.select("vec_id", "embedding").join(F.broadcast(q)).select(F.expr("vec_id div 7").alias("chunk_id"), F.col("query_id").alias("concept_id"), (F.col("vec_id") % 7).alias("unit_no"), V.similarity(F.col("query"), F.col("embedding")).alias("score"))
-    return V.best_unit(pairs)
+    scored = V.pair_scores(asked(spark, d), vectors(spark, d))
+    return V.best_unit(scored.select(F.expr("vec_id div 7").alias("chunk_id"), F.col("query_id").alias("concept_id"), (F.col("vec_id") % 7).alias("unit_no"), "score"))
 
 
 @query("vec.ann")
@@ -131,8 +132,8 @@ def self_check(spark, d):
     return found.agg((F.count_if(F.col("query_id") == F.col("vec_id")) / 12.0).alias("rate"), F.lit(12).alias("n"))
 
 
-@query("vec.bundle", f"WITH {VECTORS}, ask AS (SELECT o_orderkey AS place, (o_orderkey * 37) % 500 AS vec_id FROM orders WHERE o_orderkey < 40) SELECT a.place, v.vec_id, v.section, v.reference, v.marks, d.source FROM ask a JOIN vectors v USING (vec_id) JOIN documents d ON d.doc_id = v.vec_id")
+@query("vec.bundle", f"WITH {VECTORS}, ask AS (SELECT o_orderkey AS place, o_custkey AS vec_id FROM orders) SELECT a.place, v.vec_id, v.section, v.reference, v.marks, d.source FROM ask a JOIN vectors v USING (vec_id) JOIN documents d ON d.doc_id = v.vec_id")
 def bundle(spark, d):
-    ask = read(spark, d, "orders").where("o_orderkey < 40").select(F.col("o_orderkey").alias("place"), (F.col("o_orderkey") * 37 % 500).alias("vec_id"))
+    ask = read(spark, d, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("vec_id"))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    return ask.join(vectors(spark, d), "vec_id").join(docs, "vec_id").select("place", "vec_id", "section", "reference", "marks", "source").orderBy("place")
+    return ask.join(vectors(spark, d), "vec_id").join(docs, "vec_id").select("place", "vec_id", "section", "reference", "marks", "source")
