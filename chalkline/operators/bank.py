@@ -5,9 +5,10 @@ Input contract: words (pair_key, page, x0, y0, x1, y1, text) or lines (pair_key,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,33 +117,52 @@ def match_scores(pairs: DataFrame) -> DataFrame:
 
 
 def align(questions: DataFrame, entries: DataFrame, gap_question: int = -5, gap_entry: int = -2) -> DataFrame:
-    """Global alignment of a pair's questions and entries, both in order: pair_key, q_seq, e_seq, kind."""
-
-    def score(q, e) -> int:
-        base = 12 if q.number == e.number else 6 if str(q.number).split(".")[0] == str(e.number).split(".")[0] else 1
-        return base + (0 if pd.isna(q.marks) or pd.isna(e.marks) else 5 if q.marks == e.marks else -3)
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        qs, es = list(left.sort_values("seq").itertuples()), list(right.sort_values("seq").itertuples())
-        best = [[i * gap_question + j * gap_entry for j in range(len(es) + 1)] for i in range(len(qs) + 1)]
-        for i, q in enumerate(qs, 1):
-            for j, e in enumerate(es, 1):
-                best[i][j] = max(best[i - 1][j - 1] + score(q, e), best[i - 1][j] + gap_question, best[i][j - 1] + gap_entry)
-        out, i, j = [], len(qs), len(es)
+    """Global alignment of a pair's questions and entries, both in order: pair_key, q_seq, e_seq, kind.
+
+    A pair is one row with both lists.  A row of the score matrix is computed at once: the best way along the row is a running
+    maximum after the gaps are taken off.
+    """
+
+    def codes(numbers: list, known: dict) -> np.ndarray:
+        return np.array([known.setdefault(str(x), len(known)) for x in numbers], np.int64)
+
+    def steps(qs: list[dict], es: list[dict]) -> Iterator[tuple]:
+        number, main, n, m = {}, {}, len(qs), len(es)
+        same = codes([q["number"] for q in qs], number)[:, None] == codes([e["number"] for e in es], number)
+        alike = codes([str(q["number"]).split(".")[0] for q in qs], main)[:, None] == codes([str(e["number"]).split(".")[0] for e in es], main)
+        marks = [np.array([np.nan if x["marks"] is None else x["marks"] for x in side], float) for side in (qs, es)]
+        known = ~np.isnan(marks[0])[:, None] & ~np.isnan(marks[1])
+        score = np.where(same, 12, np.where(alike, 6, 1)) + np.where(known, np.where(marks[0][:, None] == marks[1], 5, -3), 0)
+        gaps = gap_entry * np.arange(m + 1)
+        best = np.zeros((n + 1, m + 1), np.int64)
+        best[0] = gaps
+        for i in range(1, n + 1):
+            row = best[i - 1] + gap_question
+            row[1:] = np.maximum(row[1:], best[i - 1, :-1] + score[i - 1])
+            best[i] = np.maximum.accumulate(row - gaps) + gaps
+        i, j = n, m
         while i or j:
-            if i and j and best[i][j] == best[i - 1][j - 1] + score(qs[i - 1], es[j - 1]):
-                out.append((key[0], qs[i - 1].seq, es[j - 1].seq, "match"))
+            if i and j and best[i, j] == best[i - 1, j - 1] + score[i - 1, j - 1]:
                 i, j = i - 1, j - 1
-            elif i and best[i][j] == best[i - 1][j] + gap_question:
-                out.append((key[0], qs[i - 1].seq, None, "missing"))
+                yield qs[i]["seq"], es[j]["seq"], "match"
+            elif i and best[i, j] == best[i - 1, j] + gap_question:
                 i -= 1
+                yield qs[i]["seq"], None, "missing"
             else:
-                out.append((key[0], None, es[j - 1].seq, "skipped"))
                 j -= 1
-        return pd.DataFrame(out, columns=["pair_key", "q_seq", "e_seq", "kind"]).astype({"q_seq": "Int64", "e_seq": "Int64"})
+                yield None, es[j]["seq"], "skipped"
 
-    cols = ["pair_key", "seq", "number", "marks"]
-    return questions.select(*cols).groupBy("pair_key").cogroup(entries.select(*cols).groupBy("pair_key")).applyInPandas(run, "pair_key string, q_seq long, e_seq long, kind string")
+    schema = pa.schema([("pair_key", pa.string()), ("q_seq", pa.int64()), ("e_seq", pa.int64()), ("kind", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(key, *step) for key, qs, es in zip(*(c.to_pylist() for c in batch.columns)) for step in steps(qs or [], es or [])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    listed = lambda rows, name: rows.groupBy(F.col("pair_key").cast("string").alias("pair_key")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("number").cast("string").alias("number"), "marks"))).alias(name))
+    pairs = listed(questions, "q").join(listed(entries, "e"), "pair_key", "full_outer")
+    return pairs.select("pair_key", "q", "e").mapInArrow(run, "pair_key string, q_seq long, e_seq long, kind string")
 
 
 def entry_marks(entries: DataFrame) -> DataFrame:

@@ -229,18 +229,20 @@ def gate_summary(manifest: DataFrame) -> DataFrame:
     )
 
 
-def select(pool: DataFrame, requests: DataFrame) -> DataFrame:
+def select(pool: DataFrame, requests: DataFrame, per_question: int | None = 14, least_pool: int = 50) -> DataFrame:
     """Exactly n questions of a request: role minima, distinct references, required references; the smallest marks
     difference, then the highest score, then most references.
 
-    Dynamic programming over (count, marks, primaries, reference set) of the first max(14 n, 50) rows of a request; a
-    state is replaced only by a strictly higher score, so earlier rows win ties.
+    Dynamic programming over (count, marks, primaries, reference set) of a request's best rows: the first max(``per_question``
+    * n, ``least_pool``) of them, which is the rule of the selection, or all of them where per_question is None (the exact
+    optimum over the whole pool).  A state is replaced only by a strictly higher score, so earlier rows win ties.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ask = rows.iloc[0]
         n, least_p, least_s, least_r = int(ask.n_questions), int(ask.min_primary), int(ask.min_supporting), int(ask.min_references)
-        rows = rows.sort_values(["final_score", "question_id"], ascending=[False, True]).head(max(14 * n, 50))
+        rows = rows.sort_values(["final_score", "question_id"], ascending=[False, True])
+        rows = rows if per_question is None else rows.head(max(per_question * n, least_pool))
         refs = sorted(set(rows["reference"]) | set(ask.required_refs))
         bit = {r: 1 << k for k, r in enumerate(refs)}
         must = sum(bit[r] for r in set(ask.required_refs))

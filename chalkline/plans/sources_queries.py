@@ -15,8 +15,11 @@ from chalkline.sources import tables as T
 
 
 def scratch(spark, name):
-    """A new folder in the shared folder of the session, or a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the folder that driver and executors share; only a local master may do without one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,11 +28,11 @@ def src_lines(spark, d):
     return lines(read(spark, d, "documents"))
 
 
-@query("src.chunks_json", "SELECT doc_id AS chunk_id, 'x' AS text FROM documents")
+@query("src.chunks_json", "SELECT doc_id AS chunk_id, text FROM documents")
 def chunks_json(spark, d):
     path = scratch(spark, "chunks")
     docs = read(spark, d, "documents")
-    K.write_json(docs.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), F.lit("x").alias("text"))).alias("chunks")), path)
+    K.write_json(docs.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), "text")).alias("chunks")), path)
     return T.read_chunks(spark, path).select("chunk_id", "text")
 
 

@@ -305,6 +305,30 @@ def test_alignment(spark):
     assert out == {(1, 1, "match"), (2, None, "missing"), (3, 2, "match"), (None, 3, "skipped")}
 
 
+def test_alignment_against_a_plain_table(spark):
+    import random
+
+    rng = random.Random(3)
+    q = [(k, i, f"{rng.randrange(4)}.{rng.randrange(2)}", rng.choice([None, 1, 2])) for k in "abcd" for i in range(rng.randrange(0, 7))]
+    e = [(k, i, f"{rng.randrange(4)}.{rng.randrange(2)}", rng.choice([None, 1, 2])) for k in "abcde" for i in range(rng.randrange(0, 7))]
+    schema = "pair_key string, seq long, number string, marks int"
+    got = bank.align(spark.createDataFrame(q, schema), spark.createDataFrame(e, schema)).collect()
+
+    def score(x, y):
+        return (12 if x[2] == y[2] else 6 if x[2][0] == y[2][0] else 1) + (0 if None in (x[3], y[3]) else 5 if x[3] == y[3] else -3)
+
+    for k in "abcde":
+        qs, es, mine = [x for x in q if x[0] == k], [x for x in e if x[0] == k], [r for r in got if r.pair_key == k]
+        best = [[0] * (len(es) + 1) for _ in range(len(qs) + 1)]
+        for i in range(len(qs) + 1):
+            for j in range(len(es) + 1):
+                ways = [best[i - 1][j - 1] + score(qs[i - 1], es[j - 1])] if i and j else []
+                ways += ([best[i - 1][j] - 5] if i else []) + ([best[i][j - 1] - 2] if j else [])
+                best[i][j] = max(ways, default=0)
+        total = sum({"match": score(qs[r.q_seq], es[r.e_seq]) if r.kind == "match" else 0, "missing": -5, "skipped": -2}[r.kind] for r in mine)
+        assert total == best[-1][-1] and sorted(r.q_seq for r in mine if r.q_seq is not None) == list(range(len(qs))) and sorted(r.e_seq for r in mine if r.e_seq is not None) == list(range(len(es)))
+
+
 def test_near_duplicates_are_not_transitive(spark):
     pairs = spark.createDataFrame([(1, 1, 2, 1, 2), (1, 2, 3, 2, 3)], "request_id long, a long, b long, a_place long, b_place long")
     assert [(r.question_id, r.kept_by) for r in retrieval.greedy_dups(pairs).collect()] == [(2, 1)]
@@ -331,6 +355,10 @@ def test_selection_against_all_subsets(spark):
 
     best = min((abs(sum(x[3] for x in s) - 17), -round(sum(x[6] for x in s), 9)) for s in combinations(pool, 4) if fits(s))
     assert (abs(sum(x.marks for x in got) - 17), -round(sum(x.final_score for x in got), 9)) == best and len(got) == 4
+    # the pool of the best rows misses the only fitting set; without a pool it is found
+    short = retrieval.select(p.withColumn("marks", F.when(F.col("question_id") < 8, 1).otherwise(F.col("marks"))), r, per_question=1, least_pool=6)
+    whole = retrieval.select(p.withColumn("marks", F.when(F.col("question_id") < 8, 1).otherwise(F.col("marks"))), r, per_question=None)
+    assert abs(sum(x.marks for x in whole.collect()) - 17) < abs(sum(x.marks for x in short.collect()) - 17)
 
 
 def test_rescue_passes_see_each_other(spark):
