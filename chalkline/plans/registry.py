@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("sources", "cleaning", "terminology", "chunking", "vectors", "topics", "lessons", "memory", "bank", "retrieval", "checks")
+MODULES = ("sources", "cleaning", "terminology", "chunking", "vectors", "topics", "lessons", "memory", "bank", "retrieval", "checks", "flows")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

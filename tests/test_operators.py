@@ -386,3 +386,18 @@ def test_sinks_and_chunk_files(spark, tmp_path):
     (tmp_path / "d/b.json").write_text('{"other": 1}\n')
     assert [r.chunk_id for r in tables.read_chunks(spark, f"{tmp_path}/d").collect()] == [1]
     assert [r.n_chunks for r in tables.discover_chunk_files(spark, f"{tmp_path}/d").collect()] == [1]
+
+
+def test_transcripts_to_topics_as_one_flow(spark):
+    from chalkline.operators import flows
+
+    teach = "Teacher: Linear search checks each value in order until the target is found.\nFor example, we trace linear serch step by step and count.\nLinear search works because every item is seen."
+    recap = "To recap, we covered linear search, binary search, bubble sort and arrays."
+    docs = spark.createDataFrame([(1, teach + "\n" + recap), (2, recap), (3, ""), (4, None)], "doc_id long, text string")
+    terms = spark.createDataFrame(SORTS, "gram string, kind string, concept_id string, ambiguous boolean")
+    references = spark.createDataFrame([(c, w) for g, _, c, _ in SORTS for w in g.split()], "concept_id string, word string")
+    memory = spark.createDataFrame([(1, "linear serch", "linear search", [], "approved", 0.9, 1), (2, "bubble sort", "BUBBLE", [], "approved", 0.9, 1)], "memory_id long, key string, correction string, context array<string>, status string, confidence double, times_applied int")
+    out = flows.transcripts_to_topics(docs, terms, references, vocabulary(spark, "linear search", "bubble sort"), memory).collect()
+    assert [(r.doc_id, r.concept_id, r.role, r.place, r.chunk_ids) for r in out] == [(1, "linear", "primary", 1, [0])]
+    fixed = flows.corrected(sentences(spark, "We trace linear serch here", "bubble sort dot size"), vocabulary(spark, "linear search", "bubble sort"), memory).orderBy("pos").collect()
+    assert [r.sentence for r in fixed] == ["We trace linear search here", "bubble sort.size"]
