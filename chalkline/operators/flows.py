@@ -73,7 +73,7 @@ def mapped_topics(chunks: DataFrame, terms: DataFrame, references: DataFrame) ->
     """
     found = cut(topics.lexical_evidence(chunks, terms))
     words = chunks.select(*topics.CHUNK, F.explode(F.flatten(F.transform("sentences", lambda x: topics.words_of(x["sentence"])))).alias("word"))
-    judged = topics.judge(found, hashed_scores(words, references, topics.CHUNK, "concept_id", found.select(*topics.CANDIDATE)))
+    judged = topics.judge(found, hashed_scores(words, references, topics.CHUNK, "concept_id"), how="left")
     kept = cut(judged.where("reason is null"))
     won = topics.compete(kept).where("won").select(*topics.CANDIDATE, F.col("adjusted").alias("final"))
     positions: Column = F.transform("evidence", lambda e: e["pos"])

@@ -13,7 +13,7 @@ def merge_topics(candidates: DataFrame) -> DataFrame:
     the coverage, all in one shuffle by document."""
     n_all = F.size(F.collect_set("chunk_id").over(Window.partitionBy("doc_id")))
     return candidates.withColumn("n_all", n_all).groupBy(*TOPIC).agg(
-        F.countDistinct("chunk_id").alias("n_chunks"), F.round(F.countDistinct("chunk_id") / F.first("n_all"), 6).alias("coverage"),
+        F.size(F.collect_set("chunk_id")).alias("n_chunks"), F.round(F.size(F.collect_set("chunk_id")) / F.first("n_all"), 6).alias("coverage"),
         F.max("confidence").alias("confidence"), F.avg("semantic_score").alias("semantic"), F.avg("keyword_score").alias("keyword"), F.avg("salience").alias("salience"),
         F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), 1, 5).alias("evidence"),
     )

@@ -85,21 +85,19 @@ def lexical(spark, d):
     return T.lexical_evidence(lesson_chunks(read(spark, d, "documents")), catalogue_terms(spark, d))
 
 
-def semantic(spark, d, keys):
-    """Cosine of the hashed words of a candidate's chunk and of its concept's text."""
+def semantic(spark, d):
+    """Cosine of the hashed words of every chunk and of every concept's text."""
     words = tokenised(spark, d).select(*T.CHUNK, F.explode("t").alias("word"))
     of = bench_words(spark, d).select("concept_id", F.explode("w").alias("word"))
-    return hashed_scores(words, of, T.CHUNK, "concept_id", keys.select(*T.CANDIDATE))
+    return hashed_scores(words, of, T.CHUNK, "concept_id")
 
 
 def candidates(spark, d):
-    found = lexical(spark, d)
-    return T.extract(found, semantic(spark, d, found))
+    return T.extract(lexical(spark, d), semantic(spark, d), how="left")
 
 
 def judged(spark, d):
-    found = lexical(spark, d)
-    return T.judge(found, semantic(spark, d, found)).withColumn("evidence", F.transform("evidence", lambda e: e["pos"]))
+    return T.judge(lexical(spark, d), semantic(spark, d), how="left").withColumn("evidence", F.transform("evidence", lambda e: e["pos"]))
 
 
 query("map.phrase", f"WITH {HITS} SELECT * FROM hits")(hits)
@@ -138,8 +136,7 @@ def gate(spark, d):
 
 
 def _c1(spark, d):
-    found = lexical(spark, d)
-    joined = found.join(semantic(spark, d, found), _SCORED, "left").fillna({"semantic_score": 0.0})
+    joined = lexical(spark, d).join(semantic(spark, d), _SCORED, "left").fillna({"semantic_score": 0.0})
     return joined.withColumn("n_context", F.size("supporting"))
 
 
