@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import fingerprints, lattice, mixing, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from chalkline.llm import divergence, fingerprints, lattice, licenses, mixing, packing, prefix_trie, quality, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 from chalkline.llm.common import documents, materialize, row_hash, table, word_count
 
 
@@ -56,6 +56,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, sf_dir))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_lattice_score": op2_lattice_score,
@@ -67,6 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_license_scan": op12_license_scan,
+    "op13_source_audit": op13_source_audit,
 }
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": substring_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_substring_dedup": substring_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_license_scan": licenses.ORACLE,
+    "op13_source_audit": divergence.ORACLE,
+}
