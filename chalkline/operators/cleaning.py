@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from chalkline.operators.chunking import named
 
@@ -51,29 +54,110 @@ def removed(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_replace(text, pattern, ""), F.regexp_count(text, F.lit(pattern))
 
 
-def words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+_PLAIN = re.compile(r"\b[A-Za-z]+\b")
+_JOINED = re.compile(r"(?<!\w)[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*+(?!\w)")
 
 
-def repeated_word(text: Column) -> tuple[Column, Column]:
-    """Three or more equal neighbours become one; the words removed are counted."""
-    out = F.regexp_replace(text, r"(?i)(?<![\w'])([\w']+)(?:\s+\1(?![\w'])){2,}", "$1")
-    return out, words(text) - words(out)
+def _once(text: str) -> tuple[str, int]:
+    """Runs of three or more equal words with only blanks between, cut to their first word."""
+    kept, read, removed = [], 0, 0
+    first = last = word = None
+    length = 0
 
+    def close() -> None:
+        nonlocal read, removed
+        if length >= 3:
+            kept.append(text[read:first])
+            read, removed = last, removed + length - 1
 
-def repeated_phrase(text: Column, longest: int = 5, passes: int = 5) -> tuple[Column, Column]:
-    """A phrase of up to ``longest`` words said again at once becomes one, longest phrases first.
+    for m in _PLAIN.finditer(text):
+        if m.group().lower() == word and text[last : m.start()].isspace():
+            length += 1
+        else:
+            close()
+            first, word, length = m.end(), m.group().lower(), 1
+        last = m.end()
+    close()
+    return ("".join([*kept, text[read:]]), removed) if removed else (text, 0)
 
-    Most lines repeat nothing, so one search decides whether the passes run at all.
+
+def _said_once(text: str, longest: int, passes: int) -> tuple[str, int]:
+    """Phrases of up to ``longest`` words that are said again at once, cut to their first saying, longest phrases first.
+
+    Words are numbers here and separators are kinds: a phrase has blanks inside, between two sayings stand blanks or one comma.
+    Every phrase length is one walk over the words; a walk ends early where no word equals that many words before it.
     """
-    any_phrase = r"[\w']+(?:\s+[\w']+){0,%d}" % (longest - 1)
-    repeats = text.rlike(rf"(?i)(?<![\w'])({any_phrase})\s+\1(?![\w'])")
-    out = text
+    found = [(m.start(), m.end()) for m in _JOINED.finditer(text)]
+    known: dict[str, int] = {}
+    word = [known.setdefault(text[a:b].lower(), len(known)) for a, b in found]
+    gap = [text[a[1] : b[0]] for a, b in zip(found, found[1:])]
+    kind = [1 if g.strip(" \t") == "" else 2 if g.strip(" \t") == "," else 0 for g in gap]
+    place, before = list(range(len(found))), len(found)
     for _ in range(passes):
+        start = len(word)
         for n in range(longest, 0, -1):
-            phrase = r"[\w']+" + r"\s+[\w']+" * (n - 1)
-            out = F.regexp_replace(out, rf"(?i)(?<![\w'])({phrase})(?:\s+\1(?![\w']))+", "$1")
-    return F.when(repeats, out).otherwise(text), F.when(repeats, words(text) - words(out)).otherwise(F.when(text.isNotNull(), 0))
+            if not any(a == b for a, b in zip(word, word[n:])):
+                continue
+            keep, i, m = [], 0, len(word)
+            ends: dict[int, int] = {}  # a kept phrase's last word -> the removed word whose separator follows it now
+            while i < m:
+                again = i + n
+                if all(k == 1 for k in kind[i : again - 1]):
+                    while again + n <= m and kind[again - 1] and word[i : i + n] == word[again : again + n] and gap[i : i + n - 1] == gap[again : again + n - 1]:
+                        again += n
+                if again > i + n:
+                    keep += range(i, i + n)
+                    ends[i + n - 1] = again - 1
+                    i = again
+                else:
+                    keep.append(i)
+                    i += 1
+            after = [ends.get(k, k) for k in keep[:-1]]
+            word, place = [word[k] for k in keep], [place[k] for k in keep]
+            gap, kind = [gap[k] for k in after], [kind[k] for k in after]
+        if len(word) == start:
+            break
+    if len(word) == before:
+        return text, 0
+    # behind the last kept word goes on what followed the last word of all
+    body = [x for k, p in enumerate(place) for x in (text[found[p][0] : found[p][1]], gap[k] if k < len(gap) else "")]
+    return text[: found[0][0]] + "".join(body) + text[found[-1][1] :], before - len(word)
+
+
+@F.pandas_udf(StructType().add("once", StringType()).add("n_words", IntegerType()).add("text", StringType()).add("n_phrases", IntegerType()))
+def _without_repeats(lines: pd.Series, longest: pd.Series, passes: pd.Series) -> pd.DataFrame:
+    def both(line: str | None, n: int, most: int) -> tuple:
+        if line is None:
+            return None, None, None, None
+        once, words_removed = _once(line)
+        text, phrases_removed = _said_once(once, n, most)
+        return once, words_removed, text, phrases_removed
+
+    return pd.DataFrame([both(*x) for x in zip(lines, longest, passes)], columns=["once", "n_words", "text", "n_phrases"]).astype({"n_words": "Int32", "n_phrases": "Int32"})
+
+
+def repeated(text: Column, longest: int = 5, passes: int = 5) -> Column:
+    """once, n_words: three or more equal neighbours become one; text, n_phrases: then a phrase of up to ``longest`` words said
+    again at once becomes one.  The counts are of words removed; time follows the line's length."""
+    return _without_repeats(text, F.lit(longest), F.lit(passes))
+
+
+@F.pandas_udf(StructType().add("text", StringType()).add("n", IntegerType()))
+def _phrases_once(lines: pd.Series, longest: pd.Series, passes: pd.Series) -> pd.DataFrame:
+    found = [(None, None) if t is None else _said_once(t, n, most) for t, n, most in zip(lines, longest, passes)]
+    return pd.DataFrame(found, columns=["text", "n"]).astype({"n": "Int32"})
+
+
+def repeated_word(text: Column) -> tuple[Column, Column]:
+    """Three or more equal neighbours become one; the words removed are counted."""
+    found = repeated(text, 0, 0)
+    return found["once"], found["n_words"]
+
+
+def repeated_phrase(text: Column, longest: int = 5, passes: int = 5) -> tuple[Column, Column]:
+    """A phrase of up to ``longest`` words said again at once becomes one, longest phrases first; words removed are counted."""
+    found = _phrases_once(text, F.lit(longest), F.lit(passes))
+    return found["text"], found["n"]
 
 
 def whitespace(text: Column) -> Column:
@@ -142,12 +226,9 @@ def clean_lines(lines: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
         text, n = removed(text, pattern)
         step = step.withColumn(name, n).withColumn("text_" + name, text)
         text = F.col("text_" + name)
-    once, n = repeated_word(text)
-    step = step.withColumn("n_repeated_words", n).withColumn("once", once)
-    step = step.withColumn("phrase", repeated_phrase(F.col("once"))[0])  # the passes run once, for text and count
-    fewer = F.when(F.col("phrase") == F.col("once"), 0).otherwise(words(F.col("once")) - words(F.col("phrase")))
-    step = step.withColumn("n_repeated_phrases", fewer).withColumn("cleaned", whitespace(F.col("phrase")))
-    return step.drop("c0", "c1", "c2", "both", "text_n_artefacts", "text_n_uncertain", "text_n_fillers", "once", "phrase")
+    step = step.withColumn("repeats", repeated(text))
+    step = step.withColumn("n_repeated_words", F.col("repeats.n_words")).withColumn("n_repeated_phrases", F.col("repeats.n_phrases")).withColumn("cleaned", whitespace(F.col("repeats.text")))
+    return step.drop("c0", "c1", "c2", "both", "text_n_artefacts", "text_n_uncertain", "text_n_fillers", "repeats")
 
 
 COUNTERS = ("n_timestamps", "n_speakers", "n_artefacts", "n_uncertain", "n_fillers", "n_repeated_words", "n_repeated_phrases")

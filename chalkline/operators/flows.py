@@ -7,6 +7,7 @@ cuts the lineage and keeps plans small.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,19 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def corrected(sentences: DataFrame, vocabulary: DataFrame, memory: DataFrame) -> DataFrame:
-    """sentences (doc_id, pos, sentence) with spoken code written out and the approved corrections of suspicious spans made.
+def corrected(sentences: DataFrame, vocabulary: DataFrame, memory: DataFrame, anchors: tuple[Sequence[str], Sequence[str]] | None = None) -> DataFrame:
+    """sentences (doc_id, pos, sentence) with spoken code written out and the approved corrections of suspicious spans made,
+    each where its span stands.
 
-    vocabulary: key, n_words; memory: as for ``terminology.memory_lookup``.  Nothing is corrected that nobody approved.
+    vocabulary: key, n_words; memory and anchors: as for ``terminology``.  Nothing is corrected that nobody approved.
     """
     written = cut(terminology.spoken_dots(sentences).select("doc_id", "pos", F.col("fixed").alias("sentence")))
-    spans = terminology.pick_spans(terminology.detect(written, vocabulary))
-    asked = spans.select("doc_id", "pos", "original").distinct().withColumn("id", F.struct("doc_id", "pos", "original")).select("id", F.col("original").alias("key"), F.array().cast("array<string>").alias("context"))
-    known = terminology.memory_lookup(asked, memory).select("id.doc_id", "id.pos", F.struct(F.col("key").alias("original"), "correction").alias("c"))
-    listed = known.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list("c")).alias("c"))
-    pattern = lambda x: F.concat(F.lit(r"(?i)\b\Q"), x["original"], F.lit(r"\E\b"))
-    done = F.aggregate(F.coalesce("c", F.array()), F.col("sentence"), lambda t, x: F.regexp_replace(t, pattern(x), x["correction"]))
-    return written.join(listed, ["doc_id", "pos"], "left").select("doc_id", "pos", done.alias("sentence"))
+    spans = terminology.pick_spans(terminology.detect(written, vocabulary, anchors=anchors))
+    asked = spans.select(F.struct("doc_id", "pos", "begin", "stop").alias("id"), F.col("original").alias("key"), F.array().cast("array<string>").alias("context"))
+    known = terminology.memory_lookup(asked, memory).select("id.doc_id", "id.pos", F.col("id.begin").alias("start"), "id.stop", F.col("correction").alias("replacement"))
+    place = ("doc_id", "pos")
+    return terminology.apply_spans(written.withColumnRenamed("sentence", "text"), known, place).select(*place, F.col("text").alias("sentence"))
 
 
 def sentences_of(texts: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 
 def term_key(text: Column) -> Column:
@@ -48,6 +50,15 @@ def anchors_in(words: Column, strong: Sequence[str], weak: Sequence[str]) -> tup
     return found, F.arrays_overlap(words, F.array(*map(F.lit, strong))) | (F.size(found) >= 2)
 
 
+MEMBER = r"\b[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*\b"
+SYNTAX = r"(?i)==|!=|<=|>=|\[[^\]]*\]|\bif\b|\bwhile\b"
+
+
+def technical(sentence: Column, strong: Sequence[str], weak: Sequence[str]) -> Column:
+    """Whether a sentence has context enough to look for misspelt terms: anchors, member access or signs of code."""
+    return anchors_in(F.split(term_key(sentence), " "), strong, weak)[1] | sentence.rlike(MEMBER) | sentence.rlike(SYNTAX)
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two short strings; used only on blocked pairs."""
@@ -72,10 +83,12 @@ def close_words(left: DataFrame, right: DataFrame, long_word: int = 8, short_edi
 
     left is distinct words of a corpus, right a vocabulary: its forms are sent to all tasks, so no form is shuffled.
     """
+    n_terms, longest = right.agg(F.count("*"), F.max(F.length("term"))).first()
+    left = left.where(F.length("word") <= (longest or 0) + 2)  # a longer one is close to no term, and has many forms
     long_ = (F.length("word") >= long_word) | F.lit(short_edits > 1)
     a = left.select("word", F.explode(F.when(long_, _deletions(F.col("word"), 2)).otherwise(_deletions(F.col("word"), 1))).alias("form"))
     b = right.select("term", F.explode(F.when((F.length("term") >= long_word - 2) | F.lit(short_edits > 1), _deletions(F.col("term"), 2)).otherwise(_deletions(F.col("term"), 1))).alias("form"))
-    forms = F.broadcast(b) if right.count() <= MOST_TERMS else b
+    forms = F.broadcast(b) if n_terms <= MOST_TERMS else b
     pairs = a.join(forms, "form").select("word", "term").distinct()
     most = F.when(long_, 2).otherwise(1)
     return pairs.withColumn("edits", F.levenshtein("word", "term", 2)).where((F.col("edits") >= 1) & (F.col("edits") <= most))
@@ -83,7 +96,7 @@ def close_words(left: DataFrame, right: DataFrame, long_word: int = 8, short_edi
 
 MOST_TERMS = 50_000  # vocabularies of at most so many words are sent to all tasks
 TOKEN = "[A-Za-z][A-Za-z0-9_'’-]*"
-STRETCH = rf"({TOKEN}(?:[ \t]+{TOKEN})*)([^A-Za-z]*)"
+WORDS_BETWEEN_BLANKS = rf"{TOKEN}(?:[ \t]++{TOKEN})*+"  # possessive: a run of any length without recursion
 COMPARED = r"^(?:less than|greater than|equals?\b|is (?:less|greater|equal))"
 CONTROL, CONTROLLED = ("while", "if"), ("loop", "statement", "condition")
 # Words of grammar and control flow that are never read as a misspelt term.
@@ -93,12 +106,41 @@ PROTECTED = (
 )
 
 
-def stretches(sentences: DataFrame) -> DataFrame:
-    """sentences (doc_id, pos, sentence) -> doc_id, pos, stretch, tokens, after: maximal runs of words with only blanks
-    between, so that nothing made of them crosses punctuation, and the signs that follow."""
-    found = F.arrays_zip(F.regexp_extract_all("sentence", F.lit(STRETCH), F.lit(1)).alias("run"), F.regexp_extract_all("sentence", F.lit(STRETCH), F.lit(2)).alias("after"))
-    rows = sentences.select("doc_id", "pos", F.posexplode(found).alias("stretch", "x"))
-    return rows.select("doc_id", "pos", "stretch", F.filter(F.split(term_key(F.col("x.run")), " "), lambda w: w != "").alias("tokens"), F.col("x.after").alias("after"))
+SEGMENT, NEXT_WORDS = 64, 4
+_RUN, _PART, _DROPPED = re.compile(WORDS_BETWEEN_BLANKS), re.compile(r"[A-Za-z0-9'’]+"), re.compile("['’]")
+
+
+def stretches(sentences: DataFrame, longest: int = 4) -> DataFrame:
+    """Maximal runs of words with only blanks between, so that nothing made of them crosses punctuation, in segments.
+
+    sentences (doc_id, pos, sentence) -> doc_id, pos, stretch, base, own_from, own_to, tokens, starts, stops, after.  A
+    segment owns up to SEGMENT words, tokens[own_from:own_to], and holds the neighbours that phrases of ``longest`` words
+    need; base is the place of its first word in the stretch, starts and stops are places in the sentence, after the first
+    signs behind the stretch.  So no row grows with its sentence, and a sentence is read once.
+    """
+    rows = sentences.select("doc_id", "pos", "sentence")
+    kinds = rows.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), strings, ints, ints, pa.string()]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch, picked, made = whole.slice(at, 200), [], []
+                for row, sentence in enumerate(batch.column(2).to_pylist()):
+                    for number, run in enumerate(_RUN.finditer(sentence or "")):
+                        parts = [(w, run.start() + m.start(), run.start() + m.end()) for m in _PART.finditer(run.group()) if (w := _DROPPED.sub("", m.group()).lower())]
+                        after = sentence[run.end() : run.end() + 40].lstrip()[:2]
+                        for own in range(0, len(parts), SEGMENT):
+                            base, end = max(0, own - longest + 1), own + SEGMENT + longest - 1 + NEXT_WORDS
+                            held = list(zip(*parts[base:end]))
+                            picked.append(row)
+                            made.append((number, base, own - base, min(own + SEGMENT, len(parts)) - base, *held, after))
+                columns = [pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * len(types), types)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(picked, pa.int32())) for i in (0, 1)), *columns], names=["doc_id", "pos", "stretch", "base", "own_from", "own_to", "tokens", "starts", "stops", "after"])
+
+    schema = "stretch int, base int, own_from int, own_to int, tokens array<string>, starts array<int>, stops array<int>, after string"
+    return rows.mapInArrow(cut, f"doc_id {kinds['doc_id'].dataType.simpleString()}, pos {kinds['pos'].dataType.simpleString()}, {schema}")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -118,24 +160,31 @@ def _inflections(word: Column) -> Column:
     return F.array_distinct(F.array_compact(made))
 
 
-def detect(sentences: DataFrame, terms: DataFrame, longest: int = 4, word_floor: float = 0.86, phrase_floor: float = 0.78, token_floor: float = 0.62, margin: float = 0.04, protected: Sequence[str] = PROTECTED) -> DataFrame:
+def detect(
+    sentences: DataFrame, terms: DataFrame, longest: int = 4, word_floor: float = 0.86, phrase_floor: float = 0.78, token_floor: float = 0.62, margin: float = 0.04, protected: Sequence[str] = PROTECTED,
+    anchors: tuple[Sequence[str], Sequence[str]] | None = None,
+) -> DataFrame:
     """Suspicious spans: runs of 1..``longest`` words that differ from one vocabulary term of as many words in one token.
 
-    sentences (doc_id, pos, sentence), terms (key, n_words).  The corpus' distinct words meet the vocabulary's words on
+    sentences (doc_id, pos, sentence), terms (key, n_words); anchors (strong, weak words): only sentences that are
+    ``technical`` by them are searched, without them all are.  The corpus' distinct words meet the vocabulary's words on
     deletion forms first; only occurrences of the few that are close to one go on, and each looks at the terms with that
     word in place.  Other tokens must be equal or simple inflections; valid wording and conditions of control flow ("while low
-    less than ...") are left out.  Returns doc_id, pos, stretch, start, n, original, term, score.
+    less than ...") are left out.  Returns doc_id, pos, stretch, start, n (places in words), begin, stop (places in the
+    sentence), original, term, score.
     """
     known = terms.where(F.col("n_words") <= longest).select(F.col("key").alias("term"), F.split("key", " ").alias("t"), F.col("n_words").alias("n")).distinct()
     few = F.broadcast if known.count() <= MOST_TERMS else (lambda t: t)
-    runs = stretches(sentences)
-    words = runs.select(F.explode("tokens").alias("word")).where(F.length("word") >= 3).distinct()
+    searched = sentences if anchors is None else sentences.where(technical(F.col("sentence"), *anchors))
+    runs = stretches(searched, longest)
+    words = runs.select(F.explode(F.slice("tokens", F.col("own_from") + 1, F.col("own_to") - F.col("own_from"))).alias("word")).where(F.length("word") >= 3).distinct()
     words = words.where(~F.col("word").isin(*protected)) if protected else words
     parts = known.select(F.explode("t").alias("term")).where(F.length("term") >= 3).distinct()
     close = close_words(words, parts, short_edits=2).where(~inflected(F.col("word"), F.col("term")))
     close = close.withColumn("likeness", ratio(F.col("word"), F.col("term"))).where(F.col("likeness") >= token_floor).withColumnRenamed("term", "token").persist()  # counted, then joined
     placed = known.select("term", "t", "n", F.posexplode("t").alias("k", "token"))
-    hits = runs.select("doc_id", "pos", "stretch", "tokens", "after", F.posexplode("tokens").alias("i", "word")).join(F.broadcast(close) if close.count() <= MOST_TERMS else close, "word").join(few(placed), "token")
+    owned = runs.select("doc_id", "pos", "stretch", "base", "own_from", "own_to", "tokens", "starts", "stops", "after", F.posexplode("tokens").alias("i", "word")).where((F.col("i") >= F.col("own_from")) & (F.col("i") < F.col("own_to")))
+    hits = owned.join(F.broadcast(close) if close.count() <= MOST_TERMS else close, "word").join(few(placed), "token")
     start, n = F.col("i") - F.col("k"), F.col("n")
     others = F.zip_with(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, n), "t", lambda w, t: F.when(_same(w, t), _likeness(w, t)))
     fit = hits.where((start >= 0) & (start + n <= F.size("tokens"))).withColumn("others", others)
@@ -145,17 +194,20 @@ def detect(sentences: DataFrame, terms: DataFrame, longest: int = 4, word_floor:
     floor = F.when(n == 1, word_floor).otherwise(phrase_floor)
     original = F.array_join(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, n), " ")
     scored = fit.withColumn("score", (total + F.col("likeness")) / n).where((F.col("edits") <= edits) & ((n > 1) | (F.col("likeness") >= word_floor)))
-    scored = scored.select("doc_id", "pos", "stretch", start.alias("start"), "n", original.alias("original"), "term", "t", "score", floor.alias("floor"), F.slice("tokens", F.greatest(start + n, F.lit(0)) + 1, F.lit(4)).alias("next"), "after", F.get("tokens", start).alias("first"))
+    scored = scored.select(
+        "doc_id", "pos", "stretch", (F.col("base") + start).alias("start"), "n", F.get("starts", start).alias("begin"), F.get("stops", start + n - 1).alias("stop"), original.alias("original"), "term", "t", "score",
+        floor.alias("floor"), F.slice("tokens", F.greatest(start + n, F.lit(0)) + 1, F.lit(NEXT_WORDS)).alias("next"), "after", F.get("tokens", start).alias("first"),
+    )
     first_forms = known.select(F.col("t").alias("_t"), "n", F.explode(_inflections(F.col("t")[0])).alias("form"))
     wording = scored.withColumn("form", F.explode(_inflections(F.col("first")))).join(few(first_forms), ["form", "n"], "left")
     valid = F.coalesce(F.forall(F.zip_with(F.split("original", " "), "_t", _same), lambda x: x), F.lit(False))
     scored = wording.groupBy(*scored.columns).agg(F.bool_or(valid).alias("valid")).where("not valid")
     span = Window.partitionBy("doc_id", "pos", "stretch", "start", "n").orderBy(F.desc("score"), "term")
     best = scored.withColumn("_r", F.row_number().over(span)).withColumn("_next", F.lead("score").over(span))
-    follows = F.array_join("next", " ").rlike(COMPARED) | ((F.size("next") == 0) & F.col("after").rlike(r"^\s*(?:<=|>=|==|!=|<|>)"))
+    follows = F.array_join("next", " ").rlike(COMPARED) | ((F.size("next") == 0) & F.col("after").rlike(r"^(?:<=|>=|==|!=|<|>)"))
     control = (n == 2) & F.col("first").isin(*CONTROL) & (F.col("t")[0] == F.col("first")) & F.get("t", F.lit(1)).isin(*CONTROLLED) & follows
     kept = best.where((F.col("_r") == 1) & (F.col("score") >= F.col("floor")) & (F.col("score") - F.coalesce("_next", F.lit(0.0)) >= margin) & ~control)
-    return kept.select("doc_id", "pos", "stretch", "start", "n", "original", "term", F.round("score", 4).alias("score"))
+    return kept.select("doc_id", "pos", "stretch", "start", "n", "begin", "stop", "original", "term", F.round("score", 4).alias("score"))
 
 
 def _valid_wording(originals: DataFrame, known: DataFrame) -> DataFrame:
@@ -167,11 +219,18 @@ def _valid_wording(originals: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def pick_spans(spans: DataFrame) -> DataFrame:
-    """Longest, then best-scoring spans of a stretch that do not overlap (a fold over its few spans in that order)."""
+    """Longest, then best-scoring spans of a stretch that do not overlap.
+
+    Spans that touch one another through others make a group; each group is folded in that order, so that a stretch of any
+    length costs a sort by start and short folds.
+    """
     key = [c for c in ("doc_id", "pos", "stretch") if c in spans.columns]
     rest = [c for c in spans.columns if c not in key]
+    by_start = Window.partitionBy(*key).orderBy("start", "n")
+    reach = F.max(F.col("start") + F.col("n")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = spans.withColumn("_new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))).withColumn("_group", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.struct((-F.col("n")).alias("a"), (-F.col("score")).alias("b"), F.col("start").alias("c"), F.struct(*rest).alias("x"))
-    listed = spans.groupBy(*key).agg(F.sort_array(F.collect_list(order)).alias("s")).withColumn("s", F.transform("s", lambda o: o["x"]))
+    listed = grouped.groupBy(*key, "_group").agg(F.sort_array(F.collect_list(order)).alias("s")).withColumn("s", F.transform("s", lambda o: o["x"]))
     free = lambda a, x: ~F.exists(a, lambda k: (x["start"] < k["start"] + k["n"]) & (x["start"] + x["n"] > k["start"]))
     kept = F.aggregate("s", F.filter("s", lambda x: F.lit(False)), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
     return listed.select(*key, F.explode(kept).alias("k")).select(*key, "k.*").select(*spans.columns)
@@ -189,7 +248,7 @@ def memory_lookup(phrases: DataFrame, memory: DataFrame, floor: float = 0.20) ->
 
 
 SAFE = r"^[A-Za-z0-9_+\-./<>=\[\]() ]+$"
-CODE_PATH = r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$"
+CODE_PATH = r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)++$"
 
 
 def validate(proposals: DataFrame, terms: DataFrame, minimum: float = 0.82, token_floor: float = 0.62, most_words: int = 6, protected: Sequence[str] = PROTECTED) -> DataFrame:
@@ -216,7 +275,7 @@ def validate(proposals: DataFrame, terms: DataFrame, minimum: float = 0.82, toke
         ("other_issue", F.col("answered_id") != F.col("id")), ("not_the_span", original != F.col("detected")),
         ("source_changed", F.substring(F.col("text"), F.col("start") + 1, F.length("detected")) != F.col("detected")), ("empty_replacement", new == ""), ("low_confidence", F.col("confidence") < minimum),
         ("line_break", new.rlike(r"[\r\n]")), ("too_long", F.size(F.split(new, r"\s+")) > most_words), ("unsupported_characters", ~new.rlike(SAFE)), ("no_content", (F.col("_ok") == "") | (F.col("_rk") == "")),
-        ("format_only", F.col("_ok") == F.col("_rk")), ("already_valid", F.col("_valid")), ("crosses_punctuation", ~original.rlike(rf"^[^A-Za-z]*{TOKEN}(?:[ \t]+{TOKEN})*[^A-Za-z]*$")),
+        ("format_only", F.col("_ok") == F.col("_rk")), ("already_valid", F.col("_valid")), ("crosses_punctuation", ~original.rlike(rf"^[^A-Za-z]*{WORDS_BETWEEN_BLANKS}[^A-Za-z]*$")),
         ("token_count", F.size("_o") != F.size("_n")), ("no_token_changed", F.size("_p") == 0), ("inflection_only", F.forall("_p", lambda p: inflected(p["a"], p["b"]))), ("several_tokens", F.size("_p") != 1),
         ("control_word", a.isin(*protected)), ("not_close", F.col("_like") < token_floor), ("too_many_edits", F.levenshtein(a, b) > edits), ("control_flow", control & compared),
         ("not_supported", ~(F.coalesce("_term", F.lit(False)) | F.exists(F.coalesce("candidates", F.array()), lambda c: term_key(c) == F.col("_rk")) | new.rlike(CODE_PATH))),
@@ -261,11 +320,26 @@ def non_overlapping(corrections: DataFrame) -> DataFrame:
     return listed.select("id", F.explode(F.expr(_fold("s"))).alias("c")).select("id", "c.*")
 
 
-def apply_spans(texts: DataFrame, corrections: DataFrame) -> DataFrame:
-    """texts (id, text) with non-overlapping corrections applied from the right, so that offsets stay valid."""
-    spans = corrections.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "replacement")), asc=False).alias("s"))
-    done = F.expr("aggregate(s, text, (t, x) -> overlay(t placing x.replacement from x.start + 1 for x.stop - x.start))")
-    return texts.join(spans, "id", "left").select("id", F.when(F.col("s").isNull(), F.col("text")).otherwise(done).alias("text"))
+@F.pandas_udf(StringType())
+def _spliced(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts with their spans (start, stop, replacement; ascending, apart) replaced, in one pass over each."""
+
+    def splice(t: str | None, found: list | None) -> str | None:
+        if t is None or found is None:
+            return t
+        parts, at = [], 0
+        for x in found:
+            parts += [t[at : x["start"]], x["replacement"]]
+            at = x["stop"]
+        return "".join([*parts, t[at:]])
+
+    return pd.Series([splice(t, found) for t, found in zip(text, spans)], dtype=object)
+
+
+def apply_spans(texts: DataFrame, corrections: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
+    """texts (key, text) with non-overlapping corrections (key, start, stop, replacement) made; one without any stays."""
+    spans = corrections.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "replacement"))).alias("s"))
+    return texts.join(spans, list(key), "left").select(*key, _spliced("text", "s").alias("text"))
 
 
 def apply_rules(sentences: DataFrame, rules: Sequence[Mapping[str, str]]) -> DataFrame:

@@ -63,7 +63,14 @@ def filler(spark, d):
     return _removed(C.FILLER)(spark, d)
 
 
-@query("cln.repeat_word")
+#: words and what stands between them, islands of equal neighbours, and what is left of each
+@query("cln.repeat_word", f"""WITH {LINES}, p AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS ps FROM lines),
+e AS (SELECT doc_id, line_no, unnest(ps) AS x, unnest(range(len(ps))) AS i FROM p), w AS (SELECT *, regexp_full_match(x, '[\\p{{L}}\\p{{N}}_]+') AS word, lag(x) OVER l AS gap, lag(x, 2) OVER l AS last FROM e WINDOW l AS (PARTITION BY doc_id, line_no ORDER BY i)),
+s AS (SELECT *, coalesce(word AND regexp_full_match(x, '[A-Za-z]+') AND lower(x) = lower(last) AND regexp_full_match(gap, '\\s+'), false) AS same FROM w),
+g AS (SELECT *, sum((word AND NOT same)::INTEGER) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS g FROM s), k AS (SELECT *, word AND same AND count(*) FILTER (word) OVER (PARTITION BY doc_id, line_no, g) >= 3 AS gone FROM g),
+r AS (SELECT *, gone OR (NOT word AND coalesce(lead(gone) OVER (PARTITION BY doc_id, line_no ORDER BY i), false)) AS left_out FROM k),
+o AS (SELECT doc_id, line_no, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT left_out), '') AS cleaned, count(*) FILTER (gone) AS n FROM r GROUP BY ALL)
+SELECT l.doc_id, l.line_no, coalesce(o.cleaned, '') AS cleaned, coalesce(o.n, 0)::INTEGER AS n FROM lines l LEFT JOIN o USING (doc_id, line_no)""")
 def repeat_word(spark, d):
     text, n = C.repeated_word(F.col("line"))
     return lines(read(spark, d, "documents")).select("doc_id", "line_no", text.alias("cleaned"), n.alias("n"))

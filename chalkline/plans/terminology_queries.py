@@ -43,7 +43,7 @@ def spoken(spark, d):
     return T.spoken_dots(e).select("event_id", "fixed", "hits")
 
 
-STRONG_ANCHORS, WEAK_ANCHORS = ("reer", "the,"), ("the", "and", "of")
+STRONG_ANCHORS, WEAK_ANCHORS, STRONG_WORDS = ("reer", "the,"), ("the", "and", "of"), ("reer", "heer", "over")
 
 
 @query("trm.context", f"""WITH {NUMBERED}, a AS (SELECT doc_id, pos, words, list_sort(list_distinct(list_filter(words, lambda w: w IN ('reer', 'the,', 'the', 'and', 'of')))) AS anchors FROM numbered)
@@ -65,7 +65,7 @@ def _terms(spark, d):
 
 
 def _spans(spark, d):
-    return T.detect(numbered_sentences(read(spark, d, "documents")), _terms(spark, d))
+    return T.detect(numbered_sentences(read(spark, d, "documents")), _terms(spark, d), anchors=(STRONG_WORDS, WEAK_ANCHORS))
 
 
 @query("trm.detect")

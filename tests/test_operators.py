@@ -1,11 +1,14 @@
 """Small fixtures for the operators that SQL on the provided tables does not cover, and edge cases of the others."""
 
+import difflib
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chalkline.operators import bank, chunking, cleaning, lessons, resolver, retrieval, snapshots, terminology, topics, vectors
+from chalkline.operators import bank, chunking, cleaning, flows, lessons, resolver, retrieval, snapshots, terminology, topics, vectors
 from chalkline.sources import sinks, tables
 
 
@@ -28,6 +31,53 @@ def test_repeats(spark):
     assert phrase("we go on we go on then then stop") == "we go on then stop" and phrase("no repeats here") == "no repeats here"
 
 
+def plain_phrases(text, longest=5, passes=5):
+    """The rule as one search with a back-reference per phrase length."""
+    word, removed = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*", 0
+    for _ in range(passes):
+        before = text
+        for n in range(longest, 0, -1):
+            pattern = rf"(?i)(?<!\w)({word}(?:[ \t]+{word}){{{n - 1}}})(?:(?:[ \t]+|[ \t]*,[ \t]*)\1(?!\w))+"
+            removed += sum(len(re.findall(word, m[0])) - n for m in re.finditer(pattern, text))
+            text = re.sub(pattern, r"\1", text)
+        if text == before:
+            break
+    return text, removed
+
+
+def test_repeats_against_plain_searches(spark):
+    rng, rows = random.Random(1), []
+    for _ in range(3000):
+        words = rng.choice([["a", "b", "c", "A"], ["it", "is", "It", "é", "x1", "_", "9"], ["go", "on", "we", "We"]])
+        rows.append("".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ",", " , ", ". "]) for _ in range(rng.randrange(1, 14))))
+    word, phrase = cleaning.repeated_word(F.col("t")), cleaning.repeated_phrase(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in [*rows, None, ""]], "t string").select("t", word[0].alias("w"), word[1].alias("nw"), phrase[0].alias("p"), phrase[1].alias("np")).collect()
+    for r in got:
+        once = r.t and re.sub(r"(?i)\b([A-Za-z]+)(?:\s+\1\b){2,}", r"\1", r.t)
+        assert r.w == once and r.nw == (None if r.t is None else len(re.findall(r"\w+", r.t)) - len(re.findall(r"\w+", once)))
+        assert (r.p, r.np) == ((None, None) if r.t is None else plain_phrases(r.t))
+
+
+LONG_LINES = ["the " * 200_000, "we go on and on " * 40_000, " ".join(f"w{chr(97 + i % 26)}{i}" for i in range(200_000)), "x" * 1_000_000, "a.b" * 100_000, "title: " * 50_000]
+
+
+def test_text_operators_on_very_long_lines(spark):
+    """No operator recurses over a line or compares all its words: lines of 200,000 words, of one word and of one phrase."""
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(LONG_LINES)], "doc_id long, text string").repartition(4)
+    cleaned = {r.doc_id: r for r in cleaning.clean_transcripts(lines).collect()}
+    assert cleaned[0].text == "the" and cleaned[0].n_repeated_words == 199_999 and cleaned[1].text == "we go on and on" and cleaned[2].text == LONG_LINES[2]
+    told = lines.select("doc_id", F.lit(0).alias("pos"), F.col("text").alias("sentence"))
+    words = vocabulary(spark, *TERMS, "one phrase")
+    assert terminology.detect(told, words).count() >= 0
+    wild = spark.createDataFrame([(1, 0, "the algoritm and the " * 25_000)], "doc_id long, pos int, sentence string")
+    spans = terminology.pick_spans(terminology.detect(wild, words))
+    assert spans.count() == 25_000 and spans.selectExpr("max(stop)").first()[0] == 25_000 * 21 - 9
+    texts = [cleaning.metadata_key, cleaning.whitespace, cleaning.warnings, cleaning.speaker, cleaning.timestamp, cleaning.speaker_timestamp, terminology.term_key, cleaning.normal_sentence]
+    lines.select(*[f(F.col("text")).alias(f"x{i}") for i, f in enumerate(texts)], F.col("text").rlike(terminology.CODE_PATH), terminology.technical(F.col("text"), ("a",), ("b",)), *cleaning.removed(F.col("text"), cleaning.NOISE)).write.format("noop").mode("overwrite").save()
+    assert terminology.spoken_dots(told).count() == len(LONG_LINES)
+    assert flows.sentences_of(lines).count() > 0
+
+
 def test_whole_cleaning_pipeline(spark):
     text = "Transcript\n\nTeacher: We start now. we start  now.\n\nWe start now. Then we go.\nPage 2\nend end end of it"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
@@ -113,6 +163,67 @@ def test_detection_finds_misspelt_terms_only(spark):
     assert [(r.start, r.n, r.original) for r in phrase] == [(2, 2, "binery searches")]
 
 
+def plain_spans(sentence, terms, longest=4):
+    """Every run of words against every term, by the rules as they are told."""
+    found = []
+    known = [t.split() for t in terms]
+    inflect = lambda a, b: any(y in (x + "s", x + "es") or (x.endswith("y") and y == x[:-1] + "ies") for x, y in ((a, b), (b, a)))
+    like = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z]+", sentence)]
+    for i in range(len(words)):
+        for n in range(1, longest + 1):
+            run = words[i : i + n]
+            if len(run) < n or any(not re.fullmatch(r"[ \t]+", sentence[a[2] : b[1]]) for a, b in zip(run, run[1:])):
+                continue
+            w = [x[0] for x in run]
+            if any(len(t) == n and all(a == b or inflect(a, b) for a, b in zip(w, t)) for t in known):
+                continue
+            scores = []
+            for t in known:
+                off = [k for k in range(min(n, len(t))) if w[k] != t[k] and not inflect(w[k], t[k])] if len(t) == n else []
+                if len(off) == 1 and w[off[0]] not in terminology.PROTECTED and min(len(w[off[0]]), len(t[off[0]])) >= 3:
+                    a, b = w[off[0]], t[off[0]]
+                    if distance(a, b) <= (1 if n == 1 and max(len(a), len(b)) <= 7 else 2) and like(a, b) >= (0.86 if n == 1 else 0.62):
+                        scores.append((sum(like(x, y) for x, y in zip(w, t)) / n, " ".join(t)))
+            scores.sort(key=lambda s: (-s[0], s[1]))
+            if scores and scores[0][0] >= (0.86 if n == 1 else 0.78) and scores[0][0] - (scores[1][0] if len(scores) > 1 else 0.0) >= 0.04:
+                found.append((run[0][1], run[-1][2], scores[0][1]))
+    return found
+
+
+def test_detection_against_every_run_and_term(spark):
+    rng = random.Random(4)
+    terms = ("binary search tree", "array index", "algorithm", "linear search", "query", "database record", "loops")
+    pool = "binary binery search serch trees tree array arrey index indexes algorithm algoritm algorithms linear linaer query querie quary database databse record recrod loop lops the of a by".split()
+    told = ["".join(rng.choice(pool) + rng.choice([" ", " ", " ", "  ", ", ", ". ", " 3 "]) for _ in range(rng.choice([3, 8, 30, 150]))) for _ in range(120)]
+    got = terminology.detect(sentences(spark, *told), vocabulary(spark, *terms)).collect()
+    assert {(r.pos, r.begin, r.stop, r.term) for r in got} == {(i, *x) for i, t in enumerate(told) for x in plain_spans(t, terms)} and len(got) > 200
+
+
+def test_detection_needs_context_where_anchors_are_named(spark):
+    told = sentences(spark, "The roller coaster had a wild loop.", "The wild loop reads the array.", "A wild loop and a string.", "x.y has a wild loop", "a wild loop if it ends", "")
+    anchors = (("array", "algorithm"), ("loop", "string"))
+    got = terminology.detect(told, vocabulary(spark, *TERMS), anchors=anchors).collect()
+    assert {r.pos for r in got if r.term == "while loop"} == {1, 2, 3, 4}
+
+
+def test_corrections_are_made_where_their_spans_stand(spark):
+    told = sentences(spark, "use linear  serch and linear_serch here", "linear-serch, but not a linear serching crane", "linear serch costs", None)
+    memory = spark.createDataFrame([("linear serch", 1, "linear $search\\1", [], "approved", 0.9, 1)], "key string, memory_id long, correction string, context array<string>, status string, confidence double, times_applied int")
+    out = {r.pos: r.sentence for r in flows.corrected(told, vocabulary(spark, "linear search"), memory).collect()}
+    assert out == {0: "use linear $search\\1 and linear $search\\1 here", 1: "linear $search\\1, but not a linear serching crane", 2: "linear $search\\1 costs", 3: None}
+
+
 def test_spans(spark):
     spans = spark.createDataFrame([(1, 0, 0, 1, 0.9), (1, 0, 0, 2, 0.8), (1, 0, 2, 1, 0.9)], "doc_id long, pos int, start int, n int, score double")
     assert sorted((r.start, r.n) for r in terminology.pick_spans(spans).collect()) == [(0, 2), (2, 1)]
