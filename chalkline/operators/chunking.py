@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+from chalkline.operators.ordered import walk_groups
 
 # Phrases that announce a change of topic, one pattern an entry.
 STRONG = (
@@ -60,44 +66,68 @@ def named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_EDGES = re.compile("^[^a-z0-9]+|[^a-z0-9]+$")
+
+
+def _cuts(words: list[str], longest: int, window: int, least: int) -> list[int]:
+    """Where the pieces of a sentence begin; only words near a limit are looked at."""
+    bare = lambda i: _EDGES.sub("", words[i].lower())
+    marked = lambda i: bare(i) in MARKERS or (i > 0 and f"{bare(i - 1)} {bare(i)}" in PAIRS)
+    cuts = [0]
+    while len(words) - cuts[-1] > longest:
+        limit = cuts[-1] + longest
+        cuts.append(next((i for i in range(limit, max(cuts[-1] + least, limit - window) - 1, -1) if marked(i)), limit))
+    return cuts
+
+
 def split_long(sentences: DataFrame, longest: int = 42, window: int = 12, least: int = 12) -> DataFrame:
     """doc_id, pos, piece_no, piece: sentences of more than ``longest`` words cut before the last discourse marker of the
-    ``window`` words before the limit, else at the limit.  A fold over as many steps as a sentence can have pieces."""
-    bare = F.transform("words", lambda w: F.regexp_replace(F.lower(w), "^[^a-z0-9]+|[^a-z0-9]+$", ""))
-    marks = named(bare, lambda b: F.transform(b, lambda w, i: w.isin(*MARKERS) | F.concat_ws(" ", F.get(b, i - 1), w).isin(*PAIRS)))
+    ``window`` words before the limit, else at the limit.  One walk over a sentence; blank ones (no words) fall out."""
+    rows = sentences.select("doc_id", "pos", "words")
+    schema = StructType([*rows.drop("words").schema, StructField("piece_no", IntegerType()), StructField("piece", StringType())])
 
-    def cuts(marked: Column) -> Column:
-        def step(done: Column, _: Column) -> Column:
-            start = F.element_at(done, -1)
-            limit = start + longest
-            near = F.filter(F.sequence(F.greatest(start + least, limit - window), F.least(F.col("n") - 1, limit)), lambda i: F.get(marked, i))
-            return F.when(F.col("n") - start <= longest, done).otherwise(F.concat(done, F.array(F.coalesce(F.array_max(near), limit))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch, picked, numbers, pieces = whole.slice(start, 500), [], [], []
+                for row, words in enumerate(batch.column(2).to_pylist()):
+                    cuts = _cuts(words, longest, window, least) if words else []
+                    for number, (at, to) in enumerate(zip(cuts, [*cuts[1:], None])):
+                        picked.append(row)
+                        numbers.append(number)
+                        pieces.append(" ".join(words[at:to]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(picked, pa.int32())) for i in (0, 1)), pa.array(numbers, pa.int32()), pa.array(pieces, pa.string())], names=schema.names)
 
-        return F.aggregate(F.sequence(F.lit(1), F.expr(f"greatest(1, n div {least})")), F.array(F.lit(0)), step)
-
-    told = sentences.select("doc_id", "pos", "words", F.size("words").alias("n"))
-    whole = told.withColumn("cuts", F.when(F.col("n") <= longest, F.array(F.lit(0))).otherwise(named(marks, cuts)))
-    rows = whole.select("doc_id", "pos", "words", "n", "cuts", F.posexplode("cuts").alias("piece_no", "at"))
-    to = F.coalesce(F.get("cuts", F.col("piece_no") + 1), F.col("n"))
-    return rows.where("n > 0").select("doc_id", "pos", "piece_no", F.array_join(F.slice("words", F.col("at") + 1, to - F.col("at")), " ").alias("piece"))
+    return rows.mapInArrow(run, schema)
 
 
 def units(sentences: DataFrame, least: int = 60, tail: int = 30) -> DataFrame:
     """doc_id, unit_no, first_pos, last_pos, n_words, transition: runs of sentences of at least ``least`` words.
 
-    A sentence with a transition starts a new unit; a short last unit without one joins the unit before.  The fold
-    runs over the document's sentences in order (an array per document, bounded by its length).
+    A sentence with a transition starts a new unit; a short last unit without one joins the unit before.  One walk over
+    a document's sentences in order, which holds two units.
     """
-    ordered = sentences.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n_words", transition(F.col("sentence")).alias("t")))).alias("s"))
-    kind = "array<struct<first_pos:int,last_pos:int,n_words:int,transition:string>>"
-    fold = f"""aggregate(s, cast(array() as {kind}), (a, x) -> if(
-        size(a) = 0 or x.t is not null or element_at(a, -1).n_words >= {least},
-        concat(a, array(struct(x.pos as first_pos, x.pos as last_pos, x.n_words as n_words, x.t as transition))),
-        concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first_pos as first_pos, x.pos as last_pos, element_at(a, -1).n_words + x.n_words as n_words, element_at(a, -1).transition as transition)))))"""
-    merged = f"""if(size(u) > 1 and element_at(u, -1).n_words < {tail} and element_at(u, -1).transition is null,
-        concat(slice(u, 1, size(u) - 2), array(struct(element_at(u, -2).first_pos as first_pos, element_at(u, -1).last_pos as last_pos, element_at(u, -2).n_words + element_at(u, -1).n_words as n_words, element_at(u, -2).transition as transition))), u)"""
-    done = ordered.withColumn("u", F.expr(fold)).withColumn("u", F.expr(merged))
-    return done.select("doc_id", F.posexplode("u").alias("unit_no", "v")).select("doc_id", "unit_no", "v.*")
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        number, before, now = 0, None, None
+        for pos, n_words, t in rows:
+            if now is None or t is not None or now[2] >= least:
+                if before is not None:
+                    yield (number, *before)
+                    number += 1
+                before, now = now, [pos, pos, n_words, t]
+            else:
+                now[1], now[2] = pos, now[2] + n_words
+        if before is not None and now[2] < tail and now[3] is None:
+            before[1], before[2], now = now[1], before[2] + now[2], None
+        for last in (before, now):
+            if last is not None:
+                yield (number, *last)
+                number += 1
+
+    made = StructType([StructField(c, IntegerType()) for c in ("unit_no", "first_pos", "last_pos", "n_words")]).add("transition", StringType())
+    rows = sentences.select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("n_words").cast("int").alias("n_words"), transition(F.col("sentence")).alias("t"))
+    return walk_groups(rows, ["doc_id"], ["pos"], ["pos", "n_words", "t"], made, walk)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -130,42 +160,46 @@ def boundaries(units: DataFrame, soft_cap: float = 0.35, soft_slack: float = 0.1
 def plan(units: DataFrame, most: int = 550, least: int = 150, least_strong: int = 80, target: int = 350, size_weight: float = 0.12, strong_bonus: float = 0.10, soft_bonus: float = 0.04) -> DataFrame:
     """doc_id, plan_no, first_unit, last_unit, n_words, reason, similarity: chunk ends at the cheapest allowed boundary.
 
-    units: doc_id, unit_no, n_words, and similarity, reason and strength of the boundary before the unit.  One document a
-    group; each chunk looks ahead over its own words only, sums come from prefixes.
+    units: doc_id, unit_no, n_words, and similarity, reason and strength of the boundary before the unit.  One walk over a
+    document's units in order, which holds those of the next ``most + least`` words: what lies behind them decides nothing.
     """
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("unit_no")
-        n, reason, strength, sim = len(rows), rows["reason"].tolist(), rows["strength"].tolist(), rows["similarity"].tolist()
-        sums = [0, *rows["n_words"].cumsum().tolist()]
-        out, start = [], 0
-        while start < n:
-            best, end, roomy = None, start, None
-            while end < n - 1 and sums[end + 1] - sums[start] <= most:
-                size, after = sums[end + 1] - sums[start], sums[n] - sums[end + 1]
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        ahead, words, ended, first, number = deque(), 0, False, 0, 0
+        while True:
+            while not ended and (words <= most + least or len(ahead) < 2):
+                row = next(rows, None)
+                ended = row is None
+                if not ended:
+                    ahead.append(row)
+                    words += row[0]
+            if not ahead:
+                return
+            best, roomy, size, end = None, None, ahead[0][0], 0
+            for n_words, similarity, why, how in islice(ahead, 1, None):  # the boundary before this unit, after ``size`` words
+                if size > most:
+                    break
+                after = words - size
                 if after >= least:
                     roomy = end
-                why, how = reason[end + 1], strength[end + 1]
-                if isinstance(why, str) and size >= (least_strong if how == "strong" else least) and not 0 < after < least:
-                    cost = sim[end + 1] + size_weight * abs(size - target) / target - {"strong": strong_bonus, "soft": soft_bonus}.get(how, 0.0)
+                if why is not None and size >= (least_strong if how == "strong" else least) and not 0 < after < least:
+                    cost = similarity + size_weight * abs(size - target) / target - {"strong": strong_bonus, "soft": soft_bonus}.get(how, 0.0)
                     if best is None or cost < best[0]:
                         best = (cost, end, why)
-                end += 1
+                size, end = size + n_words, end + 1
             if best is not None:
                 last, why = best[1:]
-            elif sums[n] - sums[start] <= most:
-                last, why = n - 1, "end_of_transcript"
+            elif ended and words <= most:
+                last, why = len(ahead) - 1, "end_of_transcript"
             else:
-                last, why = start if roomy is None else roomy, "max_size"
-            out.append((start, last, sums[last + 1] - sums[start], why, sim[last + 1] if last + 1 < n else None))
-            start = last + 1
-        frame = pd.DataFrame(out, columns=["first_unit", "last_unit", "n_words", "reason", "similarity"])
-        frame.insert(0, "plan_no", range(len(frame)))
-        frame.insert(0, "doc_id", rows["doc_id"].iloc[0])
-        return frame
-
-    schema = "doc_id long, plan_no int, first_unit int, last_unit int, n_words int, reason string, similarity double"
-    return units.select("doc_id", "unit_no", "n_words", "similarity", "reason", "strength").groupBy("doc_id").applyInPandas(cut, schema)
+                last, why = roomy or 0, "max_size"
+            taken = sum(ahead.popleft()[0] for _ in range(last + 1))
+            yield number, first, first + last, taken, why, ahead[0][1] if ahead else None
+            words, first, number = words - taken, first + last + 1, number + 1
+
+    made = StructType([StructField(c, IntegerType()) for c in ("plan_no", "first_unit", "last_unit", "n_words")]).add("reason", StringType()).add("similarity", DoubleType())
+    rows = units.select("doc_id", "unit_no", F.col("n_words").cast("int").alias("n_words"), F.col("similarity").cast("double").alias("similarity"), "reason", "strength")
+    return walk_groups(rows, ["doc_id"], ["unit_no"], ["n_words", "similarity", "reason", "strength"], made, walk)
 
 
 def materialise(plans: DataFrame, sentences: DataFrame, overlap_sentences: int = 2) -> DataFrame:
