@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from chalkline.operators.chunking import dot, named
 
 DIGITS = 6
-PROBES = 4  # of 6 planes: 57 of 64 cells, since near vectors are seldom alike in more signs
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -68,21 +67,35 @@ def _slot(word: Column, width: int) -> Column:
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % width).cast("int")
 
 
-def hashed_scores(words: DataFrame, references: DataFrame, keys: Sequence[str], of: str, wanted: DataFrame | None = None, width: int = 384) -> DataFrame:
+def hashed_vectors(words: DataFrame, by: Sequence[str], width: int = 384) -> DataFrame:
+    """by, at, embedding: unit vectors of hashed word counts, as the slots that are not 0 and their values."""
+    counted = words.groupBy(*by, _slot(F.col("word"), width).alias("slot")).agg(F.count("*").alias("n"))
+    listed = counted.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["n"] * e["n"]))
+    return listed.withColumn("norm", norm).select(*by, F.transform("x", lambda e: e["slot"]).alias("at"), F.transform("x", lambda e: e["n"] / F.col("norm")).alias("embedding"))
+
+
+def hashed_scores(words: DataFrame, references: DataFrame, keys: Sequence[str], of: str, floor: float | None = None, wanted: DataFrame | None = None, width: int = 384) -> DataFrame:
     """keys, ``of``, semantic_score: cosine of the hashed word counts of texts (keys, word) and references (of, word).
 
-    Sparse: texts are counted by slot in one shuffle, and meet the references, a catalogue, slot by slot.  ``wanted`` (keys,
-    of) restricts the pairs.
+    The pairs of at least ``floor``, by products of blocks (texts stream past the references), and those that are ``wanted``
+    (keys, of), whatever their score, each by one walk over its text's slots.
     """
-    def features(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-        counted = rows.groupBy(*by, _slot(F.col("word"), width).alias("slot")).agg(F.count("*").alias("n"))
-        return counted.select(*by, "slot", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*by)))).alias(value))
-
-    theirs = features(references, [of], "theirs")
-    ours = features(words.repartition(*keys), keys, "ours")
-    joined = ours.join(F.broadcast(theirs) if theirs.count() <= 1_000_000 else theirs, "slot")
-    summed = joined.groupBy(*keys, of).agg(F.round(F.sum(F.col("ours") * F.col("theirs")), DIGITS).alias("semantic_score"))
-    return summed if wanted is None else summed.join(wanted, [*keys, of], "left_semi")
+    ours, theirs = hashed_vectors(words, keys, width), hashed_vectors(references, [of], width)
+    found = None
+    if floor is not None:
+        texts = ours.select(F.struct(*keys).alias("vec_id"), "at", "embedding")
+        met = _meet(theirs.select(F.col(of).alias("query_id"), "at", "embedding"), texts, width=width, floor=floor)
+        found = met.select(*[F.col("vec_id")[k].alias(k) for k in keys], F.col("query_id").alias(of), F.col("score").alias("semantic_score"))
+    if wanted is None:
+        return found
+    entries = F.map_from_arrays("at", "embedding")
+    dense = theirs.select(of, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0))).alias("dense"))
+    few = F.broadcast(dense) if dense.count() <= HELD_ROWS else dense
+    pairs = wanted.select(*keys, of).distinct().join(ours, list(keys)).join(few, of)
+    score = F.round(F.aggregate(F.zip_with("at", "embedding", lambda i, v: v * F.get("dense", i)), F.lit(0.0), lambda a, x: a + x), DIGITS)
+    asked = pairs.select(*keys, of, score.alias("semantic_score"))
+    return asked if found is None else asked.unionByName(found.join(wanted.select(*keys, of).distinct(), [*keys, of], "left_anti"))
 
 
 def norm_violations(vectors: DataFrame, width: int, tolerance: float = 1e-4) -> DataFrame:
@@ -133,52 +146,107 @@ def patch_payload(vectors: DataFrame, patch: DataFrame, key: str, columns: list[
     return merged.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
-QUERY_ROWS = 5000  # queries sent to all tasks at once, as one matrix
+HELD_ROWS, SLICE = 5000, 1024  # a task holds a block of so many queries and multiplies it with so many vectors at once
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest vectors of every query (query_id, query), exactly.
+def _meet(queries: DataFrame, vectors: DataFrame, width: int | None = None, k: int | None = None, floor: float | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
+    """query_id, vec_id, score: all pairs of queries (query_id) and vectors (vec_id), or of these the ``k`` best of a query in
+    each lane, or those of at least ``floor``; both have ``embedding``, and ``at``, its slots, where it is sparse (``width``).
 
-    Queries go to the tasks as a matrix of at most ``query_rows`` rows; more are asked in blocks.  A task multiplies each batch
-    of its vectors by the matrix and keeps the k best of a batch for each query (and those as good as the last), so only
-    queries x batches x k rows are shuffled.
+    Queries are cut into blocks of about ``held_rows``, and every block is sent to as many lanes as there are shuffle
+    partitions; vectors are dealt to the lanes, once for each block.  A lane holds its block as a matrix, and its vectors
+    stream past it.  Nothing passes the driver and the plan is the same for any number of queries.
     """
-    blocks = max(1, -(-queries.count() // query_rows))
-    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    scored = reduce(DataFrame.unionAll, (_block_scores(part, vectors, k) for part in parts))
-    if floor is not None:
-        scored = scored.where(F.col("score") >= floor)
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", ranked).where(F.col("rank") <= k)
+    lanes = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // held_rows))
+    ids = {c: t.schema[c].dataType for t, c in ((queries, "query_id"), (vectors, "vec_id"))}
+
+    def side(t: DataFrame, kind: int, block: Column, lane: Column) -> DataFrame:
+        at = F.col("at") if width else F.lit(None).cast("array<int>")
+        cells = t.where("embedding is not null").select("*", F.explode(block).alias("_block")).select("*", F.explode(lane).alias("_lane"))
+        own = [F.col(c) if c in t.columns else F.lit(None).cast(kind_of).alias(c) for c, kind_of in ids.items()]
+        return cells.select(F.xxhash64("_block", "_lane").alias("cell"), F.lit(kind).alias("kind"), *own, at.alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    of = lambda c, n: F.array(F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
+    rows = side(queries, 0, of("query_id", blocks), every(lanes)).unionByName(side(vectors, 1, every(blocks), of("vec_id", lanes)))
+
+    def matrix(at: pa.Array, values: pa.Array) -> np.ndarray:
+        flat = values.flatten().to_numpy(zero_copy_only=False)
+        if width is None:
+            return flat.reshape(len(values), -1)
+        full = np.zeros((len(values), width))
+        full[np.repeat(np.arange(len(values)), np.diff(values.offsets.to_numpy())), at.flatten().to_numpy(zero_copy_only=False)] = flat
+        return full
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, asked, best = None, [], [], None
 
+        def give(q: np.ndarray, vec_ids: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([asked[0].take(pa.array(q)), vec_ids, pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-def _block_scores(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
-    """query_id, vec_id, score of a block of queries: all pairs, or per batch of vectors the k best of each query."""
-    rows = queries.select(F.col("query_id").cast("long"), F.transform("query", lambda x: x.cast("double"))).collect()
-    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        def rest() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                q, v = np.nonzero(best[0] > -np.inf)
+                yield give(q, best[1].take(pa.array(best[2][q, v])), best[0][q, v])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            if not batch.num_rows or not len(ids):
-                continue
-            width = len(lists.flatten()) // batch.num_rows
-            scores = np.round(matrix @ lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width).T, DIGITS)
-            if k is None or k >= batch.num_rows:
-                q, v = (x.ravel() for x in np.indices(scores.shape))
-            else:
-                q, v = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "vec_id", "score"])
-
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+            cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1), len(cells)]
+            for start, end in zip(edges, edges[1:]):
+                if cells[start] != cell:
+                    yield from rest()
+                    cell, held, asked, best = cells[start], [], [], None
+                part = batch.slice(start, end - start)
+                if kinds[start] == 0:
+                    held.append(matrix(part.column(4), part.column(5)))
+                    asked.append(part.column(2))
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1 or len(asked) > 1:
+                    held, asked = [np.concatenate(held)], [pa.concat_arrays(asked)]
+                for at in range(0, part.num_rows, SLICE):
+                    few = part.slice(at, SLICE)
+                    scores = np.round(held[0] @ matrix(few.column(4), few.column(5)).T, DIGITS)
+                    if k is None:
+                        q, v = np.nonzero(scores >= (-np.inf if floor is None else floor))
+                        yield give(q, few.column(3).take(pa.array(v)), scores[q, v])
+                        continue
+                    # the k best so far and the new ones: ids of what stays are carried, ties go by id in the end and so all stay
+                    known = pa.concat_arrays([best[1], few.column(3)]) if best is not None else few.column(3)
+                    places = np.broadcast_to(np.arange(len(few)) + (len(best[1]) if best is not None else 0), scores.shape)
+                    if best is not None:
+                        scores, places = np.concatenate([best[0], scores], axis=1), np.concatenate([best[2], places], axis=1)
+                    if scores.shape[1] > k:
+                        limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+                        width_now = int((scores >= limit).sum(axis=1).max())
+                        order = np.argsort(-scores, axis=1, kind="stable")[:, :width_now]
+                        scores, places = np.take_along_axis(scores, order, axis=1), np.take_along_axis(places, order, axis=1)
+                        scores = np.where(scores >= limit, scores, -np.inf)
+                    used, places = np.unique(places, return_inverse=True)
+                    best = (scores, known.take(pa.array(used)), places.reshape(scores.shape))
+        yield from rest()
+
+    made = StructType([StructField("query_id", ids["query_id"]), StructField("vec_id", ids["vec_id"]), StructField("score", DoubleType())])
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, made)
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
+    """query_id, vec_id, score, rank: the k nearest vectors of every query (query_id, query), exactly; ties by vec_id.
+
+    Products of blocks, see ``_meet``; every lane gives its k best for each query (and those as good as the last).
+    """
+    scored = _meet(queries.select("query_id", F.col("query").alias("embedding")), vectors.select("vec_id", "embedding"), k=k, held_rows=held_rows)
+    if floor is not None:
+        scored = scored.where(F.col("score") >= floor)
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", ranked).where(F.col("rank") <= k)
 
 
-def pair_scores(queries: DataFrame, vectors: DataFrame, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, vec_id, score of every vector against a short list of queries, whose number is checked."""
-    n = queries.count()
-    if n > query_rows:
-        raise ValueError(f"{n} queries; at most {query_rows} are scored against every vector")
-    return _block_scores(queries, vectors, None)
+def pair_scores(queries: DataFrame, vectors: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+    """query_id, vec_id, score of every vector against every query."""
+    return _meet(queries.select("query_id", F.col("query").alias("embedding")), vectors.select("vec_id", "embedding"), held_rows=held_rows)
 
 
 def lookup(ids: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -191,22 +259,52 @@ def best_unit(scores: DataFrame) -> DataFrame:
     return scores.groupBy("chunk_id", "concept_id").agg(F.max("score").alias("score"), F.max_by("unit_no", F.struct("score", -F.col("unit_no"))).alias("unit_no"))
 
 
-def cells(vectors: DataFrame, planes: int = 6, width: int = 64, seed: int = 5) -> DataFrame:
-    """vectors with ``cell``: signs against hashed hyperplanes, a coarse partition for approximate search."""
-    def bit(p: int) -> Column:
-        plane = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.xxhash64(F.lit(seed), F.lit(p), i) >= 0, 1.0).otherwise(-1.0))
-        return F.when(dot(F.col("embedding"), plane) >= 0, 1 << p).otherwise(0)
+SAMPLE, ROUNDS, MOST_CELLS = 20_000, 12, 16_384
+
 
-    bits = list(map(bit, range(planes)))
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return vectors.withColumn("cell", total)
+def quantiser(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
+    """``cells`` unit centroids (fewer where there are fewer vectors), by spherical k-means on at most ``sample`` vectors, those of
+    the smallest hashes.  Only this sample and the centroids are ever on the driver."""
+    rows = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    centres = x[:1]
+    while len(centres) < min(cells, len(x)):  # farthest first
+        centres = np.concatenate([centres, x[[np.argmin((x @ centres.T).max(axis=1))]]])
+    for _ in range(rounds):
+        near = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    return centres
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 6, probes: int = PROBES) -> DataFrame:
-    """Like top_k, looking only at cells within ``probes`` bits of the query's, with exact scores: a join by cell."""
-    reach = F.filter(F.transform(F.sequence(F.lit(0), F.lit((1 << planes) - 1)), lambda c: c.cast("int")), lambda c: F.bit_count(c.bitwiseXOR(F.col("cell"))) <= probes)
-    probing = cells(queries.withColumnRenamed("query", "embedding"), planes).select("query_id", F.col("embedding").alias("query"), F.explode(reach).alias("cell"))
-    scored = cells(vectors.select("vec_id", "embedding"), planes).join(probing, "cell").select("query_id", "vec_id", similarity(F.col("query"), F.col("embedding")).alias("score"))
+def nearest_cells(centres: np.ndarray, probes: int = 1) -> Callable[[Column], Column]:
+    """A column function: the ``probes`` cells whose centroids are nearest to a vector, nearest first."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def near(batch: pd.Series) -> pd.Series:
+        scores = np.array(batch.tolist(), np.float64) @ centres.T
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return near
+
+
+def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, share: float = 0.30) -> DataFrame:
+    """Like top_k, looking only at the vectors of the cells nearest to a query (an inverted file), with exact scores.
+
+    The number of cells grows with the square root of the vectors', up to MOST_CELLS; ``share`` of the cells are probed:
+    0.30 finds 0.9 of the neighbours even among vectors without any clusters, a third of that is enough for those that have
+    some.  Every vector is in the index; vectors and queries meet by a join on the cell.
+    """
+    n = vectors.count()
+    centres = quantiser(vectors, cells or min(MOST_CELLS, max(1, round(8 * n**0.5))))
+    if not len(centres):
+        return top_k(queries, vectors, k)
+    own, asked = nearest_cells(centres), nearest_cells(centres, probes or max(1, round(share * len(centres))))
+    indexed = vectors.where("embedding is not null").select("vec_id", "embedding", F.explode(own(F.col("embedding"))).alias("cell"))
+    probing = queries.select("query_id", "query", F.explode(asked(F.col("query"))).alias("cell"))
+    scored = indexed.join(probing, "cell").select("query_id", "vec_id", similarity(F.col("query"), F.col("embedding")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)

@@ -5,6 +5,8 @@ import json
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -259,12 +261,51 @@ def test_hash_encoding_matches_its_sparse_form(spark):
     assert abs(sum(x * x for x in dense) - 1) < 1e-9 and all(abs(x - sparse.get(i, 0.0)) < 1e-9 for i, x in enumerate(dense))
 
 
-def test_approximate_search_finds_most(spark, sf_dir):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+def found_and_seen(e, **how):
+    """Share of the 8 nearest that are found, and of all vectors that are looked at."""
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    exact = {(r.query_id, r.vec_id) for r in vectors.top_k(q, e, 5).collect()}
-    near = {(r.query_id, r.vec_id) for r in vectors.approximate_top_k(q, e, 5, probes=4).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+    exact = {(r.query_id, r.vec_id) for r in vectors.top_k(q, e, 8).collect()}
+    near = {(r.query_id, r.vec_id) for r in vectors.approximate_top_k(q, e, 8, **how).collect()}
+    return len(exact & near) / len(exact), vectors.approximate_top_k(q, e, 10**9, **how).count() / (q.count() * e.count())
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_approximate_search_among_vectors_without_clusters(spark, sf):
+    """The given vectors are noise in all 64 directions, nearest cosines 0.3 to 0.4."""
+    found, seen = found_and_seen(spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding"))
+    assert found >= 0.9 and seen <= 0.35
+
+
+def test_approximate_search_among_clusters(spark):
+    rng = np.random.default_rng(6)
+    made = rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)] + 0.6 * rng.normal(size=(3000, 64))
+    rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(made)]
+    found, seen = found_and_seen(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=0.10)
+    assert found >= 0.9 and seen <= 0.15
+
+
+@pytest.mark.parametrize("held_rows", [1, 7, 5000])
+def test_exact_search_against_all_pairs(spark, held_rows):
+    rng = random.Random(2)
+    made = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(300)] + [(999, None)]
+    v = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame(made[:25], "query_id long, query array<double>")
+    want = {i: sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in made[:300])[:6] for i, x in made[:25]}
+    got = {}
+    for r in vectors.top_k(q, v, 6, held_rows=held_rows).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    assert {i: [x[1:] for x in sorted(rows)] for i, rows in got.items()} == want
+    assert vectors.pair_scores(q, v, held_rows).count() == 25 * 300 and vectors.top_k(q.limit(0), v, 6).count() == 0 and vectors.top_k(q, v.limit(0), 6).count() == 0
+
+
+def test_hashed_scores_of_wanted_and_strong_pairs(spark):
+    rng = random.Random(3)
+    texts = [(1, i, rng.choice("abcdefgh") * 2) for i in range(30) for _ in range(6)]
+    words, refs = spark.createDataFrame(texts, "doc_id long, chunk_id int, word string"), spark.createDataFrame([(f"c{j}", w) for j in range(9) for w in rng.sample(["aa", "bb", "cc", "dd", "ee"], 3)], "concept_id string, word string")
+    every = {(r.chunk_id, r.concept_id): r.semantic_score for r in vectors.hashed_scores(words, refs, ["doc_id", "chunk_id"], "concept_id", floor=-1.0).collect()}
+    wanted = words.where("chunk_id < 4").select("doc_id", "chunk_id").distinct().crossJoin(refs.select("concept_id").distinct().where("concept_id < 'c3'"))
+    got = {(r.chunk_id, r.concept_id): r.semantic_score for r in vectors.hashed_scores(words, refs, ["doc_id", "chunk_id"], "concept_id", 0.5, wanted).collect()}
+    assert len(every) == 270 and got == {p: s for p, s in every.items() if s >= 0.5 or (p[0] < 4 and p[1] < "c3")}
 
 
 def test_registered_approximate_search_finds_most(spark):
