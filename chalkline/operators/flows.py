@@ -6,27 +6,16 @@ cuts the lineage and keeps plans small.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.operators import chunking, cleaning, lessons, retrieval, terminology, topics
+from chalkline.operators.held import cut
 from chalkline.operators.vectors import hash_encode, hashed_scores
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder that driver and executors share; only a local master may do without a set one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def corrected(sentences: DataFrame, vocabulary: DataFrame, memory: DataFrame, anchors: tuple[Sequence[str], Sequence[str]] | None = None) -> DataFrame:
     """sentences (doc_id, pos, sentence) with spoken code written out and the approved corrections of suspicious spans made,
     each where its span stands.
@@ -73,7 +62,8 @@ def mapped_topics(chunks: DataFrame, terms: DataFrame, references: DataFrame) ->
     """
     found = cut(topics.lexical_evidence(chunks, terms))
     words = chunks.select(*topics.CHUNK, F.explode(F.flatten(F.transform("sentences", lambda x: topics.words_of(x["sentence"])))).alias("word"))
-    judged = topics.judge(found, hashed_scores(words, references, topics.CHUNK, "concept_id"), how="left")
+    alike = hashed_scores(words, references, topics.CHUNK, "concept_id", topics.SEMANTIC_ONLY, found)
+    judged = topics.judge(cut(topics.extract(found, alike)), chunks, references)
     kept = cut(judged.where("reason is null"))
     won = topics.compete(kept).where("won").select(*topics.CANDIDATE, F.col("adjusted").alias("final"))
     positions: Column = F.transform("evidence", lambda e: e["pos"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from chalkline.operators.chunking import dot, named
+from chalkline.operators.held import cut
 
 DIGITS = 6
 
@@ -79,10 +80,10 @@ def hashed_scores(words: DataFrame, references: DataFrame, keys: Sequence[str],
     """keys, ``of``, semantic_score: cosine of the hashed word counts of texts (keys, word) and references (of, word).
 
     The pairs of at least ``floor``, by products of blocks (texts stream past the references), and those that are ``wanted``
-    (keys, of), whatever their score, each by one walk over its text's slots.
+    (keys, of; each once), whatever their score, each by one walk over its text's slots.  Both sides' vectors are written once.
     """
-    ours, theirs = hashed_vectors(words, keys, width), hashed_vectors(references, [of], width)
-    found = None
+    ours, theirs = hashed_vectors(words, keys, width), cut(hashed_vectors(references, [of], width))
+    ours, found = ours if floor is None or wanted is None else cut(ours), None
     if floor is not None:
         texts = ours.select(F.struct(*keys).alias("vec_id"), "at", "embedding")
         met = _meet(theirs.select(F.col(of).alias("query_id"), "at", "embedding"), texts, width=width, floor=floor)
@@ -91,11 +92,11 @@ def hashed_scores(words: DataFrame, references: DataFrame, keys: Sequence[str],
         return found
     entries = F.map_from_arrays("at", "embedding")
     dense = theirs.select(of, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0))).alias("dense"))
-    few = F.broadcast(dense) if dense.count() <= HELD_ROWS else dense
-    pairs = wanted.select(*keys, of).distinct().join(ours, list(keys)).join(few, of)
+    few = F.broadcast(dense) if theirs.count() <= HELD_ROWS else dense
+    pairs = wanted.select(*keys, of).join(ours, list(keys)).join(few, of)
     score = F.round(F.aggregate(F.zip_with("at", "embedding", lambda i, v: v * F.get("dense", i)), F.lit(0.0), lambda a, x: a + x), DIGITS)
     asked = pairs.select(*keys, of, score.alias("semantic_score"))
-    return asked if found is None else asked.unionByName(found.join(wanted.select(*keys, of).distinct(), [*keys, of], "left_anti"))
+    return asked if found is None else asked.unionByName(found.join(wanted.select(*keys, of), [*keys, of], "left_anti"))
 
 
 def norm_violations(vectors: DataFrame, width: int, tolerance: float = 1e-4) -> DataFrame:

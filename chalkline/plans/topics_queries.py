@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chalkline.operators import topics as T
+from chalkline.operators.held import cut
 from chalkline.operators.vectors import hashed_scores
 from chalkline.plans.bridges import ALIASES, LESSON, aliases, chunks, concepts, lesson_chunks, lesson_sentences, read
 from chalkline.plans.registry import query
@@ -25,20 +26,26 @@ KW = f"""{VALID}, kw AS (SELECT doc_id, chunk_id, concept_id, count(DISTINCT ali
 _SLOT = "(('0x' || md5({0})[1:8])::BIGINT % 384)::INTEGER"
 SEM = f"""{KW}, cf AS (SELECT doc_id, chunk_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id)) AS v FROM (SELECT doc_id, chunk_id, {_SLOT.format("gram")} AS slot, count(*) AS n FROM grams WHERE n = 1 GROUP BY 1, 2, 3)),
 ff AS (SELECT concept_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY concept_id)) AS v FROM (SELECT concept_id, {_SLOT.format("word")} AS slot, count(*) AS n FROM (SELECT 'c' || item_id AS concept_id, unnest(w) AS word FROM bw) GROUP BY 1, 2)),
-sem AS (SELECT doc_id, chunk_id, concept_id, round(sum(cf.v * ff.v), 6) AS semantic_score FROM cf JOIN ff USING (slot) JOIN kw USING (doc_id, chunk_id, concept_id) GROUP BY 1, 2, 3),
+alike AS (SELECT doc_id, chunk_id, concept_id, round(sum(cf.v * ff.v), 6) AS semantic_score FROM cf JOIN ff USING (slot) GROUP BY 1, 2, 3), sem AS (SELECT alike.* FROM alike JOIN kw USING (doc_id, chunk_id, concept_id)),
+blocked AS (SELECT doc_id, chunk_id, concept_id FROM hits EXCEPT SELECT doc_id, chunk_id, concept_id FROM valid), lone AS (SELECT * FROM alike WHERE semantic_score >= 0.50 AND NOT EXISTS (SELECT 1 FROM kw WHERE kw.doc_id = alike.doc_id AND kw.chunk_id = alike.chunk_id AND kw.concept_id = alike.concept_id)
+  AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.doc_id = alike.doc_id AND b.chunk_id = alike.chunk_id AND b.concept_id = alike.concept_id)),
 terms AS (SELECT 'c' || item_id AS concept_id, unnest([w[3], w[4]]) AS term, unnest(['supporting', 'conflicting']) AS kind FROM bw WHERE len(w) >= 4),
 ctx AS (SELECT g.doc_id, g.chunk_id, t.concept_id, coalesce(list_sort(list(DISTINCT gram) FILTER (kind = 'supporting')), []) AS supporting, coalesce(list_sort(list(DISTINCT gram) FILTER (kind = 'conflicting')), []) AS conflicting FROM grams g JOIN terms t ON t.term = g.gram AND g.n = 1 GROUP BY 1, 2, 3)"""
-CAND = f"""{SEM}, c1 AS (SELECT kw.*, coalesce(semantic_score, 0.0) AS semantic_score, len(coalesce(supporting, []))::INTEGER AS n_context, len(coalesce(conflicting, []))::INTEGER AS n_conflicting FROM kw LEFT JOIN sem USING (doc_id, chunk_id, concept_id) LEFT JOIN ctx USING (doc_id, chunk_id, concept_id)),
+CAND = f"""{SEM}, c1 AS (SELECT kw.*, coalesce(semantic_score, 0.0) AS semantic_score, len(coalesce(supporting, []))::INTEGER AS n_context, len(coalesce(conflicting, []))::INTEGER AS n_conflicting FROM kw LEFT JOIN sem USING (doc_id, chunk_id, concept_id) LEFT JOIN ctx USING (doc_id, chunk_id, concept_id)
+  UNION ALL BY NAME SELECT doc_id, chunk_id, concept_id, semantic_score, 0.0 AS keyword_score, 0 AS n_aliases, 0 AS n_sentences, 0 AS n_hits, false AS single_only, false AS ambiguous_only, 0 AS n_context, 0 AS n_conflicting FROM lone),
 c2 AS (SELECT *, CASE WHEN ambiguous_only THEN semantic_score >= 0.50 AND n_context >= 1 WHEN single_only THEN semantic_score >= 0.45 OR n_sentences >= 2 OR n_aliases >= 2 ELSE true END AS gate,
  round(0.55 * greatest(0.0, least(1.0, semantic_score)) + 0.25 * least(1.0, n_sentences / 3.0::DOUBLE) + 0.20 * least(1.0, n_aliases / 2.0::DOUBLE), 9) AS salience FROM c1),
 c3 AS (SELECT *, round(greatest(0.58 * semantic_score + 0.42 * keyword_score, CASE WHEN single_only THEN 0.72 ELSE 0.88 END * keyword_score, 0.82 * semantic_score) * (0.85 + 0.15 * salience), 6) AS confidence FROM c2),
-cand AS (SELECT *, CASE WHEN semantic_score >= 0.50 THEN 'hybrid' ELSE 'keyword' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY confidence DESC, salience DESC, semantic_score DESC, keyword_score DESC, concept_id)::INTEGER AS rank FROM c3 WHERE gate AND confidence >= 0.30) WHERE rank <= 12)"""
+cand AS (SELECT *, CASE WHEN keyword_score = 0 THEN 'semantic' WHEN semantic_score >= 0.20 THEN 'hybrid' ELSE 'keyword' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY confidence DESC, salience DESC, semantic_score DESC, keyword_score DESC, concept_id)::INTEGER AS rank FROM c3 WHERE gate AND confidence >= 0.30) WHERE rank <= 12)"""
 _HAS = lambda f: f"regexp_matches(low, {_sql(f)})"
 DEP = f"dep AS (SELECT doc_id, chunk_id, pos, CASE WHEN low = '' THEN 0 WHEN {_HAS(T.PRACTICE)} AND ({_HAS(T.WORKED_EXAMPLE)} OR {_HAS(T.EXPLANATION)}) THEN 4 WHEN {_HAS(T.WORKED_EXAMPLE)} THEN 3 WHEN {_HAS(T.EXPLANATION)} THEN 2 WHEN {_HAS(T.DEFINITION)} THEN 1 WHEN {_HAS(T.MENTION)} THEN 0 ELSE 1 END AS depth, {_HAS(T.RECAP)} AS recap_like FROM tok)"
 _CMP = f"""fl AS (SELECT doc_id, chunk_id, flatten(list(t ORDER BY pos)) AS flat FROM tok GROUP BY 1, 2), off AS (SELECT doc_id, chunk_id, pos, coalesce(sum(len(t)) OVER (PARTITION BY doc_id, chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM tok),
 near AS (SELECT h.*, regexp_matches(array_to_string(flat[greatest(0, o + start - 16) + 1:o + start + n + 16], ' '), {_sql(T.COMPARISON)}) AS c FROM {{0}} h JOIN fl USING (doc_id, chunk_id) JOIN off USING (doc_id, chunk_id, pos) WHERE n > 1),
 cmp AS (SELECT doc_id, chunk_id, concept_id, count(*) AS n_long_hits, count(*) FILTER (c) AS n_compared FROM near GROUP BY 1, 2, 3)"""
-EVID = f"""{CAND}, {DEP}, {_CMP.format("valid")}, es AS (SELECT DISTINCT v.doc_id, v.chunk_id, v.concept_id, v.pos, depth, recap_like FROM valid v JOIN cand USING (doc_id, chunk_id, concept_id) JOIN dep ON dep.doc_id = v.doc_id AND dep.chunk_id = v.chunk_id AND dep.pos = v.pos),
+EVID = f"""{CAND}, {DEP}, {_CMP.format("valid")}, sv AS (SELECT doc_id, chunk_id, pos, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id, pos)) AS v FROM (SELECT doc_id, chunk_id, pos, {_SLOT.format("gram")} AS slot, count(*) AS n FROM grams WHERE n = 1 GROUP BY 1, 2, 3, 4)),
+un AS (SELECT c.doc_id, c.chunk_id, c.concept_id, sv.pos, round(sum(sv.v * ff.v), 6) AS score FROM cand c JOIN sv ON sv.doc_id = c.doc_id AND sv.chunk_id = c.chunk_id JOIN ff ON ff.concept_id = c.concept_id AND ff.slot = sv.slot WHERE c.method = 'semantic' GROUP BY 1, 2, 3, 4),
+us AS (SELECT doc_id, chunk_id, concept_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id, concept_id ORDER BY score DESC, pos) AS r FROM un) WHERE r = 1),
+es AS (SELECT DISTINCT v.doc_id, v.chunk_id, v.concept_id, v.pos, depth, recap_like FROM (SELECT doc_id, chunk_id, concept_id, pos FROM valid UNION ALL SELECT * FROM us) v JOIN cand USING (doc_id, chunk_id, concept_id) JOIN dep ON dep.doc_id = v.doc_id AND dep.chunk_id = v.chunk_id AND dep.pos = v.pos),
 sh AS (SELECT *, recap_like AND count(*) OVER (PARTITION BY doc_id, chunk_id, pos) >= 3 AS shared FROM es),
 ev AS (SELECT doc_id, chunk_id, concept_id, list_sort(list(pos)) AS evidence, count(*) FILTER (shared) AS n_recap, count(*) FILTER (NOT shared) AS n_substantive, coalesce(max(depth) FILTER (NOT shared), 0) AS deepest, count(*) FILTER (NOT shared AND depth >= 1) AS om, count(*) FILTER (NOT shared AND depth >= 2) AS ex FROM sh GROUP BY 1, 2, 3),
 q1 AS (SELECT c.*, evidence, n_recap, n_substantive, CASE WHEN n_substantive >= 3 AND ex >= 2 OR n_substantive >= 2 AND om >= 2 AND deepest >= 2 THEN 4 ELSE deepest END AS max_depth, n_recap > 0 AND n_substantive = 0 AS recap_only, coalesce(n_long_hits > 0 AND n_compared = n_long_hits AND n_long_hits <= 2, false) AS comparison_only,
@@ -85,19 +92,24 @@ def lexical(spark, d):
     return T.lexical_evidence(lesson_chunks(read(spark, d, "documents")), catalogue_terms(spark, d))
 
 
-def semantic(spark, d):
-    """Cosine of the hashed words of every chunk and of every concept's text."""
+def concept_words(spark, d):
+    return bench_words(spark, d).select("concept_id", F.explode("w").alias("word"))
+
+
+def semantic(spark, d, wanted, floor=T.SEMANTIC_ONLY):
+    """Cosine of the hashed words of every chunk and of every concept's text: of the wanted pairs and of those over a floor."""
     words = tokenised(spark, d).select(*T.CHUNK, F.explode("t").alias("word"))
-    of = bench_words(spark, d).select("concept_id", F.explode("w").alias("word"))
-    return hashed_scores(words, of, T.CHUNK, "concept_id")
+    return hashed_scores(words, concept_words(spark, d), T.CHUNK, "concept_id", floor, wanted)
 
 
 def candidates(spark, d):
-    return T.extract(lexical(spark, d), semantic(spark, d), how="left")
+    found = cut(lexical(spark, d))
+    return T.extract(found, semantic(spark, d, found))
 
 
 def judged(spark, d):
-    return T.judge(lexical(spark, d), semantic(spark, d), how="left").withColumn("evidence", F.transform("evidence", lambda e: e["pos"]))
+    told = T.judge(cut(candidates(spark, d)), lesson_chunks(read(spark, d, "documents")), concept_words(spark, d))
+    return told.withColumn("evidence", F.transform("evidence", lambda e: e["pos"]))
 
 
 query("map.phrase", f"WITH {HITS} SELECT * FROM hits")(hits)
@@ -130,22 +142,23 @@ def keyword_score(spark, d):
 _SCORED = ["doc_id", "chunk_id", "concept_id"]
 
 
-@query("map.salience_gate", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, gate FROM c2")
+@query("map.salience_gate", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, gate FROM c2 WHERE keyword_score > 0")
 def gate(spark, d):
     return _c1(spark, d).select(*_SCORED, T.salience_gate(F.col("n_context")).alias("gate"))
 
 
 def _c1(spark, d):
-    joined = lexical(spark, d).join(semantic(spark, d), _SCORED, "left").fillna({"semantic_score": 0.0})
+    found = cut(lexical(spark, d).where("n_hits > 0"))
+    joined = found.join(semantic(spark, d, found, None), _SCORED, "left").fillna({"semantic_score": 0.0})
     return joined.withColumn("n_context", F.size("supporting"))
 
 
-@query("map.salience", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, salience FROM c2")
+@query("map.salience", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, salience FROM c2 WHERE keyword_score > 0")
 def map_salience(spark, d):
     return _c1(spark, d).select(*_SCORED, T.salience().alias("salience"))
 
 
-@query("map.confidence", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, confidence FROM c3")
+@query("map.confidence", f"WITH {CAND} SELECT doc_id, chunk_id, concept_id, confidence FROM c3 WHERE keyword_score > 0")
 def map_confidence(spark, d):
     return _c1(spark, d).withColumn("salience", T.salience()).select(*_SCORED, T.confidence().alias("confidence"))
 
@@ -157,11 +170,11 @@ def extract(spark, d):
 
 @query("map.redundancy")
 def redundancy(spark, d):
-    """The catalogue's first concept of a section is the parent of the others."""
-    of = concepts(spark, d).select("concept_id", "section")
-    parents = of.groupBy("section").agg(F.min("concept_id").alias("parent"))
-    family = of.join(parents, "section").withColumn("parent", F.when(F.col("parent") != F.col("concept_id"), F.col("parent")))
-    return T.drop_redundant(judged(spark, d).join(T.small(family), "concept_id"))
+    """The catalogue's first concept of a section is the parent of the others, and the section is their reference."""
+    of = concepts(spark, d).select("concept_id", "label", F.col("section").alias("reference"))
+    parents = of.groupBy("reference").agg(F.min("concept_id").alias("parent"))
+    family = of.join(parents, "reference").withColumn("parent", F.when(F.col("parent") != F.col("concept_id"), F.col("parent")))
+    return T.drop_redundant(judged(spark, d).join(T.small(family), "concept_id")).drop("alias_stems", "label_stems")
 
 
 @query("map.relevance", f"WITH {CAND}, nw AS (SELECT doc_id, chunk_id, sum(len(words)) AS n_words FROM chunked GROUP BY 1, 2), a AS (SELECT doc_id, chunk_id, count(*) FILTER (confidence >= 0.46) AS n_kept, least(3, count(*) FILTER (confidence < 0.46)) AS n_rejected, max(confidence) AS best, max(n_words)::BIGINT AS n_words FROM cand JOIN nw USING (doc_id, chunk_id) GROUP BY 1, 2) SELECT *, round(CASE WHEN n_kept > 0 THEN least(0.95, best + least(0.06, 0.02 * (n_kept - 1))) ELSE 0.0 END, 6) AS score, n_kept = 0 AND n_words >= 80 AND best >= 0.34 AS fallback FROM a")
@@ -207,12 +220,13 @@ def competition(spark, d):
 
 
 #: families of topics outside the catalogue, and domains: the rest of benchmark's words and the texts of its last items
-_FAM = f"{HITS}, fam AS (SELECT 'f' || item_id % 6 AS rough_topic, w[5] AS alias FROM bw WHERE len(w) >= 5 UNION SELECT 'f' || item_id % 6, w[6] FROM bw WHERE len(w) >= 6), seen AS (SELECT g.doc_id, g.chunk_id, g.pos, g.gram, f.rough_topic FROM grams g JOIN fam f ON f.alias = g.gram WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = g.doc_id AND h.chunk_id = g.chunk_id AND h.pos = g.pos AND h.alias = g.gram)), lex AS (SELECT doc_id, chunk_id, rough_topic, count(DISTINCT gram) AS n_aliases, count(*) AS n_hits, min(pos) AS pos, round(least(0.95::DOUBLE, 0.40::DOUBLE + 0.12::DOUBLE * count(DISTINCT gram) + 0.04::DOUBLE * count(*)), 6) AS score FROM seen GROUP BY 1, 2, 3 HAVING count(DISTINCT gram) >= 2 AND count(*) >= 3)"
-_SIG = f"""{_FAM}, sf AS (SELECT doc_id, chunk_id, pos, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id, pos)) AS v FROM (SELECT doc_id, chunk_id, pos, {_SLOT.format("gram")} AS slot, count(*) AS n FROM grams WHERE n = 1 GROUP BY 1, 2, 3, 4)),
+_FAMILIES = f"fam AS (SELECT 'f' || item_id % 6 AS rough_topic, w[5] AS alias FROM bw WHERE len(w) >= 5 UNION SELECT 'f' || item_id % 6, w[6] FROM bw WHERE len(w) >= 6), seen AS (SELECT g.doc_id, g.chunk_id, g.pos, g.gram, f.rough_topic FROM grams g JOIN fam f ON f.alias = g.gram WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = g.doc_id AND h.chunk_id = g.chunk_id AND h.pos = g.pos AND h.alias = g.gram)), lex AS (SELECT doc_id, chunk_id, rough_topic, count(DISTINCT gram) AS n_aliases, count(*) AS n_hits, min(pos) AS pos, round(least(0.95::DOUBLE, 0.40::DOUBLE + 0.12::DOUBLE * count(DISTINCT gram) + 0.04::DOUBLE * count(*)), 6) AS score FROM seen GROUP BY 1, 2, 3 HAVING count(DISTINCT gram) >= 2 AND count(*) >= 3)"
+_FAM = f"{HITS}, {_FAMILIES}"
+_SIG = f"""{EVID}, {_FAMILIES}, done AS (SELECT DISTINCT doc_id, chunk_id, pos FROM es JOIN (SELECT doc_id, chunk_id, concept_id FROM qual WHERE {_REASON} IS NULL) USING (doc_id, chunk_id, concept_id)), sf AS (SELECT doc_id, chunk_id, pos, slot, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id, pos)) AS v FROM (SELECT doc_id, chunk_id, pos, {_SLOT.format("gram")} AS slot, count(*) AS n FROM grams WHERE n = 1 GROUP BY 1, 2, 3, 4)),
 df AS (SELECT domain, slot, n / sqrt(sum(n * n) OVER (PARTITION BY domain)) AS v FROM (SELECT domain, {_SLOT.format("word")} AS slot, count(*) AS n FROM (SELECT 'd' || item_id % 9 AS domain, unnest(w) AS word FROM bw) GROUP BY 1, 2)),
-sc AS (SELECT doc_id, chunk_id, pos, domain, round(sum(sf.v * df.v), 6) AS score FROM sf JOIN df USING (slot) GROUP BY 1, 2, 3, 4),
+sc AS (SELECT doc_id, chunk_id, pos, domain, round(sum(sf.v * df.v), 6) AS score FROM (FROM sf ANTI JOIN done USING (doc_id, chunk_id, pos)) sf JOIN df USING (slot) GROUP BY 1, 2, 3, 4),
 bs AS (SELECT doc_id, chunk_id, pos, max(domain) FILTER (score = top) AS domain, max(score) AS score FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, chunk_id, pos) AS top FROM sc) GROUP BY 1, 2, 3 HAVING max(score) >= 0.48),
-sg AS (SELECT doc_id, chunk_id, domain, count(*) AS n_sentences, max(score) AS score, min(pos) AS pos FROM bs GROUP BY 1, 2, 3 HAVING count(*) >= 2 OR max(score) >= 0.60),
+sg AS (SELECT doc_id, chunk_id, domain, count(*) AS n_sentences, max(score) AS score, min(pos) AS pos FROM bs GROUP BY 1, 2, 3 QUALIFY sum(count(*)) OVER (PARTITION BY doc_id, chunk_id) >= 2 OR max(max(score)) OVER (PARTITION BY doc_id, chunk_id) >= 0.60),
 bo AS (SELECT doc_id, chunk_id, rough_topic AS topic, score, 'lexical' AS method FROM lex UNION ALL SELECT doc_id, chunk_id, domain::VARCHAR, score, 'semantic' FROM sg WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.doc_id = sg.doc_id AND l.chunk_id = sg.chunk_id AND l.pos = sg.pos)),
 sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY score DESC, method, topic)::INTEGER AS rank FROM bo) WHERE rank <= 4)"""
 
@@ -225,10 +239,11 @@ def _lex(spark, d):
 
 
 def _sem(spark, d):
-    """Every sentence against every domain, by hashed words."""
+    """Sentences that no accepted candidate covers against every domain, by hashed words."""
     words = tokenised(spark, d).select(*T.CHUNK, "pos", F.explode("t").alias("word"))
     domains = bench_words(spark, d).select(F.concat(F.lit("d"), F.substring("concept_id", 2, 9).cast("int") % 9).alias("domain"), F.explode("w").alias("word"))
-    return T.unmapped_semantic(hashed_scores(words, domains, [*T.CHUNK, "pos"], "domain").withColumnRenamed("semantic_score", "score"))
+    covered = judged(spark, d).where("reason is null").select(*T.CHUNK, F.explode("evidence").alias("pos"))
+    return T.unmapped_semantic(hashed_scores(words, domains, [*T.CHUNK, "pos"], "domain", 0.48).withColumnRenamed("semantic_score", "score"), covered)
 
 
 @query("map.unmapped_lexical", f"WITH {_FAM} SELECT * FROM lex")

@@ -337,7 +337,28 @@ def mapped(spark, terms, *chunks, semantic=0.5):
     """concept_id -> row of the judged candidates of small lessons; terms: (gram, kind, concept, ambiguous)."""
     of = spark.createDataFrame(list(terms), "gram string, kind string, concept_id string, ambiguous boolean")
     found = topics.lexical_evidence(lesson(spark, *chunks), of)
-    return topics.judge(found, found.select(*topics.CANDIDATE, F.lit(semantic).alias("semantic_score")))
+    alike = found.where("n_hits > 0").select(*topics.CANDIDATE, F.lit(semantic).alias("semantic_score"))
+    return topics.judge(topics.extract(found, alike), lesson(spark, *chunks), of.select("concept_id", F.col("gram").alias("word")))
+
+
+def test_semantic_only_candidates_and_exclusions(spark):
+    terms = [("binary tree", "alias", "tree", False), ("balanced binary tree", "excluded", "tree", False), ("stack", "alias", "stack", False)]
+    of = spark.createDataFrame(terms, "gram string, kind string, concept_id string, ambiguous boolean")
+    chunks = lesson(spark, "We start here. Nodes hang on branches because roots split.", "A balanced binary tree is balanced.", "The binary tree has nodes. The stack grows. A stack.")
+    found = topics.lexical_evidence(chunks, of, (1, 2, 3))
+    refs = spark.createDataFrame([("tree", w) for w in "nodes hang branches roots split".split()] + [("stack", "push"), ("queue", "wait")], "concept_id string, word string")
+    alike = spark.createDataFrame([(1, k, c, s) for k, c, s in [(0, "tree", 0.8), (0, "queue", 0.49), (1, "tree", 0.9), (2, "tree", 0.2), (2, "stack", 0.19)]], "doc_id long, chunk_id int, concept_id string, semantic_score double")
+    got = {(r.chunk_id, r.concept_id): r for r in topics.judge(topics.extract(found, alike), chunks, refs).collect()}
+    assert {k: r.method for k, r in got.items()} == {(0, "tree"): "semantic", (2, "tree"): "hybrid", (2, "stack"): "keyword"}
+    lone = got[0, "tree"]
+    assert [e.pos for e in lone.evidence] == [1] and lone.max_depth == 2 and not lone.comparison_only and lone.confidence == round(0.82 * 0.8 * (0.85 + 0.15 * 0.55 * 0.8), 6)
+
+
+def test_residual_sentences_are_uncovered_and_count_in_all(spark):
+    s = spark.createDataFrame([(1, 0, p, x, v) for p, x, v in [(0, "a", 0.5), (1, "b", 0.5), (1, "a", 0.4)]] + [(1, 1, 0, "a", 0.55), (1, 2, 0, "a", 0.61), (1, 3, 0, "a", 0.5), (1, 3, 1, "a", 0.5)], "doc_id long, chunk_id int, pos int, domain string, score double")
+    covered = spark.createDataFrame([(1, 3, 1)], "doc_id long, chunk_id int, pos int")
+    assert sorted((r.chunk_id, r.domain, r.n_sentences) for r in topics.unmapped_semantic(s, covered).collect()) == [(0, "a", 1), (0, "b", 1), (2, "a", 1)]
+    assert topics.unmapped_semantic(s).where("chunk_id = 3 and n_sentences = 2").count() == 1
 
 
 SORTS = [(f"{x} search", "alias", x, False) for x in ("linear", "binary")] + [(f"{x} sort", "alias", x, False) for x in ("bubble", "merge")] + [("arrays", "alias", "arrays", False)]
@@ -409,11 +430,22 @@ def test_competition_by_ownership(spark):
     assert out["b"] == (False, 0.24, 0.36) and out["c"] == (False, 0.24, 0.26) and out["f"] == (True, 0.12, 0.58)
 
 
+REDUNDANT = "doc_id long, chunk_id int, concept_id string, rank int, parent string, reference string, confidence double, label string, aliases array<string>, evidence array<int>"
+
+
 def test_redundancy_with_parents(spark):
-    rows = [(1, 0, "a", 1, None, 3, 0.9, [1, 2]), (1, 0, "b", 2, None, 3, 0.8, [1, 2]), (1, 0, "c", 3, None, 4, 0.7, [1, 2]), (1, 0, "child", 4, "a", 5, 0.6, [9]), (1, 0, "d", 5, None, 6, 0.5, [3])]
-    c = spark.createDataFrame(rows, "doc_id long, chunk_id int, concept_id string, rank int, parent string, section int, confidence double, evidence array<int>")
-    assert sorted(r.concept_id for r in topics.drop_redundant(c).collect()) == ["a", "c", "d"]
-    assert sorted(r.concept_id for r in topics.drop_redundant(c, top=2).collect()) == ["a", "c"]
+    rows = [
+        (1, 0, "a", 1, None, "r1", 0.9, "sorting lists", ["sorted list"], [1, 2]), (1, 0, "b", 2, None, "r1", 0.8, "trees", ["sorts lists"], [1, 2]), (1, 0, "c", 3, None, "r2", 0.7, "graphs", ["sorting lists"], [1, 2]),
+        (1, 0, "d", 4, None, "r3", 0.65, "sort a list", ["sort list"], [1, 2]), (1, 0, "child", 5, "a", "r9", 0.6, "x", ["x"], [9]), (1, 0, "e", 6, None, "r1", 0.5, "other", None, [1, 2]), (1, 0, "f", 7, None, None, 0.4, "sorting", [], []),
+        (1, 1, "child", 1, "a", "r9", 0.70, "x", ["x"], [9]), (1, 1, "a", 2, None, "r1", 0.62, "x", ["x"], [1]), (1, 2, "a", 1, None, "r1", 0.6, "x", ["x"], [1]), (1, 2, "child", 2, "a", "r1", 0.69, "x", ["x"], [9]),
+    ]
+    c = spark.createDataFrame(rows, REDUNDANT)
+    kept = {}
+    for r in topics.drop_redundant(c).collect():
+        kept.setdefault(r.chunk_id, []).append(r.concept_id)
+    assert {k: sorted(v) for k, v in kept.items()} == {0: ["a", "c", "e", "f"], 1: ["child"], 2: ["a", "child"]}
+    assert sorted(r.concept_id for r in topics.drop_redundant(c.where("chunk_id = 0"), top=2).collect()) == ["a", "c"]
+    assert one(spark, topics.stems(F.col("t")), t="Sorting sorted boxes is a list; lists bring as") == ["sort", "boxe", "list", "bring"]
 
 
 def test_continuation_chain_inherits_from_its_root(spark):
