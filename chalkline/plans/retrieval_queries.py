@@ -5,6 +5,7 @@ Thresholds are scaled to these vectors (their cosines are near zero), as configu
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.operators import retrieval as R
@@ -193,10 +194,12 @@ def select_stats(spark, d):
 
 
 def _sel(spark, d):
-    return scored(spark, d).where("topic_index = 0 and rank <= 6").select("request_id", "question_id", "reference", "marks", "role", "final_score")
+    """A request's questions, each by its best topic."""
+    best = F.row_number().over(Window.partitionBy("request_id", "question_id").orderBy(F.desc("final_score"), "topic_index"))
+    return scored(spark, d).withColumn("best", best).where("best = 1").select("request_id", "question_id", "reference", "marks", "role", "final_score")
 
 
-@query("ret.assemble", f"WITH {SCORED}, s AS (SELECT request_id, question_id, reference, final_score FROM sc WHERE topic_index = 0 AND rank <= 6) SELECT request_id, question_id, reference, final_score, d.lang, r.section, e.quality, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, question_id)::INTEGER AS place FROM s JOIN documents d ON d.doc_id = question_id JOIN (SELECT DISTINCT reference, section FROM vectors) r USING (reference) LEFT JOIN labels e ON e.doc_id = question_id")
+@query("ret.assemble", f"WITH {SCORED}, s AS (SELECT request_id, question_id, reference, final_score FROM sc QUALIFY row_number() OVER (PARTITION BY request_id, question_id ORDER BY final_score DESC, topic_index) = 1) SELECT request_id, question_id, reference, final_score, d.lang, r.section, e.quality, row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, question_id)::INTEGER AS place FROM s JOIN documents d ON d.doc_id = question_id JOIN (SELECT DISTINCT reference, section FROM vectors) r USING (reference) LEFT JOIN labels e ON e.doc_id = question_id")
 def assemble(spark, d):
     q = read(spark, d, "documents").select(F.col("doc_id").alias("question_id"), "lang")
     t = vectors(spark, d).select("reference", "section").distinct()

@@ -32,17 +32,18 @@ def src_lines(spark, d):
 def chunks_json(spark, d):
     path = scratch(spark, "chunks")
     docs = read(spark, d, "documents")
-    K.write_json(docs.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), "text")).alias("chunks")), path)
+    K.write_json(K.nested(docs.select("source", F.col("doc_id").alias("chunk_id"), "text"), ["source"], "chunks", 200), path)
     return T.read_chunks(spark, path).select("chunk_id", "text")
 
 
-@query("src.chunk_discovery", "SELECT count(*)::BIGINT AS n_chunks FROM documents")
+@query("src.chunk_discovery", "SELECT source, count(*)::BIGINT AS n_chunks FROM documents GROUP BY 1")
 def chunk_discovery(spark, d):
     path = scratch(spark, "found")
     docs = read(spark, d, "documents")
-    K.write_json(docs.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("text"))).alias("chunks")), path + "/a")
+    K.write_json(K.nested(docs.select("source", F.col("doc_id").alias("chunk_id"), F.col("lang").alias("text")), ["source"], "chunks"), path + "/a", ["source"])
     K.write_json(docs.select("lang").distinct(), path + "/b")
-    return T.discover_chunk_files(spark, path).select("n_chunks").groupBy().agg(F.sum("n_chunks").alias("n_chunks"))
+    found = T.discover_chunk_files(spark, path)
+    return found.groupBy(F.regexp_extract("file", "/source=([^/]*)/", 1).alias("source")).agg(F.sum("n_chunks").alias("n_chunks"))
 
 
 @query("src.registered_pairs", """WITH p AS (SELECT source || '/' || lang || '/' || (doc_id % 50) AS pair_key, CASE WHEN doc_id % 2 = 0 THEN 'question_paper' ELSE 'mark_scheme' END AS kind, doc_id FROM documents),
@@ -85,12 +86,13 @@ def header_fields(spark, d):
     return P.header_fields(read(spark, d, "pages"))
 
 
-@query("sink.json", "SELECT source, count(*)::INTEGER AS n FROM documents GROUP BY 1")
+@query("sink.json", "SELECT source, doc_id, lang, n_chars FROM documents")
 def sink_json(spark, d):
     path = scratch(spark, "json")
     docs = read(spark, d, "documents").select("source", "doc_id", "lang", "n_chars")
     K.write_json(K.nested(docs, ["source"], "documents"), path)
-    return spark.read.schema("source string, documents array<struct<doc_id:bigint,lang:string,n_chars:bigint>>").json(path).select("source", F.size("documents").alias("n"))
+    stored = spark.read.schema("source string, part int, documents array<struct<doc_id:bigint,lang:string,n_chars:bigint>>").json(path)
+    return stored.select("source", F.explode("documents").alias("x")).select("source", "x.*")
 
 
 @query("sink.csv", "SELECT source, lang, count(*) AS n, '[' || array_to_string(list_sort(list(DISTINCT doc_id % 3)), ',') || ']' AS rest FROM documents GROUP BY 1, 2")
@@ -100,12 +102,11 @@ def sink_csv(spark, d):
     return spark.read.schema("source string, lang string, n bigint, rest string").option("header", True).csv(path)
 
 
-@query("sink.audit", "SELECT o_orderstatus, count(*) AS n, year(o_orderdate) || '-01-01' AS run_date FROM orders WHERE year(o_orderdate) IN (1997, 1998) GROUP BY 1, 3")
+@query("sink.audit", "SELECT o_orderstatus, count(*) AS n, year(o_orderdate) || '-01-01' AS run_date FROM orders GROUP BY 1, 3")
 def sink_audit(spark, d):
     path = scratch(spark, "audit")
-    orders = read(spark, d, "orders")
-    for year in (1997, 1998):
-        K.append_audit(orders.where(F.year("o_orderdate") == year).groupBy("o_orderstatus").agg(F.count("*").alias("n")), path, f"{year}-01-01")
+    runs = read(spark, d, "orders").groupBy("o_orderstatus", F.trunc("o_orderdate", "year").alias("day")).agg(F.count("*").alias("n"))
+    K.append_audit(runs, path, F.col("day"))
     return spark.read.schema("o_orderstatus string, n bigint, run_date date").parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from chalkline.operators import vectors as V
@@ -18,12 +21,20 @@ def asked(spark, d):
 
 
 def hashed_words(rows):
-    return [[float(len(r) % 7), 1.0] for r in rows]
+    """Unit vectors of 16 hashed word counts."""
+    out = []
+    for text in rows:
+        counts = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in text.split()], minlength=16)
+        out.append((counts / np.sqrt(counts @ counts)).tolist())
+    return out
 
 
-@query("emb.encode", "SELECT doc_id, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN 2 END AS width FROM documents")
+@query("emb.encode", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS w FROM documents), c AS (SELECT doc_id, (('0x' || md5(w)[1:8])::BIGINT % 16)::INTEGER AS slot, count(*) AS n FROM w GROUP BY 1, 2),
+t AS (SELECT doc_id, min(slot) FILTER (n = top)::INTEGER AS slot FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM c) GROUP BY 1) SELECT doc_id, CASE WHEN slot IS NOT NULL THEN 16 END AS width, CASE WHEN slot IS NOT NULL THEN true END AS unit, slot FROM documents LEFT JOIN t USING (doc_id)""")
 def encode(spark, d):
-    return V.encode(read(spark, d, "documents").select("doc_id", "text"), hashed_words).select("doc_id", F.size("embedding").alias("width"))
+    e = V.encode(read(spark, d, "documents").select("doc_id", "text"), hashed_words)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return e.select("doc_id", F.size("embedding").alias("width"), (F.abs(norm - 1) < 1e-5).alias("unit"), (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("slot"))
 
 
 _HW = "w AS (SELECT item_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM benchmark))"

@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 CHUNK = "struct<chunk_id:bigint,text:string>"
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """One row a chunk from files that hold an object with ``chunks``; rows without such a list are left out."""
-    schema = f"chunks array<{CHUNK}>, _corrupt_record string"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
-    return rows.where("chunks is not null").select(F.explode("chunks").alias("c")).select("c.*")
+def _records(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """file, chunks (of an object with such a list, or one element of a bare list) and record, what is neither of these."""
+    schema = f"chunks array<{CHUNK}>, chunk_id bigint, text string, _corrupt_record string"
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", multi_line).json(path)
+    one = F.when(F.col("chunk_id").isNotNull() | F.col("text").isNotNull(), F.array(F.struct("chunk_id", "text").cast(CHUNK)))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.coalesce("chunks", one).alias("chunks"), F.coalesce("_corrupt_record", F.lit("no list of chunks")).alias("record"))
 
 
-def discover_chunk_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, n_chunks of every file under a folder that has the chunk shape."""
-    rows = spark.read.schema(f"chunks array<{CHUNK}>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    return rows.withColumn("file", F.col("_metadata.file_path")).where("chunks is not null").groupBy("file").agg(F.sum(F.size("chunks")).alias("n_chunks"))
+def read_chunks(spark: SparkSession, path: str, strict: bool = True, multi_line: bool = False) -> DataFrame:
+    """One row a chunk from .json files of a folder: objects with a list ``chunks``, or bare lists of chunks.
+
+    A record a line, or with multi_line a record a file.  What has no such list fails the read, naming its file; unless
+    ``strict``, it is left out, and ``rejected_chunks`` has it.
+    """
+    found = _records(spark, path, multi_line)
+    missing = F.raise_error(F.concat(F.lit("no list of chunks in "), "file")).cast(f"array<{CHUNK}>")
+    rows = found.select(F.coalesce("chunks", missing).alias("chunks")) if strict else found.where("chunks is not null")
+    return rows.select(F.explode("chunks").alias("c")).select("c.*")
+
+
+def rejected_chunks(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """file, record: what ``read_chunks`` cannot read, broken records as they stand."""
+    return _records(spark, path, multi_line).where("chunks is null").select("file", "record")
+
+
+def discover_chunk_files(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """file, n_chunks of every file under a folder that has one of the two chunk shapes."""
+    return _records(spark, path, multi_line).where("chunks is not null").groupBy("file").agg(F.sum(F.size("chunks")).alias("n_chunks"))
 
 
 def registered_pairs(documents: DataFrame) -> DataFrame:

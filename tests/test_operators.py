@@ -568,8 +568,22 @@ def test_sinks_and_chunk_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/a.json").write_text('{"chunks": [{"chunk_id": 1, "text": "x"}]}\n')
     (tmp_path / "d/b.json").write_text('{"other": 1}\n')
-    assert [r.chunk_id for r in tables.read_chunks(spark, f"{tmp_path}/d").collect()] == [1]
-    assert [r.n_chunks for r in tables.discover_chunk_files(spark, f"{tmp_path}/d").collect()] == [1]
+    (tmp_path / "d/c.json").write_text('[{"chunk_id": 2, "text": "y"}, {"chunk_id": 3, "text": null}]\n')
+    (tmp_path / "d/e.json").write_text('[]\n{"chunks": []}\n{"chunks": [{"chunk_id"\n')
+    assert sorted(r.chunk_id for r in tables.read_chunks(spark, f"{tmp_path}/d", strict=False).collect()) == [1, 2, 3]
+    assert sorted((r.file[-6:], r.n_chunks) for r in tables.discover_chunk_files(spark, f"{tmp_path}/d").collect() if r.n_chunks) == [("a.json", 1), ("c.json", 2)]
+    assert sorted((r.file[-6:], r.record) for r in tables.rejected_chunks(spark, f"{tmp_path}/d").collect()) == [("b.json", "no list of chunks"), ("e.json", '{"chunks": [{"chunk_id"')]
+    with pytest.raises(Exception, match="no list of chunks in .*b.json"):
+        tables.read_chunks(spark, f"{tmp_path}/d").collect()
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/pretty.json").write_text('[\n {"chunk_id": 2,\n "text": "y"},\n {"chunk_id": 3, "text": "z"}\n]\n')
+    assert sorted(r.chunk_id for r in tables.read_chunks(spark, f"{tmp_path}/f", multi_line=True).collect()) == [2, 3]
+
+
+def test_nested_rows_are_bounded(spark):
+    df = spark.createDataFrame([(None if i % 3 else "a", i) for i in range(3000)], "k string, i int")
+    out = sinks.nested(df, ["k"], "rows", 100).collect()
+    assert sorted(x.i for r in out for x in r.rows) == list(range(3000)) and max(len(r.rows) for r in out) < 200 and len(out) == 30
 
 
 def test_transcripts_to_topics_as_one_flow(spark):
