@@ -29,7 +29,7 @@ def hashed_words(rows):
     return out
 
 
-@query("emb.encode", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS w FROM documents), c AS (SELECT doc_id, (('0x' || md5(w)[1:8])::BIGINT % 16)::INTEGER AS slot, count(*) AS n FROM w GROUP BY 1, 2),
+@query("emb.encode", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS w FROM documents), c AS (SELECT doc_id, (('0x' || md5(w)[1:8])::BIGINT % 16)::INTEGER AS slot, count(*) AS n FROM w GROUP BY 1, 2),
 t AS (SELECT doc_id, min(slot) FILTER (n = top)::INTEGER AS slot FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM c) GROUP BY 1) SELECT doc_id, CASE WHEN slot IS NOT NULL THEN 16 END AS width, CASE WHEN slot IS NOT NULL THEN true END AS unit, slot FROM documents LEFT JOIN t USING (doc_id)""")
 def encode(spark, d):
     e = V.encode(read(spark, d, "documents").select("doc_id", "text"), hashed_words)

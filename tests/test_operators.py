@@ -573,7 +573,7 @@ def test_sinks_and_chunk_files(spark, tmp_path):
     assert sorted(r.chunk_id for r in tables.read_chunks(spark, f"{tmp_path}/d", strict=False).collect()) == [1, 2, 3]
     assert sorted((r.file[-6:], r.n_chunks) for r in tables.discover_chunk_files(spark, f"{tmp_path}/d").collect() if r.n_chunks) == [("a.json", 1), ("c.json", 2)]
     assert sorted((r.file[-6:], r.record) for r in tables.rejected_chunks(spark, f"{tmp_path}/d").collect()) == [("b.json", "no list of chunks"), ("e.json", '{"chunks": [{"chunk_id"')]
-    with pytest.raises(Exception, match="no list of chunks in .*b.json"):
+    with pytest.raises(Exception, match="no list of chunks in .*[be].json"):
         tables.read_chunks(spark, f"{tmp_path}/d").collect()
     (tmp_path / "f").mkdir()
     (tmp_path / "f/pretty.json").write_text('[\n {"chunk_id": 2,\n "text": "y"},\n {"chunk_id": 3, "text": "z"}\n]\n')
