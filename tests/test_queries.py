@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from chalkline.operators.held import cut
+from chalkline.plans import lessons_queries, topics_queries
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -38,6 +40,28 @@ def table(frame):
     return list(frame.columns), sorted(tuple(map(plain, row)) for row in frame.itertuples(index=False))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def judged_once():
+    """Topic and lesson queries begin with the same lexical evidence and judged candidates; here these are made once."""
+    made, patch = {}, pytest.MonkeyPatch()
+
+    def once(name, make):
+        def held(spark, d):
+            if (name, d) not in made:
+                made[name, d] = cut(make(spark, d))
+            return made[name, d]
+
+        return held
+
+    for name in ("lexical", "candidates", "judged", "_sem"):
+        held = once(name, getattr(topics_queries, name))
+        for module in (topics_queries, lessons_queries):
+            if hasattr(module, name):
+                patch.setattr(module, name, held)
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     assert table(QUERIES[name](spark, sf_dir).toPandas()) == table(duck.execute(ORACLES[name]).df())
