@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from chalkline.operators.held import cut
+
 
 def term_key(text: Column) -> Column:
     """Lookup key: lower case, separators as one blank, other signs dropped."""
@@ -95,6 +97,7 @@ def close_words(left: DataFrame, right: DataFrame, long_word: int = 8, short_edi
 
 
 MOST_TERMS = 50_000  # vocabularies of at most so many words are sent to all tasks
+MOST_CASES = 200_000  # so many rows of a word and a term that it may be meant for, of a few hundred bytes each
 TOKEN = "[A-Za-z][A-Za-z0-9_'’-]*"
 WORDS_BETWEEN_BLANKS = rf"{TOKEN}(?:[ \t]++{TOKEN})*+"  # possessive: a run of any length without recursion
 COMPARED = r"^(?:less than|greater than|equals?\b|is (?:less|greater|equal))"
@@ -160,6 +163,12 @@ def _inflections(word: Column) -> Column:
     return F.array_distinct(F.array_compact(made))
 
 
+def _variants(word: Column) -> Column:
+    """All words that equal ``word`` or are simple inflections of it, either way."""
+    longer = F.array(F.concat(word, F.lit("s")), F.concat(word, F.lit("es")), F.when(word.endswith("y"), F.concat(F.substring(word, F.lit(1), F.length(word) - 1), F.lit("ies"))))
+    return F.array_compact(F.concat(_inflections(word), longer))
+
+
 def detect(
     sentences: DataFrame, terms: DataFrame, longest: int = 4, word_floor: float = 0.86, phrase_floor: float = 0.78, token_floor: float = 0.62, margin: float = 0.04, protected: Sequence[str] = PROTECTED,
     anchors: tuple[Sequence[str], Sequence[str]] | None = None,
@@ -168,8 +177,8 @@ def detect(
 
     sentences (doc_id, pos, sentence), terms (key, n_words); anchors (strong, weak words): only sentences that are
     ``technical`` by them are searched, without them all are.  The corpus' distinct words meet the vocabulary's words on
-    deletion forms first; only occurrences of the few that are close to one go on, and each looks at the terms with that
-    word in place.  Other tokens must be equal or simple inflections; valid wording and conditions of control flow ("while low
+    deletion forms first, and these pairs the terms with that word in place; only occurrences of such words go on whose
+    neighbour in the phrase fits too.  Other tokens must be equal or simple inflections; valid wording and conditions of control flow ("while low
     less than ...") are left out.  Returns doc_id, pos, stretch, start, n (places in words), begin, stop (places in the
     sentence), original, term, score.
     """
@@ -181,19 +190,23 @@ def detect(
     words = words.where(~F.col("word").isin(*protected)) if protected else words
     parts = known.select(F.explode("t").alias("term")).where(F.length("term") >= 3).distinct()
     close = close_words(words, parts, short_edits=2).where(~inflected(F.col("word"), F.col("term")))
-    close = close.withColumn("likeness", ratio(F.col("word"), F.col("term"))).where(F.col("likeness") >= token_floor).withColumnRenamed("term", "token").persist()  # counted, then joined
+    close = close.withColumn("likeness", ratio(F.col("word"), F.col("term"))).where(F.col("likeness") >= token_floor).withColumnRenamed("term", "token")
     placed = known.select("term", "t", "n", F.posexplode("t").alias("k", "token"))
+    # what needs no text is settled here, once per word and term; of a phrase, which words may stand beside the suspicious one
+    edits = F.when((F.col("n") == 1) & (F.greatest(F.length("word"), F.length("token")) <= 7), 1).otherwise(2)
+    cases = close.join(few(placed), "token").where((F.col("edits") <= edits) & ((F.col("n") > 1) | (F.col("likeness") >= word_floor)))
+    side = F.when(F.col("k") == 0, 1).otherwise(-1)
+    cases = cut(cases.select("word", "likeness", "term", "t", "n", "k", side.alias("side"), F.when(F.col("n") > 1, _variants(F.get("t", F.col("k") + side))).alias("beside")))
     owned = runs.select("doc_id", "pos", "stretch", "base", "own_from", "own_to", "tokens", "starts", "stops", "after", F.posexplode("tokens").alias("i", "word")).where((F.col("i") >= F.col("own_from")) & (F.col("i") < F.col("own_to")))
-    hits = owned.join(F.broadcast(close) if close.count() <= MOST_TERMS else close, "word").join(few(placed), "token")
-    start, n = F.col("i") - F.col("k"), F.col("n")
+    hits = owned.join(F.broadcast(cases) if cases.count() <= MOST_CASES else cases, "word")
+    start, n, at = F.col("i") - F.col("k"), F.col("n"), F.col("i") + F.col("side")
+    hits = hits.where((start >= 0) & (start + n <= F.size("tokens"))).where((n == 1) | F.array_contains("beside", F.get("tokens", at)))
     others = F.zip_with(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, n), "t", lambda w, t: F.when(_same(w, t), _likeness(w, t)))
-    fit = hits.where((start >= 0) & (start + n <= F.size("tokens"))).withColumn("others", others)
-    fit = fit.where(F.size(F.filter("others", lambda x: x.isNull())) == 1)  # the suspicious token itself
+    fit = hits.withColumn("others", others).where(F.size(F.filter("others", lambda x: x.isNull())) == 1)  # the suspicious token itself
     total = F.aggregate("others", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    edits = F.when((n == 1) & (F.greatest(F.length("word"), F.length("token")) <= 7), 1).otherwise(2)
     floor = F.when(n == 1, word_floor).otherwise(phrase_floor)
     original = F.array_join(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, n), " ")
-    scored = fit.withColumn("score", (total + F.col("likeness")) / n).where((F.col("edits") <= edits) & ((n > 1) | (F.col("likeness") >= word_floor)))
+    scored = fit.withColumn("score", (total + F.col("likeness")) / n)
     scored = scored.select(
         "doc_id", "pos", "stretch", (F.col("base") + start).alias("start"), "n", F.get("starts", start).alias("begin"), F.get("stops", start + n - 1).alias("stop"), original.alias("original"), "term", "t", "score",
         floor.alias("floor"), F.slice("tokens", F.greatest(start + n, F.lit(0)) + 1, F.lit(NEXT_WORDS)).alias("next"), "after", F.get("tokens", start).alias("first"),
