@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.sources.tables import spread
+
+
+TEXTS = ("documents", "pages")  # every row costs much more than its transport
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

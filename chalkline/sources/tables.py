@@ -53,3 +53,16 @@ def eligible(documents: DataFrame, labels: DataFrame, turns: DataFrame, language
     """Documents that may be retrieved: seven conditions over three joined tables."""
     good = documents.where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("lang").isin(*languages) & (F.col("n_chars") >= 200)).drop("text")
     return good.join(labels.where("quality = 1 and toxic = 0"), "doc_id").join(turns.where("turns >= 2"), "doc_id")
+
+
+SPLIT = 128 << 20
+
+
+def spread(table: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """table, dealt to all cores where its files are too small to fill them with splits: one row group is one task.
+
+    Tables of under ``least`` bytes, or with a split for every core, stay as they are; no result depends on it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if least <= size < cores * SPLIT else table
