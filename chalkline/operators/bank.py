@@ -6,6 +6,8 @@ Input contract: words (pair_key, page, x0, y0, x1, y1, text) or lines (pair_key,
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +121,9 @@ def match_scores(pairs: DataFrame) -> DataFrame:
 def align(questions: DataFrame, entries: DataFrame, gap_question: int = -5, gap_entry: int = -2) -> DataFrame:
     """Global alignment of a pair's questions and entries, both in order: pair_key, q_seq, e_seq, kind.
 
-    A pair is one row with both lists.  A row of the score matrix is computed at once: the best way along the row is a running
-    maximum after the gaps are taken off.
+    A pair is one row with both lists.  A row of the table of best scores is computed at once: the best way along the row is a
+    running maximum after the gaps are taken off.  Only every sqrt(n)-th row is held; on the way back the rows between two
+    held ones are made again, so memory grows with m * sqrt(n) and the alignment is that of the whole table.
     """
 
     def codes(numbers: list, known: dict) -> np.ndarray:
@@ -128,37 +131,56 @@ def align(questions: DataFrame, entries: DataFrame, gap_question: int = -5, gap_
 
     def steps(qs: list[dict], es: list[dict]) -> Iterator[tuple]:
         number, main, n, m = {}, {}, len(qs), len(es)
-        same = codes([q["number"] for q in qs], number)[:, None] == codes([e["number"] for e in es], number)
-        alike = codes([str(q["number"]).split(".")[0] for q in qs], main)[:, None] == codes([str(e["number"]).split(".")[0] for e in es], main)
+        numbers = [codes([x["number"] for x in side], number) for side in (qs, es)]
+        mains = [codes([str(x["number"]).split(".")[0] for x in side], main) for side in (qs, es)]
         marks = [np.array([np.nan if x["marks"] is None else x["marks"] for x in side], float) for side in (qs, es)]
-        known = ~np.isnan(marks[0])[:, None] & ~np.isnan(marks[1])
-        score = np.where(same, 12, np.where(alike, 6, 1)) + np.where(known, np.where(marks[0][:, None] == marks[1], 5, -3), 0)
         gaps = gap_entry * np.arange(m + 1)
-        best = np.zeros((n + 1, m + 1), np.int64)
-        best[0] = gaps
-        for i in range(1, n + 1):
-            row = best[i - 1] + gap_question
-            row[1:] = np.maximum(row[1:], best[i - 1, :-1] + score[i - 1])
-            best[i] = np.maximum.accumulate(row - gaps) + gaps
-        i, j = n, m
-        while i or j:
-            if i and j and best[i, j] == best[i - 1, j - 1] + score[i - 1, j - 1]:
-                i, j = i - 1, j - 1
-                yield qs[i]["seq"], es[j]["seq"], "match"
-            elif i and best[i, j] == best[i - 1, j] + gap_question:
-                i -= 1
-                yield qs[i]["seq"], None, "missing"
-            else:
+
+        def scores(i: int) -> np.ndarray:
+            """Question i against every entry."""
+            by_number = np.where(numbers[1] == numbers[0][i], 12, np.where(mains[1] == mains[0][i], 6, 1))
+            return by_number + np.where(np.isnan(marks[1]) | np.isnan(marks[0][i]), 0, np.where(marks[1] == marks[0][i], 5, -3))
+
+        def following(i: int, best: np.ndarray) -> np.ndarray:
+            row = best + gap_question
+            row[1:] = np.maximum(row[1:], best[:-1] + scores(i))
+            return np.maximum.accumulate(row - gaps) + gaps
+
+        stride = max(1, isqrt(n))
+        row, held = gaps, [gaps]
+        for i in range(n):
+            row = following(i, row)
+            if (i + 1) % stride == 0:
+                held.append(row)
+        i, j, top, rows_ = n, m, n, []
+        while i:
+            if i == top:  # the block of rows above comes next
+                top = (i - 1) // stride * stride
+                rows_ = [held[top // stride]]
+                for r in range(top, i):
+                    rows_.append(following(r, rows_[-1]))
+            here, above, score = rows_[i - top], rows_[i - top - 1], scores(i - 1)
+            while not (j and here[j] == above[j - 1] + score[j - 1]) and here[j] != above[j] + gap_question:
                 j -= 1
                 yield None, es[j]["seq"], "skipped"
+            i -= 1
+            if j and here[j] == above[j - 1] + score[j - 1]:
+                j -= 1
+                yield qs[i]["seq"], es[j]["seq"], "match"
+            else:
+                yield qs[i]["seq"], None, "missing"
+        for e in reversed(es[:j]):
+            yield None, e["seq"], "skipped"
 
     schema = pa.schema([("pair_key", pa.string()), ("q_seq", pa.int64()), ("e_seq", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(key, *step) for key, qs, es in zip(*(c.to_pylist() for c in batch.columns)) for step in steps(qs or [], es or [])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            for at in range(batch.num_rows):
+                (key,), (qs,), (es,) = (c.to_pylist() for c in batch.slice(at, 1).columns)
+                out = steps(qs or [], es or [])
+                while some := list(islice(out, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((key, *step) for step in some)), schema)], schema=schema)
 
     listed = lambda rows, name: rows.groupBy(F.col("pair_key").cast("string").alias("pair_key")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("number").cast("string").alias("number"), "marks"))).alias(name))
     pairs = listed(questions, "q").join(listed(entries, "e"), "pair_key", "full_outer")

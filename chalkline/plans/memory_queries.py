@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from chalkline.operators import resolver as R
 from chalkline.operators import snapshots as S
+from chalkline.operators import stored
+from chalkline.operators.held import new_folder
 from chalkline.plans.bridges import read
 from chalkline.plans.registry import query
 
@@ -29,10 +31,24 @@ def _fold(e):
 _RANK = "list_position(['rejected', 'approved', 'candidate'], {0})"
 
 
-@query("mem.upsert", f"""WITH {OLD}, {NEW} SELECT coalesce(o.id, n.id) AS id, coalesce(o.kind, n.kind) AS kind, (coalesce(o.times_seen, 0) + coalesce(n.times_seen, 0))::BIGINT AS times_seen, greatest(o.confidence, n.confidence) AS confidence,
- CASE WHEN o.status IS NULL THEN n.status WHEN n.status IS NULL THEN o.status WHEN {_RANK.format('n.status')} < {_RANK.format('o.status')} THEN n.status ELSE o.status END AS status, coalesce(o.created, n.created) AS created FROM old o FULL JOIN new n ON o.id = n.id AND o.kind = n.kind""")
+_UPSERTED = f"""WITH {OLD}, {NEW} SELECT coalesce(o.id, n.id) AS id, coalesce(o.kind, n.kind) AS kind, (coalesce(o.times_seen, 0) + coalesce(n.times_seen, 0))::BIGINT AS times_seen, greatest(o.confidence, n.confidence) AS confidence,
+ CASE WHEN o.status IS NULL THEN n.status WHEN n.status IS NULL THEN o.status WHEN {_RANK.format('n.status')} < {_RANK.format('o.status')} THEN n.status ELSE o.status END AS status, coalesce(o.created, n.created) AS created FROM old o FULL JOIN new n ON o.id = n.id AND o.kind = n.kind"""
+
+MERGE = {"times_seen": S.add, "confidence": S.greatest, "status": S.ranked(["rejected", "approved", "candidate"]), "created": S.keep_old}
+
+
+@query("mem.upsert", _UPSERTED)
 def mem_upsert(spark, d):
-    return S.upsert(_old(spark, d), _new(spark, d), ["id", "kind"], {"times_seen": S.add, "confidence": S.greatest, "status": S.ranked(["rejected", "approved", "candidate"]), "created": S.keep_old})
+    return S.upsert(_old(spark, d), _new(spark, d), ["id", "kind"], MERGE)
+
+
+@query("mem.upsert_stored", _UPSERTED)
+def mem_upsert_stored(spark, d):
+    """The same through a stored snapshot: the old rows as version 1, the batch as version 2."""
+    folder = new_folder(spark)
+    stored.create(_old(spark, d), folder, ["id", "kind"])
+    stored.upsert_stored(_new(spark, d), folder, MERGE)
+    return stored.load(spark, folder)
 
 
 @query("mem.counter", "WITH t AS (SELECT c_custkey AS id, c_nationkey AS times_applied, NULL::TIMESTAMP AS last_used FROM customer), u AS (SELECT user_id AS id, count(*) AS n, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY 1) SELECT t.id, (times_applied + coalesce(n, 0))::BIGINT AS times_applied, coalesce(ts, last_used) AS last_used FROM t LEFT JOIN u USING (id)")
