@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators.chunking import dot
 from chalkline.operators.terminology import ratio
+from chalkline.operators.vectors import top_k_in_groups
 
 TOPIC = ["request_id", "topic_index"]
 
@@ -57,23 +58,27 @@ def query_text(reference: str = "reference", label: str = "label", evidence: str
     return F.concat_ws("\n", F.concat(F.lit("Topic: "), F.col(reference)), F.concat(F.lit("Title: "), F.col(label)), F.col(evidence))
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
+def _nearest(topics: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The k nearest questions of a topic (with ``group``, one row for each it asks) among those of its groups."""
+    asked = topics.select(F.struct(*TOPIC).alias("query_id"), "query", "group")
+    found = top_k_in_groups(asked, questions.select(F.struct("question_id", "reference", "marks").alias("vec_id"), "embedding", "group"), k)
+    rows = found.select("query_id.*", "vec_id.*", "score")
     order = Window.partitionBy(*TOPIC).orderBy(F.desc("score"), "question_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def exact(topics: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
-    """Nearest questions of the same official reference, per topic: filtered by an equi join, then ranked."""
-    pairs = topics.select(*TOPIC, "query", "reference").join(questions.select("question_id", "embedding", "reference", "marks"), "reference")
-    return _top(pairs.select(*TOPIC, "question_id", "reference", "marks", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score")), k)
+    """Nearest questions of the same official reference, per topic: products of blocks within a reference, then ranked."""
+    return _nearest(topics.withColumn("group", F.col("reference")), questions.withColumn("group", F.col("reference")), k)
 
 
 def fallback(topics: DataFrame, found: DataFrame, questions: DataFrame, wanted: int, k: int = 10) -> DataFrame:
-    """For topics with fewer than ``wanted`` exact hits: nearest questions of the section's other references."""
+    """For topics with fewer than ``wanted`` exact hits: nearest questions of the section's other references, each asked."""
     counts = found.groupBy(*TOPIC).agg(F.count("*").alias("_n"))
-    short = topics.join(counts, TOPIC, "left").where(F.coalesce("_n", F.lit(0)) < wanted)
-    pairs = short.select(*TOPIC, "query", "section", F.col("reference").alias("_ref")).join(questions.select("question_id", "embedding", "section", "reference", "marks"), "section").where("reference <> _ref")
-    return _top(pairs.select(*TOPIC, "question_id", "reference", "marks", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score")), k)
+    short = topics.join(counts, TOPIC, "left").where(F.coalesce("_n", F.lit(0)) < wanted).select(*TOPIC, "query", "section", F.col("reference").alias("_ref"))
+    others = short.join(questions.select("section", "reference").distinct(), "section").where("reference <> _ref")
+    place = F.struct("section", "reference")
+    return _nearest(others.withColumn("group", place), questions.withColumn("group", place), k)
 
 
 def retrieval_score() -> Column:

@@ -147,30 +147,38 @@ def patch_payload(vectors: DataFrame, patch: DataFrame, key: str, columns: list[
     return merged.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+LANE_ROWS = 50_000  # vectors of a group that one task sees
 HELD_ROWS, SLICE = 5000, 1024  # a task holds a block of so many queries and multiplies it with so many vectors at once
 
 
-def _meet(queries: DataFrame, vectors: DataFrame, width: int | None = None, k: int | None = None, floor: float | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
+def _meet(queries: DataFrame, vectors: DataFrame, width: int | None = None, k: int | None = None, floor: float | None = None, held_rows: int = HELD_ROWS, lane_rows: int | None = None) -> DataFrame:
     """query_id, vec_id, score: all pairs of queries (query_id) and vectors (vec_id), or of these the ``k`` best of a query in
     each lane, or those of at least ``floor``; both have ``embedding``, and ``at``, its slots, where it is sparse (``width``).
 
     Queries are cut into blocks of about ``held_rows``, and every block is sent to as many lanes as there are shuffle
     partitions; vectors are dealt to the lanes, once for each block.  A lane holds its block as a matrix, and its vectors
-    stream past it.  Nothing passes the driver and the plan is the same for any number of queries.
+    stream past it.  Nothing passes the driver and the plan is the same for any number of queries.  With ``lane_rows`` only
+    rows of equal ``group`` meet: each group has blocks by its queries and a lane for about so many of its vectors.
     """
-    lanes = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-queries.count() // held_rows))
+    if lane_rows is None:
+        lanes = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(1, -(-queries.count() // held_rows))
+        sized = lambda t: t.withColumns({"_blocks": F.lit(blocks), "_lanes": F.lit(lanes), "_group": F.lit(0)})
+    else:
+        cells = lambda t, rows, name: t.where("embedding is not null").groupBy(F.col("group").alias("_group")).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+        sizes = cells(queries, held_rows, "_blocks").join(cells(vectors, lane_rows, "_lanes"), "_group")
+        sized = lambda t: t.join(sizes, t["group"] == sizes["_group"])
     ids = {c: t.schema[c].dataType for t, c in ((queries, "query_id"), (vectors, "vec_id"))}
 
     def side(t: DataFrame, kind: int, block: Column, lane: Column) -> DataFrame:
         at = F.col("at") if width else F.lit(None).cast("array<int>")
-        cells = t.where("embedding is not null").select("*", F.explode(block).alias("_block")).select("*", F.explode(lane).alias("_lane"))
+        cells = sized(t.where("embedding is not null")).select("*", F.explode(block).alias("_block")).select("*", F.explode(lane).alias("_lane"))
         own = [F.col(c) if c in t.columns else F.lit(None).cast(kind_of).alias(c) for c, kind_of in ids.items()]
-        return cells.select(F.xxhash64("_block", "_lane").alias("cell"), F.lit(kind).alias("kind"), *own, at.alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
+        return cells.select(F.xxhash64("_group", "_block", "_lane").alias("cell"), F.lit(kind).alias("kind"), *own, at.alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
 
-    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    of = lambda c, n: F.array(F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
-    rows = side(queries, 0, of("query_id", blocks), every(lanes)).unionByName(side(vectors, 1, every(blocks), of("vec_id", lanes)))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of = lambda c, n: F.array(F.pmod(F.xxhash64(c), F.col(n)).cast("int"))
+    rows = side(queries, 0, of("query_id", "_blocks"), every("_lanes")).unionByName(side(vectors, 1, every("_blocks"), of("vec_id", "_lanes")))
 
     def matrix(at: pa.Array, values: pa.Array) -> np.ndarray:
         flat = values.flatten().to_numpy(zero_copy_only=False)
@@ -245,6 +253,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None =
     return scored.withColumn("rank", ranked).where(F.col("rank") <= k)
 
 
+def top_k_in_groups(queries: DataFrame, vectors: DataFrame, k: int, held_rows: int = HELD_ROWS, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """query_id, vec_id, score: of every query (query_id, query, group) the ``k`` best vectors (vec_id, embedding, group) in
+    each lane of its group, and those as good as the last: a caller ranks at most queries x lanes x k rows, ties aside.
+
+    A query may ask several groups, one row each; a group of any size spreads over tasks.
+    """
+    asked = queries.select("query_id", "group", F.col("query").alias("embedding"))
+    return _meet(asked, vectors.select("vec_id", "group", "embedding"), k=k, held_rows=held_rows, lane_rows=lane_rows)
+
+
 def pair_scores(queries: DataFrame, vectors: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
     """query_id, vec_id, score of every vector against every query."""
     return _meet(queries.select("query_id", F.col("query").alias("embedding")), vectors.select("vec_id", "embedding"), held_rows=held_rows)

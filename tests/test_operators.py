@@ -513,6 +513,39 @@ def test_alignment_against_a_plain_table(spark):
         assert total == best[-1][-1] and sorted(r.q_seq for r in mine if r.q_seq is not None) == list(range(len(qs))) and sorted(r.e_seq for r in mine if r.e_seq is not None) == list(range(len(es)))
 
 
+def test_alignment_of_long_lists_in_bounded_blocks(spark):
+    q = spark.range(3000).select(F.lit("p").alias("pair_key"), F.col("id").alias("seq"), F.col("id").cast("string").alias("number"), F.lit(1).alias("marks"))
+    out = {r.kind: r["count"] for r in bank.align(q.where("seq % 7 <> 3"), q.where("seq % 5 <> 1")).groupBy("kind").count().collect()}
+    both = sum(i % 7 != 3 and i % 5 != 1 for i in range(3000))
+    # a match by sequence only (1) is better than leaving both out (-7)
+    assert out["match"] >= both and out["match"] + out.get("missing", 0) == sum(i % 7 != 3 for i in range(3000)) and out["match"] + out.get("skipped", 0) == sum(i % 5 != 1 for i in range(3000))
+
+
+@pytest.mark.parametrize("held_rows, lane_rows", [(3, 10), (5000, 50_000)])
+def test_search_in_groups_against_all_pairs(spark, held_rows, lane_rows):
+    rng = random.Random(4)
+    vector = lambda: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]
+    stored = [(i, "hot" if i % 3 else f"g{i % 4}", vector()) for i in range(200)] + [(900, None, vector()), (901, "hot", None)]
+    asked = [(i, g, vector()) for i, g in enumerate(["hot"] * 7 + ["g0", "g2", "absent", None])]
+    v = spark.createDataFrame(stored, "vec_id long, group string, embedding array<double>")
+    q = spark.createDataFrame(asked, "query_id long, group string, query array<double>")
+    got = {}
+    for r in vectors.top_k_in_groups(q, v, 5, held_rows, lane_rows).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    for i, g, x in asked:
+        want = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, h, y in stored if g is not None and h == g and y is not None)[:5]
+        assert sorted(got.get(i, []))[:5] == want
+
+
+def test_fallback_asks_the_other_references(spark):
+    questions = spark.createDataFrame([(i, f"r{i % 3}", i % 2, 1, [float(i), 1.0]) for i in range(12)], "question_id long, reference string, section int, marks int, embedding array<double>")
+    topics_ = spark.createDataFrame([(1, 0, "r0", 0, [1.0, 0.0]), (1, 1, "none", 1, [-1.0, 0.0])], "request_id long, topic_index int, reference string, section int, query array<double>")
+    found = retrieval.exact(topics_, questions, 2)
+    assert [(r.topic_index, r.question_id, r["rank"]) for r in found.orderBy("topic_index", "rank").collect()] == [(0, 9, 1), (0, 6, 2)]
+    more = retrieval.fallback(topics_, found, questions, wanted=3, k=2)
+    assert [(r.topic_index, r.question_id, r.reference) for r in more.orderBy("topic_index", "rank").collect()] == [(0, 10, "r1"), (0, 8, "r2"), (1, 1, "r1"), (1, 3, "r0")]
+
+
 def test_near_duplicates_are_not_transitive(spark):
     pairs = spark.createDataFrame([(1, 1, 2, 1, 2), (1, 2, 3, 2, 3)], "request_id long, a long, b long, a_place long, b_place long")
     assert [(r.question_id, r.kept_by) for r in retrieval.greedy_dups(pairs).collect()] == [(2, 1)]
