@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.operators import retrieval as R
+from chalkline.operators.held import cut
 from chalkline.operators.vectors import hash_encode
 from chalkline.plans.bridges import VECTORS, read, vectors
 from chalkline.plans.registry import query
@@ -56,22 +57,26 @@ def fb(spark, d):
 
 
 def scored(spark, d):
-    every = ex(spark, d).withColumn("method", F.lit("exact")).unionByName(fb(spark, d).withColumn("method", F.lit("fallback")))
+    """All found questions with their scores, written once: profile and gate read them, and the fallback the exact ones."""
+    found = cut(ex(spark, d))
+    more = R.fallback(topics(spark, d), found, questions(spark, d), 17)
+    every = found.withColumn("method", F.lit("exact")).unionByName(more.withColumn("method", F.lit("fallback")))
     joined = every.join(topics(spark, d).select(*R.TOPIC, "role", "role_weight", "confidence", "rank_score"), R.TOPIC).withColumn("corrected", F.col("question_id") % 9 == 4)
-    return joined.withColumn("final_score", R.retrieval_score())
+    return cut(joined.withColumn("final_score", R.retrieval_score()))
 
 
 def quota(spark, d):
     return R.quotas(topics(spark, d), requests(spark, d))
 
 
-def profile(spark, d):
-    return R.adaptive(scored(spark, d), quota(spark, d), low=0.30)
+def profile(spark, d, rows=None):
+    return R.adaptive(scored(spark, d) if rows is None else rows, quota(spark, d), low=0.30)
 
 
 def gated(spark, d):
     issues = F.when(F.col("question_id") % 17 == 5, F.array(F.lit("footer"))).otherwise(F.array().cast("array<string>"))
-    return R.gate(scored(spark, d).withColumn("issues", issues), profile(spark, d))
+    rows = scored(spark, d)
+    return R.gate(rows.withColumn("issues", issues), profile(spark, d, rows))
 
 
 @query("ret.topics", "WITH h AS (SELECT o_custkey AS request_id, o_orderkey AS topic_index, CASE WHEN o_orderkey % 7 <> 3 THEN o_orderpriority END AS reference, CASE o_orderstatus WHEN 'F' THEN 'primary' WHEN 'O' THEN 'supporting' ELSE 'other' END AS role, o_totalprice / 480000 AS confidence FROM orders), m AS (SELECT *, max(CASE WHEN role = 'primary' THEN 1 ELSE 0 END) OVER (PARTITION BY request_id) AS p FROM h) SELECT request_id, topic_index, reference, role, confidence FROM m WHERE reference IS NOT NULL AND role IN ('primary', 'supporting') AND confidence BETWEEN 0 AND 1 AND p = 1")
