@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chalkline.operators import bank, chunking, cleaning, flows, lessons, resolver, retrieval, snapshots, terminology, topics, vectors
+from chalkline.plans import bridges
 from chalkline.sources import sinks, tables
 
 
@@ -632,3 +633,10 @@ def test_transcripts_to_topics_as_one_flow(spark):
     assert [(r.doc_id, r.concept_id, r.role, r.place, r.chunk_ids) for r in out] == [(1, "linear", "primary", 1, [0])]
     fixed = flows.corrected(sentences(spark, "We trace linear serch here", "bubble sort dot size"), vocabulary(spark, "linear search", "bubble sort"), memory).orderBy("pos").collect()
     assert [r.sentence for r in fixed] == ["We trace linear search here", "bubble sort.size"]
+
+
+def test_sentences_keep_the_digits_of_their_place(spark):
+    text = " ".join(f"{i}1 of {i} is {i}." for i in range(30)) + "\n  both ends \n\n 7"
+    got = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    told = [r.sentence for r in bridges.numbered_sentences(got).orderBy("pos").collect()]
+    assert told == [f"{i}1 of {i} is {i}." for i in range(30)] + ["both ends", "7"]
