@@ -640,3 +640,27 @@ def test_sentences_keep_the_digits_of_their_place(spark):
     got = spark.createDataFrame([(1, text)], "doc_id long, text string")
     told = [r.sentence for r in bridges.numbered_sentences(got).orderBy("pos").collect()]
     assert told == [f"{i}1 of {i} is {i}." for i in range(30)] + ["both ends", "7"]
+
+
+def test_memory_lookup_meets_contexts_once(spark):
+    """Many rows of one key: the same winners as by hand, and no pair of a phrase and a row of memory is made."""
+    rng = random.Random(5)
+    pick = lambda n: rng.sample(["a", "b", "c", "d", "e"], rng.randrange(n))
+    memory = [(i, "k", f"fix{i}", pick(4), rng.choice(["approved", "approved", "candidate"]), rng.choice([0.1, 0.5, None]), rng.randrange(3)) for i in range(400)]
+    asked = [(i, rng.choice(["k", "k", "none"]), pick(4)) for i in range(300)]
+    m = spark.createDataFrame(memory, "memory_id long, key string, correction string, context array<string>, status string, confidence double, times_applied int")
+    p = spark.createDataFrame(asked, "id long, key string, context array<string>")
+    want = {}
+    for i, key, context in asked:
+        fit = []
+        for mid, mkey, fix, own, status, sure, times in memory:
+            alike = round(len(set(own) & set(context)) / len(set(own) | set(context)), 6) if own else 0.0
+            if status == "approved" and mkey == key and (not own or alike >= 0.2):
+                fit.append((-alike, sure is None, -(sure or 0), -times, mid, fix))
+        if fit:
+            want[i] = (min(fit)[4], min(fit)[5], -min(fit)[0])
+    found = terminology.memory_lookup(p, m)
+    assert {r.id: (r.memory_id, r.correction, r.likeness) for r in found.collect()} == want
+    many = terminology.memory_lookup(spark.range(100_000).select("id", F.lit("k").alias("key"), F.array(F.lit("a")).alias("context")), spark.range(100_000).select(
+        F.col("id").alias("memory_id"), F.lit("k").alias("key"), F.lit("x").alias("correction"), F.array(F.lit("a")).alias("context"), F.lit("approved").alias("status"), F.lit(0.5).alias("confidence"), F.lit(1).alias("times_applied")))
+    assert many.where("memory_id = 0").count() == 100_000  # ten thousand million pairs, were they made
