@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.operators.chunking import rounded
+
 TOPIC = ["doc_id", "concept_id"]
 
 
@@ -13,7 +15,7 @@ def merge_topics(candidates: DataFrame) -> DataFrame:
     the coverage, all in one shuffle by document."""
     n_all = F.size(F.collect_set("chunk_id").over(Window.partitionBy("doc_id")))
     return candidates.withColumn("n_all", n_all).groupBy(*TOPIC).agg(
-        F.size(F.collect_set("chunk_id")).alias("n_chunks"), F.round(F.size(F.collect_set("chunk_id")) / F.first("n_all"), 6).alias("coverage"),
+        F.size(F.collect_set("chunk_id")).alias("n_chunks"), rounded(F.size(F.collect_set("chunk_id")) / F.first("n_all"), 6).alias("coverage"),
         F.max("confidence").alias("confidence"), F.avg("semantic_score").alias("semantic"), F.avg("keyword_score").alias("keyword"), F.avg("salience").alias("salience"),
         F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), 1, 5).alias("evidence"),
     )
@@ -24,19 +26,19 @@ def spans(candidates: DataFrame, bonus: float = 0.02, cap: float = 0.06, most: f
     ids = candidates.select(*TOPIC, "chunk_id", "confidence")
     gap = F.col("chunk_id") - F.lag("chunk_id").over(Window.partitionBy(*TOPIC).orderBy("chunk_id"))
     runs = ids.withColumn("_gap", gap).groupBy(*TOPIC).agg((F.count_if(F.col("_gap") > 1) + 1).alias("n_spans"), F.max("confidence").alias("_c"))
-    return runs.select(*TOPIC, "n_spans", F.round(F.least(F.lit(most), F.col("_c") + F.least(F.lit(cap), bonus * (F.col("n_spans") - 1))), 6).alias("confidence"))
+    return runs.select(*TOPIC, "n_spans", rounded(F.least(F.lit(most), F.col("_c") + F.least(F.lit(cap), bonus * (F.col("n_spans") - 1))), 6).alias("confidence"))
 
 
 def coverage(candidates: DataFrame) -> DataFrame:
     """Share of the document's topic-bearing chunks in which a topic stands."""
     total = candidates.groupBy("doc_id").agg(F.countDistinct("chunk_id").alias("n_all"))
     own = candidates.groupBy(*TOPIC).agg(F.countDistinct("chunk_id").alias("n_chunks"))
-    return own.join(total, "doc_id").select(*TOPIC, "n_chunks", F.round(F.col("n_chunks") / F.col("n_all"), 6).alias("coverage"))
+    return own.join(total, "doc_id").select(*TOPIC, "n_chunks", rounded(F.col("n_chunks") / F.col("n_all"), 6).alias("coverage"))
 
 
 def rank_scores(topics: DataFrame) -> DataFrame:
     score = 0.2 * F.col("confidence") + 0.2 * F.col("semantic") + 0.2 * F.col("salience") + 0.4 * F.col("coverage")
-    return topics.withColumn("rank_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    return topics.withColumn("rank_score", rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
 
 
 def roles(topics: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chalkline.operators import lessons as L
+from chalkline.operators.chunking import rounded
 from chalkline.plans.bridges import chunks, read
 from chalkline.plans.registry import query
 from chalkline.plans.topics_queries import EVID, judged
@@ -24,7 +25,7 @@ def scored(spark, d):
 @query("agg.merge", f"WITH {MERGED} SELECT doc_id, concept_id, confidence, round(semantic, 9) AS semantic, round(keyword, 9) AS keyword, round(salience, 4) AS salience, chunk_ids, evidence FROM merged")
 def merge(spark, d):
     m = L.merge_topics(judged(spark, d))
-    return m.withColumns({c: F.round(c, k) for c, k in (("semantic", 9), ("keyword", 9), ("salience", 4))}).drop("n_chunks", "coverage")
+    return m.withColumns({c: rounded(c, k) for c, k in (("semantic", 9), ("keyword", 9), ("salience", 4))}).drop("n_chunks", "coverage")
 
 
 @query("agg.spans", f"WITH {EVID}, g AS (SELECT doc_id, concept_id, confidence, chunk_id - lag(chunk_id) OVER (PARTITION BY doc_id, concept_id ORDER BY chunk_id) AS gap FROM qual), s AS (SELECT doc_id, concept_id, count(*) FILTER (gap > 1) + 1 AS n_spans, max(confidence) AS c FROM g GROUP BY 1, 2) SELECT doc_id, concept_id, n_spans, round(least(0.95, c + least(0.06, 0.02 * (n_spans - 1))), 6) AS confidence FROM s")
@@ -49,7 +50,7 @@ def roles(spark, d):
 
 @query("agg.order", f"WITH {MERGED} SELECT doc_id, concept_id, role, row_number() OVER (PARTITION BY doc_id ORDER BY role, rank_score DESC, coverage DESC, round(semantic, 9) DESC, confidence DESC, concept_id)::INTEGER AS place FROM rl")
 def order(spark, d):
-    topics = L.roles(scored(spark, d)).withColumn("semantic", F.round("semantic", 9))
+    topics = L.roles(scored(spark, d)).withColumn("semantic", rounded("semantic", 9))
     return L.ordered(topics).select("doc_id", "concept_id", "role", "place")
 
 
