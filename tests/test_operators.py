@@ -664,3 +664,31 @@ def test_memory_lookup_meets_contexts_once(spark):
     many = terminology.memory_lookup(spark.range(100_000).select("id", F.lit("k").alias("key"), F.array(F.lit("a")).alias("context")), spark.range(100_000).select(
         F.col("id").alias("memory_id"), F.lit("k").alias("key"), F.lit("x").alias("correction"), F.array(F.lit("a")).alias("context"), F.lit("approved").alias("status"), F.lit(0.5).alias("confidence"), F.lit(1).alias("times_applied")))
     assert many.where("memory_id = 0").count() == 100_000  # ten thousand million pairs, were they made
+
+
+def test_rounding_as_on_binary_doubles(spark):
+    assert one(spark, chunking.rounded(F.col("v"), 4), v=0.31625) == 0.3162 and one(spark, chunking.rounded(F.col("v"), 6), v=0.5078125) == 0.507813
+    assert vectors.half_away(np.array([0.5078125, -0.5078125])).tolist() == [0.507813, -0.507813]
+
+
+def test_evidence_in_chunks_equals_the_shuffled_way(spark, monkeypatch):
+    """Random chunks of few words against a catalogue with shared and excluded terms: both ways give the same candidates."""
+    rng = random.Random(7)
+    words = ["loop", "array", "vs", "stack", "queue", "tree", "recap", "to", "because", "é"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    chunks = spark.createDataFrame([(d, c, [(c * 3 + i, text(9)) for i in range(rng.randrange(4))]) for d in range(12) for c in range(6)], "doc_id long, chunk_id int, sentences array<struct<pos: int, sentence: string>>")
+    made = {(rng.choice([words[rng.randrange(8)], f"{rng.choice(words[:8])} {rng.choice(words[:8])}"]), rng.choice(["alias", "alias", "excluded", "supporting", "conflicting"]), f"c{rng.randrange(6)}", rng.random() < 0.5) for _ in range(60)}
+    terms = spark.createDataFrame(sorted(made), "gram string, kind string, concept_id string, ambiguous boolean")
+    references = spark.createDataFrame([(f"c{i}", w) for i in range(7) for w in rng.choices(words, k=4)], "concept_id string, word string")
+    plain = lambda r: [(sorted(map(tuple, v)) if k == "evidence" else list(v)) if isinstance(v, list) else v for k, v in sorted(r.asDict().items())]
+
+    def told(floor):
+        filled = {"keyword_score": 0.0, "semantic_score": 0.0, "single_only": False, "ambiguous_only": False, **dict.fromkeys(("n_aliases", "n_sentences", "n_hits", "n_long_hits", "n_compared", "n_excluded"), 0)}
+        rows = topics.chunk_evidence(chunks, terms, references, floor).fillna(filled)
+        lists = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("aliases", "supporting", "conflicting", "evidence")}
+        return sorted(map(plain, rows.withColumns(lists).collect()), key=str)
+
+    here = told(0.4)
+    assert len(here) > 100 and any(r for r in chunks.collect() if not r.sentences)
+    monkeypatch.setattr(topics, "MOST_WORDS", 0)
+    assert here == told(0.4)
