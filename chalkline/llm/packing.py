@@ -32,22 +32,27 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 @cache
-def _encoders():
-    """The tokenizer, and the same vocabulary as ranks, which gives the same ids several times faster where a text has
-    no special token."""
+def _exact():
+    """The tokenizer, loaded by tasks that meet a text with the special token only: each worker would hold it."""
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+
+
+@cache
+def _fast():
+    """The same vocabulary as ranks, which gives the same ids several times faster where a text has no special token."""
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(RANKS), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(public_tokenizers.path(VOCABULARY)), fast
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str) -> list[int]:
-    exact, fast = _encoders()
-    return exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+    return _exact().encode(text, add_special_tokens=False).ids if SPECIAL in text else _fast().encode_ordinary(text)
 
 
 def pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
