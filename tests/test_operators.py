@@ -692,3 +692,41 @@ def test_evidence_in_chunks_equals_the_shuffled_way(spark, monkeypatch):
     assert len(here) > 100 and any(r for r in chunks.collect() if not r.sentences)
     monkeypatch.setattr(topics, "MOST_WORDS", 0)
     assert here == told(0.4)
+
+
+def in_chunks(spark):
+    told = [(1, 0, "To recap, we covered bubble sort. unlike a merge sort, a stack"), (2, 0, "bubble sort sort sort"), (2, 1, "nothing here"), (3, 0, "?!")]
+    rows = [(d, c, [(i, s) for i, s in enumerate(t.split(". "))]) for d, c, t in told]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id int, sentences array<struct<pos: int, sentence: string>>")
+    terms = [("bubble sort", "alias", "c1", False), ("sort", "alias", "c1", True), ("sort sort", "excluded", "c1", False), ("stack", "supporting", "c1", False), ("merge", "conflicting", "c1", False), ("merge sort", "alias", "c2", False), ("sort", "alias", "c2", True)]
+    return chunks, spark.createDataFrame(terms, "gram string, kind string, concept_id string, ambiguous boolean")
+
+
+def test_hits_and_contexts_stay_in_their_chunks(spark, monkeypatch):
+    """Hits, blocked aliases, comparisons, recaps and context words are those of the joins, without any shuffle."""
+    chunks, terms = in_chunks(spark)
+    makes = (lambda: topics.chunk_hits(chunks, terms, compare=True, recap=True), lambda: topics.context_terms(chunks, terms))
+    for make in makes:
+        here = make()
+        assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(topics, "MOST_TERMS", 0)
+            joined = make()
+        rows = lambda t: sorted(map(str, t.select(*here.columns).collect()))
+        assert rows(here) == rows(joined) and here.schema.simpleString() == joined.select(*here.columns).schema.simpleString() and here.count()
+
+
+def test_sentence_scores_stay_in_their_chunks(spark, monkeypatch):
+    chunks, _ = in_chunks(spark)
+    of = spark.createDataFrame([("d1", w) for w in "bubble sort sort sort".split()] + [("d2", "nothing"), ("d2", "else")], "domain string, word string")
+    here = topics.sentence_scores(chunks, of, "domain", 0.3)
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(topics, "MOST_WORDS", 0)
+    rows = lambda t: sorted((r.doc_id, r.chunk_id, r.pos, r.domain, round(r.score, 6)) for r in t.collect())
+    assert rows(here) == rows(topics.sentence_scores(chunks, of, "domain", 0.3)) and {r[3] for r in rows(here)} == {"d1", "d2"}
+
+
+def test_depths_in_batches(spark):
+    texts = [*DEPTHS, "", "?!", None, "What happens if we say so, because it allows"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(topics.depth(F.col("s")).alias("a"), topics.depths(F.col("s")).alias("b")).collect()
+    assert [r.b for r in rows] == [r.a for r in rows] and {r.b for r in rows} >= {0, 1, 2, 3, 4}
