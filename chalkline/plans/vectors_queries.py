@@ -125,8 +125,8 @@ def lookup(spark, d):
 
 @query("vec.best_unit", f"WITH {VECTORS}, {SCORED}, u AS (SELECT vec_id // 7 AS chunk_id, query_id AS concept_id, vec_id % 7 AS unit_no, score FROM scored) SELECT chunk_id, concept_id, max(score) AS score, arg_max(unit_no, score - unit_no * 1e-9) AS unit_no FROM u GROUP BY 1, 2")
 def best_unit(spark, d):
-    scored = V.pair_scores(asked(spark, d), vectors(spark, d))
-    return V.best_unit(scored.select(F.expr("vec_id div 7").alias("chunk_id"), F.col("query_id").alias("concept_id"), (F.col("vec_id") % 7).alias("unit_no"), "score"))
+    units = vectors(spark, d).select(F.expr("vec_id div 7").alias("chunk_id"), (F.col("vec_id") % 7).alias("unit_no"), "embedding")
+    return V.best_units(asked(spark, d).withColumnRenamed("query_id", "concept_id"), units)
 
 
 @query("vec.ann")

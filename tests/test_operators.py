@@ -730,3 +730,48 @@ def test_depths_in_batches(spark):
     texts = [*DEPTHS, "", "?!", None, "What happens if we say so, because it allows"]
     rows = spark.createDataFrame([(t,) for t in texts], "s string").select(topics.depth(F.col("s")).alias("a"), topics.depths(F.col("s")).alias("b")).collect()
     assert [r.b for r in rows] == [r.a for r in rows] and {r.b for r in rows} >= {0, 1, 2, 3, 4}
+
+
+def test_suspicious_words_alone_become_rows(spark, monkeypatch):
+    """Only words with a case whose neighbour is there leave the texts; spans are those of the join with all words."""
+    told = ["we use a bubbel sort here and bubbel baths", "the algoritm, bubble srot; binary serch trees", "x " * 100 + "binary serch"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(told)], "doc_id long, pos int, sentence string")
+    terms = spark.createDataFrame([("bubble sort", 2), ("algorithm", 1), ("binary search", 2)], "key string, n_words int")
+    of = lambda: sorted(map(str, terminology.detect(rows, terms).collect()))
+    found = terminology.suspects(rows, [("bubbel", 1, ["sort"]), ("algoritm", 1, None)]).collect()
+    assert [(r.pos, r.base + r.i, r.word) for r in found] == [(0, 3, "bubbel"), (1, 1, "algoritm")]
+    here = of()
+    monkeypatch.setattr(terminology, "MOST_CASES", 0)
+    assert here == of() and len(here) == 5
+    assert {r.word for r in terminology.words_in(rows).collect()} == {w for t in told for w in re.findall("[a-z]+", t) if len(w) >= 3}
+
+
+def test_best_units_shuffle_no_scores(spark, monkeypatch):
+    """One exchange, that of the vectors; chunks of any length, also over several slices, keep their best and first unit."""
+    r = np.random.default_rng(3)
+    rows = [(c, u, [float(x) for x in r.integers(0, 3, 4)]) for c, n in enumerate((1, 40, 2, 7, 300)) for u in range(n)]
+    units = spark.createDataFrame(rows, "chunk_id long, unit_no long, embedding array<float>")
+    concepts = spark.createDataFrame([(i, [float(x) for x in r.integers(0, 3, 4)]) for i in range(9)], "concept_id long, query array<float>")
+    pairs = concepts.crossJoin(units).select("chunk_id", "concept_id", "unit_no", vectors.similarity(F.col("query"), F.col("embedding")).alias("score"))
+    wanted = sorted(tuple(x) for x in vectors.best_unit(pairs).select("chunk_id", "concept_id", "score", "unit_no").collect())
+    monkeypatch.setattr(vectors, "SLICE", 16)
+    found = vectors.best_units(concepts, units, held_rows=4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(tuple(x) for x in found.collect()) == wanted and len(wanted) == 45
+
+
+def test_cells_and_encoders_hold_bounded_blocks(spark):
+    def encoder(texts):
+        if len(texts) > 256:
+            raise MemoryError(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.range(2000).repartition(1).selectExpr("id", "case when id % 7 = 0 then ' ' else repeat('x', cast(id % 50 as int) + 1) end as text")
+    found = vectors.encode(rows, encoder).collect()
+    assert all((r.embedding is None) if r.id % 7 == 0 else r.embedding == [r.id % 50 + 1] for r in found)
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for probes in (1, 3):
+        got = {r.vec_id: list(r.c) for r in table.select("vec_id", vectors.nearest_cells(x[:20], probes)(F.col("embedding")).alias("c")).collect()}
+        assert all(got[i] == list(np.argsort(-(x[i] @ x[:20].T), kind="stable")[:probes]) for i in got)
