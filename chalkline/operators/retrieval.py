@@ -5,13 +5,18 @@ Candidates are keyed (request_id, topic_index, question_id); all steps run for m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from chalkline.operators.chunking import dot
+from chalkline.operators.held import cut
 from chalkline.operators.terminology import ratio
 from chalkline.operators.vectors import top_k_in_groups
 
@@ -94,10 +99,13 @@ def dedup_exact(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", key).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_k", "_r")
 
 
+KEPT = "abcdefghijklmnopqrstuvwxyz0123456789+*/=<>. "  # one by one: classes of ranges are tested range by range, some 50 times slower
+
+
 def canonical_text(text: Column, heading: str = r"^\s*(?:topic|section|page)\b.*$") -> Column:
     """Without heading and blank lines, lower case, letters, digits and a few signs."""
     lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(heading) & (F.trim(x) != ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(lines, " "), r"[^a-z0-9+*/=<>. ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(lines, " "), f"[^{KEPT}]+", " "), " {2,}", " "))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -106,21 +114,60 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.round(F.size(F.array_intersect(a, b)) / union, 6))
 
 
-def near_pairs(rows: DataFrame, lexical: float = 0.92, lexical_jaccard: float = 0.80, cosine: float = 0.985, cosine_jaccard: float = 0.75, prefix: float = 0.3) -> DataFrame:
-    """Near-duplicate pairs (better-ranked a, worse b) of a request with equal marks.
+SLOTS = 1 << 18  # words are counted by this many slots of their hash, whatever the input: the counts go to all tasks
+
+
+def _rarest(rows: DataFrame, share: float) -> DataFrame:
+    """request_id, question_id, marks, n, h: hashes of a row's ceil(share n) + 1 rarest of its n distinct words.
+
+    Any one order of all words will do, so words are ordered by how many rows share their slot, then by hash; that only
+    moves what is met, and no word is shuffled before the rare ones are picked in their own row.
+    """
+    hashed = rows.where("request_id is not null and marks is not null").select("request_id", "question_id", "marks", F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("h"))
+    found = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    schema = StructType([*hashed.drop("h").schema, StructField("n", IntegerType()), StructField("h", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                words = batch.column(3)
+                n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                h = words.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, counts[h & (SLOTS - 1)], row))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                kept = order[place <= np.ceil(n * share)[row]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row[kept])) for i in range(3)), pa.array(n[row[kept]], pa.int32()), pa.array(h[kept], pa.int64())], names=schema.names)
+
+    return hashed.mapInArrow(run, schema)
+
+
+MOST_ASKED = 200_000  # so many rows that a pair asks for are sent to all tasks, so that no other text moves
+
+
+def near_pairs(
+    rows: DataFrame, lexical: float = 0.92, lexical_jaccard: float = 0.80, cosine: float = 0.985, cosine_jaccard: float = 0.75, prefix: float = 0.3, added: Callable[[DataFrame], DataFrame] = lambda met: met,
+) -> DataFrame:
+    """Near-duplicate pairs (better-ranked a, worse b) of a request with equal marks.  ``added`` makes what ``rows`` lacks
+    (a vector, say) for the rows of a pair only.
 
     Blocked on rare shared words: with Jaccard of at least 0.75, two sets share one of their ceil(0.25 n) + 1 rarest
-    words, so only those are joined.
+    words, so only those are joined, as hashes; texts and vectors are read for the rows of a pair only.
     """
-    words = rows.select("request_id", "question_id", "marks", F.explode(F.array_distinct("words")).alias("w"))
-    common = words.groupBy("w").agg(F.count("*").alias("_f"))
-    order = Window.partitionBy("request_id", "question_id").orderBy("_f", "w")
-    ranked = words.join(common, "w").withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy("request_id", "question_id")))
-    rare = ranked.where(F.col("_r") <= F.ceil(F.col("_n") * 0.25) + 1).select("request_id", "marks", "w", "question_id")
-    met = rare.alias("x").join(rare.alias("y"), ["request_id", "marks", "w"]).where("x.question_id < y.question_id").select("request_id", F.col("x.question_id").alias("i"), F.col("y.question_id").alias("j")).distinct()
-    side = lambda p, q: rows.select(F.col("request_id"), F.col("question_id").alias(q), *[F.col(c).alias(f"{p}_{c}") for c in ("text", "words", "embedding", "place")])
-    full = met.join(side("x", "i"), ["request_id", "i"]).join(side("y", "j"), ["request_id", "j"])
-    likeness = full.withColumn("jaccard", jaccard(F.col("x_words"), F.col("y_words"))).where(F.col("jaccard") >= min(lexical_jaccard, cosine_jaccard)).withColumn("cosine", F.round(dot(F.col("x_embedding"), F.col("y_embedding")), 6))
+    least = min(lexical_jaccard, cosine_jaccard)
+    rare = _rarest(rows, 1 - least)
+    x, y = (rare.select("request_id", "marks", "h", F.col("question_id").alias(q), F.col("n").alias(f"n_{q}")) for q in "ij")
+    as_long = F.least("n_i", "n_j") >= F.greatest("n_i", "n_j") * (least - 1e-6)  # likeness is rounded to 6 digits
+    met = cut(x.join(y.hint("merge"), ["request_id", "marks", "h"]).where((F.col("i") < F.col("j")) & as_long).select("request_id", "marks", "i", "j").distinct())
+    asked_for = met.select("request_id", F.explode(F.array("i", "j")).alias("question_id")).distinct()
+    n = asked_for.limit(MOST_ASKED + 1).count()
+    asked_rows = cut(added(rows.join(F.broadcast(asked_for) if n <= MOST_ASKED else asked_for, ["request_id", "question_id"], "left_semi")))
+    side = lambda p, q: asked_rows.select("request_id", "marks", F.col("question_id").alias(q), *[F.col(c).alias(f"{p}_{c}") for c in ("text", "words", "embedding", "place")])
+    full = met.join(side("x", "i"), ["request_id", "marks", "i"]).join(side("y", "j"), ["request_id", "marks", "j"])
+    likeness = full.withColumn("jaccard", jaccard(F.col("x_words"), F.col("y_words"))).where(F.col("jaccard") >= least).withColumn("cosine", F.round(dot(F.col("x_embedding"), F.col("y_embedding")), 6))
     sure = (F.col("x_text") == F.col("y_text")) | ((F.col("cosine") >= cosine) & (F.col("jaccard") >= cosine_jaccard))
     asked = lambda c: F.when(~sure & (F.col("jaccard") >= lexical_jaccard), F.col(c)).otherwise("")
     likeness = likeness.withColumn("lexical", ratio(asked("x_text"), asked("y_text")))  # matching blocks only where nothing else decides

@@ -141,16 +141,16 @@ def ret_jaccard(spark, d):
 
 
 def near_rows(spark, d):
-    """All documents are the candidates of one request each forty ids long; a text's hashed words are its vector."""
+    """All documents are the candidates of one request each forty ids long; texts are made once for all steps."""
     docs = read(spark, d, "documents")
-    text = R.canonical_text(F.col("text"))
-    rows = docs.select(F.expr("doc_id div 40").alias("request_id"), F.col("doc_id").alias("question_id"), F.lit(1).alias("marks"), text.alias("text"), F.array_distinct(F.split(text, " ")).alias("words"), F.col("doc_id").alias("place"))
-    return rows.withColumn("embedding", hash_encode(F.col("words"), 64, 1))
+    rows = cut(docs.select(F.expr("doc_id div 40").alias("request_id"), F.col("doc_id").alias("question_id"), F.lit(1).alias("marks"), R.canonical_text(F.col("text")).alias("text"), F.col("doc_id").alias("place")))
+    return rows.withColumn("words", F.array_distinct(F.split("text", " ")))
 
 
 @query("ret.neardup")
 def neardup(spark, d):
-    return R.greedy_dups(R.near_pairs(near_rows(spark, d)))
+    """A text's hashed words are its vector."""
+    return R.greedy_dups(R.near_pairs(near_rows(spark, d), added=lambda met: met.withColumn("embedding", hash_encode(F.col("words"), 64, 1))))
 
 
 @query("ret.text_quality", """SELECT doc_id, list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing' END, CASE WHEN len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) < 8 THEN 'too_short' END, CASE WHEN lower(string_split_regex(trim(text), '\\s+')[-1]) IN ('the', 'of', 'and', 'a', 'to') THEN 'trailing_fragment' END,

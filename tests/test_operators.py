@@ -559,6 +559,30 @@ def test_near_pairs_lose_nothing(spark):
     assert {(r.a, r.b) for r in retrieval.near_pairs(rows).collect()} == {(0, 1), (0, 2)}
 
 
+def test_near_pairs_read_texts_of_met_rows_only(spark):
+    """Vectors are made for the rows of a pair only, in the request and marks where it is one, against all pairs."""
+    rng, rows = random.Random(3), []
+    for q in range(60):
+        base = [f"w{(q // 4) * 40 + i}" for i in range(30)] + [f"common{i}" for i in range(10)]
+        for _ in range(rng.randrange(0, 6)):
+            base[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+        rows.append((q % 2, q, q % 3 % 2, " ".join(base), base, q))
+    rows += [(None, 100, 1, "a b", ["a", "b"], 100), (None, 101, 1, "a b", ["a", "b"], 101), (0, 102, None, "a b", ["a", "b"], 102), (0, 103, None, "a b", ["a", "b"], 103), (0, 104, 1, "", [], 104), (0, 105, 1, None, None, 105)]
+    df = spark.createDataFrame(rows, "request_id long, question_id long, marks int, text string, words array<string>, place long")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(words):
+        made.add(1)
+        return [1.0, 0.0]
+
+    got = {(r.request_id, r.a, r.b) for r in retrieval.near_pairs(df, added=lambda met: met.withColumn("embedding", vector("words"))).collect()}
+    full = [r for r in rows if None not in r[:5]]
+    like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0
+    assert got == {(a[0], a[1], b[1]) for a in full for b in full if a[1] < b[1] and a[0] == b[0] and a[2] == b[2] and round(like(a[4], b[4]), 6) >= 0.75} and len(got) > 3
+    assert made.value <= len({q for _, a, b in got for q in (a, b)}) + 10 < len(rows)
+
+
 def test_selection_against_all_subsets(spark):
     from itertools import combinations
 
