@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
+from functools import reduce
+from operator import eq, or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +59,7 @@ def removed(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 _PLAIN = re.compile(r"\b[A-Za-z]+\b")
-_JOINED = re.compile(r"(?<!\w)[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*+(?!\w)")
+_JOINED = re.compile(r"((?<!\w)[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*+(?!\w))")
 
 
 def _once(text: str) -> tuple[str, int]:
@@ -84,24 +88,27 @@ def _once(text: str) -> tuple[str, int]:
 def _said_once(text: str, longest: int, passes: int) -> tuple[str, int]:
     """Phrases of up to ``longest`` words that are said again at once, cut to their first saying, longest phrases first.
 
-    Words are numbers here and separators are kinds: a phrase has blanks inside, between two sayings stand blanks or one comma.
-    Every phrase length is one walk over the words; a walk ends early where no word equals that many words before it.
+    Separators are kinds here: a phrase has blanks inside, between two sayings stand blanks or one comma.  For every phrase
+    length only places are looked at where so many words in a row equal those as many places on.
     """
-    found = [(m.start(), m.end()) for m in _JOINED.finditer(text)]
-    known: dict[str, int] = {}
-    word = [known.setdefault(text[a:b].lower(), len(known)) for a, b in found]
-    gap = [text[a[1] : b[0]] for a, b in zip(found, found[1:])]
-    kind = [1 if g.strip(" \t") == "" else 2 if g.strip(" \t") == "," else 0 for g in gap]
-    place, before = list(range(len(found))), len(found)
+    parts = _JOINED.split(text)
+    said, gap = parts[1::2], parts[2:-1:2]
+    word = [w.lower() for w in said]
+    kind = [1 if g == " " or (bare := g.strip(" \t")) == "" else 2 if bare == "," else 0 for g in gap]
+    place, before = list(range(len(word))), len(word)
     for _ in range(passes):
         start = len(word)
         for n in range(longest, 0, -1):
-            if not any(a == b for a, b in zip(word, word[n:])):
+            same, wanted = bytes(map(eq, word, word[n:])), b"\1" * n
+            at = same.find(wanted)
+            if at < 0:
                 continue
             keep, i, m = [], 0, len(word)
             ends: dict[int, int] = {}  # a kept phrase's last word -> the removed word whose separator follows it now
-            while i < m:
-                again = i + n
+            while at >= 0:
+                keep += range(i, at)
+                i = again = at
+                again += n
                 if all(k == 1 for k in kind[i : again - 1]):
                     while again + n <= m and kind[again - 1] and word[i : i + n] == word[again : again + n] and gap[i : i + n - 1] == gap[again : again + n - 1]:
                         again += n
@@ -112,6 +119,10 @@ def _said_once(text: str, longest: int, passes: int) -> tuple[str, int]:
                 else:
                     keep.append(i)
                     i += 1
+                at = same.find(wanted, i)
+            if not ends:
+                continue
+            keep += range(i, m)
             after = [ends.get(k, k) for k in keep[:-1]]
             word, place = [word[k] for k in keep], [place[k] for k in keep]
             gap, kind = [gap[k] for k in after], [kind[k] for k in after]
@@ -120,20 +131,64 @@ def _said_once(text: str, longest: int, passes: int) -> tuple[str, int]:
     if len(word) == before:
         return text, 0
     # behind the last kept word goes on what followed the last word of all
-    body = [x for k, p in enumerate(place) for x in (text[found[p][0] : found[p][1]], gap[k] if k < len(gap) else "")]
-    return text[: found[0][0]] + "".join(body) + text[found[-1][1] :], before - len(word)
+    body = [x for k, p in enumerate(place) for x in (said[p], gap[k] if k < len(gap) else "")]
+    return parts[0] + "".join(body) + parts[-1], before - len(word)
+
+
+_INNER = re.compile("(?<=[A-Za-z0-9])['’-](?=[A-Za-z0-9])")
+_PLAINER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _maybe_repeated(lines: Sequence[str | None], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines may say a word three times, and which a word or a phrase of up to ``longest`` words twice at once: the
+    others certainly do not.
+
+    Words are runs of letters and digits here, whatever stands between them, and are compared as hashes for all lines
+    together.  Signs inside words make two readings of a line, split there and joined; where it is not plain whether they
+    stand inside, the line counts as one that may.
+    """
+    thrice, maybe, codes, owner = np.zeros(len(lines), bool), np.zeros(len(lines), bool), array("q"), array("q")
+    for i, line in enumerate(lines):
+        if line is None:
+            continue
+        readings = [line]
+        if "'" in line or "-" in line or "’" in line:
+            if "_" in line or not line.replace("’", "").isascii():
+                thrice[i] = maybe[i] = True
+                continue
+            readings.append(_INNER.sub("", line))
+        for reading in readings:
+            words = reading.encode("utf-8", "replace").translate(_PLAINER).split()
+            codes.extend(map(hash, words))
+            codes.append(len(owner))  # no word follows another across readings: see ``apart``
+            owner.extend([i] * len(words))
+            owner.append(-1 - i)
+    code, of = np.frombuffer(codes, np.int64), np.frombuffer(owner, np.int64)
+    apart = of < 0
+    for n in range(1, max(longest, 1) + 1):
+        if len(code) < 2 * n:
+            break
+        same = (code[n:] == code[:-n]) & ~apart[n:] & ~apart[:-n]
+        run = np.concatenate([[0], np.cumsum(same)])
+        maybe[of[np.flatnonzero(run[n:] - run[:-n] == n)]] = True  # n words in a row equal those n places on
+        if n == 1:
+            thrice[of[np.flatnonzero(same[1:] & same[:-1])]] = True
+    return thrice, maybe
 
 
 @F.pandas_udf(StructType().add("once", StringType()).add("n_words", IntegerType()).add("text", StringType()).add("n_phrases", IntegerType()))
 def _without_repeats(lines: pd.Series, longest: pd.Series, passes: pd.Series) -> pd.DataFrame:
-    def both(line: str | None, n: int, most: int) -> tuple:
+    def both(line: str | None, thrice: bool, maybe: bool, n: int, most: int) -> tuple:
         if line is None:
             return None, None, None, None
-        once, words_removed = _once(line)
+        if not maybe:
+            return line, 0, line, 0
+        once, words_removed = _once(line) if thrice else (line, 0)
         text, phrases_removed = _said_once(once, n, most)
         return once, words_removed, text, phrases_removed
 
-    return pd.DataFrame([both(*x) for x in zip(lines, longest, passes)], columns=["once", "n_words", "text", "n_phrases"]).astype({"n_words": "Int32", "n_phrases": "Int32"})
+    looked = _maybe_repeated(list(lines), int(longest.max())) if len(lines) else ([], [])
+    return pd.DataFrame([both(*x) for x in zip(lines, *looked, longest, passes)], columns=["once", "n_words", "text", "n_phrases"]).astype({"n_words": "Int32", "n_phrases": "Int32"})
 
 
 def repeated(text: Column, longest: int = 5, passes: int = 5) -> Column:
@@ -144,7 +199,8 @@ def repeated(text: Column, longest: int = 5, passes: int = 5) -> Column:
 
 @F.pandas_udf(StructType().add("text", StringType()).add("n", IntegerType()))
 def _phrases_once(lines: pd.Series, longest: pd.Series, passes: pd.Series) -> pd.DataFrame:
-    found = [(None, None) if t is None else _said_once(t, n, most) for t, n, most in zip(lines, longest, passes)]
+    maybe = _maybe_repeated(list(lines), int(longest.max()))[1] if len(lines) else []
+    found = [(None, None) if t is None else _said_once(t, n, most) if m else (t, 0) for t, m, n, most in zip(lines, maybe, longest, passes)]
     return pd.DataFrame(found, columns=["text", "n"]).astype({"n": "Int32"})
 
 
@@ -163,7 +219,7 @@ def repeated_phrase(text: Column, longest: int = 5, passes: int = 5) -> tuple[Co
 def whitespace(text: Column) -> Column:
     """One kind of line end, no runs of blanks or blank lines, no blank before punctuation."""
     out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), " ", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" *\n *", "\n")
+    out = F.regexp_replace(F.regexp_replace(out, r" [ \t]+|\t[ \t]*", " "), r" *\n *", "\n")  # most blanks stand alone and stay
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r" +([,.!?;:])", "$1"))
 
 
@@ -172,15 +228,18 @@ def warnings(text: Column) -> Column:
     return F.array_compact(F.array(F.when(text.rlike(r"[A-Za-z]{30,}"), F.lit("long_token")), F.when(text.contains("�"), F.lit("replacement_character"))))
 
 
+PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"  # one by one: a class of ranges is tested range by range, which is slow
+
+
 def metadata_key(text: Column) -> Column:
     """Heading or file name for comparison: no document suffix, lower case, letters and digits only."""
     bare = F.regexp_replace(F.trim(text), r"(?i)\.(?:docx?|pdf|txt|rtf)$", "")
-    return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(bare), f"[^{PLAIN}]+", " "))
 
 
-def names_source(line: Column, source: Column) -> Column:
-    """Whether a short line says the source's name: equal keys, or enough shared words on both sides."""
-    a, b = metadata_key(line), metadata_key(source)
+def names_source(line: Column, source: Column, key: Column | None = None) -> Column:
+    """Whether a short line (of that key, if known) says the source's name: equal keys, or enough shared words on both sides."""
+    a, b = metadata_key(line) if key is None else key, metadata_key(source)
     of_line, of_source = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     shared = F.size(F.array_intersect(of_line, of_source))
     close = (shared >= 3) & (shared / F.size(of_line) >= 0.85) & (shared / F.size(of_source) >= 0.75)
@@ -193,10 +252,11 @@ def mark_metadata(lines: DataFrame, source: Column | None = None, leading: int =
     source = F.lit(None).cast("string") if source is None else source
     bare = F.trim("line")
     whole = lambda p: bare.rlike("^(?:" + p + ")$")
-    by_source = names_source(bare, source)
+    lines = lines.withColumn("_key", metadata_key(bare))
+    by_source = names_source(bare, source, F.col("_key"))
     page = whole(PAGE)
     strong = (bare != "") & (by_source | page | whole(FIELD) | whole(HEADING) | whole(SYNTHETIC) | whole(RULE))
-    marked = lines.select("*", strong.alias("_strong"), (page | by_source).alias("_sure"), metadata_key(bare).alias("_key"))
+    marked = lines.select("*", strong.alias("_strong"), (page | by_source).alias("_sure"))
     ordered = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     seen, same = F.count(F.when(bare != "", 1)).over(ordered), F.count("*").over(Window.partitionBy("doc_id", "_key"))
     gone = ((seen <= leading) & F.col("_strong")) | F.col("_sure") | ((F.col("_key") != "") & (same >= 2) & F.col("_strong"))
@@ -222,8 +282,11 @@ def clean_lines(lines: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     step = step.withColumn("both", (F.col("c0") != F.col("line")).cast("int"))
     step = step.withColumn("n_timestamps", F.col("both") + (F.col("c1") != F.col("c0")).cast("int")).withColumn("n_speakers", F.col("both") + (F.col("c2") != F.col("c1")).cast("int"))
     text = F.col("c2")
-    for name, pattern in (("n_artefacts", NOISE), ("n_uncertain", UNCERTAIN), ("n_fillers", FILLER)):
-        text, n = removed(text, pattern)
+    for name, pattern, signs in (("n_artefacts", NOISE, "[("), ("n_uncertain", UNCERTAIN, "[?<"), ("n_fillers", FILLER, "")):
+        old, (text, n) = text, removed(text, pattern)
+        if signs:  # most lines have none of the signs that the pattern begins with
+            some = reduce(or_, (old.contains(x) for x in signs))
+            text, n = F.when(some, text).otherwise(old), F.when(some, n).when(old.isNotNull(), 0)
         step = step.withColumn(name, n).withColumn("text_" + name, text)
         text = F.col("text_" + name)
     step = step.withColumn("repeats", repeated(text))

@@ -61,6 +61,19 @@ def test_repeats_against_plain_searches(spark):
         assert (r.p, r.np) == ((None, None) if r.t is None else plain_phrases(r.t))
 
 
+def test_lines_without_repeats_are_told_before_the_search():
+    """What the quick look leaves out is unchanged by both rules, with signs inside and around words too."""
+    rng, rows = random.Random(2), [None, "", "x--a a", "x-a a a-y", "éa-b b", "_a-b b", "a-b A’b", "don't don't", "a\u00a0a a", "K k k", "a b c d e a b c d e", "a b c d e f a b c d e f"]
+    for _ in range(20_000):
+        words = rng.choice([["a", "b", "A", "a-b", "don't", "don’t"], ["it", "é", "éa", "x1", "_", "-", "a-"], [f"w{i}" for i in range(12)]])
+        rows.append("".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ",", " , ", "-", "'", "’", "_", "\u00a0"]) for _ in range(rng.randrange(1, 14))))
+    thrice, maybe = cleaning._maybe_repeated(rows, 5)
+    for t, w, m in zip(rows, thrice, maybe):
+        assert t is None or w or cleaning._once(t) == (t, 0), t
+        assert t is None or m or cleaning._said_once(t, 5, 5) == (t, 0), t
+    assert 0.1 < np.mean(maybe) < 0.9 and list(maybe[:2]) == [False, False]
+
+
 LONG_LINES = ["the " * 200_000, "we go on and on " * 40_000, " ".join(f"w{chr(97 + i % 26)}{i}" for i in range(200_000)), "x" * 1_000_000, "a.b" * 100_000, "title: " * 50_000]
 
 
