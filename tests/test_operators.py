@@ -74,6 +74,24 @@ def test_lines_without_repeats_are_told_before_the_search():
     assert 0.1 < np.mean(maybe) < 0.9 and list(maybe[:2]) == [False, False]
 
 
+def test_letters_leave_out_no_close_word(spark):
+    rng = random.Random(4)
+    terms = [(t,) for t in {"".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 12))) for _ in range(40)}]
+    words = set()
+    for _ in range(1500):
+        w = list(rng.choice(terms)[0])
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + rng.randrange(2)] = rng.choice(["", "a", "z", "é", "😀"])
+        words.add("".join(w))
+    left, right = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(terms, "term string")
+    near = F.when(F.length("word") >= 8, 2).otherwise(1)
+    every = left.crossJoin(right).withColumn("edits", F.levenshtein("word", "term")).where((F.col("edits") >= 1) & (F.col("edits") <= near))
+    assert sorted(terminology.close_words(left, right).collect()) == sorted(every.collect())
+    passed = left.where(terminology._letters_near(["zzzzzzzz"], 8, 1)(F.col("word"))).count()
+    assert passed == 0
+
+
 LONG_LINES = ["the " * 200_000, "we go on and on " * 40_000, " ".join(f"w{chr(97 + i % 26)}{i}" for i in range(200_000)), "x" * 1_000_000, "a.b" * 100_000, "title: " * 50_000]
 
 
