@@ -74,6 +74,21 @@ def test_lines_without_repeats_are_told_before_the_search():
     assert 0.1 < np.mean(maybe) < 0.9 and list(maybe[:2]) == [False, False]
 
 
+def test_every_transition_has_a_needed_word(spark):
+    """Sentences without the needed words meet no pattern, and a chunk of a lesson is made without the rest of its text."""
+    said = ["the next chapter", "start chapter", "begin the chapter", "chapter number 3", "new topic", "move on to the section", "let's move on to the next one", "lets look at next question", "let's go to the next question", "moving on", "let's talk about x", "lets discuss", "next thing", "now we can move", "now let's look", "now we will talk", "nothing here", None]
+    plain = lambda t: t and ("strong" if re.search("|".join(chunking.STRONG), t) else "soft" if re.search("|".join(chunking.SOFT), t) else None)
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", chunking.transition(F.col("t")).alias("x")).collect()
+    assert all(r.x == plain(r.t) for r in got) and sum(r.x is not None for r in got) == 16
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}." for i in range(17))), (2, ""), (3, None)], "doc_id long, text string")
+    chunks = bridges.lesson_chunks(docs)
+    assert [(r.chunk_id, len(r.sentences)) for r in chunks.orderBy("chunk_id").collect()] == [(0, 8), (1, 8), (2, 1)]
+    flat = chunks.select("doc_id", "chunk_id", F.explode("sentences").alias("x")).select("doc_id", "chunk_id", "x.*")
+    assert sorted(flat.collect()) == sorted(bridges.lesson_sentences(docs).collect())
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and not re.search(r"Project \[doc_id#\d+L, s#", plan)
+
+
 def test_letters_leave_out_no_close_word(spark):
     rng = random.Random(4)
     terms = [(t,) for t in {"".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 12))) for _ in range(40)}]
