@@ -223,6 +223,14 @@ def whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r" +([,.!?;:])", "$1"))
 
 
+UNTIDY = "[\r\n\t\u00a0]|  | [,.!?;:]|^ | $"  # a text that ``whitespace`` changes has one of these
+
+
+def tidy(text: Column) -> Column:
+    """whitespace, for lines of which most are as it leaves them."""
+    return F.when(text.rlike(UNTIDY), whitespace(text)).otherwise(text)
+
+
 def warnings(text: Column) -> Column:
     """Signs of a bad transcription: very long letter runs, replacement characters."""
     return F.array_compact(F.array(F.when(text.rlike(r"[A-Za-z]{30,}"), F.lit("long_token")), F.when(text.contains("�"), F.lit("replacement_character"))))
@@ -255,7 +263,8 @@ def mark_metadata(lines: DataFrame, source: Column | None = None, leading: int =
     lines = lines.withColumn("_key", metadata_key(bare))
     by_source = names_source(bare, source, F.col("_key"))
     page = whole(PAGE)
-    strong = (bare != "") & (by_source | page | whole(FIELD) | whole(HEADING) | whole(SYNTHETIC) | whole(RULE))
+    transcript = F.lower(bare).contains("transcript") & (whole(HEADING) | whole(SYNTHETIC))  # both patterns have the word
+    strong = (bare != "") & (by_source | page | whole(FIELD) | transcript | whole(RULE))
     marked = lines.select("*", strong.alias("_strong"), (page | by_source).alias("_sure"))
     ordered = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     seen, same = F.count(F.when(bare != "", 1)).over(ordered), F.count("*").over(Window.partitionBy("doc_id", "_key"))
@@ -282,15 +291,14 @@ def clean_lines(lines: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     step = step.withColumn("both", (F.col("c0") != F.col("line")).cast("int"))
     step = step.withColumn("n_timestamps", F.col("both") + (F.col("c1") != F.col("c0")).cast("int")).withColumn("n_speakers", F.col("both") + (F.col("c2") != F.col("c1")).cast("int"))
     text = F.col("c2")
-    for name, pattern, signs in (("n_artefacts", NOISE, "[("), ("n_uncertain", UNCERTAIN, "[?<"), ("n_fillers", FILLER, "")):
+    for name, pattern, signs in (("n_artefacts", NOISE, "[("), ("n_uncertain", UNCERTAIN, "[?<"), ("n_fillers", FILLER, ("um", "uh", "erm", "hmm"))):
         old, (text, n) = text, removed(text, pattern)
-        if signs:  # most lines have none of the signs that the pattern begins with
-            some = reduce(or_, (old.contains(x) for x in signs))
-            text, n = F.when(some, text).otherwise(old), F.when(some, n).when(old.isNotNull(), 0)
+        some = reduce(or_, (F.lower(old).contains(x) for x in signs))  # most lines have none of what the pattern begins with
+        text, n = F.when(some, text).otherwise(old), F.when(some, n).when(old.isNotNull(), 0)
         step = step.withColumn(name, n).withColumn("text_" + name, text)
         text = F.col("text_" + name)
     step = step.withColumn("repeats", repeated(text))
-    step = step.withColumn("n_repeated_words", F.col("repeats.n_words")).withColumn("n_repeated_phrases", F.col("repeats.n_phrases")).withColumn("cleaned", whitespace(F.col("repeats.text")))
+    step = step.withColumn("n_repeated_words", F.col("repeats.n_words")).withColumn("n_repeated_phrases", F.col("repeats.n_phrases")).withColumn("cleaned", tidy(F.col("repeats.text")))
     return step.drop("c0", "c1", "c2", "both", "text_n_artefacts", "text_n_uncertain", "text_n_fillers", "repeats")
 
 
@@ -315,7 +323,8 @@ def clean_transcripts(docs: DataFrame, source: str | None = None, roles: Sequenc
     every = F.filter(F.flatten(F.transform("lines", sentence)), lambda x: x["s"] != "")
     fresh = lambda a: F.struct(F.size(a).alias("n"), F.filter(a, lambda x, i: (i == 0) | (x["norm"] != F.get(a, i - 1)["norm"])).alias("kept"))
     told = by_doc.withColumn("sentences", named(every, fresh))
-    joined = F.aggregate("sentences.kept", F.struct(F.lit("").alias("text"), F.lit(-1).alias("line_no")), lambda a, x: F.struct(F.concat(a["text"], F.when(a["line_no"] == -1, "").when(a["line_no"] == x["line_no"], " ").otherwise("\n"), x["s"]).alias("text"), x["line_no"].alias("line_no")))["text"]
+    before = lambda x, i: F.when(i == 0, "").when(F.get("sentences.kept", i - 1)["line_no"] == x["line_no"], " ").otherwise("\n")
+    joined = F.array_join(F.transform("sentences.kept", lambda x, i: F.concat(before(x, i), x["s"])), "")
     out = told.withColumn("text", joined)
     dropped = (F.col("sentences.n") - F.size("sentences.kept")).alias("n_repeated_sentences")
     return out.select("doc_id", "text", *COUNTERS, "n_metadata", F.transform("removed", lambda x: x["l"]).alias("removed_lines"), dropped, warnings(F.col("text")).alias("warnings"), (F.size("sentences.kept") == 0).alias("rejected"))

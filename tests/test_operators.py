@@ -844,3 +844,56 @@ def test_cells_and_encoders_hold_bounded_blocks(spark):
     for probes in (1, 3):
         got = {r.vec_id: list(r.c) for r in table.select("vec_id", vectors.nearest_cells(x[:20], probes)(F.col("embedding")).alias("c")).collect()}
         assert all(got[i] == list(np.argsort(-(x[i] @ x[:20].T), kind="stable")[:probes]) for i in got)
+
+
+def by_operators(told, width=128):
+    """flows.semantic_chunks by the operators it walks for, one after the other."""
+    units = chunking.units(told.withColumn("n_words", F.size(F.split("sentence", " ")))).localCheckpoint()
+    placed = told.join(units.select("doc_id", "unit_no", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")), ["doc_id", "pos"])
+    texts = placed.groupBy("doc_id", "unit_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: topics.words_of(x["sentence"]))).alias("t"))
+    alike = chunking.neighbour_similarity(texts.withColumn("embedding", vectors.hash_encode("t", width, 1)), "doc_id", "unit_no").select("doc_id", "unit_no", "similarity").localCheckpoint()
+    plan = chunking.plan(chunking.boundaries(units.join(alike, ["doc_id", "unit_no"]).join(chunking.thresholds(alike, "doc_id"), "doc_id")))
+    spread = plan.select("doc_id", F.col("plan_no").alias("chunk_id"), "reason", F.explode(F.sequence("first_unit", "last_unit")).alias("unit_no"))
+    rows = placed.join(spread, ["doc_id", "unit_no"]).groupBy("doc_id", "chunk_id").agg(F.first("reason").alias("reason"), F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("sentences")).collect()
+    return sorted((r.doc_id, r.chunk_id, r.reason, [tuple(x) for x in r.sentences]) for r in rows)
+
+
+def test_chunks_are_made_in_one_walk(spark, monkeypatch):
+    """The same chunks as by the operators, without a job or a written table between them."""
+    rng, rows = random.Random(7), []
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    for doc in range(12):
+        for pos in range([1, 2, 40, 150][doc % 4]):
+            start = rng.choice(["", "", "", "", "", "Let's move on to the next topic: ", "Moving on, ", "? ! "])
+            rows.append((doc, pos, start + " ".join(rng.choice(words[doc * 10 : doc * 10 + 90]) for _ in range(rng.randrange(1, 40)))))
+    told = spark.createDataFrame(rows, "doc_id long, pos int, sentence string")
+    monkeypatch.setattr(flows, "cut", lambda df: pytest.fail("written between two steps"))
+    made = flows.semantic_chunks(told)
+    got = sorted((r.doc_id, r.chunk_id, r.reason, [tuple(x) for x in r.sentences]) for r in made.collect())
+    assert got == by_operators(told) and len({r[2] for r in got}) >= 4
+
+
+def test_only_candidates_that_can_be_kept_leave_their_task(spark):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(12)]
+    references = spark.createDataFrame([(f"c{i:02}", w) for i in range(30) for w in rng.sample(pool, 8)], "concept_id string, word string")
+    terms = spark.createDataFrame([("w0 w1", "alias", "c00", False), ("w2", "alias", "c01", True)], "gram string, kind string, concept_id string, ambiguous boolean")
+    chunk = lambda k: [(p, " ".join(rng.choice(pool) for _ in range(9))) for p in range(4)]
+    chunks = spark.createDataFrame([(1, k, chunk(k)) for k in range(20)], "doc_id long, chunk_id int, sentences array<struct<pos: int, sentence: string>>")
+    every, few = topics.chunk_evidence(chunks, terms, references, 0.5), topics.chunk_evidence(chunks, terms, references, 0.5, top=3)
+    kept = lambda t: sorted(map(str, topics.extract(t, None, top=3).collect()))
+    assert kept(every) == kept(few) and every.count() > few.count() and few.where("n_hits = 0 and n_excluded = 0").groupBy("doc_id", "chunk_id").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_tidy_lines_are_what_whitespace_leaves(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(["a", "b", "é", " ", " ", ".", ",", "\t", "\n", "\r", " "]) for _ in range(rng.randrange(7))),) for _ in range(3000)] + [(None,)]
+    got = spark.createDataFrame(rows, "t string").select("t", cleaning.whitespace(F.col("t")).alias("a"), cleaning.tidy(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+
+
+def test_words_are_spelt_as_stretches_have_them():
+    rng = random.Random(6)
+    for _ in range(20000):
+        text = "".join(rng.choice("abZ3'’-_ .\té") for _ in range(rng.randrange(14)))
+        assert {w for t in terminology._TOKEN.findall(text) for w in terminology._words_of(t)} == {p[0] for _, _, parts in terminology._parts(text) for p in parts}
