@@ -897,3 +897,27 @@ def test_words_are_spelt_as_stretches_have_them():
     for _ in range(20000):
         text = "".join(rng.choice("abZ3'’-_ .\té") for _ in range(rng.randrange(14)))
         assert {w for t in terminology._TOKEN.findall(text) for w in terminology._words_of(t)} == {p[0] for _, _, parts in terminology._parts(text) for p in parts}
+
+
+def test_cells_meet_as_blocks(spark, monkeypatch):
+    """Approximate search against its rule by hand, with small blocks, a common vector and ties; no row is made for a pair."""
+    x = np.random.default_rng(8).normal(size=(500, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:260] = x[7]
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = table.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    centres = vectors.quantiser(table, 20)
+    own, wanted = np.argmax(x @ centres.T, axis=1), []
+    for q in range(0, 500, 9):
+        cells = np.argsort(-(centres @ x[q]), kind="stable")[:6]
+        scores = vectors.half_away(x @ x[q])
+        wanted += [(q, i, scores[i], n + 1) for n, i in enumerate(sorted(np.flatnonzero(np.isin(own, cells)), key=lambda i: (-scores[i], i))[:5])]
+    for name in ("LANE_ROWS", "SCORES", "PENDING"):
+        monkeypatch.setattr(vectors, name, 30)
+    found = vectors.approximate_top_k(queries, table, 5, cells=20, probes=6, **({"held_rows": 17} if hasattr(vectors, "ASKED_ROWS") else {}))
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in found.collect()) == [(q, i, pytest.approx(s), n) for q, i, s, n in sorted(wanted)]
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    named = table.withColumn("vec_id", F.format_string("%04d", "vec_id"))
+    again = vectors.approximate_top_k(queries, named, 5, held_rows=17, cells=1)
+    exact = vectors.top_k(queries, named, 5)
+    assert sorted(map(tuple, again.select("query_id", "vec_id", "rank").collect())) == sorted(map(tuple, exact.select("query_id", "vec_id", "rank").collect()))
