@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.operators.chunking import rounded
@@ -57,14 +57,38 @@ def ordered(topics: DataFrame) -> DataFrame:
     return topics.withColumn("place", F.row_number().over(by))
 
 
+DENSE = 8  # a list of chunk ids may have so many places for each of them
+
+
 def handoff(topics: DataFrame, chunk_texts: DataFrame) -> DataFrame:
-    """Topics with the texts of their chunks in order and the ids that have none."""
-    wide = topics.select(*TOPIC, F.posexplode("chunk_ids").alias("k", "chunk_id"))
-    told = wide.join(chunk_texts.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"], "left")
-    return told.groupBy(*TOPIC).agg(
-        F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])).alias("texts"),
-        F.array_sort(F.collect_list(F.when(F.col("text").isNull(), F.col("chunk_id")))).alias("missing"),
+    """Topics with the texts of their chunks in order and the ids that have none.
+
+    A document's texts are moved once, as a list by chunk id, and its topics read them there: no text is moved for a topic.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("chunk_id", "text")))
+    ids = lambda e: F.transform(e, lambda x: x["chunk_id"])
+    told = chunk_texts.groupBy("doc_id").agg(entries.alias("e")).withColumn("first", F.get("e", F.lit(0))["chunk_id"].cast("long"))
+    room = F.element_at("e", -1)["chunk_id"] - F.col("first") + 1
+    dense = (room <= DENSE * F.size("e")) & (F.size(F.array_distinct(ids(F.col("e")))) == F.size("e"))
+    gap = lambda x, i: F.coalesce(F.get("e", i + 1)["chunk_id"] - x["chunk_id"] - 1, F.lit(0)).cast("int")
+    placed = F.flatten(F.transform("e", lambda x, i: F.concat(F.array(x["text"]), F.array_repeat(F.lit(None).cast("string"), gap(x, i)))))
+    told = told.select("doc_id", "first", F.when(dense, placed).alias("placed"), F.when(~dense, F.col("e")).alias("e"))
+    pair = lambda k, t: F.struct(k.alias("chunk_id"), t.alias("text"))
+    at = lambda k: F.when((k >= F.col("first")) & (k < F.col("first") + F.size("placed")), F.get("placed", (k - F.col("first")).cast("int")))
+    none = F.lit(None).cast("string")
+
+    def searched(k: Column) -> Column:
+        of = F.transform(F.filter("e", lambda x: x["chunk_id"] == k), lambda x: pair(k, x["text"]))
+        return F.when(F.size(of) > 0, of).otherwise(F.array(pair(k, none)))
+
+    found = (
+        F.when(F.col("placed").isNotNull(), F.transform("chunk_ids", lambda k: pair(k, at(k)))).when(F.col("e").isNotNull(), F.flatten(F.transform("chunk_ids", searched)))
+        .otherwise(F.transform("chunk_ids", lambda k: pair(k, none)))
     )
+    asked = topics.where(F.size("chunk_ids") > 0).select(*TOPIC, "chunk_ids")
+    read = asked.join(told, "doc_id", "left").select(*TOPIC, found.alias("found"))
+    without = F.filter("found", lambda x: x["text"].isNull())
+    return read.select(*TOPIC, F.array_compact(F.transform("found", lambda x: x["text"])).alias("texts"), F.array_sort(ids(without)).alias("missing"))
 
 
 def approved(payload: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators import lessons as L
 from chalkline.operators.chunking import rounded
-from chalkline.plans.bridges import chunks, read
+from chalkline.plans.bridges import chunk_arrays, read
 from chalkline.plans.registry import query
 from chalkline.plans.topics_queries import EVID, judged
 
@@ -59,8 +59,9 @@ _PAYLOAD = f"{MERGED}, {_TEXTS}, w AS (SELECT m.doc_id, m.concept_id, unnest(chu
 
 
 def payload(spark, d):
-    c = chunks(read(spark, d, "documents")).where("chunk_id % 6 <> 4")
-    texts = c.groupBy("doc_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    told = chunk_arrays(read(spark, d, "documents")).where("chunk_id % 6 <> 4").repartition("doc_id")
+    text = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("sentences"))), lambda x: x["sentence"]), " ")
+    texts = told.groupBy("doc_id", "chunk_id").agg(text.alias("text"))
     return L.handoff(L.merge_topics(judged(spark, d)), texts)
 
 

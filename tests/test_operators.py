@@ -921,3 +921,19 @@ def test_cells_meet_as_blocks(spark, monkeypatch):
     again = vectors.approximate_top_k(queries, named, 5, held_rows=17, cells=1)
     exact = vectors.top_k(queries, named, 5)
     assert sorted(map(tuple, again.select("query_id", "vec_id", "rank").collect())) == sorted(map(tuple, exact.select("query_id", "vec_id", "rank").collect()))
+
+
+def test_handoff_moves_a_documents_texts_once(spark):
+    """Texts by hand for ids in a row, with gaps, far apart and given twice, documents and topics without any; no text has a row for a topic."""
+    texts = [(1, 0, "a"), (1, 1, "b"), (1, 3, "d"), (1, 4, None), (2, 7, "x"), (2, 10**9, "y"), (3, 5, "p"), (3, 5, "q"), (3, 6, "r"), (5, 0, None)]
+    asked = [(1, "c1", [0, 1, 2, 3, 4, 5, -1]), (1, "c2", [3]), (1, "c3", []), (2, "c1", [6, 7, 10**9]), (3, "c1", [4, 5, 6]), (4, "c1", [0, 2]), (4, "c2", None), (5, "c9", [0])]
+    rows = spark.createDataFrame(texts, "doc_id long, chunk_id int, text string").repartition(3)
+    topics_of = spark.createDataFrame(asked, "doc_id long, concept_id string, chunk_ids array<int>").repartition(3)
+    wanted = []
+    for doc, concept, ids in asked:
+        pairs = [(k, t) for k in ids or [] for t in sorted((t for d, c, t in texts if (d, c) == (doc, k)), key=str) or [None]]
+        if pairs:
+            wanted.append((doc, concept, [t for _, t in pairs if t is not None], sorted(k for k, t in pairs if t is None)))
+    found = lessons.handoff(topics_of, rows)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert "explode" not in found._jdf.queryExecution().executedPlan().toString().lower()
