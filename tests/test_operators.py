@@ -937,3 +937,14 @@ def test_handoff_moves_a_documents_texts_once(spark):
     found = lessons.handoff(topics_of, rows)
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     assert "explode" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_sentences_are_passed_over_only_without_a_fitting_word():
+    rng = random.Random(9)
+    alone, pairs = {"aa"}, [("a", "b"), ("b", "3a"), ("ab", "b")]
+    fitting = terminology._fitting(alone, pairs)
+    told = ["".join(rng.choice("aaabbB3'’-_  .\té") for _ in range(rng.randrange(12))) for _ in range(5000)] + [None, ""]
+    words = [[w for t in terminology._TOKEN.findall(s or "") for w in terminology._words_of(t)] for s in told]
+    wanted = [bool(alone & {*w}) or any(p in pairs for p in zip(w, w[1:])) for w in words]
+    assert fitting(told).tolist() == wanted and 0 < sum(wanted) < len(told)
+    assert not terminology._fitting(set(), [])(told).any() and len(fitting([])) == 0
